@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, line_dedup, mixing
+from . import bpe, chat_format, line_dedup, mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op6_chat_format": chat_format.op6_chat_format,
         "op8_mix_sources": mixing.op8_mix_sources,
+        "op9_bpe": bpe.op9_bpe,
     }
 
 
