@@ -76,3 +76,53 @@ def _tree(value: Column, cuts: list[int], low: int, high: int) -> Column:
         return F.lit(low)
     mid = (low + high) // 2
     return F.when(value < F.lit(cuts[mid]), _tree(value, cuts, low, mid)).otherwise(_tree(value, cuts, mid + 1, high))
+
+
+def in_key_order(df: DataFrame, key: str, *ties: str, carry: bool = False, keys: DataFrame | None = None) -> DataFrame:
+    """``df`` dealt into ranges of ``key``, one partition each in key order, rows sorted inside; adds ``part`` and ``lead``.
+
+    A null key sorts before all. With ``carry``, the row before a partition's first one comes in front of it once more,
+    marked by ``lead`` (before the very first: the last row of all). ``keys`` may give the same keys where they are cheaper to
+    read. The driver holds two numbers a partition.
+    """
+    spark = df.sparkSession
+    parts = partitions(spark)
+    first = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))  # one number for null that sorts first
+    df, keys = df.withColumn("__key", first), (df if keys is None else keys).select(first.alias("__key"))
+    cuts = key_cuts(keys, "__key", parts)
+    dealt = df.withColumn("part", bucket_of("__key", cuts))
+    lead = F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("lead")))
+    if carry:
+        tops = {r["part"]: r["top"] for r in keys.groupBy(bucket_of("__key", cuts).alias("part")).agg(F.max("__key").alias("top")).collect()}
+        full = sorted(tops)
+        after = {tops[p]: full[(i + 1) % len(full)] for i, p in enumerate(full)}
+        if after:
+            keys = sorted(after)
+            extra = lookup(F.col("__key"), keys, [after[k] for k in keys])
+            lead = F.when(
+                extra.isNotNull(), F.concat(lead, F.array(F.struct(extra.alias("part"), F.lit(True).alias("lead"))))
+            ).otherwise(lead)
+    if carry:
+        dealt = dealt.withColumn("__to", F.explode(lead)).drop("part")
+        dealt = dealt.withColumn("part", F.col("__to.part")).withColumn("lead", F.col("__to.lead")).drop("__to")
+    else:
+        dealt = dealt.withColumn("lead", F.lit(False))
+    dealt = dealt.repartitionById(len(cuts) + 1, F.col("part").cast("int"))
+    return dealt.sortWithinPartitions(F.desc("lead"), "__key", *ties)
+
+
+def lookup(value: Column, keys: list[int], results: list[int]) -> Column:
+    """The result of the key that equals ``value``, else null: a tree of comparisons."""
+
+    def node(low: int, high: int) -> Column:
+        if high - low == 1:
+            return F.when(value == F.lit(keys[low]), F.lit(results[low]))
+        mid = (low + high) // 2
+        return F.when(value < F.lit(keys[mid]), node(low, mid)).otherwise(node(mid, high))
+
+    return node(0, len(keys))
+
+
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Arrow batches of few rows: whole texts in a batch stay far below a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
