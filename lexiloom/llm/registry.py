@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, fingerprint, line_dedup, mixing, token_file
+from . import bpe, chat_format, fingerprint, html_text, line_dedup, mixing, quality, token_file
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_line_dedup": line_dedup.op2_line_dedup,
+        "op3_html_text": html_text.op3_html_text,
         "op5_closed_syncmers": fingerprint.op5_closed_syncmers,
         "op6_chat_format": chat_format.op6_chat_format,
         "op7_token_file": token_file.op7_token_file,
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_bpe": bpe.op9_bpe,
+        "op10_quality": quality.op10_quality,
     }
 
 
