@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, fingerprint, html_text, line_dedup, mixing, quality, token_file
+from . import bpe, chat_format, fingerprint, html_text, line_dedup, minhash, mixing, quality, token_file
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_html_text": html_text.op3_html_text,
+        "op4_prob_minhash": minhash.op4_prob_minhash,
         "op5_closed_syncmers": fingerprint.op5_closed_syncmers,
         "op6_chat_format": chat_format.op6_chat_format,
         "op7_token_file": token_file.op7_token_file,
