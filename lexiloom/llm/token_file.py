@@ -27,6 +27,7 @@ from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,10 +40,10 @@ MARK = b"S8B1\0\0\0\0"
 SEGMENT_IDS = 1 << 16
 BLOCK_WORDS = 512
 END_ID = 1
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
 NULL_ID = -(2**63)
 #: Letters and signs whose lower case and splitting is the same in any Unicode version; a text of others goes to the library whole.
-OTHER = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]")
+OTHER = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]")  # also read by Arrow
 PRE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
 
@@ -67,21 +68,24 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _packed(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
-    best = np.full(n, 15, np.int64)
+    best = np.full(n, 15, np.int8)
+    small = ids.astype(np.int32) if n and ids.max() < 1 << 31 else ids
+    over = np.zeros(n + 1, np.int32)
     for selector in range(14, 0, -1):
         count, bits = LAYOUT[selector - 1]
         if count > n:
             break
-        over = np.zeros(n + 1, np.int32)
-        np.cumsum(ids >= np.uint64(1 << bits), out=over[1:])
+        if bits < 31 or small is ids:
+            np.cumsum(small >= small.dtype.type(1 << bits), dtype=np.int32, out=over[1:])
         fits = over[count:] == over[: n + 1 - count]
         if not fits.any():
             break  # more ids of fewer bits fit nowhere either
-        best[: n + 1 - count][fits] = selector
+        np.copyto(best[: n + 1 - count], selector, where=fits)
     step = (np.arange(n) + COUNTS[best]).tolist()
     path, i = [], 0
+    add = path.append
     while i < n:
-        path.append(i)
+        add(i)
         i = step[i]
     at = np.array(path, np.int64)
     chosen = best[at]
@@ -182,7 +186,7 @@ class WordIds:
         vocab = self.library.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -213,19 +217,41 @@ class WordIds:
                 self.known[w] = raw[at:to]
                 at = to
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array, end_id: int) -> list[np.ndarray]:
+        """The ids of every text, and the end id behind each.
+
+        Words are split and numbered by Arrow, so that each distinct word of the batch is looked up once.
+        """
         if len(self.known) > CACHE_WORDS:
-            self.older, self.known = self.known, {}
-        split, new = [], set()
-        for text in texts:
-            words = None if OTHER.search(text) else text.lower().split()
-            split.append(words)
-            if words:
-                new.update(filterfalse(self.known.__contains__, words))
+            self.older, self.known = self.known, {"": b""}
+        plain = pc.invert(pc.match_substring_regex(texts, OTHER.pattern))
+        words = pc.ascii_split_whitespace(pc.utf8_lower(texts.filter(plain)))
+        coded = words.flatten().dictionary_encode()
+        # no word holds a space: one string to Python instead of each word
+        listed = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+        distinct = pc.binary_join(listed, " ")[0].as_py().split(" ") if len(coded.dictionary) else []
+        new = set(filterfalse(self.known.__contains__, distinct))
         if new:
             self.learn(new)
-        own = self.known.__getitem__
-        return [self.whole(t) if w is None else b"".join(map(own, w)) for t, w in zip(texts, split, strict=True)]
+        found = list(map(self.known.__getitem__, distinct))
+        blob = np.frombuffer(b"".join(found), np.uint32)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        lengths = sizes[code]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = blob[np.repeat(starts[code] - ends[:-1], lengths) + np.arange(ends[-1])] if len(code) else blob
+        edges = ends[words.offsets.to_numpy() - words.offsets[0].as_py()] if len(words) else []
+        tail = np.array([end_id], np.uint32)
+        out, k = [], 0
+        for text, simple in zip(texts, plain.to_pylist(), strict=True):
+            if simple:
+                own = ids[edges[k] : edges[k + 1]]
+                k += 1
+            else:
+                own = np.frombuffer(self.whole(text.as_py()), np.uint32)
+            out.append(np.concatenate([own, tail]))
+        return out
 
 
 @functools.lru_cache(2)
@@ -242,19 +268,17 @@ def default_path() -> str:
 def _encode(path: str | None, end_id: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = word_ids(path or default_path())
-        tail = np.uint32(end_id).tobytes()
         gc.disable()  # nothing here makes cycles
         for batch in batches:
-            ids = [x + tail for x in own.encode(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_short(x) for x in ids], pa.binary())], names=["doc_id", "ids"])
+            ids = [_short(x) for x in own.encode(batch.column(1), end_id)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return work
 
 
-def _short(raw: bytes) -> bytes:
+def _short(ids: np.ndarray) -> bytes:
     """Two bytes an id where all fit, behind a mark of the width."""
-    ids = np.frombuffer(raw, np.uint32)
-    return b"\2" + ids.astype(np.uint16).tobytes() if ids.max() < 1 << 16 else b"\4" + raw
+    return b"\2" + ids.astype(np.uint16).tobytes() if ids.max() < 1 << 16 else b"\4" + ids.tobytes()
 
 
 def _long(raw: bytes) -> np.ndarray:
