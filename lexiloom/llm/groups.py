@@ -56,7 +56,7 @@ def with_component(members: DataFrame, links: DataFrame) -> DataFrame:
 def linked(postings: DataFrame, details: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFrame], likeness: float, rows: int) -> DataFrame:
     """All verified links (a, b) between ids that share a bucket.
 
-    postings: key, id. details: id, size, sketch (a byte a register), bands (keys, binary). verify(pairs, ids): pairs (a, b)
+    postings: key, id. details: id, size, sketch (a byte a register), bands (the keys in a fixed order, binary; or empty). verify(pairs, ids): pairs (a, b)
     with ``good``, where ids are all that will ever be asked for. rows: registers in a sketch.
     """
     buckets = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).where("n > 1")
@@ -144,9 +144,10 @@ def _meet(likeness: float, least: float):
                     if len(at):
                         share = ((sb[at] == sa[i]).mean(axis=1) - 1 / 256) * 256 / 255
                         at = at[share >= least]
-                    if len(at):
+                    if len(at) and ba.shape[1]:
                         first = np.argmax(bb[at] == ba[i], axis=1)
                         at = at[ba[i][first] == key]
+                    if len(at):
                         found += [(min(ia[i], x), max(ia[i], x)) for x in ib[at]]
                 if found:
                     a, b = zip(*found, strict=True)

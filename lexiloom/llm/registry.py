@@ -7,11 +7,12 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, fingerprint, html_text, line_dedup, minhash, mixing, quality, token_file
+from . import audio, bpe, chat_format, fingerprint, html_text, line_dedup, minhash, mixing, quality, token_file
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chroma": audio.op1_chroma,
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_html_text": html_text.op3_html_text,
         "op4_prob_minhash": minhash.op4_prob_minhash,
