@@ -23,7 +23,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import filterfalse
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import byte_alphabet
 from .common import cut, in_key_order, lookup, small_batches, table, whole_text
 
 #: (ids, bits) of selectors 1 to 15, fixed by the coding.
@@ -44,6 +45,8 @@ CACHE_WORDS = 500_000
 NULL_ID = -(2**63)
 #: Letters and signs whose lower case and splitting is the same in any Unicode version; a text of others goes to the library whole.
 OTHER = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]")  # also read by Arrow
+#: Second bytes of these letters that the byte alphabet moves up.
+LATE = (0x9F, 0xA0, 0xAD)
 PRE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
 
@@ -81,12 +84,11 @@ def _packed(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not fits.any():
             break  # more ids of fewer bits fit nowhere either
         np.copyto(best[: n + 1 - count], selector, where=fits)
-    step = (np.arange(n) + COUNTS[best]).tolist()
-    path, i = [], 0
+    jump, chosen_at, path, i = COUNTS.tolist(), best.tobytes(), [], 0
     add = path.append
     while i < n:
         add(i)
-        i = step[i]
+        i += jump[chosen_at[i]]
     at = np.array(path, np.int64)
     chosen = best[at]
     words = chosen.astype(np.uint64) << np.uint64(60)
@@ -178,7 +180,7 @@ class WordIds:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
@@ -186,6 +188,10 @@ class WordIds:
         vocab = self.library.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
+        # the same model for words that are normal and split already
+        self.bare = Tokenizer(self.library.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.alphabet = byte_alphabet()
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
@@ -206,9 +212,15 @@ class WordIds:
             self.known[w] = ids
         for i in range(0, len(plain), 2000):
             some = plain[i : i + 2000]
-            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            split = [PRE.findall(w) for w in some]
+            text = " ".join(chain.from_iterable(split))
+            if not text.isascii():
+                text = text.encode().decode("latin-1")  # the byte alphabet is Latin-1 but for these
+                for c in LATE:
+                    text = text.replace(chr(c), self.alphabet[c])
+            ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             stop = np.flatnonzero(self.ends[ids]) + 1
-            place = np.cumsum([len(PRE.findall(w)) for w in some]) - 1
+            place = np.cumsum([len(x) for x in split]) - 1
             if len(stop) != place[-1] + 1:
                 raise ValueError("the library split words in an unexpected way")
             cuts = (4 * stop[place]).tolist()
@@ -315,7 +327,7 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Writes the token file of all documents and returns it as read back: part, seq, before, n_ids, payload."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 512)
     encoded = docs.select("doc_id", whole_text().alias("text")).mapInArrow(_encode(path, end_id), "doc_id long, ids binary")
     # the order is dealt by the ids of the table itself, which are read alone for it
     ordered = in_key_order(encoded, "doc_id", "ids", keys=docs.select("doc_id")).select("part", "doc_id", "ids")
