@@ -15,9 +15,13 @@ def prediction_path(task: str, agent: str, baseline: bool = False) -> str:
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """The first record of every (source, target); blank and malformed lines are passed over."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value").where(F.trim("value") != "")
-    rows = lines.select("line", F.from_json("value", PREDICTION).alias("r")).select("line", "r.*")
+    """The records of a JSON lines file, see ``first_records``."""
+    return first_records(spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value"))
+
+
+def first_records(lines: DataFrame) -> DataFrame:
+    """Of lines (line, value) the first record of every (source, target); blank and malformed lines are passed over."""
+    rows = lines.where(F.trim("value") != "").select("line", F.from_json("value", PREDICTION).alias("r")).select("line", "r.*")
     rows = rows.where(F.col("source").isNotNull() & F.col("target").isNotNull())
     first = F.row_number().over(Window.partitionBy("source", "target").orderBy("line"))
     return rows.withColumn("nth", first).where("nth = 1").drop("nth", "line")
