@@ -44,7 +44,7 @@ RUN = regex.compile(f"[{SPACE}]+")
 BLANK = regex.compile(r"[ \t\n\r]")
 #: Symbols that end a word are the plain symbol moved up by this; the byte alphabet lies far below.
 ENDS = 0x10000
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 CACHE_PAIRS = 400_000
 
 
@@ -66,21 +66,12 @@ class Merges:
             spec = json.load(f)
         model = spec["model"]
         end = model["end_of_word_suffix"] or ""
-        self.piece = {i: s for s, i in model["vocab"].items()}
+        self.end = end
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.piece |= {i: s for s, i in self.special.items()}
+        #: The bytes of every id's piece.
+        self.piece = {i: s.encode() for s, i in (model["vocab"] | self.special).items()}
         self.special_split = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
 
-        #: The bytes of every id: of its piece behind a space, and of the plain text that it stands for.
-        self.spaced = {i: b" " + s.encode() for i, s in self.piece.items()}
-        self.raw = {}
-        for i, s in self.piece.items():
-            if i in self.special.values():
-                self.raw[i] = s.encode()
-            else:
-                ends = end and s.endswith(end)
-                self.raw[i] = bytes(BYTE_OF[c] for c in (s[: -len(end)] if ends else s)) + b" " * bool(ends)
-
         def symbols(s: str) -> str:
             if end and s.endswith(end) and len(s) > len(end):
                 s = s[: -len(end)]
@@ -96,18 +87,7 @@ class Merges:
             self.rank[i << 20 | j] = r
             parts.setdefault(self.ids[a + b], (i, j, r))
         self.lookahead = max(map(len, self.ids))
-        # right[t]: (symbol, rank of the merge inside t that takes it up), from t inward along its right edge; left alike
-        never = len(model["merges"]) + 1
-        self.right, self.left = {}, {}
-        for t in self.ids.values():
-            for spines, side in ((self.right, 1), (self.left, 0)):
-                spine, at, until = [], t, never
-                while True:
-                    spine.append((at, until))
-                    if at not in parts:
-                        break
-                    until, at = parts[at][2], parts[at][side]
-                spines[t] = spine
+        self.parts, self.never = parts, len(model["merges"]) + 1
         self._automaton([(s, i) for s, i in self.ids.items() if len(s) == 1 or i in parts])
         self.pairs: dict[int, bool] = {}
 
@@ -150,15 +130,32 @@ class Merges:
             self.go[state << 21 | c] = to or 0
         return to or 0
 
+    def plain_bytes(self, i: int) -> bytes:
+        """The bytes that an id stands for; a word's end is a space."""
+        piece = self.piece[i].decode()
+        if piece in self.special:
+            return self.piece[i]
+        ends = bool(self.end) and piece.endswith(self.end)
+        return bytes(BYTE_OF[c] for c in (piece[: -len(self.end)] if ends else piece)) + b" " * ends
+
+    def spine(self, token: int, side: int) -> list[tuple[int, int]]:
+        """(symbol, rank of the merge that takes it up) along the token's left (0) or right (1) edge, from the token inward."""
+        out, until = [], self.never
+        while True:
+            out.append((token, until))
+            made = self.parts.get(token)
+            if made is None:
+                return out
+            until, token = made[2], made[side]
+
     def beside(self, a: int, b: int) -> bool:
         """Whether the encoding of a's and b's symbols together is a, b."""
         key = a << 20 | b
         known = self.pairs.get(key)
         if known is None:
-            known = True
-            rank = self.rank
-            for r, until_r in self.right[a]:
-                for le, until_le in self.left[b]:
+            known, rank, left = True, self.rank, self.spine(b, 0)
+            for r, until_r in self.spine(a, 1):
+                for le, until_le in left:
                     k = rank.get(r << 20 | le)
                     # of equal merges the left one comes first
                     if k is not None and k < until_r and k <= until_le:
@@ -256,9 +253,10 @@ class Decoder:
         self.any = False
 
     def feed(self, ids: Iterable[int]) -> str:
+        m = self.m
         if not self.pieces:
-            return self.utf8.decode(b"".join([self.m.raw[i] for i in ids if i in self.m.raw]))
-        some = [self.m.spaced[i] for i in ids if i in self.m.spaced]
+            return self.utf8.decode(b"".join([m.plain_bytes(i) for i in ids if i in m.piece]))
+        some = [b" " + m.piece[i] for i in ids if i in m.piece]
         joined = b"".join(some)
         if not self.any and some:
             self.any, joined = True, joined[1:]
@@ -333,7 +331,7 @@ class Encoder:
         for some in _stretches(text):
             get = self.known.get
             if "<|" in some and self.m.special_split.search(some):
-                got = [(1, f" {x}", " " + self.m.piece[x]) if isinstance(x, int) else get(x) or piece(x) for x in self.parts(some)]
+                got = [(1, f" {x}", " " + self.m.piece[x].decode()) if isinstance(x, int) else get(x) or piece(x) for x in self.parts(some)]
             else:
                 got = [get(x) or piece(x) for x in _pre(some)]
             if got:
