@@ -201,6 +201,15 @@ def with_scores(docs: DataFrame, model: RuleModel) -> DataFrame:
     return out.drop(*[f"__s_{k}" for k in NAMES])
 
 
+def accepted(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score the threshold or more.
+
+    The row number keeps the filter above the projections: pushed below, it would hold the statistics once for every rule.
+    """
+    marked = with_statistics(docs).withColumns({"__score": model.column(), "__row": F.monotonically_increasing_id()})
+    return marked.where((F.col("__score") >= threshold) & (F.col("__row") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
