@@ -52,7 +52,8 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MI
     """Occurrences of lines on two sites or more, and the hashes of boilerplate with their first occurrence."""
     every = occurrences(docs, min_words)
     shared = every.groupBy("line_hash").agg(F.min("site").alias("a"), F.max("site").alias("b")).where("a < b").select("line_hash")
-    seen = cut(every.join(shared, "line_hash", "left_semi"), "lines")
+    # written first, so that the join meets two tables and can split a hot line's rows over tasks
+    seen = cut(every.join(cut(shared, "shared"), "line_hash", "left_semi"), "lines")
     # sketches for each line and range of documents, then merged: no line's occurrences meet in one task
     part = seen.groupBy("line_hash", F.pmod(F.hash("doc_id"), F.lit(16)).alias("part")).agg(
         F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min(F.struct("doc_id", "pos")).alias("first")
@@ -64,7 +65,7 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MI
     exact = _exact(seen, near)
     sure = spread.where(F.col("sites") > high).select("line_hash", "first")
     found = near.join(exact.where(F.col("exact_sites") >= min_sites), "line_hash").select("line_hash", "first")
-    return seen, sure.unionByName(found)
+    return seen, cut(sure.unionByName(found), "boilerplate")
 
 
 def _exact(seen: DataFrame, near: DataFrame) -> DataFrame:
