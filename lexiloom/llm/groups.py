@@ -34,9 +34,11 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that a join meets two tables and a hub's rows can be split over tasks
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large, "large")
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = cut(small.where("u != v").distinct(), "edges")
         state = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
@@ -60,7 +62,8 @@ def linked(postings: DataFrame, details: DataFrame, verify: Callable[[DataFrame,
     with ``good``, where ids are all that will ever be asked for. rows: registers in a sketch.
     """
     buckets = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).where("n > 1")
-    members = cut(postings.join(buckets, "key"), "members")
+    # small tables that meet hot keys are written first: the join then splits a hot key's rows over tasks
+    members = cut(postings.join(cut(buckets, "buckets"), "key"), "members")
     ids = cut(members.select("id").distinct(), "ids")
 
     def good(pairs: DataFrame, name: str) -> DataFrame:
@@ -73,7 +76,7 @@ def linked(postings: DataFrame, details: DataFrame, verify: Callable[[DataFrame,
     degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").count()
     known = left.join(degree, "id", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     best = known.groupBy("key").agg(F.max(F.struct("count", "id", "component")).alias("top"))
-    pairs = known.join(best, "key").where("component != top.component").select(F.least("id", "top.id").alias("a"), F.greatest("id", "top.id").alias("b"))
+    pairs = known.join(cut(best, "best"), "key").where("component != top.component").select(F.least("id", "top.id").alias("a"), F.greatest("id", "top.id").alias("b"))
     links = links.unionByName(good(pairs.distinct(), "links"))
     left = _open(left.select("key", "id"), links)
     if left.isEmpty():
@@ -85,7 +88,7 @@ def _open(members: DataFrame, links: DataFrame) -> DataFrame:
     """key, id, component of the members of buckets that hold several components."""
     every = cut(with_component(members, links), "labelled")
     keys = every.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    return cut(every.join(keys, "key", "left_semi"), "open")
+    return cut(every.join(cut(keys, "keys"), "key", "left_semi"), "open")
 
 
 def _blocks_of(n: Column) -> Column:
@@ -97,7 +100,7 @@ def _crossing(left: DataFrame, details: DataFrame, likeness: float, rows: int) -
     counts = left.groupBy("key", "component").count()
     top = counts.groupBy("key").agg(F.max(F.struct("count", "component")).alias("top"), F.sum("count").alias("n"))
     tops = top.select("key", F.col("top.component").alias("major"), F.col("top.count").alias("n_major"), (F.col("n") - F.col("top.count")).alias("n_stray"))
-    full = left.join(tops, "key").join(details, "id")
+    full = left.join(cut(tops, "tops"), "key").join(details, "id")
     stray = F.col("component") != F.col("major")
     n_own = F.when(stray, F.col("n_stray")).otherwise(F.col("n_major"))
     full = full.withColumn("stray", stray).withColumn("block", F.pmod(F.xxhash64("id"), _blocks_of(n_own)).cast("int"))
