@@ -200,7 +200,7 @@ def F1_F2_clean_uris(spark, d):
     return table(spark, d, "pages").select("page_id", F.array_join(text.strip_path(text.clean_uris(values)), ",").alias("terms"))
 
 
-@query(f"""WITH {ANSWERS_SQL} SELECT pair_id, CAST(seq AS INTEGER) AS seq, ans, conf, 2.0 * conf - 11 AS gate, 2.0 * conf - 11 > 0 AS accepted FROM answers""")
+@query(f"""WITH {ANSWERS_SQL} SELECT pair_id, CAST(seq AS INTEGER) AS seq, ans, conf, CAST(2 * conf - 11 AS DOUBLE) AS gate, 2 * conf > 11 AS accepted FROM answers""")
 def F4_F5_F6_parse_gate(spark, d):
     rows = _answers(spark, d).select("pair_id", "seq", text.yes_no(F.col("response")).alias("ans"), text.confidence(F.col("response")).alias("conf"))
     gate = text.gate_score(F.col("conf"))
@@ -358,7 +358,7 @@ def V3_V4_V9_pairs(spark, d):
 @query("""WITH r AS (SELECT a.vec_id AS q, a.label AS la, b.label AS lb, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 12) DESC, b.vec_id) AS nth
 FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
 c AS (SELECT CAST(sum(CASE WHEN la = lb THEN 1 ELSE 0 END) AS DOUBLE) AS tp, CAST(count(*) AS DOUBLE) AS n FROM r WHERE nth <= 3)
-SELECT round(tp / n, 9) AS precision, CASE WHEN tp > 0 THEN 1.0 ELSE 0.0 END AS recall, round(2 * tp / (tp + n), 9) AS f1 FROM c""")
+SELECT round(tp / n, 9) AS precision, CASE WHEN tp > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS recall, round(2 * tp / (tp + n), 9) AS f1 FROM c""")
 def V2_A1_neighbour_label(spark, d):
     e = table(spark, d, "embeddings")
     hits = vectors.top_k(e.selectExpr("vec_id as query_id", "embedding"), e.selectExpr("vec_id as ext_id", "embedding"), 3, exclude_self=True)
