@@ -8,8 +8,9 @@ with C characters, T tags, LC characters and LT tags in links below it, and b th
 
 (zero denominators count as 1), and its density sum is that of its children. The element of the greatest density sum is
 the core; the threshold is the least density on the path from it to the body. Siblings along that path join the core when
-their density reaches the threshold and they hold at least a fifth of the core's text in blocks of running text. An
-enclosing ``article`` or ``main`` is taken whole. Blocks of that subtree that are mostly links go.
+their density reaches the threshold and they hold at least a fifth of the core's text in blocks of running text; next to the core,
+headings, paragraphs and parts of its element and class join as well. A heading that announces comments, related pages or the
+like ends the article part of its parent. An enclosing ``article`` or ``main`` is taken whole. Blocks of that subtree that are mostly links go.
 
 The text: character references decoded, white space inside a block turned into one space and trimmed, empty blocks left
 out, blocks in page order joined by two line breaks; ``br`` is white space. Nothing else is dropped or cut.
@@ -44,12 +45,23 @@ NOISE = frozenset(
 )
 #: Words of class, id, role and similar attributes that mark a part as no article text.
 WORDS = frozenset(
-    """ad ads adv advert advertisement advertising advertorial adsense banner breadcrumb breadcrumbs byline captcha comment comments commentlist
+    """ad ads adv alert alertdialog advert advertisement advertising advertorial adsense banner breadcrumb breadcrumbs byline captcha comment comments commentlist
     complementary consent contentinfo cookie cookies copyright disclaimer disqus discussion feedback footer gdpr legal login masthead menu modal nav
     navbar navigation newsletter notice notification overlay pager pagination paywall popup privacy promo promotion promoted recommendations recommended
     related replies reply respond search share sharing shoutbox sidebar sidenav signup skip social sponsor sponsored subscribe subscription tagcloud tags
     teaser toc toolbar topbar tracking widget widgets""".split()
 )
+#: Such words run together with others.
+PARTS = re.compile(
+    r"^(?:cookie|comment(?!ary)|sidebar|advert|sponsor|promo|newsletter|breadcrumb|social|footer|navbar|navig|popup|banner|subscri|disclaim|copyright|related|recommend)"
+    r"|(?:nav|menu|banner|footer|sidebar|comments|cookies|advert)$"
+)
+#: A heading that says so ends the article part of its parent.
+AFTER = re.compile(
+    r"\W*(?:\d+ )?(?:(?:reader|user|leser|your) ?)?(?:comments?|kommentare?|commentaires?|comentarios?|responses|replies|discussion|leave a (?:comment|reply)|related (?:articles|posts|stories|news)"
+    r"|share this(?: \w+)?|advertisement|subscribe|newsletter|more from us|you may also like)\W*(?:\(?\d+\)?\W*)?",
+    re.I,
+)
 #: Marks of a page's own head; inside an article they hold its title.
 HEAD_WORDS = frozenset("header banner masthead".split())
 CLOSES_P = BLOCK - frozenset("body html option select td th tr tbody thead tfoot caption legend".split())
@@ -67,10 +79,10 @@ CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "noise", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "kind", "parent", "parts", "noise", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False):
-        self.tag, self.parent, self.noise = tag, parent, noise
+    def __init__(self, tag: str, parent: Node | None, noise: bool = False, kind: str = ""):
+        self.tag, self.parent, self.noise, self.kind = tag, parent, noise, kind
         self.parts: list[Node | str] = []
 
 
@@ -83,7 +95,7 @@ def _noise(tag: str, attributes: str, inside: bool) -> bool:
     words = _words(attributes)
     if "hidden!" in words:
         return True
-    found = words & WORDS or words & HEAD_WORDS
+    found = {w for w in words if w in WORDS or w in HEAD_WORDS or PARTS.search(w)}
     return bool(found - HEAD_WORDS if inside else found)
 
 
@@ -162,7 +174,7 @@ def parse(page: str) -> Node:
             if cut:
                 del stack[cut:]
         inside = any(s.tag in ("article", "main") for s in stack)
-        node = Node(tag, stack[-1], _noise(tag, attributes, inside))
+        node = Node(tag, stack[-1], _noise(tag, attributes, inside), next((a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes) if k.lower() == "class"), ""))
         stack[-1].parts.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
@@ -188,6 +200,27 @@ def walk(body: Node) -> list[Node]:
     return out
 
 
+def _drop_after(body: Node) -> None:
+    """Takes out headings of comments and the like, with all that follows them in their parent."""
+    for node in walk(body):
+        ended = False
+        for p in node.parts:
+            if isinstance(p, Node):
+                if not ended and p.tag in ("h2", "h3", "h4", "h5", "h6") and AFTER.fullmatch(_clean("".join(_strings(p)))):
+                    ended = True
+                p.noise = p.noise or ended
+
+
+def _strings(node: Node) -> Iterator[str]:
+    rest: list[Node | str] = [node]
+    while rest:
+        x = rest.pop()
+        if isinstance(x, str):
+            yield x
+        else:
+            rest += reversed(x.parts)
+
+
 def densities(body: Node) -> list[Node]:
     """Sets counts, density and density sum of every element; parents first."""
     nodes = walk(body)
@@ -224,6 +257,7 @@ def _path(node: Node, body: Node) -> list[Node]:
 
 def main_part(body: Node) -> list[Node]:
     """The subtrees that hold the article, in page order."""
+    _drop_after(body)
     nodes = densities(body)
     core = max(nodes, key=lambda x: x.sum)
     if not core.sum:
@@ -242,7 +276,8 @@ def main_part(body: Node) -> list[Node]:
         for p in up.parts:
             if isinstance(p, Node) and not p.noise and p is not level and p.tag in BLOCK:
                 running = p.chars - p.link_chars
-                if p.density >= threshold and running >= 0.2 * core.chars and p.link_chars <= 0.3 * p.chars or p.tag in ("h1", "h2", "p") and up is path[1] and p.link_chars <= 0.3 * p.chars:
+                like = running >= 0.2 * core.chars and p.density >= threshold or up is path[1] and (p.tag in ("h1", "h2", "p") or (p.tag, p.kind) == (core.tag, core.kind) and p.tag != "td")
+                if like and p.link_chars <= 0.3 * p.chars:
                     keep.add(id(p))
         level = up
     return [x for x in nodes if id(x) in keep]

@@ -29,6 +29,20 @@ def test_link_lists_lose():
     assert h.main_text(page(body)) == f"{(P * 3).strip()}\n\n{(P * 2).strip()}"
 
 
+def test_more_shapes():
+    sections = "".join(f"<section class=s><h2>Part {i}</h2><p>{P * n}</p></section>" for i, n in enumerate((1, 9, 2)))
+    got = h.main_text(page(f"<div class=page><div class=topnav><a href=/>Home</a></div><div><h1>Head</h1>{sections}</div><div class=cookiebar>We use cookies here, many of them.</div></div>"))
+    assert got.startswith("Head\n\nPart 0") and "Part 2" in got and "cookies" not in got
+    got = h.main_text(page(f"<div><p>{P * 3}</p><p>{P}</p><h3>Comments (2)</h3><div><p>{P}by a reader</p></div></div>"))
+    assert got == f"{(P * 3).strip()}\n\n{P.strip()}"
+    rows = f"<table><tr><td><ul><li><a href=a>one</a><li><a href=b>two</a></ul></td><td><h1>T</h1><p>{P * 2}</p><p>{P * 3}</p></td></tr></table>"
+    assert h.main_text(page(rows)) == f"T\n\n{(P * 2).strip()}\n\n{(P * 3).strip()}"
+    flat = f"<div id=nav><a href=a>A</a></div><h1>Flat</h1><p>{P}</p><p>{P}</p><div class=footer>c</div>"
+    assert h.main_text(page(flat)) == f"Flat\n\n{P.strip()}\n\n{P.strip()}"
+    lists = f"<article><h1>L</h1><p>{P}</p><ul><li>{P}</li><li>second item</li></ul><blockquote>{P}</blockquote><pre>a\n b</pre></article>"
+    assert h.main_text(page(lists)).split("\n\n") == ["L", P.strip(), P.strip(), "second item", P.strip(), "a b"]
+
+
 @pytest.mark.parametrize("text", [None, "", " ", "<", "<p", "<!-- open", "<script>", "</", "<a href='", "\0", "<>", "&", "<body><body>"])
 def test_odd(text):
     assert h.main_text(text).strip() in ("", "<", "&", "<>", "�")
