@@ -34,20 +34,23 @@ def ranks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     peeled parent get the greatest such rank plus one, the others none. Steps: the length of the longest path, each over the
     edges that are left only.
     """
-    left_nodes, left = step(nodes_of(nodes, edges), "nodes"), step(edges.distinct(), "edges")
-    every, known, level = left, None, 0
-    while True:
-        front = left_nodes.join(left.select(F.col("child").alias("id")).distinct(), "id", "left_anti")
-        front = step(front.withColumn("rank", F.lit(level)), "front")
-        if front.isEmpty():
-            break
+    every = left = step(edges.distinct(), "edges")
+    nodes = nodes_of(nodes, edges)
+    children = every.select(F.col("child").alias("id")).distinct()
+    front, known, level = step(nodes.join(children, "id", "left_anti").withColumn("rank", F.lit(0)), "front"), None, 0
+    while not front.isEmpty():
         known = front if known is None else known.unionByName(front)
-        left_nodes = step(left_nodes.join(front.select("id"), "id", "left_anti"), "nodes")
-        left = step(left.join(front.select(F.col("id").alias("parent")), "parent", "left_anti"), "edges")
         level += 1
+        ids = front.select(F.col("id").alias("parent"))
+        freed = left.join(ids, "parent", "left_semi").select(F.col("child").alias("id")).distinct()
+        left = step(left.join(ids, "parent", "left_anti"), "edges")
+        held = left.select(F.col("child").alias("id")).distinct()
+        front = step(freed.join(held, "id", "left_anti").withColumn("rank", F.lit(level)), "front")
     if known is None:
-        return left_nodes.limit(0).withColumn("rank", F.lit(0))
-    fed = every.join(left_nodes.select(F.col("id").alias("child")), "child", "left_semi").join(known.withColumnRenamed("id", "parent"), "parent")
+        return nodes.limit(0).withColumn("rank", F.lit(0))
+    # edges that are left lead from nodes without rank; nodes on or behind a cycle that a ranked node feeds
+    rest = nodes.join(known.select("id"), "id", "left_anti").withColumnRenamed("id", "child")
+    fed = every.join(rest, "child", "left_semi").join(known.withColumnRenamed("id", "parent"), "parent")
     return known.unionByName(fed.groupBy(F.col("child").alias("id")).agg((F.max("rank") + 1).alias("rank")))
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,5 +30,15 @@ def step(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def share_code(spark: SparkSession) -> None:
+    """Python workers find this package where the driver has found it, whatever folder they start in."""
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([*known, root])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One input table, read by Spark so that any Hadoop path works."""
+    share_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
