@@ -1,43 +1,14 @@
-"""Shared pieces of the training-data operators: table reading, shared storage, ordered buckets."""
+"""Shared pieces of the training-data operators: whole texts, rows in key order, small batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import share_code, shared_dir, table
+from ..storage import step as cut
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table, read by Spark so that any Hadoop path works."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session names none (tests on one machine) a temporary folder is set as checkpoint folder.
-    """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        kept = context._jsc.sc().getCheckpointDir()
-        named = kept.get() if kept.isDefined() else None
-    if not named:
-        named = tempfile.mkdtemp(prefix="lexiloom-")
-        context.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    Later steps start from these files, so a lost executor costs a reread, never a recomputation of everything before.
-    """
-    path = f"{shared_dir(df.sparkSession)}/lexiloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["bucket_of", "cut", "in_key_order", "key_cuts", "lookup", "partitions", "shared_dir", "small_batches", "table", "whole_text"]
 
 
 def whole_text(name: str = "text") -> Column:
@@ -125,4 +96,5 @@ def lookup(value: Column, keys: list[int], results: list[int]) -> Column:
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Arrow batches of few rows: whole texts in a batch stay far below a worker's memory."""
+    share_code(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
