@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import urllib.request
 import zlib
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.remote import get_env
 from ..storage import step
 
 TOTAL_TOKENS, REPLY_TOKENS = 8000, 4000
@@ -48,7 +51,40 @@ class RuleProvider(ChatProvider):
         return reply, (len(system) + len(user)) // 4, len(reply) // 4
 
 
-CHAT_PROVIDERS: dict[str, type[ChatProvider]] = {"rules": RuleProvider}
+class HttpProvider(ChatProvider):
+    """Chat completions over HTTP; the key is read from the environment where the call is made."""
+
+    url, key = "", ""
+
+    def __init__(self, model: str, temperature: float = 0.7, max_tokens: int = REPLY_TOKENS, timeout: float = 120.0):
+        super().__init__(model, temperature)
+        self.max_tokens, self.timeout = max_tokens, timeout
+
+    def body(self, system: str, user: str) -> dict:
+        messages = [{"role": "system", "content": system}, {"role": "user", "content": user}]
+        return {"model": self.model, "messages": messages, "temperature": self.temperature, "max_tokens": self.max_tokens}
+
+    @staticmethod
+    def read(document: dict) -> tuple[str, int, int]:
+        used = document.get("usage") or {}
+        return document["choices"][0]["message"]["content"], used.get("prompt_tokens", 0), used.get("completion_tokens", 0)
+
+    def complete(self, system: str, user: str) -> tuple[str, int, int]:
+        head = {"Content-Type": "application/json", "Authorization": f"Bearer {get_env(self.key)}"}
+        request = urllib.request.Request(self.url, json.dumps(self.body(system, user)).encode(), head)
+        with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+            return self.read(json.load(answer))
+
+
+class OpenAIProvider(HttpProvider):
+    url, key = "https://api.openai.com/v1/chat/completions", "OPENAI_API_KEY"
+
+
+class TogetherProvider(HttpProvider):
+    url, key = "https://api.together.xyz/v1/chat/completions", "TOGETHER_API_KEY"
+
+
+CHAT_PROVIDERS: dict[str, type[ChatProvider]] = {"rules": RuleProvider, "openai": OpenAIProvider, "togetherai": TogetherProvider}
 
 
 def create_chat(backend: str = "rules", model: str = "rules", **options) -> ChatProvider:

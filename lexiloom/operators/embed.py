@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from abc import ABC, abstractmethod
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -53,7 +53,47 @@ class HashEmbedder(Embedder):
         return out / np.where(n > 0, n, 1)
 
 
-EMBEDDERS: dict[str, type[Embedder]] = {"hash": HashEmbedder}
+class TransformerEmbedder(Embedder):
+    """A pretrained encoder, where its libraries are installed: the first token's vector, or the mean over all tokens."""
+
+    def __init__(self, model: str, pooling: str = "first", max_tokens: int = 512, batch: int = 64):
+        self.model, self.pooling, self.max_tokens, self.batch = model, pooling, max_tokens, batch
+
+    @property
+    def dim(self) -> int:
+        return self._load()[1].config.hidden_size
+
+    def _load(self):
+        if not hasattr(self, "_own"):
+            try:
+                from transformers import AutoModel, AutoTokenizer
+            except ImportError as e:
+                raise ImportError("this embedder needs torch and transformers") from e
+            self._own = (AutoTokenizer.from_pretrained(self.model), AutoModel.from_pretrained(self.model).eval())
+        return self._own
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_own"}
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        tokenizer, model = self._load()
+        import torch
+
+        out = []
+        for i in range(0, len(texts), self.batch):
+            some = tokenizer(texts[i : i + self.batch], padding=True, truncation=True, max_length=self.max_tokens, return_tensors="pt")
+            with torch.no_grad():
+                states = model(**some).last_hidden_state
+            mask = some["attention_mask"].unsqueeze(-1)
+            out.append((states[:, 0, :] if self.pooling == "first" else (states * mask).sum(1) / mask.sum(1).clamp(min=1)).numpy())
+        return np.concatenate(out) if out else np.zeros((0, 0))
+
+
+EMBEDDERS: dict[str, Callable[..., Embedder]] = {
+    "hash": HashEmbedder,
+    "huggingface": lambda model, **o: TransformerEmbedder(model, "first", **o),
+    "sentence-transformers": lambda model, **o: TransformerEmbedder(model, "mean", **o),
+}
 
 
 def create_embedder(backend: str = "hash", **options) -> Embedder:

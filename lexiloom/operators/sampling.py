@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,12 +58,16 @@ def having(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
 def negatives(src: DataFrame, tgt: DataFrame, seen: DataFrame, order: list[Column] | None = None, size: int | None = None) -> DataFrame:
     """Pairs of a source and a target code that are not aligned: the cross product, asked for where no negatives are given.
 
-    src: s; tgt: t; seen: s, t. The product is the definition. With ``size``, only as many sources and targets as can be
-    needed enter it: an aligned pair takes one partner each, so ``size`` + seen pairs suffice, and both sides are cut to the
-    root of that number and some.
+    src: s; tgt: t; seen: s, t. The product is the definition. With ``size``, only as many sources and targets enter it as
+    are needed: size + seen pairs are sure to leave ``size`` of them, where there are so many.
     """
     if size is not None and order:
-        side = int((size + seen.count()) ** 0.5) + 1
-        src, tgt = (x.orderBy(F.xxhash64(c), c).limit(max(side, 1)) for x, c in ((src, "s"), (tgt, "t")))
+        total, n_src, n_tgt = size + seen.count(), src.count(), tgt.count()
+        if not n_src or not n_tgt:
+            return src.crossJoin(tgt)
+        take_tgt = min(n_tgt, math.isqrt(total) + 1)
+        take_src = min(n_src, -(-total // take_tgt))
+        take_tgt = min(n_tgt, -(-total // take_src))
+        src, tgt = (x.orderBy(F.xxhash64(c), c).limit(n) for x, c, n in ((src, "s", take_src), (tgt, "t", take_tgt)))
     pairs = src.crossJoin(tgt).join(seen, ["s", "t"], "left_anti")
     return pairs.orderBy(*order).limit(size) if size is not None and order else pairs
