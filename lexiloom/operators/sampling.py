@@ -28,9 +28,20 @@ def balanced(rows: DataFrame, size: int, order: list[Column], positive: Column)
 
 
 def fraction(rows: DataFrame, size: str | float, order: list[Column]) -> DataFrame:
-    """Exactly int(n * f) rows, the first by ``order``."""
+    """Exactly int(n * f) rows, the first by ``order``, whose first column is a number.
+
+    Quantiles of that number bound a narrow band around the cut: rows below it are taken as they are, and only the band is
+    put in order.
+    """
     f = SIZES[size] if isinstance(size, str) else size
-    return rows if f >= 1 else rows.orderBy(*order).limit(int(rows.count() * f))
+    if f >= 1:
+        return rows
+    k = int(rows.count() * f)
+    low, high = rows.agg(F.percentile_approx(order[0], [max(0.0, f - 0.0005), min(1.0, f + 0.0005)], 100_000).alias("q")).first()["q"] or (None, None)
+    below = 0 if low is None else rows.where(order[0] < low).count()
+    if low is None or not below <= k <= rows.where(order[0] <= high).count():
+        return rows.orderBy(*order).limit(k)
+    return rows.where(order[0] < low).unionByName(rows.where(order[0].between(low, high)).orderBy(*order).limit(k - below))
 
 
 def demonstrations(predictions: DataFrame, order: list[Column], n: int = 5) -> DataFrame:

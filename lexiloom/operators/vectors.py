@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 #: Most numbers in one block of query vectors that every task gets (8 bytes each).
 BLOCK_NUMBERS = 4_000_000
+#: Rows and queries of one matrix product.
+TILE = 1024
 
 
 def add(store: DataFrame, more: DataFrame) -> DataFrame:
@@ -56,30 +58,35 @@ def _best(queries, k: int, exclude_self: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, unit, has = queries.value
         best: list[list[tuple]] = [[] for _ in ids]
+        least = np.full(len(ids), -np.inf)  # the k-th best so far
         kinds = None
         for batch in batches:
             kinds = batch.schema
-            if not batch.num_rows:
-                continue
-            x, length = _matrix(batch.column(1))
-            own = batch.column(0).to_pylist()
-            like = np.round(unit @ x.T, 12)
-            like[:, ~length] = -np.inf
-            like[~has] = -np.inf
-            if exclude_self:
-                place = {v: j for j, v in enumerate(own)}
-                for i, q in enumerate(ids):
-                    if q in place:
-                        like[i, place[q]] = -np.inf
-            m = min(k, like.shape[1])
-            edge = -np.partition(-like, m - 1, axis=1)[:, m - 1]
-            for i in range(len(ids)):
-                at = np.flatnonzero((like[i] >= edge[i]) & (like[i] > -np.inf))
-                if len(at):
-                    best[i] = sorted(best[i] + [(-like[i, j], own[j]) for j in at])[:k]
+            for start in range(0, batch.num_rows, TILE):
+                rows = batch.slice(start, TILE)
+                x, length = _matrix(rows.column(1))
+                own = rows.column(0).to_pylist()
+                place = {v: j for j, v in enumerate(own)} if exclude_self else {}
+                for first in range(0, len(ids), TILE):
+                    part = slice(first, first + TILE)
+                    like = np.round(unit[part] @ x.T, 12)
+                    like[:, ~length] = -np.inf
+                    like[~has[part]] = -np.inf
+                    for i, q in enumerate(ids[part] if place else []):
+                        if q in place:
+                            like[i, place[q]] = -np.inf
+                    m = min(k, like.shape[1])
+                    edge = np.maximum(least[part], -np.partition(-like, m - 1, axis=1)[:, m - 1])
+                    hit, at = np.nonzero((like >= edge[:, None]) & (like > -np.inf))
+                    cuts = np.flatnonzero(np.diff(hit)) + 1
+                    for i, js in zip(hit[np.concatenate([[0], cuts])] if len(hit) else [], np.split(at, cuts), strict=False):
+                        q = first + int(i)
+                        best[q] = sorted(best[q] + [(-like[i, j], own[j]) for j in js])[:k]
+                        if len(best[q]) == k:
+                            least[q] = -best[q][-1][0]
         rows = [(q, e, -s) for q, b in zip(ids, best, strict=True) for s, e in b]
-        if rows and kinds is not None:
-            q, e, s = zip(*rows, strict=True)
+        for start in range(0, len(rows), 100_000):
+            q, e, s = zip(*rows[start : start + 100_000], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(e, kinds.field(0).type), pa.array(s, pa.float64())], names=["query_id", "ext_id", "similarity"])
 
     return work

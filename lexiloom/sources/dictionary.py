@@ -36,7 +36,7 @@ def merge(rows: DataFrame, key: str = "concept_code") -> DataFrame:
     return flat.groupBy(key).agg(*lists)
 
 
-def wordnet_lexicon(spark: SparkSession, words: list[str] | str) -> DataFrame:
+def word_lexicon(spark: SparkSession, words: list[str] | str) -> DataFrame:
     """English words, from a list or a text file of one word a line: the gate of the concept-net source."""
     if isinstance(words, str):
         return spark.read.text(words).select(F.lower(F.trim("value")).alias("word")).where("word != ''").distinct()

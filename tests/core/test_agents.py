@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import text
 from lexiloom.functions import vectors as vec
 from lexiloom.operators import agents, embed, knowledge, metrics, sampling, vectors
+from lexiloom.sources import dictionary
 
 
 def test_text(spark):
@@ -21,6 +22,12 @@ def test_text(spark):
     assert got.c == ["ab", "ok"] and got.n == "none" and got.l.startswith("ab, a")
 
 
+def test_small(spark):
+    row = spark.sql("select named_struct('code', 'a', 'uri', 'x') as s, named_struct('code', 'a', 'uri', 'y') as t, 'org/m' as n")
+    assert tuple(row.select(text.same_code(F.col("s"), F.col("t")), text.file_safe(F.col("n")), vec.external_id(F.lit(5))).first()) == (True, "org-m", "5")
+    assert sorted(r.word for r in dictionary.word_lexicon(spark, ["Cat", "cat", "dog"]).collect()) == ["cat", "dog"]
+
+
 def test_parse(spark):
     said = [("<ANSWER> Yes </ANSWER><confidence>8</confidence>", 1, 8), ("", 0, 0), (None, 0, 0), ("<answer>no</answer><confidence>11</confidence>", 0, 0), ("<answer>yes</answer><Confidence>8</Confidence>", 1, 0), ("<answer>no</answer><answer>yes</answer><confidence> 10 </confidence>", 0, 10)]
     df = spark.createDataFrame(said, "r string, a int, c int")
@@ -104,6 +111,7 @@ def test_top_k(spark):
         vectors.BLOCK_NUMBERS, before = limit, vectors.BLOCK_NUMBERS
         rows = vectors.top_k(asked, store, 4).collect()
         vectors.BLOCK_NUMBERS = before
+        assert len(rows) == 44
         got = {(r.query_id, r.nth): r.ext_id for r in rows}
         unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         for q in range(12):
