@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import share_code, shared_dir, table
 from ..storage import step as cut
 
-__all__ = ["bucket_of", "cut", "in_key_order", "key_cuts", "lookup", "partitions", "shared_dir", "small_batches", "table", "whole_text"]
+__all__ = ["bucket_of", "by_part", "cut", "in_key_order", "key_cuts", "numbers", "partitions", "shared_dir", "small_batches", "table", "whole_text"]
 
 
 def whole_text(name: str = "text") -> Column:
@@ -32,21 +35,30 @@ def key_cuts(df: DataFrame, key: str, parts: int) -> list[int]:
     return sorted({int(x) for x in found or []})
 
 
+def numbers(values: list) -> Column:
+    """A constant array<bigint> (or array of such), as one literal whatever its length."""
+    nested = bool(values) and isinstance(values[0], list)
+    return F.from_json(F.lit(json.dumps(values)), "array<array<bigint>>" if nested else "array<bigint>")
+
+
 def bucket_of(key: str, cuts: list[int]) -> Column:
-    """The number of cut points not above the key: ranges in key order. A null key sorts before all: range 0."""
+    """The number of cut points not above the key: ranges in key order. A null key sorts before all: range 0.
+
+    The cuts are looked through in two steps of their square root each.
+    """
     if not cuts:
         return F.lit(0)
+    step = math.isqrt(len(cuts)) + 1
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
     value = F.col(key).cast("long")
-    tree = _tree(value, cuts, 0, len(cuts))
-    return F.coalesce(tree, F.lit(0))
+    group = F.size(F.filter(numbers([g[0] for g in groups]), lambda c: c <= value))
+    inside = F.size(F.filter(F.get(numbers(groups), group - 1), lambda c: c <= value))
+    return F.when(value.isNull() | (group == 0), 0).otherwise((group - 1) * step + inside)
 
 
-def _tree(value: Column, cuts: list[int], low: int, high: int) -> Column:
-    """A balanced tree of comparisons over cuts[low:high]: log2(cuts) tests a row."""
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(value < F.lit(cuts[mid]), _tree(value, cuts, low, mid)).otherwise(_tree(value, cuts, mid + 1, high))
+def by_part(values: dict[int, int], part: str = "part") -> Column:
+    """The value of a row's part, null where there is none."""
+    return F.get(numbers([values.get(p) for p in range(max(values) + 1)]), F.col(part))
 
 
 def in_key_order(df: DataFrame, key: str, *ties: str, carry: bool = False, keys: DataFrame | None = None) -> DataFrame:
@@ -66,13 +78,10 @@ def in_key_order(df: DataFrame, key: str, *ties: str, carry: bool = False, keys:
     if carry:
         tops = {r["part"]: r["top"] for r in keys.groupBy(bucket_of("__key", cuts).alias("part")).agg(F.max("__key").alias("top")).collect()}
         full = sorted(tops)
-        after = {tops[p]: full[(i + 1) % len(full)] for i, p in enumerate(full)}
-        if after:
-            keys = sorted(after)
-            extra = lookup(F.col("__key"), keys, [after[k] for k in keys])
-            lead = F.when(
-                extra.isNotNull(), F.concat(lead, F.array(F.struct(extra.alias("part"), F.lit(True).alias("lead"))))
-            ).otherwise(lead)
+        if full:
+            after = by_part({p: full[(i + 1) % len(full)] for i, p in enumerate(full)}).cast("int")
+            again = F.concat(lead, F.array(F.struct(after.alias("part"), F.lit(True).alias("lead"))))
+            lead = F.when(F.col("__key") == by_part(tops), again).otherwise(lead)
     if carry:
         dealt = dealt.withColumn("__to", F.explode(lead)).drop("part")
         dealt = dealt.withColumn("part", F.col("__to.part")).withColumn("lead", F.col("__to.lead")).drop("__to")
@@ -82,18 +91,6 @@ def in_key_order(df: DataFrame, key: str, *ties: str, carry: bool = False, keys:
     return dealt.sortWithinPartitions(F.desc("lead"), "__key", *ties)
 
 
-def lookup(value: Column, keys: list[int], results: list[int]) -> Column:
-    """The result of the key that equals ``value``, else null: a tree of comparisons."""
-
-    def node(low: int, high: int) -> Column:
-        if high - low == 1:
-            return F.when(value == F.lit(keys[low]), F.lit(results[low]))
-        mid = (low + high) // 2
-        return F.when(value < F.lit(keys[mid]), node(low, mid)).otherwise(node(mid, high))
-
-    return node(0, len(keys))
-
-
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Arrow batches of few rows: whole texts in a batch stay far below a worker's memory."""
     share_code(spark)

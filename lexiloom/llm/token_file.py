@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
-from .common import cut, in_key_order, lookup, small_batches, table, whole_text
+from .common import by_part, cut, in_key_order, small_batches, table, whole_text
 
 #: (ids, bits) of selectors 1 to 15, fixed by the coding.
 LAYOUT = [(120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
@@ -359,7 +359,7 @@ def read_tokens(file: DataFrame) -> DataFrame:
     base, total = {}, 0
     for part, n in sums:
         base[part], total = total, total + n
-    start = lookup(F.col("part"), sorted(base), [base[p] for p in sorted(base)]) if base else F.lit(0)
+    start = by_part(base) if base else F.lit(0)
     rows = file.select((start.cast("long") + F.col("before")).alias("base"), "payload")
     return rows.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
