@@ -9,7 +9,7 @@ with C characters, T tags, LC characters and LT tags in links below it, and b th
 (zero denominators count as 1), and its density sum is that of its children. The element of the greatest density sum is
 the core; the threshold is the least density on the path from it to the body. Siblings along that path join the core when
 their density reaches the threshold and they hold at least a fifth of the core's text in blocks of running text; next to the core,
-headings, paragraphs and parts of its element and class join as well. A heading that announces comments, related pages or the
+headings, paragraphs, sections and parts of its class join as well, and so does the last h1 before it. A heading that announces comments, related pages or the
 like ends the article part of its parent. An enclosing ``article`` or ``main`` is taken whole. Blocks of that subtree that are mostly links go.
 
 The text: character references decoded, white space inside a block turned into one space and trimmed, empty blocks left
@@ -96,7 +96,7 @@ def _noise(tag: str, attributes: str, inside: bool) -> bool:
     if "hidden!" in words:
         return True
     found = {w for w in words if w in WORDS or w in HEAD_WORDS or PARTS.search(w)}
-    return bool(found - HEAD_WORDS if inside else found)
+    return bool(found - HEAD_WORDS if inside or words & {"entry", "post", "article", "story"} else found)
 
 
 def _words(attributes: str) -> set[str]:
@@ -276,10 +276,16 @@ def main_part(body: Node) -> list[Node]:
         for p in up.parts:
             if isinstance(p, Node) and not p.noise and p is not level and p.tag in BLOCK:
                 running = p.chars - p.link_chars
-                like = running >= 0.2 * core.chars and p.density >= threshold or up is path[1] and (p.tag in ("h1", "h2", "p") or (p.tag, p.kind) == (core.tag, core.kind) and p.tag != "td")
+                like = running >= 0.2 * core.chars and p.density >= threshold or up is path[1] and (p.tag in ("h1", "h2", "p") or (p.tag, p.kind) == (core.tag, core.kind) and (p.kind or p.tag == "section"))
                 if like and p.link_chars <= 0.3 * p.chars:
                     keep.add(id(p))
         level = up
+    # the title, where it stands before the core in a part of its own
+    if not any(x.tag == "h1" for x in walk(core)) and len(path) > 1:
+        before = [x for x in walk(path[1]) if x.tag == "h1" or x is core]
+        titles = before[: before.index(core)]
+        if titles and not any(id(x) in keep for x in _path(titles[-1], body)):
+            keep.add(id(titles[-1]))
     return [x for x in nodes if id(x) in keep]
 
 

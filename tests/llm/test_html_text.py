@@ -39,6 +39,10 @@ def test_more_shapes():
     assert h.main_text(page(rows)) == f"T\n\n{(P * 2).strip()}\n\n{(P * 3).strip()}"
     flat = f"<div id=nav><a href=a>A</a></div><h1>Flat</h1><p>{P}</p><p>{P}</p><div class=footer>c</div>"
     assert h.main_text(page(flat)) == f"Flat\n\n{P.strip()}\n\n{P.strip()}"
+    apart = f"<div class=wrap><div class=entry-header><h1>Title</h1><div class=meta>By <a href=x>Ann</a></div></div><div class=entry><p>{P * 2}</p><p>{P}</p></div></div>"
+    assert h.main_text(page(apart)) == f"Title\n\n{(P * 2).strip()}\n\n{P.strip()}"
+    loose = f"<div>Welcome! We keep small files, is that fine?</div><div><h1>H</h1><p>{P * 3}</p><p>{P * 2}</p></div><div><p>Reader Bob: {P}</p></div>"
+    assert h.main_text(page(loose)) == f"H\n\n{(P * 3).strip()}\n\n{(P * 2).strip()}"
     lists = f"<article><h1>L</h1><p>{P}</p><ul><li>{P}</li><li>second item</li></ul><blockquote>{P}</blockquote><pre>a\n b</pre></article>"
     assert h.main_text(page(lists)).split("\n\n") == ["L", P.strip(), P.strip(), "second item", P.strip(), "a b"]
 
