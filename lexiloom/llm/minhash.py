@@ -55,6 +55,10 @@ class Words:
         self.known: dict[str, int] = {}
         self.older: dict[str, int] = {}
 
+    def forget(self) -> None:
+        """A worker that waits for other work holds no words."""
+        self.known, self.older = {}, {}
+
     def one(self, word: str) -> int:
         h = self.older.get(word)
         if h is None:
@@ -151,12 +155,14 @@ def _sketch_work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ],
             names=["id", "h1", "h2", "size", "sketch", "keys", "bands"],
         )
+    words().forget()
 
 
 def _set_work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingles(t)[0].tobytes() for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
+    words().forget()
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
