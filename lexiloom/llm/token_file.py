@@ -281,9 +281,12 @@ def _encode(path: str | None, end_id: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = word_ids(path or default_path())
         gc.disable()  # nothing here makes cycles
-        for batch in batches:
-            ids = [_short(x) for x in own.encode(batch.column(1), end_id)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        try:
+            for batch in batches:
+                ids = [_short(x) for x in own.encode(batch.column(1), end_id)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        finally:
+            gc.enable()
 
     return work
 
