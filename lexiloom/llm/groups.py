@@ -27,29 +27,43 @@ from .common import cut
 BLOCK = 256
 
 
+def _parts(rows: int) -> int:
+    """Partitions for a table of so many short rows."""
+    return max(8, rows // 50_000)
+
+
 def components(links: DataFrame) -> DataFrame:
-    """id, component (least id) of every id in links (a, b); large and small star steps until nothing changes."""
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    edges = cut(edges, "edges")
-    before = None
-    while True:
+    """id, component (least id) of every id in links (a, b): large and small star steps until all edges form stars.
+
+    Every step is written, with partitions by the number of links; the joins meet two written tables, so a hub's rows can be
+    split over tasks.
+    """
+    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
+    parts = _parts(edges.count())
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        return cut(df.coalesce(parts), name)
+
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # written, so that a join meets two tables and a hub's rows can be split over tasks
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = cut(large, "large")
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = write(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "large")
+        least = write(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = cut(small.where("u != v").distinct(), "edges")
-        state = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if before == tuple(state):
-            break
-        before = tuple(state)
+        edges = write(small.where("u != v").distinct(), "edges")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("root"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+    per = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("root").alias("root"))
+    return per.where((F.col("up") > 1) | (F.col("up") > 0) & (F.col("root") > 0)).isEmpty()
+
+
 def with_component(members: DataFrame, links: DataFrame) -> DataFrame:
     found = components(links)
     return members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -64,43 +78,48 @@ def linked(postings: DataFrame, details: DataFrame, verify: Callable[[DataFrame,
     buckets = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).where("n > 1")
     # small tables that meet hot keys are written first: the join then splits a hot key's rows over tasks
     members = cut(postings.join(cut(buckets, "buckets"), "key"), "members")
-    ids = cut(members.select("id").distinct(), "ids")
+    parts = _parts(members.count())
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        return cut(df.coalesce(parts), name)
+
+    ids = write(members.select("id").distinct(), "ids")
 
-    def good(pairs: DataFrame, name: str) -> DataFrame:
-        return cut(verify(pairs, ids).where("good").select("a", "b"), name)
+    def good(pairs: DataFrame) -> DataFrame:
+        return write(verify(pairs, ids).where("good").select("a", "b"), "links")
 
-    links = good(members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "links")
-    left = _open(members.select("key", "id"), links)
+    links = good(members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+    left = _open(members.select("key", "id"), links, write)
     if left.isEmpty():
         return links
     degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").count()
-    known = left.join(degree, "id", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    best = known.groupBy("key").agg(F.max(F.struct("count", "id", "component")).alias("top"))
-    pairs = known.join(cut(best, "best"), "key").where("component != top.component").select(F.least("id", "top.id").alias("a"), F.greatest("id", "top.id").alias("b"))
-    links = links.unionByName(good(pairs.distinct(), "links"))
-    left = _open(left.select("key", "id"), links)
+    known = write(left.join(degree, "id", "left").withColumn("count", F.coalesce("count", F.lit(0))), "known")
+    best = write(known.groupBy("key").agg(F.max(F.struct("count", "id", "component")).alias("top")), "best")
+    pairs = known.join(best, "key").where("component != top.component").select(F.least("id", "top.id").alias("a"), F.greatest("id", "top.id").alias("b"))
+    links = links.unionByName(good(pairs.distinct()))
+    left = _open(left.select("key", "id"), links, write)
     if left.isEmpty():
         return links
-    return links.unionByName(good(_crossing(left, details, likeness, rows), "links"))
+    return links.unionByName(good(_crossing(left, details, likeness, rows, write)))
 
 
-def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+def _open(members: DataFrame, links: DataFrame, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """key, id, component of the members of buckets that hold several components."""
-    every = cut(with_component(members, links), "labelled")
+    every = write(with_component(members, links), "labelled")
     keys = every.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    return cut(every.join(cut(keys, "keys"), "key", "left_semi"), "open")
+    return write(every.join(write(keys, "keys"), "key", "left_semi"), "open")
 
 
 def _blocks_of(n: Column) -> Column:
     return F.ceil(n / BLOCK).cast("int")
 
 
-def _crossing(left: DataFrame, details: DataFrame, likeness: float, rows: int) -> DataFrame:
+def _crossing(left: DataFrame, details: DataFrame, likeness: float, rows: int, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Pairs (a, b) of one bucket and different components, one of them a stray, whose sketches agree enough."""
     counts = left.groupBy("key", "component").count()
     top = counts.groupBy("key").agg(F.max(F.struct("count", "component")).alias("top"), F.sum("count").alias("n"))
     tops = top.select("key", F.col("top.component").alias("major"), F.col("top.count").alias("n_major"), (F.col("n") - F.col("top.count")).alias("n_stray"))
-    full = left.join(cut(tops, "tops"), "key").join(details, "id")
+    full = left.join(write(tops, "tops"), "key").join(details, "id")
     stray = F.col("component") != F.col("major")
     n_own = F.when(stray, F.col("n_stray")).otherwise(F.col("n_major"))
     full = full.withColumn("stray", stray).withColumn("block", F.pmod(F.xxhash64("id"), _blocks_of(n_own)).cast("int"))
