@@ -86,7 +86,8 @@ def linked(postings: DataFrame, details: DataFrame, verify: Callable[[DataFrame,
     ids = write(members.select("id").distinct(), "ids")
 
     def good(pairs: DataFrame) -> DataFrame:
-        return write(verify(pairs, ids).where("good").select("a", "b"), "links")
+        # what is compared is large beside the pairs: these tasks stay as many as the shuffle has
+        return cut(verify(pairs, ids).where("good").select("a", "b"), "links")
 
     links = good(members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
     left = _open(members.select("key", "id"), links, write)
