@@ -214,7 +214,7 @@ def classes(recordings: DataFrame) -> DataFrame:
     single = own.where("id = copy_of").select("id", "print")
     index = cut(single.mapInArrow(_index, "id long, size long, sketch binary, keys array<long>, bands binary"), "index")
     postings = index.select("id", F.explode("keys").alias("key"))
-    links = linked(postings, index.select("id", "size", "sketch", "bands"), lambda pairs, ids: aligned(pairs, single), 0.1, REGISTERS)
+    links = linked(postings, index.select("id", "size", "sketch", "bands", F.lit(b"").alias("parity")), lambda pairs, ids: aligned(pairs, single), 0.1, REGISTERS)
     found = components(links).withColumnRenamed("id", "copy_of")
     return own.join(found, "copy_of", "left").select("id", "print", "copy_of", F.coalesce("component", "copy_of").alias("class_id"))
 

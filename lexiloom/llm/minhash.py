@@ -1,11 +1,14 @@
 """MinHash near-dedup with ProbMinHash sketches.
 
-Texts are sets of shingles of five words (white-space runs; a text of fewer words is one shingle), weighted by 1 + ln(count).
+Texts are sets of shingles of five words (white-space runs; a text of fewer words is one shingle). They are sketched twice:
+with every shingle of weight 1, so that registers agree as often as the plain sets are alike, and weighted by 1 + ln(count).
 Every shingle is a Poisson process of rate weight: exponential gaps from its hash, each arrival at a register from the same
 hash. A register keeps the shingle of its earliest arrival, and a process ends once its time is past the latest register's
-(early termination), so equal registers of two texts estimate their probability Jaccard likeness. 180 registers make 36
-bands of five; texts that agree on a band are candidates, and each link is verified by the exact Jaccard likeness of the
-shingle sets, 0.8 or more. A pair of likeness 0.8 misses every band with probability 6e-7.
+(early termination), so equal registers of two texts estimate their probability Jaccard likeness; at weight 1 it is the
+Jaccard likeness. 180 registers make 36 bands of five; texts that agree on a band of either sketch are candidates, and each
+link is verified by the exact Jaccard likeness of the shingle sets, 0.8 or more. Whatever the counts, a pair of likeness 0.8
+misses every band of the plain sketches with probability 6e-7; the weighted bands only add candidates. Texts without a
+repeated shingle have one sketch for both.
 
 Equal texts are one class from the start (128-bit text hash); sketches and links are between class representatives. Within
 a bucket no pairs are listed: see ``groups.linked``.
@@ -34,6 +37,7 @@ WORDS = 5
 LIKENESS = 0.8
 BANDS, ROWS = 36, 5
 REGISTERS = BANDS * ROWS
+PARITY = 2048
 CACHE_WORDS = 200_000
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xBF58476D1CE4E5B9)
@@ -129,6 +133,22 @@ def _sketches(sets: list[tuple[np.ndarray, np.ndarray]], m: int, arrivals: int)
     return who.reshape(-1, m)
 
 
+def both_sketches(sets: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches with all weights 1, and weighted ones; a set without repeats has the same for both."""
+    plain = sketches([(h, np.ones(len(h))) for h, _ in sets])
+    weighted = plain.copy()
+    again = [i for i, (_, c) in enumerate(sets) if len(c) and c.max() > 1]
+    if again:
+        weighted[again] = sketches([sets[i] for i in again])
+    return plain, weighted
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """A bitmap in which every shingle has flipped one bit: two of them differ in no more bits than the sets in shingles."""
+    n = np.bincount((hashes % np.uint64(PARITY)).astype(np.int64), minlength=PARITY)
+    return np.packbits((n & 1).astype(np.uint8))
+
+
 def band_keys(sketch: np.ndarray) -> np.ndarray:
     """A 64-bit key of every band."""
     part = sketch.reshape(len(sketch), BANDS, ROWS)
@@ -142,18 +162,20 @@ def _sketch_work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).to_pylist()
         sets = [shingles(t) for t in texts]
-        registers = sketches(sets)
-        keys = band_keys(registers)
-        short = (registers & np.uint64(255)).astype(np.uint8)
+        plain, weighted = both_sketches(sets)
+        bands = np.concatenate([band_keys(plain), band_keys(weighted)], axis=1)
+        keys = [np.unique(b) if len(h) else b[:0] for b, (h, _) in zip(bands, sets, strict=True)]
+        short = (plain & np.uint64(255)).astype(np.uint8)
         digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts), ">i8").astype(np.int64).reshape(-1, 2)
         sizes = np.array([len(h) for h, _ in sets], np.int64)
-        offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
+        offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(sizes), pa.array([x.tobytes() for x in short], pa.binary()),
-                pa.ListArray.from_arrays(offsets, pa.array(keys[sizes > 0].ravel())), pa.array([x.tobytes() for x in keys], pa.binary()),
+                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))), pa.array([x.tobytes() for x in bands], pa.binary()),
+                pa.array([parity(h).tobytes() for h, _ in sets], pa.binary()),
             ],
-            names=["id", "h1", "h2", "size", "sketch", "keys", "bands"],
+            names=["id", "h1", "h2", "size", "sketch", "keys", "bands", "parity"],
         )
     words().forget()
 
@@ -189,7 +211,7 @@ def classes(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
     """id (doc_id, null as least number), copy_of (least id of equal texts), class_id (least id of the class): one row an input row."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), whole_text().alias("text"))
-    sketched = cut(texts.mapInArrow(_sketch_work, "id long, h1 long, h2 long, size long, sketch binary, keys array<long>, bands binary"), "sketches")
+    sketched = cut(texts.mapInArrow(_sketch_work, "id long, h1 long, h2 long, size long, sketch binary, keys array<long>, bands binary, parity binary"), "sketches")
     copies = sketched.groupBy("h1", "h2").agg(F.min("id").alias("copy_of"), F.count(F.lit(1)).alias("n"))
     copies = cut(copies.where("n > 1").select("h1", "h2", "copy_of"), "copies")
     own = cut(sketched.select("id", "h1", "h2").join(copies, ["h1", "h2"], "left").select("id", F.coalesce("copy_of", "id").alias("copy_of")), "own")
@@ -208,7 +230,7 @@ def classes(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
         both = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b")
         return both.mapInArrow(_verify_work(likeness), "a long, b long, good boolean")
 
-    details = sketched.select("id", "size", "sketch", "bands").where("size > 0")
+    details = sketched.select("id", "size", "sketch", "bands", "parity").where("size > 0")
     links = linked(postings, details, verify, likeness, REGISTERS)
     found = components(links)
     out = own.select("id", "copy_of").join(found.select(F.col("id").alias("copy_of"), "component"), "copy_of", "left")
