@@ -1,7 +1,8 @@
 """HTML main text by composite text density.
 
 A page becomes a tree of elements (void and raw-text elements, implied end tags and unclosed tags as browsers read them).
-Parts that are boilerplate by their element or by a word of their class, id or role are taken out. For every element left,
+Parts that are boilerplate by their element or by a word of their class, id or role are taken out; a word alone takes out no part
+that holds a main, an h1, the page's only articles or, where nothing of the kind stands elsewhere, most of the running text. For every element left,
 with C characters, T tags, LC characters and LT tags in links below it, and b the body,
 
     density = C / T * log(C / LC * T / LT) / log(ln(C / (C - LC) * LC + LC_b / C_b * C + e))
@@ -10,7 +11,7 @@ with C characters, T tags, LC characters and LT tags in links below it, and b th
 the core; the threshold is the least density on the path from it to the body. Siblings along that path join the core when
 their density reaches the threshold and they hold at least a fifth of the core's text in blocks of running text; next to the core,
 headings, paragraphs, sections and parts of its class join as well, and so does the last h1 before it. A heading that announces comments, related pages or the
-like ends the article part of its parent. An enclosing ``article`` or ``main`` is taken whole. Blocks of that subtree that are mostly links go.
+like ends the article part of its parent if it counts them or what comes next looks like comments or links. An enclosing ``article`` or ``main`` is taken whole. Blocks of that subtree that are mostly links go.
 
 The text: character references decoded, white space inside a block turned into one space and trimmed, empty blocks left
 out, blocks in page order joined by two line breaks; ``br`` is white space. Nothing else is dropped or cut.
@@ -62,6 +63,10 @@ AFTER = re.compile(
     r"|share this(?: \w+)?|advertisement|subscribe|newsletter|more from us|you may also like)\W*(?:\(?\d+\)?\W*)?",
     re.I,
 )
+#: Words of parts that hold what readers write.
+MARKS = frozenset("comment comments commentlist disqus feedback reply replies respond shoutbox".split())
+#: Class names that say what stands beside a part or is missing, not what it is.
+BESIDE = re.compile(r"(?<!\S)(?:has|with|without|no)(?=[-_A-Z])\S*")
 #: Marks of a page's own head; inside an article they hold its title.
 HEAD_WORDS = frozenset("header banner masthead".split())
 CLOSES_P = BLOCK - frozenset("body html option select td th tr tbody thead tfoot caption legend".split())
@@ -79,24 +84,26 @@ CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "kind", "parent", "parts", "noise", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "kind", "parent", "parts", "noise", "named", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
     def __init__(self, tag: str, parent: Node | None, noise: bool = False, kind: str = ""):
         self.tag, self.parent, self.noise, self.kind = tag, parent, noise, kind
+        self.named: set[str] = set()  # the words for which alone it is noise
         self.parts: list[Node | str] = []
 
 
-def _noise(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is boilerplate; ``inside``: within an article or main part."""
+def _noise(tag: str, attributes: str, inside: bool) -> tuple[bool, set[str]]:
+    """Whether an element is boilerplate, and the words if only they say so; ``inside``: within an article or main part."""
     if tag in NOISE or tag == "header" and not inside:
-        return True
+        return True, set()
     if not attributes or tag in ("html", "body", "article", "main"):
-        return tag == "article" and bool(attributes) and bool(_words(attributes) & {"comment", "comments", "reply", "teaser", "promo", "ad", "sponsored", "related"})
+        return tag == "article" and bool(attributes) and bool(_words(attributes) & {"comment", "comments", "reply", "teaser", "promo", "ad", "sponsored", "related"}), set()
     words = _words(attributes)
     if "hidden!" in words:
-        return True
+        return True, set()
     found = {w for w in words if w in WORDS or w in HEAD_WORDS or PARTS.search(w)}
-    return bool(found - HEAD_WORDS if inside or words & {"entry", "post", "article", "story"} else found)
+    found = found - HEAD_WORDS if inside or words & {"entry", "post", "article", "story"} else found
+    return bool(found), found
 
 
 def _words(attributes: str) -> set[str]:
@@ -106,7 +113,7 @@ def _words(attributes: str) -> set[str]:
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             words.add("hidden!")
         elif name in ("class", "id", "role", "aria-label", "itemprop"):
-            words.update(w.lower() for w in CAMEL.findall(value))
+            words.update(w.lower() for w in CAMEL.findall(BESIDE.sub("", value)))
     return words
 
 
@@ -174,7 +181,9 @@ def parse(page: str) -> Node:
             if cut:
                 del stack[cut:]
         inside = any(s.tag in ("article", "main") for s in stack)
-        node = Node(tag, stack[-1], _noise(tag, attributes, inside), next((a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes) if k.lower() == "class"), ""))
+        noise, named = _noise(tag, attributes, inside)
+        node = Node(tag, stack[-1], noise, next((a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes) if k.lower() == "class"), ""))
+        node.named = named
         stack[-1].parts.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
@@ -200,14 +209,69 @@ def walk(body: Node) -> list[Node]:
     return out
 
 
+def _rescue(body: Node) -> None:
+    """Keeps parts that are noise by a word alone but hold the page's main text."""
+    named, order, rest = [], [], [body]
+    while rest:
+        node = rest.pop()
+        order.append(node)
+        if node.named:
+            named.append(node)
+        rest += [p for p in node.parts if isinstance(p, Node) and (not p.noise or p.named)]
+    if not named:
+        return
+    running: dict[int, int] = {}
+    holds: dict[int, set[str]] = {}
+    for node in reversed(order):
+        parts = [p for p in node.parts if isinstance(p, Node) and id(p) in running]
+        running[id(node)] = 0 if node.tag == "a" else sum(len(_clean(p)) for p in node.parts if isinstance(p, str)) + sum(running[id(p)] for p in parts)
+        holds[id(node)] = {node.tag} & {"article", "main", "h1"} | {t for p in parts for t in holds[id(p)]}
+    outside = {x.tag for x in walk(body)} & {"article", "main", "h1"}
+    for node in named:
+        of_kind = holds[id(node)] - outside
+        most = not outside and running[id(node)] > 0.5 * running[id(body)]
+        # a discussion in an article is a part of it unless readers write there
+        own = node.named == {"discussion"} and _in_article(node) and not _reader_or_links([node])
+        if own or most or of_kind and not (of_kind == {"h1"} and node.named <= HEAD_WORDS):
+            node.noise = False
+
+
+def _in_article(node: Node) -> bool:
+    while node.parent and node.tag not in ("article", "main"):
+        node = node.parent
+    return node.tag in ("article", "main")
+
+
+def _reader_or_links(parts: list[Node]) -> bool:
+    """Whether parts look like comments, by their first one, or like links."""
+    first = walk(parts[0]) if parts else []
+    for x in first:
+        if any(isinstance(p, Node) and (p.named & MARKS or p.tag in ("form", "textarea") or p.noise and p.tag == "article") for p in [x, *x.parts]):
+            return True
+    chars = sum(len(_clean(t)) for p in parts for t in _strings(p))
+    links = sum(len(_clean("".join(_strings(x)))) for p in parts for x in walk(p) if x.tag == "a")
+    return links > 0.5 * chars or not chars
+
+
+def _section(parts: list[Node | str], at: int) -> list[Node]:
+    """What follows a heading up to the next one of its level."""
+    out: list[Node] = []
+    for p in parts[at + 1 :]:
+        if isinstance(p, Node):
+            if p.tag in ("h1", "h2", "h3", "h4", "h5", "h6") and p.tag <= parts[at].tag:
+                break
+            out.append(p)
+    return out
+
+
 def _drop_after(body: Node) -> None:
     """Takes out headings of comments and the like, with all that follows them in their parent."""
     for node in walk(body):
         ended = False
-        for p in node.parts:
+        for i, p in enumerate(node.parts):
             if isinstance(p, Node):
-                if not ended and p.tag in ("h2", "h3", "h4", "h5", "h6") and AFTER.fullmatch(_clean("".join(_strings(p)))):
-                    ended = True
+                if not ended and p.tag in ("h2", "h3", "h4", "h5", "h6") and AFTER.fullmatch(says := _clean("".join(_strings(p)))):
+                    ended = any(c.isdigit() for c in says) or _reader_or_links(_section(node.parts, i))
                 p.noise = p.noise or ended
 
 
@@ -257,6 +321,7 @@ def _path(node: Node, body: Node) -> list[Node]:
 
 def main_part(body: Node) -> list[Node]:
     """The subtrees that hold the article, in page order."""
+    _rescue(body)
     _drop_after(body)
     nodes = densities(body)
     core = max(nodes, key=lambda x: x.sum)

@@ -47,6 +47,30 @@ def test_more_shapes():
     assert h.main_text(page(lists)).split("\n\n") == ["L", P.strip(), P.strip(), "second item", P.strip(), "a b"]
 
 
+def test_names_alone():
+    inner = f"<h1>Head</h1><p>{P * 3}</p><p>{P * 2}</p>"
+    want = f"Head\n\n{(P * 3).strip()}\n\n{(P * 2).strip()}"
+    beside = f"<div class=sidebar><p>{P}</p></div>"
+    for name in ("content has-sidebar", "content with-sidebar", "no-sidebar", "hasSidebar page", "layout-sidebar", "page banner-page"):
+        assert h.main_text(page(f'<div class="{name}">{inner}{beside}</div>')) == want, name
+    assert h.main_text(page(f"<div class=widget-area><main>{inner}</main>{beside}</div>")) == want
+    assert h.main_text(page(f"<div class='social'>{inner.replace('h1', 'h2')}</div>")) == want
+    # comments that are longer than the article stay out
+    assert h.main_text(page(f"<article>{inner}</article><div id=comments><p>{P * 30}</p></div>")) == want
+
+
+def test_discussion():
+    tail = f"<p>{P * 2}</p><p>{P}</p><h2>Conclusion</h2><p>{P * 2}</p>"
+    for part in (f"<h2>Discussion</h2>{tail}", f"<section id=discussion><h2>Discussion</h2>{tail}</section>"):
+        got = h.main_text(page(f"<article><h1>Head</h1><p>{P * 3}</p>{part}</article>"))
+        assert got.split("\n\n") == ["Head", (P * 3).strip(), "Discussion", (P * 2).strip(), P.strip(), "Conclusion", (P * 2).strip()]
+    for part in (
+        f"<h2>Discussion</h2><div><div class=comment><p>{P}</p></div></div><p>{P}</p>", f"<section id=discussion><div class=comment><p>{P}</p></div></section>",
+        f"<h2>Related articles</h2><ul><li><a href=a>{P}</a></li></ul>", f"<h3>Comments</h3><form><p>{P}</p></form>",
+    ):
+        assert h.main_text(page(f"<article><h1>Head</h1><p>{P * 3}</p>{part}</article>")) == f"Head\n\n{(P * 3).strip()}"
+
+
 @pytest.mark.parametrize("text", [None, "", " ", "<", "<p", "<!-- open", "<script>", "</", "<a href='", "\0", "<>", "&", "<body><body>"])
 def test_odd(text):
     assert h.main_text(text).strip() in ("", "<", "&", "<>", "�")
