@@ -9,7 +9,7 @@ with C characters, T tags, LC characters and LT tags in links below it, and b th
 
 (zero denominators count as 1), and its density sum is that of its children. The element of the greatest density sum is
 the core; the threshold is the least density on the path from it to the body. Siblings along that path join the core when
-their density reaches the threshold and they hold at least a fifth of the core's text in blocks of running text; next to the core,
+their density reaches the threshold, whatever their share of the text; next to the core,
 headings, paragraphs, sections and parts of its class join as well, and so does the last h1 before it. A heading that announces comments, related pages or the
 like ends the article part of its parent if it counts them or what comes next looks like comments or links. An enclosing ``article`` or ``main`` is taken whole. Blocks of that subtree that are mostly links go.
 
@@ -340,8 +340,7 @@ def main_part(body: Node) -> list[Node]:
     for up in path[1:]:
         for p in up.parts:
             if isinstance(p, Node) and not p.noise and p is not level and p.tag in BLOCK:
-                running = p.chars - p.link_chars
-                like = running >= 0.2 * core.chars and p.density >= threshold or up is path[1] and (p.tag in ("h1", "h2", "p") or (p.tag, p.kind) == (core.tag, core.kind) and (p.kind or p.tag == "section"))
+                like = p.chars and p.density >= threshold or up is path[1] and (p.tag in ("h1", "h2", "p") or (p.tag, p.kind) == (core.tag, core.kind) and (p.kind or p.tag == "section"))
                 if like and p.link_chars <= 0.3 * p.chars:
                     keep.add(id(p))
         level = up

@@ -59,6 +59,15 @@ def test_names_alone():
     assert h.main_text(page(f"<article>{inner}</article><div id=comments><p>{P * 30}</p></div>")) == want
 
 
+def test_short_parts_beside_a_long_core():
+    links = "".join(f"<p><a href=/{i}>Some linked headline number {i}</a></p>" for i in range(150))
+    core = f"<div class=body>{f'<p>{P * 3}</p>' * 12}</div>"
+    for tag in ("div", "blockquote", "pre", "h3"):
+        last = f"<{tag} class=closing>{P}</{tag}>"
+        got = h.main_text(page(f"<div class=intro>{P * 2}</div>{core}{last}<div class=more>{links}</div>")).split("\n\n")
+        assert got == [(P * 2).strip(), *[(P * 3).strip()] * 12, P.strip()], tag
+
+
 def test_discussion():
     tail = f"<p>{P * 2}</p><p>{P}</p><h2>Conclusion</h2><p>{P * 2}</p>"
     for part in (f"<h2>Discussion</h2>{tail}", f"<section id=discussion><h2>Discussion</h2>{tail}</section>"):
