@@ -14,8 +14,8 @@ Equal texts are one class from the start (128-bit text hash); sketches and links
 a bucket no pairs are listed: see ``groups.linked``.
 
 Defined results: null and empty texts are equal texts without shingles; white space only likewise has no shingle and is
-like nothing but equal texts; documents are known by doc_id, so repeated rows are one document, and a null doc_id is one
-document whose class is null or that of a lesser id; very long texts are hashed whole; an empty table gives no rows; other
+like nothing but equal texts; documents are known by doc_id and text, so repeated rows are one document, and different texts
+under one doc_id (or none) are classed apart; a null doc_id counts as the least; very long texts are hashed whole; an empty table gives no rows; other
 columns are ignored or carried by ``drop_near_duplicates``.
 """
 
@@ -158,6 +158,11 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def digests(texts: list[str]) -> np.ndarray:
+    """128-bit hashes as two numbers."""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts), ">i8").astype(np.int64).reshape(-1, 2)
+
+
 def _sketch_work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).to_pylist()
@@ -166,12 +171,12 @@ def _sketch_work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = np.concatenate([band_keys(plain), band_keys(weighted)], axis=1)
         keys = [np.unique(b) if len(h) else b[:0] for b, (h, _) in zip(bands, sets, strict=True)]
         short = (plain & np.uint64(255)).astype(np.uint8)
-        digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts), ">i8").astype(np.int64).reshape(-1, 2)
+        hashes = digests(texts)
         sizes = np.array([len(h) for h, _ in sets], np.int64)
         offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column(0), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(sizes), pa.array([x.tobytes() for x in short], pa.binary()),
+                batch.column(0), pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(sizes), pa.array([x.tobytes() for x in short], pa.binary()),
                 pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))), pa.array([x.tobytes() for x in bands], pa.binary()),
                 pa.array([parity(h).tobytes() for h, _ in sets], pa.binary()),
             ],
@@ -182,8 +187,9 @@ def _sketch_work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _set_work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingles(t)[0].tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
+        texts = batch.column(1).to_pylist()
+        sets, hashes = [shingles(t)[0].tobytes() for t in texts], digests(texts)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(sets, pa.binary())], names=["id", "h1", "h2", "set"])
     words().forget()
 
 
@@ -207,50 +213,80 @@ def _verify_work(least: float):
     return work
 
 
-def classes(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
-    """id (doc_id, null as least number), copy_of (least id of equal texts), class_id (least id of the class): one row an input row."""
+def _classed(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
+    """id, h1, h2 (text hash), copy_of, class_id, kept of every input row.
+
+    Every row has a number of its own, so that texts under one doc_id are apart. ``kept``: the row's text and id are those
+    that stand for the class (least id, then least text hash).
+    """
     small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), whole_text().alias("text"))
-    sketched = cut(texts.mapInArrow(_sketch_work, "id long, h1 long, h2 long, size long, sketch binary, keys array<long>, bands binary, parity binary"), "sketches")
-    copies = sketched.groupBy("h1", "h2").agg(F.min("id").alias("copy_of"), F.count(F.lit(1)).alias("n"))
-    copies = cut(copies.where("n > 1").select("h1", "h2", "copy_of"), "copies")
-    own = cut(sketched.select("id", "h1", "h2").join(copies, ["h1", "h2"], "left").select("id", F.coalesce("copy_of", "id").alias("copy_of")), "own")
-    later = own.where("id != copy_of").select("id")
-    first = sketched.join(later, "id", "left_anti")
-    postings = first.select("id", F.explode("keys").alias("key")).distinct()
+    work = "id long, h1 long, h2 long, size long, sketch binary, keys array<long>, bands binary, parity binary"
+    sketched = cut(texts.mapInArrow(_sketch_work, work).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    copies = sketched.groupBy("h1", "h2").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("n"))
+    copies = cut(copies.where("n > 1").select("h1", "h2", "first"), "copies")
+    own = sketched.select("row", "id", "h1", "h2").join(copies, ["h1", "h2"], "left")
+    own = cut(own.select("row", "id", "h1", "h2", F.coalesce("first.row", "row").alias("node"), F.coalesce("first.id", "id").alias("copy_of")), "own")
+    later = own.where("row != node").select("row")
+    first = sketched.join(later, "row", "left_anti")
+    postings = first.select(F.col("row").alias("id"), F.explode("keys").alias("key"))
 
     kept: list[DataFrame] = []
 
     def verify(pairs: DataFrame, ids: DataFrame) -> DataFrame:
         """Whether the shingle sets of pairs (a, b) are alike; the sets of ``ids`` are made once."""
         if not kept:
-            some = texts.join(ids, "id", "left_semi")
-            kept.append(cut(some.mapInArrow(_set_work, "id long, set binary").dropDuplicates(["id"]), "sets"))
+            nodes = cut(own.join(ids.select(F.col("id").alias("row")), "row", "left_semi").select("row", "id", "h1", "h2"), "nodes")
+            some = texts.join(nodes.select("id").distinct(), "id", "left_semi")
+            made = some.mapInArrow(_set_work, "id long, h1 long, h2 long, set binary").join(nodes, ["id", "h1", "h2"])
+            kept.append(cut(made.dropDuplicates(["id", "h1", "h2"]).select(F.col("row").alias("id"), "set"), "sets"))
         a, b = (kept[0].select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
         both = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b")
         return both.mapInArrow(_verify_work(likeness), "a long, b long, good boolean")
 
-    details = sketched.select("id", "size", "sketch", "bands", "parity").where("size > 0")
-    links = linked(postings, details, verify, likeness, REGISTERS)
-    found = components(links)
-    out = own.select("id", "copy_of").join(found.select(F.col("id").alias("copy_of"), "component"), "copy_of", "left")
-    return out.select("id", "copy_of", F.coalesce("component", "copy_of").alias("class_id"))
+    details = sketched.where("size > 0").select(F.col("row").alias("id"), "size", "sketch", "bands", "parity")
+    found = components(linked(postings, details, verify, likeness, REGISTERS)).select(F.col("id").alias("node"), "component")
+    found = cut(found.join(own.where("row = node").select("node", "id", "h1", "h2"), "node"), "found")
+    stands = cut(found.groupBy("component").agg(F.min(F.struct("id", "h1", "h2")).alias("stands")), "stands")
+    found = found.join(stands, "component").select("node", "stands")
+    out = own.join(found, "node", "left")
+    out = out.withColumn("stands", F.coalesce("stands", F.struct(F.col("copy_of").alias("id"), "h1", "h2")))
+    return out.select("id", "h1", "h2", "copy_of", F.col("stands.id").alias("class_id"), (F.col("stands") == F.struct("id", "h1", "h2")).alias("kept"))
+
+
+def classes(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
+    """id (doc_id, null as least number), copy_of (least id of equal texts), class_id (least id of the class): one row an input row."""
+    return _classed(docs, likeness).select("id", "copy_of", "class_id")
+
+
+def _hash_rows(at: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = digests(batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h[:, 0]), pa.array(h[:, 1])], names=[*batch.schema.names, "__h1", "__h2"])
+
+    return work
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of every class: that of the least doc_id."""
-    found = classes(docs)
-    gone = found.where("id != class_id").select(F.col("id").alias("__id")).distinct()
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    kept = docs.withColumn("__id", key).join(gone, "__id", "left_anti")
-    often = found.groupBy("id").count().where("count > 1").select(F.col("id").alias("__id"))
-    once = kept.join(often, "__id", "left_anti")
-    again = kept.join(often, "__id", "left_semi").dropDuplicates(["__id"])
-    return once.unionByName(again).drop("__id")
+    """One document of every class: that of the least doc_id, then of the least text hash, then of the least columns as JSON."""
+    found = cut(_classed(docs).select("id", "h1", "h2", "kept"), "classed")
+    often = cut(found.groupBy("id").count().where("count > 1").select(F.col("id").alias("__id")), "often")
+    gone = found.where("not kept").select(F.col("id").alias("__id")).distinct()
+    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    once = keyed.join(often, "__id", "left_anti").join(gone, "__id", "left_anti").select(*docs.columns)
+    # rows that share a doc_id are known by their texts
+    again = keyed.join(often, "__id", "left_semi").select(*docs.columns, "__id", whole_text().alias("__text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in again.schema.fields)
+    again = again.mapInArrow(_hash_rows(len(docs.columns) + 1), f"{fields}, __h1 long, __h2 long")
+    stay = found.where("kept").select(F.col("id").alias("__id"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2")).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = again.join(stay, ["__id", "__h1", "__h2"], "left_semi").groupBy("__id", "__h1", "__h2").agg(F.min_by(row, F.to_json(row)).alias("__row"))
+    return once.unionByName(again.select("__row.*"))
 
 
 def op4_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of every document."""
-    found = classes(table(spark, sf_dir, "documents"))
+    found = _classed(table(spark, sf_dir, "documents"))
     back = [F.when(F.col(c) != NULL_ID, F.col(c)).alias(n) for c, n in (("id", "doc_id"), ("copy_of", "copy_of"), ("class_id", "class_id"))]
-    return found.select(*back, (F.col("id") == F.col("class_id")).alias("kept"))
+    return found.select(*back, "kept")

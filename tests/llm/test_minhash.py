@@ -80,6 +80,16 @@ def test_odd(spark):
     assert m.classes(df.limit(0)).count() == 0
 
 
+def test_texts_under_one_id(spark):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    rows = [(1, text(1), "a"), (5, text(1) + " end", "b"), (5, text(2), "c"), (None, text(3), "d"), (None, text(4), "e"), (None, text(4), "d"), (8, text(2) + " end", "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for some in (df, df.repartition(3)):
+        got = m.drop_near_duplicates(some)
+        assert got.columns == df.columns
+        assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[2], rows[3], rows[5]], key=str)
+
+
 def test_counts_apart(spark):
     """Near copies by their sets of shingles whose counts differ strongly."""
     r = random.Random(8)
