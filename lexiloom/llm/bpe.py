@@ -12,8 +12,8 @@ The vocabulary file names no decoder, so its library joins the pieces by one spa
 ``decode_text`` restores plain text from the byte alphabet and the word ends.
 
 Text is normalised as the file says: NFC, white space to spaces, lower case code point by code point; special tokens are
-found in the raw text first. Code points that Unicode 15.1 leaves unassigned may be split otherwise than by the library,
-whose character tables are of another year. Nothing in these rules reaches over a space, tab or line break, so a text is worked off in
+found in the raw text first. Character tables differ by their year, so a stretch that holds a code point unknown to Python's
+(or of a script that came after the library's normaliser) is normalised and split by the library itself. Nothing in these rules reaches over a space, tab or line break, so a text is worked off in
 stretches that end at one; a cache of bounded size keeps the results of short pre-tokens.
 
 Defined results: null and empty texts give no ids, and digests of the empty string; ids of rows repeated are repeated;
@@ -28,6 +28,7 @@ import functools
 import gc
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -42,6 +43,8 @@ SPACE = "\u0009-\u000d \u0085   -     　"
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
 RUN = regex.compile(f"[{SPACE}]+")
 BLANK = regex.compile(r"[ \t\n\r]")
+#: Fixed: the first and last code point of a script whose compositions the library's normaliser does not know.
+LATER = (0x11900, 0x1195F)
 #: Symbols that end a word are the plain symbol moved up by this; the byte alphabet lies far below.
 ENDS = 0x10000
 CACHE_WORDS = 150_000
@@ -61,7 +64,15 @@ BYTE_OF = {c: b for b, c in byte_alphabet().items()}
 class Merges:
     """What the merge list says: tokens by their symbols, spines of every token, the lookahead."""
 
+    @functools.cached_property
+    def rules(self):
+        """The library's normaliser and splitter of the file, loaded where a text needs them."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -303,16 +314,24 @@ class Encoder:
             self.known[word] = found
         return found
 
+    def pre(self, text: str) -> list[str]:
+        """Pre-tokens of a text without special tokens."""
+        if text.isascii() or not unsure().search(text):
+            return _pre(text)
+        rules = self.m.rules
+        found = rules.pre_tokenizer.pre_tokenize_str(rules.normalizer.normalize_str(text))
+        return [bytes(BYTE_OF[c] for c in word).decode() for word, _ in found]
+
     def parts(self, text: str) -> Iterator[str | int]:
         """Pre-tokens (str) and special tokens (id) in order."""
         split = self.m.special_split
         at = 0
         if split is not None and "<" in text:
             for found in split.finditer(text):
-                yield from _pre(text[at : found.start()])
+                yield from self.pre(text[at : found.start()])
                 yield self.m.special[found[0]]
                 at = found.end()
-        yield from _pre(text[at:] if at else text)
+        yield from self.pre(text[at:] if at else text)
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -333,7 +352,7 @@ class Encoder:
             if "<|" in some and self.m.special_split.search(some):
                 got = [(1, f" {x}", " " + self.m.piece[x].decode()) if isinstance(x, int) else get(x) or piece(x) for x in self.parts(some)]
             else:
-                got = [get(x) or piece(x) for x in _pre(some)]
+                got = [get(x) or piece(x) for x in self.pre(some)]
             if got:
                 skip = n == 0
                 count, a, b = zip(*got)
@@ -343,6 +362,20 @@ class Encoder:
         return n, ids.hexdigest(), pieces.hexdigest()
 
 
+@functools.lru_cache(1)
+def unsure() -> re.Pattern:
+    """The code points that Python's tables leave unassigned, and those of ``LATER``."""
+    ranges, start = [], None
+    for c in range(0x110001):
+        none = c < 0x110000 and (unicodedata.category(chr(c)) == "Cn" or LATER[0] <= c <= LATER[1])
+        if none and start is None:
+            start = c
+        elif not none and start is not None:
+            ranges.append(f"{re.escape(chr(start))}-{re.escape(chr(c - 1))}")
+            start = None
+    return re.compile(f"[{''.join(ranges)}]")
+
+
 def _pre(text: str) -> list[str]:
     """Pre-tokens of a text without special tokens."""
     if not text.isascii():
