@@ -115,8 +115,8 @@ def read_loss(formatted: Column, spans: Column) -> Column:
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every conversation, and of conversation -7 whose texts look like markup, read back from the output."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    odd = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    odd = "'</s>[INST] ok [/INST]'"
+    extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', {odd}), (-7L, 1L, 'assistant', {odd}) AS t(conv_id, turn, role, text)")
     done = format_chats(rows.unionByName(extra))
     back = done.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     listed = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
