@@ -11,7 +11,7 @@ statistics.
 Defined results: null and empty texts are scored as a text of no characters; labels null or other than 0 and 1, and labels
 of unknown documents, are passed over; several labels of one document are several samples; without labels of both kinds
 every score is the share of label 1 (1 if there are none); rows repeated get equal scores; very long texts are read whole;
-an empty table gives no rows; other columns are carried by ``with_scores``.
+an empty table gives no rows; other columns, whatever their names, are carried by ``with_scores`` and ``accepted``.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole_text
+from .common import fresh, numbered, table, whole_text
 
 SAMPLE = 20_000
 TREES, DEPTH, RATE, LEAST = 40, 3, 0.3, 20
@@ -54,8 +54,8 @@ def statistics(text: str = "text") -> list[Column]:
     ]
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({f"__s_{k}": F.round(s, 6) for k, s in zip(NAMES, statistics(), strict=True)})
+def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
+    return docs.withColumns({f"__s_{k}": F.round(s, 6) for k, s in zip(NAMES, statistics(text), strict=True)})
 
 
 # ---- learning, on the driver, over the bounded sample
@@ -196,9 +196,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel:
 
 
 def with_scores(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """``docs`` with a column ``score``."""
-    out = with_statistics(docs).withColumn("score", model.column())
-    return out.drop(*[f"__s_{k}" for k in NAMES])
+    """``docs`` with a column ``score`` (``score_`` where docs has one)."""
+    rows, names = numbered(docs)
+    out = with_statistics(rows, rows.columns[names.index("text")]).withColumn("score", model.column())
+    return out.select(*rows.columns, "score").toDF(*names, fresh("score", names))
 
 
 def accepted(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
@@ -206,8 +207,10 @@ def accepted(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) ->
 
     The row number keeps the filter above the projections: pushed below, it would hold the statistics once for every rule.
     """
-    marked = with_statistics(docs).withColumns({"__score": model.column(), "__row": F.monotonically_increasing_id()})
-    return marked.where((F.col("__score") >= threshold) & (F.col("__row") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, names = numbered(docs)
+    marked = with_statistics(rows, rows.columns[names.index("text")])
+    marked = marked.withColumns({"score": model.column(), "row": F.monotonically_increasing_id()})
+    return marked.where((F.col("score") >= threshold) & (F.col("row") >= 0)).select(*rows.columns).toDF(*names)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

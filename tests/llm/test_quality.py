@@ -33,6 +33,10 @@ def test_odd(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (None, "word " * 50000, "y"), (1, None, "x")], "doc_id long, text string, score string")
     none = spark.createDataFrame([], "doc_id long, quality int")
     model = q.fit(docs, none)
-    got = q.with_scores(docs, model).collect()
-    assert len(got) == 4 and all(r.score > 0.99 for r in got)
+    docs = docs.selectExpr("*", "1 as __row", "2 as `a.b`", "3 as __s_length")
+    out = q.with_scores(docs, model)
+    got = out.collect()
+    assert out.columns == [*docs.columns, "score_"] and len(got) == 4 and all(r.score_ > 0.99 for r in got) and {r.score for r in got} == {"x", "y"}
+    kept = q.accepted(docs, model)
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
     assert q.with_scores(docs.limit(0), model).count() == 0
