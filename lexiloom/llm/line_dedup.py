@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, whole_text
+from .common import cut, fresh, numbered, table, whole_text
 
 MIN_SITES = 5
 MIN_WORDS = 3
@@ -75,29 +75,32 @@ def _exact(seen: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with cross-site boilerplate taken out of ``text``, and a column ``lines_removed``."""
+    """``docs`` with cross-site boilerplate taken out of ``text``, and a column ``lines_removed`` (``lines_removed_`` where docs has one)."""
     seen, found = boilerplate(docs, min_sites, min_words)
     hit = seen.join(found, "line_hash")
     is_first = (F.col("first.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("first.pos") == F.col("pos"))
     # by document: what to take out, and the places that stay
-    plan = hit.groupBy(F.col("doc_id").alias("__id")).agg(
-        F.collect_set("line_hash").alias("__out"), F.collect_set(F.when(is_first, F.col("pos"))).alias("__stay")
+    plan = hit.groupBy(F.col("doc_id").alias("id")).agg(
+        F.collect_set("line_hash").alias("out"), F.collect_set(F.when(is_first, F.col("pos"))).alias("stay")
     )
-    both = docs.join(plan, docs["doc_id"].eqNullSafe(plan["__id"]), "left")
+    rows, names = numbered(docs)
+    doc_id, text = (rows.columns[names.index(c)] for c in ("doc_id", "text"))
+    both = rows.join(plan, rows[doc_id].eqNullSafe(plan["id"]), "left")
     marked = F.transform(
-        lines_of(whole_text()),
+        lines_of(whole_text(text)),
         lambda line, i: F.struct(
             line.alias("line"),
-            (long_enough(line, min_words) & F.array_contains("__out", line_key(line)) & ~F.array_contains("__stay", i)).alias("out"),
+            (long_enough(line, min_words) & F.array_contains("out", line_key(line)) & ~F.array_contains("stay", i)).alias("out"),
         ),
     )
-    both = both.withColumn("__marked", F.when(F.col("__out").isNotNull(), marked))
-    kept = F.array_join(F.transform(F.filter("__marked", lambda m: ~m["out"]), lambda m: m["line"]), "\n")
-    removed = F.coalesce(F.size(F.filter("__marked", lambda m: m["out"])), F.lit(0))
+    both = both.withColumn("marked", F.when(F.col("out").isNotNull(), marked))
+    kept = F.array_join(F.transform(F.filter("marked", lambda m: ~m["out"]), lambda m: m["line"]), "\n")
+    removed = F.coalesce(F.size(F.filter("marked", lambda m: m["out"])), F.lit(0))
+    changed = F.col("marked").isNotNull()
     return both.select(
-        *[docs[c] if c != "text" else F.when(F.col("__marked").isNotNull(), kept).otherwise(docs["text"]).alias("text") for c in docs.columns],
-        F.when(F.col("__marked").isNotNull(), removed).otherwise(0).cast("long").alias("lines_removed"),
-    )
+        *[F.when(changed, kept).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in rows.columns],
+        F.when(changed, removed).otherwise(0).cast("long").alias("removed"),
+    ).toDF(*names, fresh("lines_removed", names))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

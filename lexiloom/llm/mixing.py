@@ -1,6 +1,6 @@
 """Mixing sources to target weights, in DataFrame expressions only.
 
-Every document gets a hash-random key (md5 of seed and id). Within a source, documents are dealt by the first three hex
+Every document gets a hash-random key (md5 of seed, id and text digest). Within a source, documents are dealt by the first three hex
 digits of the key into 4096 ranges; sizes are summed inside a range and over the ranges before it, which gives the prefix
 sum in key order without ever bringing a source together in one task. The budget of a source cuts that order exactly: all
 documents are repeated for every whole epoch in the budget, the rest of the budget takes documents from the front, the
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, whole_text
+from .common import numbered, table, whole_text
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "lexiloom-mix-1"
@@ -48,13 +48,18 @@ def targets(sizes: DataFrame) -> DataFrame:
     return rank.withColumn("target", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")))
 
 
+def _key(seed: str, doc_id: Column, text: Column) -> Column:
+    """Hash-random: rows without id, or of one id, part company by their texts."""
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(text)))
+
+
 def mix_sizes(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """doc_id, no_source, source_key, key, size, source_size, target, epochs (whole ones), part (words from the last), taken."""
     base = docs.select(
         "doc_id",
         F.col("source").isNull().alias("no_source"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source_key"),
-        F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("key"),
+        _key(seed, F.col("doc_id"), whole_text()).alias("key"),
         words_in(whole_text()).alias("size"),
     ).withColumn("bucket", F.substring("key", 1, 3))
     per = base.groupBy("no_source", "source_key", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -77,26 +82,31 @@ def mix_sizes(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
 
 
-
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix as rows of ``docs``: a row for every epoch a document is in; the last one in part is cut behind its last word."""
-    keys = ["__id", "__src", "__size"]
-    text_id = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    keys = ["key", "src"]
     plan = mix_sizes(docs, seed).where((F.col("epochs") > 0) & (F.col("size") > 0) | (F.col("part") > 0))
-    plan = plan.select(text_id.alias("__id"), F.col("source_key").alias("__src"), F.col("size").alias("__size"), "epochs", "part")
-    plan = plan.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("epochs", "part")), asc=False).alias("__plan"))
-    own = docs.withColumns({"__id": text_id, "__src": F.coalesce(F.col("source").cast("string"), F.lit("")), "__size": words_in(whole_text())})
-    # rows repeated under one id share that id's list of decisions, one each
-    own = own.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("__id")))
-    both = own.join(plan, keys).withColumn("__own", F.get(F.col("__plan"), F.col("__n") - 1)).where(F.col("__own").isNotNull())
-    epochs, part = F.col("__own.epochs"), F.col("__own.part")
+    plan = plan.select("key", F.col("source_key").alias("src"), "size", "epochs", "part")
+    # rows that repeat id, text and source share their decisions, one each: a row is known by its number among them
+    plan = _counted_in(plan, keys, F.desc("epochs"), F.desc("part"))
+    rows, names = numbered(docs)
+    doc_id, text, source = (rows.columns[names.index(c)] for c in ("doc_id", "text", "source"))
+    of = {"key": _key(seed, F.col(doc_id), whole_text(text)), "src": F.coalesce(F.col(source).cast("string"), F.lit(""))}
+    both = _counted_in(rows.withColumns(of), keys, F.lit(0)).join(plan, [*keys, "n"])
+    epochs, part = F.col("epochs"), F.col("part")
     copies = F.concat(
         F.array_repeat(F.lit(-1).cast("long"), epochs.cast("int")),
-        F.when(part > 0, F.array(F.when(part < F.col("__size"), part).otherwise(F.lit(-1).cast("long")))).otherwise(F.expr("cast(array() as array<bigint>)")),
+        F.when(part > 0, F.array(F.when(part < F.col("size"), part).otherwise(F.lit(-1).cast("long")))).otherwise(F.expr("cast(array() as array<bigint>)")),
     )
-    rows = both.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(copies).alias("__take"))
-    cut_text = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), F.greatest(F.col("__take"), F.lit(1)).cast("int")), "")
-    return rows.withColumn("text", F.when(F.col("__take") > 0, cut_text).otherwise(F.col("text"))).drop("__take")
+    out = both.select(*rows.columns, F.explode(copies).alias("take"))
+    words = F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
+    cut_text = F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("take"), F.lit(1)).cast("int")), "")
+    return out.withColumn(text, F.when(F.col("take") > 0, cut_text).otherwise(F.col(text))).drop("take").toDF(*names)
+
+
+def _counted_in(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """``df`` with ``n``, the number of a row among those of equal keys."""
+    return df.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +117,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5('lexiloom-mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key,
+  SELECT doc_id, source, md5('lexiloom-mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS key,
     CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source IS NULL AS no_source, coalesce(source, '') AS source_key, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1, 2),
 w AS (SELECT *, (row_number() OVER (ORDER BY no_source, source_key) - 1) % 3 + 1 AS weight, source_size * 3 AS cap FROM s),

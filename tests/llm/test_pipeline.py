@@ -76,6 +76,14 @@ def test_odd_mix(spark):
     assert sorted(map(tuple, mixing.mix_sizes(df.repartition(3)).select("doc_id", "taken").collect()), key=str) == sorted(((r.doc_id, r.taken) for r in got), key=str)
 
 
+def test_clashing_columns(spark):
+    df = odd(spark).selectExpr("*", "1 as __n", "2 as `a.b`", "3 as __id", "'u' as lines_removed", "7 as n")
+    out = line_dedup.drop_boilerplate(df)
+    assert out.columns == [*df.columns, "lines_removed_"] and {r.lines_removed for r in out.collect()} == {"u"}
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns and {(r["__n"], r["a.b"], r["__id"], r["n"]) for r in mixed.collect()} == {(1, 2, 3, 7)}
+
+
 def test_odd_lines(spark):
     df = odd(spark).withColumnRenamed("key", "pos")
     out = line_dedup.drop_boilerplate(df)
