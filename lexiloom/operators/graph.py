@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import step
+from ..storage import step, step_path
 
 
 def merge_graphs(*graphs: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -31,44 +31,56 @@ def ranks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, rank: the longest path from a root, by peeling one level a step.
 
     A node is peeled when its last parent has been; its step is its rank. Nodes on a cycle are never peeled: those with a
-    peeled parent get the greatest such rank plus one, the others none. Steps: the length of the longest path, each over the
-    edges that are left only.
+    peeled parent get the greatest such rank plus one, the others none. Steps: the length of the longest path. A step joins
+    its front with the edges, subtracts what it has met from the counts of parents still open, and writes these counts; edges
+    are rewritten once half of them are behind.
     """
+    spark = edges.sparkSession
     every = left = step(edges.distinct(), "edges")
     nodes = nodes_of(nodes, edges)
-    children = every.select(F.col("child").alias("id")).distinct()
-    front, known, level = step(nodes.join(children, "id", "left_anti").withColumn("rank", F.lit(0)), "front"), None, 0
-    while not front.isEmpty():
-        known = front if known is None else known.unionByName(front)
+    degree = every.groupBy(F.col("child").alias("id")).agg(F.count(F.lit(1)).alias("open"))
+    start = nodes.join(degree, "id", "left").select("id", F.coalesce("open", F.lit(0)).alias("open"), F.lit(0).cast("long").alias("met"))
+    # one table with a part a level: what is peeled there has no open parent
+    base = f"{step_path(spark, 'levels')}"
+    start.write.parquet(f"{base}/rank=0")
+    schema = start.schema
+    level, behind, size = 0, 0, every.count()
+    while True:
+        now = spark.read.schema(schema).parquet(f"{base}/rank={level}")
+        front = now.where("open = 0").select(F.col("id").alias("parent"))
+        did = now.agg(F.count_if(F.col("open") == 0).alias("peeled"), F.coalesce(F.sum("met"), F.lit(0)).alias("met")).first()
+        if not did["peeled"]:
+            break
+        behind += did["met"]
+        if 2 * behind > size:
+            left = step(left.join(now.where("open > 0").select(F.col("id").alias("child")), "child", "left_semi").select("parent", "child"), "edges")
+            behind, size = 0, left.count()
+        met = left.join(front, "parent").groupBy(F.col("child").alias("id")).agg(F.count(F.lit(1)).alias("now"))
         level += 1
-        ids = front.select(F.col("id").alias("parent"))
-        freed = left.join(ids, "parent", "left_semi").select(F.col("child").alias("id")).distinct()
-        left = step(left.join(ids, "parent", "left_anti"), "edges")
-        held = left.select(F.col("child").alias("id")).distinct()
-        front = step(freed.join(held, "id", "left_anti").withColumn("rank", F.lit(level)), "front")
-    if known is None:
-        return nodes.limit(0).withColumn("rank", F.lit(0))
-    # edges that are left lead from nodes without rank; nodes on or behind a cycle that a ranked node feeds
-    rest = nodes.join(known.select("id"), "id", "left_anti").withColumnRenamed("id", "child")
+        counts = now.where("open > 0").join(met, "id", "left").withColumn("now", F.coalesce("now", F.lit(0)))
+        counts.select("id", (F.col("open") - F.col("now")).alias("open"), F.col("now").alias("met")).write.parquet(f"{base}/rank={level}")
+    levels = spark.read.schema(f"{schema.simpleString()[7:-1].replace(':', ' ')}, rank int").parquet(base)
+    known = levels.where("open = 0").select("id", "rank")
+    # nodes on or behind a cycle that a ranked node feeds
+    rest = levels.where((F.col("rank") == level) & (F.col("open") > 0)).select(F.col("id").alias("child"))
     fed = every.join(rest, "child", "left_semi").join(known.withColumnRenamed("id", "parent"), "parent")
     return known.unionByName(fed.groupBy(F.col("child").alias("id")).agg((F.max("rank") + 1).alias("rank")))
 
 
-def closure(edges: DataFrame, start: DataFrame, down: bool = True, include_self: bool = False, max_steps: int = 1000) -> DataFrame:
+def closure(edges: DataFrame, start: DataFrame, down: bool = True, include_self: bool = False) -> DataFrame:
     """start, id: everything reached from each start id over one edge or more (or none, with ``include_self``).
 
-    One step a level over the new pairs only; cycles end by themselves.
+    One step a level over the new pairs only, to the end; cycles end by themselves.
     """
     a, b = ("parent", "child") if down else ("child", "parent")
     hop = edges.select(F.col(a).alias("id"), F.col(b).alias("__next")).distinct()
     front = start.select(F.col("id").alias("start"), "id").distinct()
     seen = step(front if include_self else front.limit(0), "seen")
-    for _ in range(max_steps):
+    while True:
         front = step(front.join(hop, "id").select("start", F.col("__next").alias("id")).distinct().join(seen, ["start", "id"], "left_anti"), "front")
         if front.isEmpty():
-            break
+            return seen
         seen = step(seen.unionByName(front), "seen")
-    return seen
 
 
 def collapse(edges: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -30,14 +30,14 @@ def score(rows: DataFrame, true: str = "true_relation", pred: str = "pred_relati
 def running_score(rows: DataFrame, order: str, true: str = "true_relation", pred: str = "pred_relation", positive=1, buckets: int = 0) -> DataFrame:
     """Before every row, the scores over all rows ahead of it in ``order`` (a total order of numbers).
 
-    Ranges of the order are summed first, so no task holds all rows: a row's counts are those of the ranges ahead (a few
-    rows) and those ahead of it in its own range.
+    Ranges of like size (by quantiles) are summed first, so no task holds all rows: a row's counts are those of the ranges
+    ahead (a few rows) and those ahead of it in its own range.
     """
     n = rows.count()
     buckets = buckets or max(1, -(-n // 100_000))
-    edges = rows.agg(F.min(order).alias("a"), F.max(order).alias("b"))
-    width = (F.col("b") - F.col("a") + 1) / F.lit(buckets)
-    counted = rows.crossJoin(F.broadcast(edges)).withColumn("__part", F.floor((F.col(order) - F.col("a")) / width).cast("int"))
+    cuts = rows.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 20 * buckets).alias("at")).first()["at"] if buckets > 1 else None
+    part = F.size(F.filter(F.lit(sorted(set(cuts))), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    counted = rows.withColumn("__part", part)
     counted = counted.withColumns({f"__{k}": c for k, c in _counts(true, pred, positive).items()})
     keys = [f"__{k}" for k in ("tp", "fp", "fn")]
     ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

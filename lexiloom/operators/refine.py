@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import step
@@ -30,21 +31,31 @@ def offline_refine(edges: DataFrame, ranks: DataFrame, mode: str = "by_rank") ->
 
 
 def split_once(blocks: DataFrame, edges: DataFrame, rank: int) -> DataFrame:
-    """One pass: edges (parent, child) of parents of ``rank``; blocks (id, rank, block)."""
-    hit = edges.join(blocks.where(F.col("rank") > rank).select(F.col("id").alias("child"), "block"), "child")
-    sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
-    covered = hit.groupBy("block", "parent").agg(F.countDistinct("child").alias("n"))
-    splitter = covered.join(sizes, "block").where("n < size").groupBy("block").agg(F.min("parent").alias("parent"))
-    moved = hit.join(splitter, ["block", "parent"]).select(F.col("child").alias("id"), F.lit("1").alias("bit")).distinct()
-    out = blocks.join(moved, "id", "left").join(splitter.select("block", F.lit(True).alias("split")), "block", "left")
-    return out.select("id", "rank", F.when(F.col("split"), F.concat("block", F.lit("."), F.coalesce("bit", F.lit("0")))).otherwise(F.col("block")).alias("block"))
+    """One pass: distinct edges (parent, child) of parents of ``rank``; blocks (id, rank, block)."""
+    return _split(blocks, edges, rank, lambda block, bit: F.concat(block, F.lit("."), bit))
+
+
+def _split(blocks: DataFrame, edges: DataFrame, rank: int, label: Callable[[Column, Column], Column]) -> DataFrame:
+    above = blocks.where(F.col("rank") > rank)
+    hit = edges.join(above.select(F.col("id").alias("child"), "block"), "child")
+    sizes = above.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
+    covered = hit.groupBy("block", "parent").agg(F.count(F.lit(1)).alias("n"))
+    splitter = covered.join(sizes, "block").where("n < size").groupBy("block").agg(F.min("parent").alias("by"))
+    # a member of a block that splits is met by its splitter once at most
+    split = blocks.join(splitter, "block", "left")
+    met = edges.select(F.col("child").alias("id"), F.col("parent").alias("by"), F.lit("1").alias("bit"))
+    out = split.join(met, ["id", "by"], "left")
+    return out.select("id", "rank", F.when(F.col("by").isNotNull(), label(F.col("block"), F.coalesce("bit", F.lit("0")))).otherwise(F.col("block")).alias("block"))
 
 
 def _by_rank(edges: DataFrame, ranks: DataFrame, blocks: DataFrame, top: int) -> DataFrame:
+    """Labels are digests of the splits, of one length however many; a pass writes the blocks above its rank only."""
     ranked = step(edges.join(ranks.select(F.col("id").alias("parent"), F.col("rank").alias("pr")), "parent"), "ranked")
+    done = blocks.where("rank = 0")
     for i in range(top):
-        blocks = step(split_once(blocks, ranked.where(F.col("pr") == i).select("parent", "child"), i), "blocks")
-    return blocks
+        now = step(_split(blocks.where(F.col("rank") > i), ranked.where(F.col("pr") == i).select("parent", "child"), i, lambda block, bit: F.md5(F.concat(block, bit))), "blocks")
+        done, blocks = done.unionByName(now.where(F.col("rank") == i + 1)), now
+    return done
 
 
 def _full(edges: DataFrame, blocks: DataFrame) -> DataFrame:

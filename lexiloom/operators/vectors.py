@@ -30,11 +30,13 @@ def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def top_k(queries: DataFrame, store: DataFrame, k: int = 5, exclude_self: bool = False) -> DataFrame:
     """query_id, ext_id, similarity, nth: the k rows of the store most like each query; ties by ext_id.
 
-    queries: query_id, embedding; store: ext_id, embedding, all of one length. Vectors without length are like nothing.
+    queries: query_id, embedding; store: ext_id, embedding, all of one length. Vectors that are null, hold a null or have no length are like nothing.
     The store is read once a block of queries: a block (bounded by ``BLOCK_NUMBERS``) goes to every task, which keeps its k
     best for each query by matrix products, and only those meet in the final order.
     """
     spark = store.sparkSession
+    whole = "embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL)"
+    queries, store = queries.where(whole), store.where(whole)
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
     if not size["n"]:
         return spark.createDataFrame([], T.StructType([queries.schema["query_id"], store.schema["ext_id"], T.StructField("similarity", T.DoubleType()), T.StructField("nth", T.IntegerType())]))

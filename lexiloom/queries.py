@@ -219,7 +219,16 @@ def F9_token_estimate(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", text.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query()
+F10_SQL = """WITH RECURSIVE m AS (SELECT conv_id, coalesce(text, '') AS text, length(coalesce(text, '')) // 4 AS tokens,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, coalesce(text, '')) AS pos, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+w AS (SELECT conv_id, n + 1 AS pos, n, tokens AS used, true AS fits FROM m WHERE pos = 1
+  UNION ALL SELECT m.conv_id, m.pos, m.n, w.used + CASE WHEN w.used + m.tokens <= 250 THEN m.tokens ELSE 0 END, w.used + m.tokens <= 250 FROM w JOIN m ON m.conv_id = w.conv_id AND m.pos = w.pos - 1 AND m.pos > 1),
+k AS (SELECT m.conv_id, 2 * m.pos AS o, m.text FROM m JOIN w ON w.conv_id = m.conv_id AND w.pos = m.pos AND w.fits WHERE m.pos > 1 UNION ALL SELECT conv_id, 2, text FROM m WHERE pos = 1
+  UNION ALL SELECT conv_id, 3, '%s' FROM w GROUP BY conv_id HAVING bool_or(NOT fits))
+SELECT conv_id, CAST(count(*) AS INTEGER) AS kept, md5(string_agg(text, chr(10) ORDER BY o)) AS hash FROM k GROUP BY conv_id""" % agents.NOTICE.replace("'", "''")
+
+
+@query(F10_SQL)
 def F10_truncate(spark, d):
     rows = table(spark, d, "conversations")
     done = agents.truncate(rows, "conv_id", "turn", total=400, reply=150)
@@ -515,14 +524,34 @@ def G3_split_once(spark, d):
     return refine.split_once(blocks.withColumn("rank", F.lit(1)), edges, 0).select("id", "block")
 
 
-@query()
+RANKS_SQL = f"""{EDGES_SQL}, r AS (SELECT DISTINCT parent AS id, 0 AS rank FROM hedges WHERE parent NOT IN (SELECT child FROM hedges)
+UNION SELECT e.child, r.rank + 1 FROM r JOIN hedges e ON e.parent = r.id), rk AS (SELECT id, max(rank) AS rank FROM r GROUP BY id),
+b0 AS (SELECT id, rank, CAST(rank AS VARCHAR) AS block FROM rk)"""
+NAMED_SQL = "SELECT id, min(id) OVER (PARTITION BY block) AS block FROM"
+#: The hierarchy has ranks 0 to 4, so four passes, and five rounds until the partition is stable.
+PASS_SQL = """,
+h{i} AS MATERIALIZED (SELECT e.parent, e.child, b.block FROM hedges e JOIN rk p ON p.id = e.parent AND p.rank = {i} JOIN b{i} b ON b.id = e.child AND b.rank > {i}),
+s{i} AS MATERIALIZED (SELECT block, min(parent) AS parent FROM (SELECT block, parent, count(*) AS n FROM h{i} GROUP BY 1, 2) JOIN (SELECT block, count(*) AS size FROM b{i} GROUP BY 1) USING (block) WHERE n < size GROUP BY block),
+m{i} AS (SELECT h.child FROM h{i} h JOIN s{i} s ON s.block = h.block AND s.parent = h.parent),
+b{j} AS MATERIALIZED (SELECT b.id, b.rank, CASE WHEN s.block IS NULL THEN b.block WHEN m.child IS NULL THEN concat(b.block, '.0') ELSE concat(b.block, '.1') END AS block
+  FROM b{i} b LEFT JOIN s{i} s ON s.block = b.block LEFT JOIN m{i} m ON m.child = b.id)"""
+ROUND_SQL = """,
+p{i} AS (SELECT e.child AS id, md5(string_agg(DISTINCT b.block, ',' ORDER BY b.block)) AS sig FROM hedges e JOIN b{i} b ON b.id = e.parent GROUP BY e.child),
+b{j} AS MATERIALIZED (SELECT b.id, b.rank, md5(concat(b.block, '|', coalesce(p.sig, ''))) AS block FROM b{i} b LEFT JOIN p{i} p ON p.id = b.id)"""
+
+
+def _unrolled(part: str, times: int) -> str:
+    return f"WITH RECURSIVE {RANKS_SQL}{''.join(part.format(i=i, j=i + 1) for i in range(times))} {NAMED_SQL} b{times}"
+
+
+@query(_unrolled(PASS_SQL, 4))
 def G3_offline_refine(spark, d):
     return evaluation.compress(_edges(spark, d))[0]
 
 
-@query()
+@query(_unrolled(ROUND_SQL, 6))
 def G3_refine_to_fixpoint(spark, d):
-    return evaluation.compress(_edges(spark, d, False), "full")[0]
+    return evaluation.compress(_edges(spark, d), "full")[0]
 
 
 @query()

@@ -11,21 +11,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset, a temporary folder becomes the checkpoint folder."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset, a temporary folder serves a local master; a cluster is an error."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         kept = context._jsc.sc().getCheckpointDir()
         named = kept.get() if kept.isDefined() else None
     if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="lexiloom-")
         context.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def step_path(spark: SparkSession, name: str) -> str:
+    """A new path below this application's folder of steps."""
+    return f"{shared_dir(spark)}/lexiloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_steps(spark: SparkSession) -> None:
+    """Deletes the steps of this application, once no table read from them is needed any more."""
+    jvm, path = spark.sparkContext._jvm, f"{shared_dir(spark)}/lexiloom/{spark.sparkContext.applicationId}"
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def step(df: DataFrame, name: str = "step") -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends here, and a lost executor costs a reread."""
-    path = f"{shared_dir(df.sparkSession)}/lexiloom/{name}-{uuid.uuid4().hex}"
+    path = step_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
