@@ -11,7 +11,8 @@ with C characters, T tags, LC characters and LT tags in links below it, and b th
 the core; the threshold is the least density on the path from it to the body. Siblings along that path join the core when
 their density reaches the threshold, whatever their share of the text; next to the core,
 headings, paragraphs, sections and parts of its class join as well, and so does the last h1 before it. A heading that announces comments, related pages or the
-like ends the article part of its parent if it counts them or what comes next looks like comments or links. An enclosing ``article`` or ``main`` is taken whole. Blocks of that subtree that are mostly links go.
+like ends the article part of its parent if it counts them or what comes next looks like comments or links. An enclosing ``article`` or ``main`` is taken whole. Blocks of that subtree that are mostly links go, but for
+an article's list of sources.
 
 The text: character references decoded, white space inside a block turned into one space and trimmed, empty blocks left
 out, blocks in page order joined by two line breaks; ``br`` is white space. Nothing else is dropped or cut.
@@ -41,12 +42,12 @@ BLOCK = frozenset(
 )
 #: Elements that are no article text, whatever their names.
 NOISE = frozenset(
-    """script style noscript template svg math canvas object embed iframe audio video map head title nav aside footer form button input select
+    """script style noscript template svg annotation annotation-xml canvas object embed iframe audio video map head title nav aside footer form button input select
     textarea label fieldset dialog menu search datalist noframes noembed xmp plaintext""".split()
 )
 #: Words of class, id, role and similar attributes that mark a part as no article text.
 WORDS = frozenset(
-    """ad ads adv alert alertdialog advert advertisement advertising advertorial adsense banner breadcrumb breadcrumbs byline captcha comment comments commentlist
+    """ad ads adv alert alertdialog advert advertisement advertising advertorial adsense banner breadcrumb breadcrumbs captcha comment comments commentlist
     complementary consent contentinfo cookie cookies copyright disclaimer disqus discussion feedback footer gdpr legal login masthead menu modal nav
     navbar navigation newsletter notice notification overlay pager pagination paywall popup privacy promo promotion promoted recommendations recommended
     related replies reply respond search share sharing shoutbox sidebar sidenav signup skip social sponsor sponsored subscribe subscription tagcloud tags
@@ -65,10 +66,15 @@ AFTER = re.compile(
 )
 #: Words of parts that hold what readers write.
 MARKS = frozenset("comment comments commentlist disqus feedback reply replies respond shoutbox".split())
+#: Words that may name a section's subject as well: with a heading of its own and running text it is a part of its article.
+SUBJECTS = frozenset("social legal privacy discussion feedback notice navigation banner disclaimer copyright tags related banners cookies sharing subscription skip".split())
+#: A heading before a list of linked sources.
+SOURCES = re.compile(r"\W*(?:\d+\.? )?(?:references|bibliography|sources|notes|footnotes|works cited|citations|literature|literatur|quellen|einzelnachweise|bibliographie|références|bibliografía|referencias)\W*", re.I)
 #: Class names that say what stands beside a part or is missing, not what it is.
 BESIDE = re.compile(r"(?<!\S)(?:has|with|without|no)(?=[-_A-Z])\S*")
 #: Marks of a page's own head; inside an article they hold its title.
 HEAD_WORDS = frozenset("header banner masthead".split())
+HEADINGS = frozenset("h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - frozenset("body html option select td th tr tbody thead tfoot caption legend".split())
 #: An element's start ends an open one of these, up to the nearest of the second set.
 IMPLIED = {
@@ -230,8 +236,9 @@ def _rescue(body: Node) -> None:
     for node in named:
         of_kind = holds[id(node)] - outside
         most = not outside and running[id(node)] > 0.5 * running[id(body)]
-        # a discussion in an article is a part of it unless readers write there
-        own = node.named == {"discussion"} and _in_article(node) and not _reader_or_links([node])
+        # such a section of an article is a part of it unless readers write there or it holds links
+        section = node.tag == "section" and any(isinstance(p, Node) and p.tag in HEADINGS for p in node.parts)
+        own = (section or node.named == {"discussion"}) and node.named <= SUBJECTS and _in_article(node) and not _reader_or_links([node])
         if own or most or of_kind and not (of_kind == {"h1"} and node.named <= HEAD_WORDS):
             node.noise = False
 
@@ -270,7 +277,7 @@ def _drop_after(body: Node) -> None:
         ended = False
         for i, p in enumerate(node.parts):
             if isinstance(p, Node):
-                if not ended and p.tag in ("h2", "h3", "h4", "h5", "h6") and AFTER.fullmatch(says := _clean("".join(_strings(p)))):
+                if not ended and p.tag in HEADINGS and AFTER.fullmatch(says := _clean("".join(_strings(p)))):
                     ended = any(c.isdigit() for c in says) or _reader_or_links(_section(node.parts, i))
                 p.noise = p.noise or ended
 
@@ -385,7 +392,18 @@ def blocks(part: Node) -> list[str]:
 
 def _links(node: Node) -> bool:
     """A block (no paragraph or heading) that is mostly links, of two links at least."""
-    return node.tag in BLOCK and node.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "blockquote") and node.link_tags > 1 and node.link_chars > 0.6 * node.chars
+    if node.tag not in BLOCK or node.tag in ("p", "h1", "li", "td", "blockquote") or node.tag in HEADINGS or node.link_tags < 2 or node.link_chars <= 0.6 * node.chars:
+        return False
+    return not (node.tag in ("ol", "ul", "section", "div") and _in_article(node) and _sources(node))
+
+
+def _sources(node: Node) -> bool:
+    """Whether a list of links stands under a heading that announces sources."""
+    before = None
+    for p in [*node.parent.parts[: next(i for i, x in enumerate(node.parent.parts) if x is node)], *node.parts] if node.parent else []:
+        if isinstance(p, Node) and (p.tag in HEADINGS or p.tag == "h1"):
+            before = p
+    return before is not None and bool(SOURCES.fullmatch(_clean("".join(_strings(before)))))
 
 
 def main_text(page: str | None) -> str:

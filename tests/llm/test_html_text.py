@@ -80,6 +80,36 @@ def test_discussion():
         assert h.main_text(page(f"<article><h1>Head</h1><p>{P * 3}</p>{part}</article>")) == f"Head\n\n{(P * 3).strip()}"
 
 
+def test_parts_of_an_article():
+    head = f"<h1>Head</h1><p class=byline>By <a href=x>Ann</a></p><p>{P * 2}The value <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p>"
+    links = "".join(f"<li><a href=/{i}>Author {i}, a linked paper with a long title</a></li>" for i in range(5))
+    more = f"<section class=social-history><h2>Social history</h2><p>{P * 2}</p></section><section class=social-links><a href=a>one</a> <a href=b>two</a></section>"
+    for sources in (f"<h2>References</h2><ol>{links}</ol>", f"<section class=refs><h2>Literatur</h2><ul>{links}</ul></section>"):
+        got = h.main_text(page(f"<article>{head}{more}{sources}</article>")).split("\n\n")
+        assert got[:5] == ["Head", "By Ann", f"{P * 2}The value x=2 holds.", "Social history", (P * 2).strip()]
+        assert got[5] in ("References", "Literatur") and len(got) == 11 and got[10].startswith("Author 4")
+    got = h.main_text(page(f"<article>{head}<h2>Elsewhere</h2><ul>{links}</ul></article>"))
+    assert "Author" not in got
+
+
+def test_core_by_density():
+    """The subtree of the greatest density sum is taken, as a plain search of all elements finds it."""
+    rows = duckdb.sql("select html from '/root/testdata/sf0.01/pages.parquet'").fetchall()
+    other = 0
+    for (text,) in rows:
+        text = re.sub(r' (?:class|id|role)=(?:"[^"]*"|[^\s>]+)', "", re.sub(r"<(/?)(?:article|main)\b", r"<\1div", text))
+        body = h.parse(text)
+        parts = h.main_part(body)
+        best, most = None, -1.0
+        for node in h.walk(body):
+            total = sum(p.density for p in node.parts if isinstance(p, h.Node) and not p.noise)
+            if total > most:
+                best, most = node, total
+        assert any(x in h._path(best, body) or best in h._path(x, body) for x in parts)
+        other += h.main_text(text) != ""
+    assert other == sum(1 for (t,) in rows if h.main_text(t) != "")
+
+
 @pytest.mark.parametrize("text", [None, "", " ", "<", "<p", "<!-- open", "<script>", "</", "<a href='", "\0", "<>", "&", "<body><body>"])
 def test_odd(text):
     assert h.main_text(text).strip() in ("", "<", "&", "<>", "�")
