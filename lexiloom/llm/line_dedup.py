@@ -1,6 +1,6 @@
 """Line dedup by distinct-site spread, in DataFrame expressions only.
 
-A line (trimmed of spaces, three words at least) is known by its 64-bit hash. One pass drops every line that one site
+A line (trimmed of spaces, twelve code points at least) is known by its 64-bit hash. One pass drops every line that one site
 alone has, by the least and greatest site hash (two numbers a line, combined before the shuffle). For the others the sites
 are counted with a HyperLogLog sketch for each line and document range, the sketches of a line are merged by a second
 aggregation, and a line whose estimate lies near the threshold gets an exact distinct count. A line on at least
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from .common import cut, fresh, numbered, table, whole_text
 
 MIN_SITES = 5
-MIN_WORDS = 3
+#: Shorter lines say too little to be told from chance.
+MIN_CHARS = 12
 LG_K = 12
 #: Three standard errors of a sketch of 2**12 registers, and one site for rounding.
 BAND = 3 * 1.04 / 2 ** (LG_K / 2)
@@ -35,22 +36,21 @@ def line_key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def long_enough(line: Column, min_words: int) -> Column:
-    """At least ``min_words`` - 1 spaces inside the trimmed line."""
-    trimmed = F.trim(line)
-    return F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) >= min_words - 1
+def long_enough(line: Column, min_chars: int) -> Column:
+    """At least ``min_chars`` code points in the trimmed line."""
+    return F.length(F.trim(line)) >= min_chars
 
 
-def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
+def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc_id, site, pos, line_hash of every line that can be boilerplate."""
     site = F.xxhash64(F.coalesce(F.col("source").cast("string"), F.lit("")))
     lines = docs.select("doc_id", site.alias("site"), F.posexplode(lines_of(whole_text())).alias("pos", "line"))
-    return lines.where(long_enough(F.col("line"), min_words)).select("doc_id", "site", "pos", line_key(F.col("line")).alias("line_hash"))
+    return lines.where(long_enough(F.col("line"), min_chars)).select("doc_id", "site", "pos", line_key(F.col("line")).alias("line_hash"))
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """Occurrences of lines on two sites or more, and the hashes of boilerplate with their first occurrence."""
-    every = occurrences(docs, min_words)
+    every = occurrences(docs, min_chars)
     shared = every.groupBy("line_hash").agg(F.min("site").alias("a"), F.max("site").alias("b")).where("a < b").select("line_hash")
     # written first, so that the join meets two tables and can split a hot line's rows over tasks
     seen = cut(every.join(cut(shared, "shared"), "line_hash", "left_semi"), "lines")
@@ -74,9 +74,9 @@ def _exact(seen: DataFrame, near: DataFrame) -> DataFrame:
     return pairs.groupBy("line_hash").agg(F.count(F.lit(1)).alias("exact_sites"))
 
 
-def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with cross-site boilerplate taken out of ``text``, and a column ``lines_removed`` (``lines_removed_`` where docs has one)."""
-    seen, found = boilerplate(docs, min_sites, min_words)
+    seen, found = boilerplate(docs, min_sites, min_chars)
     hit = seen.join(found, "line_hash")
     is_first = (F.col("first.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("first.pos") == F.col("pos"))
     # by document: what to take out, and the places that stay
@@ -90,7 +90,7 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int
         lines_of(whole_text(text)),
         lambda line, i: F.struct(
             line.alias("line"),
-            (long_enough(line, min_words) & F.array_contains("out", line_key(line)) & ~F.array_contains("stay", i)).alias("out"),
+            (long_enough(line, min_chars) & F.array_contains("out", line_key(line)) & ~F.array_contains("stay", i)).alias("out"),
         ),
     )
     both = both.withColumn("marked", F.when(F.col("out").isNotNull(), marked))
@@ -116,7 +116,7 @@ OP2_SQL = """
 WITH l AS (SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
     generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
 k AS (SELECT *, trim(line, ' ') AS t FROM l),
-e AS (SELECT *, length(t) - length(replace(t, ' ', '')) >= 2 AS ok FROM k),
+e AS (SELECT *, length(t) >= 12 AS ok FROM k),
 b AS (SELECT t, min((doc_id, pos)) AS first FROM e WHERE ok GROUP BY t HAVING count(DISTINCT site) >= 5),
 m AS (SELECT e.*, b.t IS NOT NULL AND e.ok AND (e.doc_id, e.pos) <> b.first AS gone FROM e LEFT JOIN b ON e.t = b.t)
 SELECT doc_id, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS lines_removed,

@@ -93,6 +93,9 @@ def test_odd_lines(spark):
     out = {r.doc_id: r for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert out[0].lines_removed == 0 and out[1].lines_removed == 0 and out[2].lines_removed == 1
     assert out[2].text == "own line number 2 here\n\nmore"
+    rows = [(i, f"Impressum|Kontakt\n这是一个没有空格的重复的行\nshort one\nown {i} words", f"s{i}") for i in range(6)]
+    out = {r.doc_id: r for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert out[0].lines_removed == 0 and all(out[i].text == f"short one\nown {i} words" for i in range(1, 6))
 
 
 def test_odd_chats(spark):
