@@ -41,7 +41,8 @@ MARK = b"S8B1\0\0\0\0"
 SEGMENT_IDS = 1 << 16
 BLOCK_WORDS = 512
 END_ID = 1
-CACHE_WORDS = 500_000
+#: Words kept, and their code points in all: long words fill a generation sooner.
+CACHE_WORDS, CACHE_CHARS = 500_000, 16_000_000
 NULL_ID = -(2**63)
 #: Letters and signs whose lower case and splitting is the same in any Unicode version; a text of others goes to the library whole.
 OTHER = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]")  # also read by Arrow
@@ -194,12 +195,14 @@ class WordIds:
         self.alphabet = byte_alphabet()
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def learn(self, words: set[str]) -> None:
         """The words' ids, from one call: every pre-token's last id is a word end."""
+        self.held += sum(map(len, words))
         plain = []
         for w in words:
             ids = self.older.get(w)
@@ -234,8 +237,8 @@ class WordIds:
 
         Words are split and numbered by Arrow, so that each distinct word of the batch is looked up once.
         """
-        if len(self.known) > CACHE_WORDS:
-            self.older, self.known = self.known, {"": b""}
+        if len(self.known) > CACHE_WORDS or self.held > CACHE_CHARS:
+            self.older, self.known, self.held = self.known, {"": b""}, 0
         plain = pc.invert(pc.match_substring_regex(texts, OTHER.pattern))
         words = pc.ascii_split_whitespace(pc.utf8_lower(texts.filter(plain)))
         coded = words.flatten().dictionary_encode()
