@@ -6,17 +6,20 @@
 from __future__ import annotations
 
 import argparse
+import functools
 import logging
 import time
-from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from .operators import agents, sampling
+from .functions.vectors import cosine
+from .operators import agents, embed, knowledge, sampling, triples
 from .operators.knowledge import Sources
 from .plans import evaluation
-from .sources import alignments, dictionary, predictions
-from .storage import share_code
+from .sources import alignments, dictionary, predictions, rdf, remote
+from .storage import share_code, step
+from .streaming import incremental
 
 log = logging.getLogger("lexiloom")
 
@@ -27,6 +30,12 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--dataset_config", help="JSON: dataset_type, task_name, sample_sz")
     p.add_argument("--csv", required=True, help="the alignment")
     p.add_argument("--dictionary", action="append", default=[], metavar="SOURCE=PATH", help="knowledge of a source, JSON lines")
+    p.add_argument("--triples", action="append", default=[], metavar="SOURCE=PATH", help="OWL documents of ncit, doid or dbpedia")
+    p.add_argument("--ontology", metavar="PATH", help="OWL documents whose class hierarchy is the source 'ontology'")
+    p.add_argument("--conceptnet", metavar="URL", help="edges of a concept as JSON, {concept} in the address; with --lexicon")
+    p.add_argument("--lexicon", metavar="PATH", help="words that may be asked for, a word a line")
+    p.add_argument("--structure", action="store_true", help="structural vectors of the ontology beside those of the text")
+    p.add_argument("--graph", type=int, metavar="N", help="refine the concept graph by accepted answers, anew as a whole every N; reviews go beside")
     p.add_argument("--out", required=True, help="folder of predictions and metrics")
     p.add_argument("--llm", help="model in place of the configured one")
     p.add_argument("--size", default="full", choices=list(sampling.SIZES))
@@ -49,13 +58,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
         own.agents, own.rounds = own.agents[:1], 1
     if a.llm:
         own.agents = [type(x)(model=a.llm) for x in own.agents]
-    known = {k: dictionary.load_dictionary(spark, path) for k, path in (x.split("=", 1) for x in a.dictionary)}
+    sources = sources_of(spark, a)
+    if a.structure:
+        own.structure = {}
     alignment = alignments.load(spark, a.csv, dataset.get("dataset_type", "generic"))
-    path = str(Path(a.out) / predictions.prediction_path(task, own.agents[0].model, a.baseline))
-    done = predictions.read_predictions(spark, path) if Path(path).exists() else None
+    path = f"{a.out.rstrip('/')}/{predictions.prediction_path(task, own.agents[0].model, a.baseline)}"
+    done = predictions.read_predictions(spark, path) if exists(spark, path) else None
     began = time.time()
-    rows = evaluation.records(evaluation.predict(alignment, Sources(known), own, done=done))
+    rows = step(evaluation.records(evaluation.predict(alignment, sources, own, edges=sources.edges, done=done)), "predictions")
     predictions.append_predictions(rows, path)
+    if a.graph:
+        refine_graph(spark, rows, f"{path.removesuffix('.jsonl')}.graph", a.graph)
     every = predictions.read_predictions(spark, path)
     row = evaluation.summary(every, method.get("method_name", ""), task, own.options, own.agents[0].model, time.time() - began)
     predictions.write_metrics(row, path)
@@ -63,10 +76,47 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
     return path
 
 
+def sources_of(spark: SparkSession, a: argparse.Namespace) -> Sources:
+    """The knowledge sources that the arguments name."""
+    known = {k: dictionary.load_dictionary(spark, path) for k, path in (x.split("=", 1) for x in a.dictionary)}
+    terms = {"ncit": triples.ncit_terms, "doid": triples.doid_terms, "dbpedia": triples.dbpedia_terms}
+    read = {k: step(rdf.read_owl(spark, path), "triples") for k, path in (x.split("=", 1) for x in a.triples)}
+    asked = {k: functools.partial(terms[k], t) for k, t in read.items()}
+    edges = step(rdf.hierarchy(rdf.read_owl(spark, a.ontology))[1], "ontology") if a.ontology else None
+    net = None
+    if a.conceptnet:
+        words = spark.read.text(a.lexicon).select(F.lower(F.trim("value")).alias("word"))
+        embedder = embed.HashEmbedder()
+
+        def likeness(rows):
+            one = embedder.column(F.col("concept"))
+            return rows.withColumns({f"sim_{x}": cosine(one, embedder.column(F.col(f"{x}_label"))) for x in ("start", "end")})
+
+        def net(concepts):
+            words_only = concepts.join(words.select(F.col("word").alias("concept_code")), "concept_code", "left_semi")
+            found = step(remote.fetch_edges(words_only, remote.HttpEdges(a.conceptnet)), "edges")
+            return knowledge.edge_terms(concepts, found.where("error IS NULL"), words, likeness)
+
+    return Sources(known, edges, asked, net)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at any path that Spark can read."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def refine_graph(spark: SparkSession, rows, path: str, every: int) -> None:
+    """Accepted answers enter the kept concept graph in order, with a refresh after every few; edges for an expert go to reviews."""
+    store = incremental.GraphStore(spark, path)
+    taken = rows.where("accepted").select(F.monotonically_increasing_id().alias("seq"), F.col("source").alias("u"), F.col("target").alias("v"), F.col("pred_relation").alias("pred"))
+    before = store.load().expert
+    incremental.apply_batch(store, taken, store.last()[1] + 1, every)
+    review_rows(store.load().expert.exceptAll(before), f"{path}.reviews")
+
+
 def review_rows(expert, path: str) -> None:
     """The edges that await an expert, as (source, target, u->v)."""
-    from pyspark.sql import functions as F
-
     predictions.append_reviews(expert.select(F.col("u").alias("source"), F.col("v").alias("target"), F.concat("u", F.lit("->"), "v").alias("expert_edge")), path)
 
 

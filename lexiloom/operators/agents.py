@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import time
+import urllib.error
 import urllib.request
 import zlib
 from abc import ABC, abstractmethod
@@ -52,17 +54,22 @@ class RuleProvider(ChatProvider):
 
 
 class HttpProvider(ChatProvider):
-    """Chat completions over HTTP; the key is read from the environment where the call is made."""
+    """Chat completions over HTTP; the key is read from the environment where the call is made.
+
+    ``response_format`` asks for a structured reply (a JSON schema as the service takes it). A call that fails for a while (no
+    connection, too many requests, server errors) is made ``tries`` times, after longer and longer waits; then it is an error.
+    """
 
     url, key = "", ""
 
-    def __init__(self, model: str, temperature: float = 0.7, max_tokens: int = REPLY_TOKENS, timeout: float = 120.0):
+    def __init__(self, model: str, temperature: float = 0.7, max_tokens: int = REPLY_TOKENS, timeout: float = 120.0, response_format: dict | None = None, tries: int = 4, wait: float = 2.0):
         super().__init__(model, temperature)
-        self.max_tokens, self.timeout = max_tokens, timeout
+        self.max_tokens, self.timeout, self.response_format, self.tries, self.wait = max_tokens, timeout, response_format, tries, wait
 
     def body(self, system: str, user: str) -> dict:
         messages = [{"role": "system", "content": system}, {"role": "user", "content": user}]
-        return {"model": self.model, "messages": messages, "temperature": self.temperature, "max_tokens": self.max_tokens}
+        shape = {"response_format": self.response_format} if self.response_format else {}
+        return {"model": self.model, "messages": messages, "temperature": self.temperature, "max_tokens": self.max_tokens, **shape}
 
     @staticmethod
     def read(document: dict) -> tuple[str, int, int]:
@@ -72,8 +79,15 @@ class HttpProvider(ChatProvider):
     def complete(self, system: str, user: str) -> tuple[str, int, int]:
         head = {"Content-Type": "application/json", "Authorization": f"Bearer {get_env(self.key)}"}
         request = urllib.request.Request(self.url, json.dumps(self.body(system, user)).encode(), head)
-        with urllib.request.urlopen(request, timeout=self.timeout) as answer:
-            return self.read(json.load(answer))
+        for tried in range(1, self.tries + 1):
+            try:
+                with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+                    return self.read(json.load(answer))
+            except (urllib.error.URLError, TimeoutError) as e:
+                if tried == self.tries or isinstance(e, urllib.error.HTTPError) and e.code != 429 and e.code < 500:
+                    raise
+                time.sleep(self.wait * 2 ** (tried - 1))
+        raise ValueError("tries must be 1 at least")
 
 
 class OpenAIProvider(HttpProvider):

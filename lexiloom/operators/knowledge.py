@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..schemas import TERMS
+from ..storage import step
 
 DICTIONARY_OPTIONS = ("omim", "ordo", "matonto", "mi2", "envo", "sweet", "mi", "emmo", "yago", "wikidata", "mouse", "human")
 TRIPLE_OPTIONS = ("ncit", "doid", "dbpedia")
@@ -105,6 +106,8 @@ def query(concepts: DataFrame, options: list[str], sources: Sources) -> DataFram
     for i, option in enumerate(options):
         try:
             found = sources.fetch(option, concepts)
+            if found is not None and option not in DICTIONARY_OPTIONS:
+                found = step(found, "knowledge")  # it fails here, if at all, and alone
         except Exception as e:  # a source that fails is skipped, and said so
             found = None
             warnings.warn(f"knowledge option {option!r} failed: {e}", stacklevel=2)

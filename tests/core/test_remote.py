@@ -1,11 +1,15 @@
+import io
 import json
+import urllib.error
+import urllib.request
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexiloom import __main__ as cli
-from lexiloom.operators import agents, embed, sampling
+from lexiloom.operators import agents, embed, knowledge, sampling
 from lexiloom.sources import remote
+from lexiloom.streaming import incremental
 
 
 def test_providers(spark):
@@ -62,3 +66,46 @@ def test_command_line(spark, tmp_path):
     assert spark.read.json(path).count() == 8
     cli.review_rows(spark.createDataFrame([("a", "b")], "u string, v string"), str(tmp_path / "r"))
     assert spark.read.option("header", True).csv(str(tmp_path / "r")).first().expert_edge == "a->b"
+
+
+def test_command_line_graph(spark, tmp_path):
+    """An ontology as a source and for structure, and the graph of accepted answers with its reviews."""
+    (tmp_path / "m.json").write_text(json.dumps({"agent_type": "rules", "agent_name": "rules", "task": "toy", "query_options": ["ontology"]}))
+    (tmp_path / "d.json").write_text(json.dumps({"sample_sz": 1}))
+    (tmp_path / "a.csv").write_text("source,source_uri,target,target_uri,Relation\nname a,u,name a,v,1\nname b,u,other,v,0\n")
+    ns = 'xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#" xmlns:owl="http://www.w3.org/2002/07/owl#"'
+    (tmp_path / "o.owl").write_text(f'<rdf:RDF {ns}><owl:Class rdf:about="x"/><owl:Class rdf:about="name a"><rdfs:subClassOf rdf:resource="x"/></owl:Class></rdf:RDF>')
+    argv = ["--method_config", str(tmp_path / "m.json"), "--dataset_config", str(tmp_path / "d.json"), "--csv", str(tmp_path / "a.csv"), "--ontology", str(tmp_path / "o.owl"), "--out", str(tmp_path), "--graph", "5"]
+    path = cli.main(argv, spark)
+    assert spark.read.json(path).count() == 2
+    kept = incremental.GraphStore(spark, f"{path.removesuffix('.jsonl')}.graph").load()
+    assert {tuple(e) for e in kept.edges.collect()} == {("name a", "name a")} and kept.classes.count() == 3
+
+
+def test_failing_source(spark):
+    """A source that fails when it runs is skipped, and said so."""
+    def fails(concepts):
+        return concepts.select("concept_code", *[F.expr(f"if(length(concept_code) > 0, raise_error('away'), cast(array() as array<string>)) as {k}") for k in knowledge.TERMS])
+
+    concepts = spark.createDataFrame([("a",)], "concept_code string")
+    with pytest.warns(UserWarning, match="ncit"):
+        got = knowledge.query(concepts, ["ncit"], knowledge.Sources(triples={"ncit": fails})).first()
+    assert got.source_error == "ncit" and got.parents == []
+
+
+def test_calls_again(monkeypatch):
+    calls = []
+
+    def answer(request, timeout):
+        calls.append(json.loads(request.data))
+        if len(calls) < 3:
+            raise urllib.error.URLError("busy")
+        return io.BytesIO(json.dumps({"choices": [{"message": {"content": "yes"}}]}).encode())
+
+    monkeypatch.setenv("OPENAI_API_KEY", "k")
+    monkeypatch.setattr(urllib.request, "urlopen", answer)
+    one = agents.OpenAIProvider("m", response_format={"type": "json_object"}, wait=0)
+    assert one.complete("s", "u") == ("yes", 0, 0) and len(calls) == 3 and calls[0]["response_format"] == {"type": "json_object"}
+    calls.clear()
+    with pytest.raises(urllib.error.URLError):
+        agents.OpenAIProvider("m", tries=2, wait=0).complete("s", "u")
