@@ -290,6 +290,7 @@ class Encoder:
         self.known: dict[str, tuple[int, str, str]] = {}
         self.older: dict[str, tuple[int, str, str]] = {}
         self.most = cache_words
+        self.odd = False
 
     def core(self, word: str) -> list[int]:
         """Ids of one pre-token."""
@@ -303,12 +304,15 @@ class Encoder:
         return ids + one.finish()
 
     def piece(self, word: str) -> tuple[int, str, str]:
+        """A word that is not known yet. ``odd`` tells of code points that only the library splits for sure; such words are not kept."""
         found = self.older.get(word)
         if found is None:
             ids = self.core(word)
             self.back.any = True
             found = (len(ids), " " + " ".join(map(str, ids)), self.back.feed(ids))
-        if len(word) <= 64:
+        if not word.isascii() and unsure().search(word):
+            self.odd = True
+        elif len(word) <= 64:
             if len(self.known) >= self.most:
                 self.older, self.known = self.known, {}
             self.known[word] = found
@@ -352,7 +356,11 @@ class Encoder:
             if "<|" in some and self.m.special_split.search(some):
                 got = [(1, f" {x}", " " + self.m.piece[x].decode()) if isinstance(x, int) else get(x) or piece(x) for x in self.parts(some)]
             else:
-                got = [get(x) or piece(x) for x in self.pre(some)]
+                # every code point but white space is in a pre-token, whichever way it is split
+                self.odd = False
+                got = [get(x) or piece(x) for x in _pre(some)]
+                if self.odd:
+                    got = [get(x) or piece(x) for x in self.pre(some)]
             if got:
                 skip = n == 0
                 count, a, b = zip(*got)
