@@ -106,12 +106,14 @@ def walks(nodes: DataFrame, edges: DataFrame, length: int = 30, per_node: int =
     """walk_id, path: random walks along edges, ``per_node`` from each node.
 
     Each step joins the walks' ends with the sorted neighbour lists and picks by hash, so a rerun walks the same ways. With
-    p or q other than 1, a step back weighs 1/p and one to no neighbour of the place before 1/q.
+    p or q other than 1, a step back weighs 1/p and one to no neighbour of the place before 1/q; only then are the neighbours
+    of the place before carried along. Walks that have come to an end are written apart every few steps.
     """
     near = edges.distinct().groupBy(F.col("parent").alias("at")).agg(F.array_sort(F.collect_list("child")).alias("near"))
     near = step(near, "near")
     now = nodes.select("id", F.explode(F.sequence(F.lit(1), F.lit(per_node))).alias("n"))
     now = now.select(F.concat_ws("#", "id", "n").alias("walk_id"), F.array("id").alias("path"), F.col("id").alias("at"), F.lit(None).cast("array<string>").alias("before"))
+    ended = None
     for i in range(1, length):
         both = now.join(near, "at", "left")
         roll = F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "walk_id"), F.lit(1 << 30)).cast("double") / (1 << 30)
@@ -131,20 +133,29 @@ def walks(nodes: DataFrame, edges: DataFrame, length: int = 30, per_node: int =
         now = both.select(
             "walk_id",
             F.when(F.col("next").isNotNull(), F.concat("path", F.array("next"))).otherwise(F.col("path")).alias("path"),
-            F.col("next").alias("at"), F.col("near").alias("before"),
+            F.col("next").alias("at"), (F.lit(None).cast("array<string>") if p == 1 and q == 1 else F.col("near")).alias("before"),
         )
         if i % 5 == 0:
-            now = step(now, "walks")
-    return now.select("walk_id", "path")
+            every = step(now, "walks")
+            over, now = every.where("at IS NULL").select("walk_id", "path"), every.where("at IS NOT NULL")
+            ended = over if ended is None else ended.unionByName(over)
+            if now.isEmpty():
+                break
+    rest = now.select("walk_id", "path")
+    return rest if ended is None else ended.unionByName(rest)
 
 
 def structural(nodes: DataFrame, edges: DataFrame, dim: int = 128, length: int = 30, per_node: int = 200, window: int = 10, seed: int = 42, p: float = 1.0, q: float = 1.0) -> DataFrame:
-    """id, structure: skip-gram vectors of the nodes on walks; zeros for nodes no walk holds. Trained once for all sides."""
+    """id, structure: skip-gram vectors of the nodes on walks; zeros for nodes no walk holds. Trained once for all sides.
+
+    As many partitions train as the session shuffles into; Spark joins their models after the pass.
+    """
     zeros = F.array_repeat(F.lit(0.0), dim)
     if edges.isEmpty():
         return nodes.select("id", zeros.alias("structure"))
     paths = step(walks(nodes, edges, length, per_node, p, q, seed), "paths")
-    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=1, seed=seed, maxSentenceLength=max(length, 1), inputCol="path", outputCol="v").fit(paths)
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    model = Word2Vec(numPartitions=parts, maxIter=1, vectorSize=dim, windowSize=window, minCount=1, seed=seed, maxSentenceLength=max(length, 1), inputCol="path", outputCol="v").fit(paths)
     vectors = model.getVectors().select(F.col("word").alias("id"), vector_to_array("vector").alias("structure"))
     return nodes.select("id").distinct().join(vectors, "id", "left").withColumn("structure", F.coalesce("structure", zeros))
 

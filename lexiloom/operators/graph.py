@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..storage import step, step_path
@@ -27,8 +27,9 @@ def in_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(counts, "id", "left").select("id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
-def ranks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, rank: the longest path from a root, by peeling one level a step.
+def ranks(nodes: DataFrame | None, edges: DataFrame, written: bool = False) -> DataFrame:
+    """id, rank: the longest path from a root, by peeling one level a step. Ends of edges are nodes, with or without ``nodes``.
+    ``written``: the edges are a table of distinct rows, which need not be written once more.
 
     A node is peeled when its last parent has been; its step is its rank. Nodes on a cycle are never peeled: those with a
     peeled parent get the greatest such rank plus one, the others none. Steps: the length of the longest path. A step joins
@@ -36,30 +37,35 @@ def ranks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     are rewritten once half of them are behind.
     """
     spark = edges.sparkSession
-    every = left = step(edges.distinct(), "edges")
-    nodes = nodes_of(nodes, edges)
-    degree = every.groupBy(F.col("child").alias("id")).agg(F.count(F.lit(1)).alias("open"))
-    start = nodes.join(degree, "id", "left").select("id", F.coalesce("open", F.lit(0)).alias("open"), F.lit(0).cast("long").alias("met"))
+    every = left = edges.select("parent", "child") if written else step(edges.select("parent", "child").distinct(), "edges")
+    # nodes and their open parents in one aggregation
+    ends = every.select(F.explode(F.array(F.struct(F.col("parent").alias("id"), F.lit(0).cast("long").alias("n")), F.struct(F.col("child").alias("id"), F.lit(1).cast("long").alias("n")))).alias("end")).select("end.*")
+    if nodes is not None:
+        ends = ends.unionByName(nodes.select("id", F.lit(0).cast("long").alias("n")))
+    start = ends.groupBy("id").agg(F.sum("n").alias("open")).select("id", "open", F.lit(0).cast("long").alias("met"))
     # one table with a part a level: what is peeled there has no open parent
     base = f"{step_path(spark, 'levels')}"
-    start.write.parquet(f"{base}/rank=0")
-    schema = start.schema
+
+    def write(counts: DataFrame, level: int) -> tuple[int, int]:
+        """How many nodes are peeled at the level, and how many edges it met."""
+        seen = Observation()
+        counts.observe(seen, F.count_if(F.col("open") == 0).alias("peeled"), F.coalesce(F.sum("met"), F.lit(0)).alias("met")).write.parquet(f"{base}/rank={level}")
+        return seen.get["peeled"], seen.get["met"]
+
     level, behind, size = 0, 0, every.count()
-    while True:
-        now = spark.read.schema(schema).parquet(f"{base}/rank={level}")
-        front = now.where("open = 0").select(F.col("id").alias("parent"))
-        did = now.agg(F.count_if(F.col("open") == 0).alias("peeled"), F.coalesce(F.sum("met"), F.lit(0)).alias("met")).first()
-        if not did["peeled"]:
-            break
-        behind += did["met"]
+    peeled, _ = write(start, 0)
+    while peeled:
+        now = spark.read.schema(start.schema).parquet(f"{base}/rank={level}")
         if 2 * behind > size:
             left = step(left.join(now.where("open > 0").select(F.col("id").alias("child")), "child", "left_semi").select("parent", "child"), "edges")
             behind, size = 0, left.count()
+        front = now.where("open = 0").select(F.col("id").alias("parent"))
         met = left.join(front, "parent").groupBy(F.col("child").alias("id")).agg(F.count(F.lit(1)).alias("now"))
-        level += 1
         counts = now.where("open > 0").join(met, "id", "left").withColumn("now", F.coalesce("now", F.lit(0)))
-        counts.select("id", (F.col("open") - F.col("now")).alias("open"), F.col("now").alias("met")).write.parquet(f"{base}/rank={level}")
-    levels = spark.read.schema(f"{schema.simpleString()[7:-1].replace(':', ' ')}, rank int").parquet(base)
+        level += 1
+        peeled, met_now = write(counts.select("id", (F.col("open") - F.col("now")).alias("open"), F.col("now").alias("met")), level)
+        behind += met_now
+    levels = spark.read.schema("id string, open long, met long, rank int").parquet(base)
     known = levels.where("open = 0").select("id", "rank")
     # nodes on or behind a cycle that a ranked node feeds
     rest = levels.where((F.col("rank") == level) & (F.col("open") > 0)).select(F.col("id").alias("child"))

@@ -12,14 +12,14 @@ from ..storage import step
 from . import graph
 
 
-def offline_refine(edges: DataFrame, ranks: DataFrame, mode: str = "by_rank") -> tuple[DataFrame, DataFrame]:
+def offline_refine(edges: DataFrame, ranks: DataFrame, mode: str = "by_rank", written: bool = False) -> tuple[DataFrame, DataFrame]:
     """(blocks (id, block named by its least id), compressed edges).
 
     ``by_rank``: blocks start as ranks; at rank i each block of higher rank splits once, into the children of the least
     splitting node of rank i and the others. ``full``: blocks split by their members' parent blocks until none does, the
-    coarsest stable partition under its ranks.
+    coarsest stable partition under its ranks. ``written``: the edges are a table of distinct rows.
     """
-    edges = step(edges.distinct(), "edges")
+    edges = edges.select("parent", "child") if written else step(edges.select("parent", "child").distinct(), "edges")
     ranks = step(ranks.select("id", F.col("rank").cast("int").alias("rank")), "ranks")
     top = ranks.agg(F.max("rank")).first()[0]
     if top is None:
@@ -40,10 +40,12 @@ def _split(blocks: DataFrame, edges: DataFrame, rank: int, label: Callable[[Colu
     hit = edges.join(above.select(F.col("id").alias("child"), "block"), "child")
     sizes = above.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
     covered = hit.groupBy("block", "parent").agg(F.count(F.lit(1)).alias("n"))
-    splitter = covered.join(sizes, "block").where("n < size").groupBy("block").agg(F.min("parent").alias("by"))
+    # written, since it is read twice and its size then says whether it can be broadcast
+    splitter = step(covered.join(sizes, "block").where("n < size").groupBy("block").agg(F.min("parent").alias("by")), "splitters")
     # a member of a block that splits is met by its splitter once at most
     split = blocks.join(splitter, "block", "left")
-    met = edges.select(F.col("child").alias("id"), F.col("parent").alias("by"), F.lit("1").alias("bit"))
+    met = edges.join(splitter.select(F.col("by").alias("parent")).distinct(), "parent", "left_semi")
+    met = met.select(F.col("child").alias("id"), F.col("parent").alias("by"), F.lit("1").alias("bit"))
     out = split.join(met, ["id", "by"], "left")
     return out.select("id", "rank", F.when(F.col("by").isNotNull(), label(F.col("block"), F.coalesce("bit", F.lit("0")))).otherwise(F.col("block")).alias("block"))
 

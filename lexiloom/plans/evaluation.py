@@ -114,7 +114,8 @@ def _near(alignment: DataFrame, metadata: DataFrame, pairs: DataFrame, side: str
 
 def compress(edges: DataFrame, mode: str = "by_rank") -> tuple[DataFrame, DataFrame]:
     """(blocks, compressed edges) of a concept graph."""
-    return refine.offline_refine(edges, graph.ranks(graph.nodes_of(None, edges), edges), mode)
+    edges = step(edges.select("parent", "child").distinct(), "edges")
+    return refine.offline_refine(edges, graph.ranks(None, edges, written=True), mode, written=True)
 
 
 def summary(predictions: DataFrame, method: str, task: str, options: list[str], model: str = "rules", seconds: float = 0.0) -> DataFrame:

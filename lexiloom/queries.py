@@ -487,8 +487,7 @@ def S9_K3_ncit_parents(spark, d):
 UNION SELECT e.child, r.rank + 1 FROM r JOIN hedges e ON e.parent = r.id)
 SELECT id, CAST(max(rank) AS INTEGER) AS rank FROM r GROUP BY id""")
 def G1_ranks(spark, d):
-    edges = _edges(spark, d)
-    return graph.ranks(graph.nodes_of(None, edges), edges)
+    return graph.ranks(None, _edges(spark, d))
 
 
 @query(f"""WITH {TOP_EDGES_SQL} SELECT parent, child FROM tedges UNION SELECT concat('C', o_custkey), concat('O', o_orderkey) FROM orders""")
@@ -609,9 +608,9 @@ def M3_M6_inference(spark, d):
 
 @query()
 def V7_V8_structural(spark, d):
+    """The concepts are regions, nations, customers and suppliers; 200 walks of up to 30 steps from each, 128 numbers."""
     edges = _edges(spark, d, False)
-    out = embed.structural(graph.nodes_of(None, edges), edges, dim=16, length=6, per_node=2)
-    return out.select("id", F.size("structure").alias("dim"))
+    return embed.structural(graph.nodes_of(None, edges), edges)
 
 
 @query()
@@ -621,5 +620,5 @@ def evaluation_run(spark, d):
     raw = part.selectExpr("p_name as source", "concat('http://ex.org/a#', p_partkey) as source_uri", "p_type as target", "concat('http://ex.org/b#', p_type) as target_uri", "if(p_size % 2 = 0, '1', '0') as Relation").dropDuplicates(["source", "target"])
     none = "cast(array() as array<string>)"
     words = dictionary.merge(part.selectExpr("p_name as concept_code", "array(p_brand) as parents", f"{none} as children", f"{none} as synonyms", "array(p_name) as labels"))
-    settings = evaluation.Settings(options=["envo"], sample=200, agents=agents.create_agents(2, "rules", "rules"), rounds=2, gate=True)
+    settings = evaluation.Settings(options=["envo"], agents=agents.create_agents(2, "rules", "rules"), rounds=2, gate=True)
     return evaluation.records(evaluation.predict(alignments.pairs(raw), knowledge.Sources({"envo": words}), settings))
