@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph as g
@@ -77,9 +77,14 @@ def _starts(concepts: DataFrame, prefix: str) -> DataFrame:
 
 
 def _listed(rows: DataFrame, term: str, order: list[str], limit: int, k: int) -> DataFrame:
-    """concept_code -> terms: lower case, the first k different of the first ``limit`` rows by ``order``."""
-    first = F.slice(F.array_sort(F.collect_list(F.struct(*order, F.lower(term).alias("__term")))), 1, limit)
-    return rows.groupBy("concept_code").agg(F.slice(F.array_distinct(F.transform(first, lambda x: x["__term"])), 1, k).alias("terms"))
+    """concept_code -> terms: lower case, the first k different of the first ``limit`` rows by ``order``.
+
+    Only ``limit`` rows of a concept are ever brought together; tasks cut theirs before the shuffle.
+    """
+    ranked = rows.select("concept_code", F.struct(*order, F.lower(term).alias("__term")).alias("__row"))
+    ranked = ranked.withColumn("__nth", F.row_number().over(Window.partitionBy("concept_code").orderBy("__row"))).where(F.col("__nth") <= limit)
+    first = F.array_sort(F.collect_list("__row"))
+    return ranked.groupBy("concept_code").agg(F.slice(F.array_distinct(F.transform(first, lambda x: x["__term"])), 1, k).alias("terms"))
 
 
 def _assemble(concepts: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:

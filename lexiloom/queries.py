@@ -480,6 +480,55 @@ def S9_K3_ncit_parents(spark, d):
     return triples.ncit_terms(step(moved, "triples"), people).select("concept_code", F.array_join("parents", "|").alias("parents"))
 
 
+@query(f"""WITH kids AS (SELECT concat('N', c_nationkey) AS code, concat('C', c_custkey) AS kid, c_mktsegment AS alt, c_custkey % 2 = 0 AS en FROM customer),
+ch AS (SELECT code, lower(concat('{triples.DBO}', kid)) AS term, row_number() OVER (PARTITION BY code ORDER BY kid) AS nth FROM kids),
+al AS (SELECT code, lower(alt) AS term, row_number() OVER (PARTITION BY code ORDER BY kid) AS nth FROM kids WHERE en),
+al1 AS (SELECT code, term, min(nth) AS first FROM al WHERE nth <= 10 GROUP BY code, term),
+al2 AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY first) AS nth FROM al1),
+chs AS (SELECT code, string_agg(term, '|' ORDER BY nth) AS children FROM ch WHERE nth <= 3 GROUP BY code),
+als AS (SELECT code, string_agg(term, '|' ORDER BY nth) AS synonyms FROM al2 WHERE nth <= 3 GROUP BY code)
+SELECT concat('N', n_nationkey) AS concept_code, '' AS parents, coalesce(children, '') AS children, coalesce(synonyms, '') AS synonyms, '' AS labels
+FROM nation LEFT JOIN chs ON chs.code = concat('N', n_nationkey) LEFT JOIN als ON als.code = concat('N', n_nationkey)
+UNION ALL SELECT kid, lower(concat('{triples.DBO}', code)), '', '', CASE WHEN en THEN lower(alt) ELSE '' END FROM kids""")
+def K3_dbpedia_terms(spark, d):
+    """Customers are instances of their nations; even ones have an English other name, odd ones a German one."""
+    c = table(spark, d, "customer")
+    kid = f"concat('{triples.DBO}C', c_custkey) as s"
+    t = c.selectExpr("'' as graph", kid, f"'{triples.TYPE}' as p", f"concat('{triples.DBO}N', c_nationkey) as o", "'' as lang")
+    t = t.unionByName(c.selectExpr("'' as graph", kid, f"'{triples.SKOS}altLabel' as p", "c_mktsegment as o", "if(c_custkey % 2 = 0, 'en', 'de') as lang"))
+    codes = table(spark, d, "nation").selectExpr("concat('N', n_nationkey) as concept_code").unionByName(c.selectExpr("concat('C', c_custkey) as concept_code"))
+    out = triples.dbpedia_terms(step(t, "triples"), codes)
+    return out.select("concept_code", *[F.array_join(x, "|").alias(x) for x in ("parents", "children", "synonyms", "labels")])
+
+
+@query("""WITH live AS (SELECT c_custkey, c_nationkey, c_name, c_mktsegment, concat('DOID:C', c_custkey) AS number FROM customer WHERE c_acctbal >= 0 AND c_custkey % 3 <> 0),
+own AS (SELECT concat('N', n_nationkey) AS code, concat('DOID:N', n_nationkey) AS number, n_name AS label, n_nationkey FROM nation),
+down AS (SELECT code, number, label FROM own UNION ALL SELECT concat('N', c_nationkey), number, c_name FROM live),
+dk AS (SELECT code, lower(label) AS term, row_number() OVER (PARTITION BY code ORDER BY number, label) AS nth FROM down),
+dt AS (SELECT code, term, min(nth) AS first FROM dk WHERE nth <= 20 GROUP BY code, term),
+dn AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY first) AS nth FROM dt),
+kids AS (SELECT code, string_agg(term, '|' ORDER BY nth) AS children FROM dn WHERE nth <= 3 GROUP BY code)
+SELECT code AS concept_code, lower(label) AS parents, children, '' AS synonyms, lower(label) AS labels FROM own JOIN kids USING (code)
+UNION ALL SELECT concat('C', c_custkey), CASE WHEN live THEN lower(concat(c_name, '|', n_name)) ELSE lower(n_name) END, CASE WHEN live THEN lower(c_name) ELSE '' END,
+  CASE WHEN c_acctbal >= 0 THEN lower(c_mktsegment) ELSE '' END, lower(c_name)
+FROM (SELECT *, c_acctbal >= 0 AND c_custkey % 3 <> 0 AS live FROM customer) JOIN nation ON n_nationkey = c_nationkey""")
+def K3_doid_terms(spark, d):
+    """Customers are subclasses of their nations, deprecated below zero; two of three have a cross reference, all an exact synonym."""
+    n, c = table(spark, d, "nation"), table(spark, d, "customer")
+    row = lambda df, key, p, o: df.selectExpr("'' as graph", f"concat('{triples.OBO}DOID_', {key}) as s", f"'{p}' as p", f"{o} as o", "'' as lang")
+    nk, ck, own = "concat('N', n_nationkey)", "concat('C', c_custkey)", triples.OBO_IN_OWL
+    parts = [row(c, ck, triples.SUB, f"concat('{triples.OBO}DOID_N', c_nationkey)"), row(c.where("c_acctbal < 0"), ck, f"{triples.OWL}deprecated", "'true'")]
+    parts += [row(n, nk, f"{own}hasDbXref", "'ICD10:x'"), row(c, ck, f"{own}hasDbXref", "if(c_custkey % 3 != 0, 'ICD9:y', 'other:z')"), row(c, ck, f"{own}hasExactSynonym", "c_mktsegment")]
+    for df, key, label in ((n, nk, "n_name"), (c, ck, "c_name")):
+        parts += [row(df, key, triples.LABEL, label), row(df, key, triples.TYPE, f"'{triples.OWL}Class'"), row(df, key, f"{own}id", f"concat('DOID:', {key})"), row(df, key, f"{own}hasOBONamespace", "'disease_ontology'")]
+    t = parts[0]
+    for p in parts[1:]:
+        t = t.unionByName(p)
+    codes = n.selectExpr(f"{nk} as concept_code").unionByName(c.selectExpr(f"{ck} as concept_code"))
+    out = triples.doid_terms(step(t, "triples"), codes)
+    return out.select("concept_code", *[F.array_join(x, "|").alias(x) for x in ("parents", "children", "synonyms", "labels")])
+
+
 # ---- graphs
 
 
