@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, chat_format, fingerprint, html_text, line_dedup, minhash, mixing, periodic, quality, spelling, token_file
+from . import audio, bpe, chat_format, fingerprint, html_text, line_dedup, minhash, mixing, periodic, quality, spelling, token_file, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_bpe": bpe.op9_bpe,
         "op10_quality": quality.op10_quality,
+        "op11_warc": warc.op11_warc,
         "op12_periodic_runs": periodic.op12_periodic_runs,
         "op13_spelling_variants": spelling.op13_spelling_variants,
         "pipeline": corpus_pipeline.run,
