@@ -18,7 +18,7 @@ from .operators import agents, embed, knowledge, sampling, triples
 from .operators.knowledge import Sources
 from .plans import evaluation
 from .sources import alignments, dictionary, predictions, rdf, remote
-from .storage import share_code, step
+from .storage import exists, share_code, step
 from .streaming import incremental
 
 log = logging.getLogger("lexiloom")
@@ -63,12 +63,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
         own.structure = {}
     alignment = alignments.load(spark, a.csv, dataset.get("dataset_type", "generic"))
     path = f"{a.out.rstrip('/')}/{predictions.prediction_path(task, own.agents[0].model, a.baseline)}"
-    done = predictions.read_predictions(spark, path) if exists(spark, path) else None
+    done = predictions.read_predictions(spark, path) if exists(spark, path) and (exists(spark, f"{path}.log") or not exists(spark, f"{path}/batch=0")) else None
+    batch = predictions.next_batch(spark, path)
     began = time.time()
-    rows = step(evaluation.records(evaluation.predict(alignment, sources, own, edges=sources.edges, done=done)), "predictions")
-    predictions.append_predictions(rows, path)
+    rows = step(evaluation.predict(alignment, sources, own, edges=sources.edges, done=done), "predictions")
+    # the graph first: both pass over a batch that they hold, so a run that ends between the two is made up for by the next
     if a.graph:
-        refine_graph(spark, rows, f"{path.removesuffix('.jsonl')}.graph", a.graph)
+        refine_graph(spark, rows, f"{path.removesuffix('.jsonl')}.graph", a.graph, batch)
+    predictions.append_predictions(evaluation.records(rows), path, batch)
     every = predictions.read_predictions(spark, path)
     row = evaluation.summary(every, method.get("method_name", ""), task, own.options, own.agents[0].model, time.time() - began)
     predictions.write_metrics(row, path)
@@ -100,24 +102,17 @@ def sources_of(spark: SparkSession, a: argparse.Namespace) -> Sources:
     return Sources(known, edges, asked, net)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether there is something at any path that Spark can read."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
-def refine_graph(spark: SparkSession, rows, path: str, every: int) -> None:
-    """Accepted answers enter the kept concept graph in order, with a refresh after every few; edges for an expert go to reviews."""
+def refine_graph(spark: SparkSession, rows, path: str, every: int, batch: int) -> None:
+    """Accepted answers enter the kept concept graph in order of their pairs, ranks following after every few; edges for an expert go to reviews."""
     store = incremental.GraphStore(spark, path)
-    taken = rows.where("accepted").select(F.monotonically_increasing_id().alias("seq"), F.col("source").alias("u"), F.col("target").alias("v"), F.col("pred_relation").alias("pred"))
-    before = store.load().expert
-    incremental.apply_batch(store, taken, store.last()[1] + 1, every)
-    review_rows(store.load().expert.exceptAll(before), f"{path}.reviews")
+    taken = rows.where("accepted").select(F.col("pair_id").alias("seq"), F.col("source").alias("u"), F.col("target").alias("v"), F.col("pred_relation").alias("pred"))
+    incremental.apply_batch(store, taken, batch, every)
+    review_rows(store.expert(batch), f"{path}.reviews", batch)
 
 
-def review_rows(expert, path: str) -> None:
+def review_rows(expert, path: str, batch: int = 0) -> None:
     """The edges that await an expert, as (source, target, u->v)."""
-    predictions.append_reviews(expert.select(F.col("u").alias("source"), F.col("v").alias("target"), F.concat("u", F.lit("->"), "v").alias("expert_edge")), path)
+    predictions.append_reviews(expert.select(F.col("u").alias("source"), F.col("v").alias("target"), F.concat("u", F.lit("->"), "v").alias("expert_edge")), path, batch)
 
 
 __all__ = ["agents", "arguments", "main", "review_rows"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..storage import step, step_path
@@ -73,20 +73,98 @@ def ranks(nodes: DataFrame | None, edges: DataFrame, written: bool = False) -> D
     return known.unionByName(fed.groupBy(F.col("child").alias("id")).agg((F.max("rank") + 1).alias("rank")))
 
 
+#: Hops that are walked one by one before paths double.
+HOPS = 4
+
+
 def closure(edges: DataFrame, start: DataFrame, down: bool = True, include_self: bool = False) -> DataFrame:
-    """start, id: everything reached from each start id over one edge or more (or none, with ``include_self``).
+    """start, id: everything reached from each start id over one edge or more (or none, with ``include_self``)."""
+    return closure_in_rounds(edges, start, down, include_self)[0]
+
 
-    One step a level over the new pairs only, to the end; cycles end by themselves.
+def closure_in_rounds(edges: DataFrame, start: DataFrame, down: bool = True, include_self: bool = False) -> tuple[DataFrame, int]:
+    """The closure, and how many rounds have found pairs.
+
+    The first hops are walked one by one, which is all that shallow hierarchies need. Then paths double: with all pairs up to
+    2^k edges apart known, one join with the ends of walks of just 2^k edges gives those up to twice as far, so rounds grow
+    with the logarithm of the depth. A round without a new pair ends it, on cycles too, since the first node further away
+    would lie at just one edge more. Every pair is written once, to a part of one table that plans read as a whole.
+    """
+    spark = edges.sparkSession
+    a, b = ("parent", "child") if down else ("child", "parent")
+    hop = step(edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct(), "hops")
+    base, rounds = step_path(spark, "pairs"), 0
+    here = start.select(F.col("id").alias("start"), "id").distinct()
+    front = here if include_self else here.join(hop, "id").select("start", F.col("next").alias("id")).distinct()
+
+    def write(pairs: DataFrame) -> DataFrame:
+        pairs.write.parquet(f"{base}/round={rounds}")
+        return read(f"{base}/round={rounds}")
+
+    def read(path: str) -> DataFrame:
+        return spark.read.schema("start string, id string").parquet(path).select("start", "id")
+
+    def further(pairs: DataFrame, hops: DataFrame) -> DataFrame:
+        return pairs.join(hops, "id").select("start", F.col("next").alias("id")).distinct().join(read(base), ["start", "id"], "left_anti")
+
+    front = write(front)
+    while not front.isEmpty():
+        rounds += 1
+        if rounds < HOPS + include_self:
+            front = write(further(front, hop))
+            continue
+        # walks of as many edges as are known: four at first, then twice as many each time
+        for _ in range(HOPS.bit_length() - 1 if rounds == HOPS + include_self else 1):
+            hop = step(hop.join(hop.select(F.col("id").alias("next"), F.col("next").alias("then")), "next").select("id", F.col("then").alias("next")).distinct(), "hops")
+        front = write(further(read(base), hop))
+    return read(base), rounds
+
+
+def least_reachable(edges: DataFrame, start: DataFrame, items: DataFrame, limit: int, down: bool = True, include_self: bool = False) -> DataFrame:
+    """start, items: of the items (id, item) of all that a start id reaches, the least ``limit``, each once, in order.
+
+    No pair of start and reached id is made: every node keeps the least items of itself and all behind it, and hands them on to
+    the nodes before it when they change. The least of a union are the least of the parts' least, so what is cut off
+    could never come in again, and an item that comes by several paths is one item. Rows are at most ``limit`` an edge and
+    round; rounds are the length of the longest path on which anything changes. Cycles end by themselves.
     """
     a, b = ("parent", "child") if down else ("child", "parent")
-    hop = edges.select(F.col(a).alias("id"), F.col(b).alias("__next")).distinct()
-    front = start.select(F.col("id").alias("start"), "id").distinct()
-    seen = step(front if include_self else front.limit(0), "seen")
+    hop = edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct()
+    # one source for all starts: what is reached at all
+    ids = start.select("id").distinct()
+    region = closure_of_all(hop, ids)
+    hop = step(hop.join(region, "id", "left_semi"), "hops")
+    kept = step(_least(items.select("id", "item").join(region, "id", "left_semi"), "id", limit), "least")
+    changed = kept
+    while True:
+        came = hop.join(changed.select(F.col("id").alias("next"), "items"), "next").select("id", F.explode("items").alias("item"))
+        to = step(_least(came, "id", limit).withColumnRenamed("items", "new"), "came")
+        both = to.join(kept, "id", "left").select("id", F.coalesce("items", F.expr("filter(new, x -> false)")).alias("old"), "new")
+        merged = both.select("id", "old", F.slice(F.array_sort(F.array_union("old", "new")), 1, limit).alias("items"))
+        changed = step(merged.where(F.col("old") != F.col("items")).select("id", "items"), "least")
+        if changed.isEmpty():
+            break
+        kept = step(kept.join(changed.select("id"), "id", "left_anti").unionByName(changed), "least")
+    if include_self:
+        return kept.join(ids, "id", "left_semi").withColumnRenamed("id", "start")
+    came = ids.join(hop, "id").join(kept.withColumnRenamed("id", "next"), "next").select("id", F.explode("items").alias("item"))
+    return _least(came, "id", limit).withColumnRenamed("id", "start")
+
+
+def closure_of_all(hop: DataFrame, ids: DataFrame) -> DataFrame:
+    """id: the ids and all that they reach over hops (id, next), each once."""
+    seen = front = step(ids, "reached")
     while True:
-        front = step(front.join(hop, "id").select("start", F.col("__next").alias("id")).distinct().join(seen, ["start", "id"], "left_anti"), "front")
+        front = step(front.join(hop, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti"), "reached")
         if front.isEmpty():
             return seen
-        seen = step(seen.unionByName(front), "seen")
+        seen = step(seen.unionByName(front), "reached")
+
+
+def _least(rows: DataFrame, by: str, limit: int) -> DataFrame:
+    """The least ``limit`` different items of each, in order; tasks cut theirs before the shuffle."""
+    ranked = rows.withColumn("nth", F.dense_rank().over(Window.partitionBy(by).orderBy("item"))).where(F.col("nth") <= limit)
+    return ranked.groupBy(by).agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
 def collapse(edges: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import step
-from . import graph
+from . import forest, graph
 
 
 def offline_refine(edges: DataFrame, ranks: DataFrame, mode: str = "by_rank", written: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -95,60 +95,14 @@ def online_refine(state: State, delta: list[tuple[str, str]], pred: int, keep_re
     if not delta:
         return state
     rows = spark.createDataFrame([(i, u, v) for i, (u, v) in enumerate(delta)], "seq long, u string, v string")
+    by = rows.join(state.classes.select(F.col("id").alias("u"), "block"), "u", "left").select("seq", "u", "v", F.coalesce("block", "u").alias("id"))
+    order = by.join(state.ranks, "id", "left").orderBy(F.coalesce("rank", F.lit(0)), "seq").select("u", "v").collect()
+    labels = state.classes.select("id", F.col("block").alias("name"), F.lit(forest.NEVER).cast("long").alias("seq"))
+    replay = forest.Replay(state.edges, state.ranks, labels, spark.createDataFrame([], forest.LINK), keep_rejected=keep_rejected)
+    replay.run((r.u, r.v, pred) for r in order)
     ends = rows.select(F.col("u").alias("id")).unionByName(rows.select(F.col("v").alias("id"))).distinct()
-    classes = state.classes.unionByName(ends.join(state.classes, "id", "left_anti").select("id", F.col("id").alias("block")))
-    ranked = ends.unionByName(classes.join(ends, "id", "left_semi").select(F.col("block").alias("id"))).distinct()
-    ranks = state.ranks.unionByName(ranked.join(state.ranks, "id", "left_anti").select("id", F.lit(0).alias("rank")))
-    edges = state.edges
-    if pred == 1 or keep_rejected:
-        edges = edges.unionByName(rows.select(F.col("u").alias("parent"), F.col("v").alias("child"))).distinct()
-    classes, ranks, edges = step(classes, "classes"), step(ranks, "ranks"), step(edges, "edges")
-    by = rows.join(classes.select(F.col("id").alias("u"), "block"), "u").join(ranks.select(F.col("id").alias("block"), "rank"), "block", "left")
-    order = [(r.u, r.v) for r in by.orderBy(F.coalesce("rank", F.lit(0)), "seq").select("u", "v").collect()]
-    asked = []
-    for u, v in order:
-        got = {r.id: r.block for r in classes.where(F.col("id").isin(u, v)).collect()}
-        bu, bv = got[u], got[v]
-        rank = {r.id: r.rank for r in ranks.where(F.col("id").isin(bu, bv)).collect()}
-        ru, rv = rank.get(bu, 0), rank.get(bv, 0)
-        if pred == 1 and bu != bv:
-            if ru != rv:
-                winner, loser = (bu, bv) if ru > rv else (bv, bu)
-                classes = classes.withColumn("block", F.when(F.col("block") == loser, F.lit(winner)).otherwise(F.col("block")))
-            else:
-                classes = _partly(classes, edges, bu, bv)
-        elif pred == 0 and bu == bv:
-            classes = _carve(classes, edges, bu, v)
-            asked.append((u, v))
-        classes = step(classes, "classes")
-    expert = state.expert
-    if asked:
-        expert = expert.unionByName(spark.createDataFrame(asked, "u string, v string"))
-    return State(edges, ranks, classes, expert)
-
-
-def _partly(classes: DataFrame, edges: DataFrame, bu: str, bv: str) -> DataFrame:
-    in_u, in_v = (classes.where(F.col("block") == b).select("id") for b in (bu, bv))
-    parents = edges.join(in_v.withColumnRenamed("id", "child"), "child", "left_semi").select(F.col("parent").alias("id")).distinct()
-    children = edges.join(in_u.withColumnRenamed("id", "parent"), "parent", "left_semi")
-    children = children.select(F.col("child").alias("id")).distinct()
-    marked = classes.join(parents.withColumn("p", F.lit(True)), "id", "left").join(children.withColumn("c", F.lit(True)), "id", "full_outer")
-    return marked.select("id", F.when(F.col("c"), F.lit(bv)).when(F.col("p"), F.lit(bu)).otherwise(F.coalesce("block", "id")).alias("block"))
-
-
-def _carve(classes: DataFrame, edges: DataFrame, block: str, v: str) -> DataFrame:
-    members = classes.where(F.col("block") == block).select("id")
-
-    def around(a: str, b: str, name: str) -> DataFrame:
-        near = edges.select(F.col(a).alias("id"), F.col(b).alias("x")).distinct().join(members, "id", "left_semi")
-        return near.groupBy("id").agg(F.array_sort(F.collect_list("x")).alias(name))
-
-    none = F.expr("cast(array() as array<string>)")
-    shape = members.join(around("parent", "child", "down"), "id", "left").join(around("child", "parent", "up"), "id", "left")
-    shape = shape.select("id", F.coalesce("down", none).alias("down"), F.coalesce("up", none).alias("up"))
-    own = shape.where(F.col("id") == v).select(F.col("down").alias("d"), F.col("up").alias("p"))
-    apart = shape.crossJoin(F.broadcast(own)).where("down != d or up != p").select("id", F.lit(True).alias("apart"))
-    return classes.join(apart, "id", "left").select("id", F.when(F.col("apart"), F.col("id")).otherwise(F.col("block")).alias("block"))
+    fresh = ends.join(state.ranks, "id", "left_anti").select("id", F.lit(0).alias("rank"))
+    return State(replay.after("edges").select("parent", "child").distinct(), state.ranks.select("id", "rank").unionByName(fresh), forest.classes(replay.after("labels"), replay.after("links")), forest.union([state.expert, *replay.new["expert"]]))
 
 
 def empty_state(spark) -> State:

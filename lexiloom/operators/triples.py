@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import step
 from . import graph as g
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
@@ -87,6 +88,13 @@ def _listed(rows: DataFrame, term: str, order: list[str], limit: int, k: int) ->
     return ranked.groupBy("concept_code").agg(F.slice(F.array_distinct(F.transform(first, lambda x: x["__term"])), 1, k).alias("terms"))
 
 
+def _reached(edges: DataFrame, start: DataFrame, items: DataFrame, limit: int, k: int, down: bool, include_self: bool = False) -> DataFrame:
+    """concept_code -> terms: lower case, the first k different labels of the least ``limit`` items that the concept reaches."""
+    found = g.least_reachable(edges, start, items, limit, down, include_self).withColumnRenamed("start", "id")
+    terms = F.slice(F.array_distinct(F.transform("items", lambda x: F.lower(x["label"]))), 1, k)
+    return start.join(found, "id").select("concept_code", terms.alias("terms"))
+
+
 def _assemble(concepts: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
     none = F.expr("cast(array() as array<string>)")
     out = concepts.select("concept_code").distinct()
@@ -104,10 +112,9 @@ def ncit_terms(triples: DataFrame, concepts: DataFrame, k: int = 3, graph: str |
     start = _starts(concepts, NCIT)
     label = pattern(t, "id", LABEL, "label")
     out = {}
+    items = step(label.select("id", F.struct("label", "id").alias("item")), "items")
     for name, down in (("children", True), ("parents", False)):
-        reached = g.closure(hierarchy_edges(t), start, down).select(F.col("start"), "id")
-        rows = start.withColumnRenamed("id", "start").join(reached, "start").join(label, "id")
-        out[name] = _listed(rows, "label", ["label", "id"], 500, k)
+        out[name] = _reached(hierarchy_edges(t), start, items, 500, k, down)
     props = pattern(t, "prop", TYPE, F.lit(f"{OWL}AnnotationProperty")).join(pattern(t, "prop", LABEL, "prop_label"), "prop")
     rows = start.join(t.select(F.col("s").alias("id"), F.col("p").alias("prop"), F.col("o").alias("prop_value")), "id").join(props, "prop")
     out["synonyms"] = _listed(rows, "prop_value", ["prop_label", "prop_value"], 100, k)
@@ -138,10 +145,10 @@ def doid_terms(triples: DataFrame, concepts: DataFrame, k: int = 3) -> DataFrame
     xref = pattern(t, "id", f"{OBO_IN_OWL}hasDbXref", "xref").where(F.col("xref").rlike("^(ICD9|ICD10|SNOMED)"))
     number = pattern(t, "id", f"{OBO_IN_OWL}id", "number")
     out = {}
+    rows = not_exists(label.join(number, "id").join(xref, "id"), deprecated, ["id"])
+    items = step(rows.select("id", F.struct("number", "label", "xref", "id").alias("item")), "items")
     for name, down in (("children", True), ("parents", False)):
-        reached = g.closure(hierarchy_edges(t), start, down, include_self=True)
-        rows = start.withColumnRenamed("id", "start").join(reached, "start").join(label, "id").join(number, "id").join(xref, "id")
-        out[name] = _listed(not_exists(rows, deprecated, ["id"]), "label", ["number", "label", "xref"], 20, k)
+        out[name] = _reached(hierarchy_edges(t), start, items, 20, k, down, include_self=True)
     out["synonyms"] = _listed(doid_synonyms(t, concepts), "exact_synonym", ["number", "exact_synonym"], 20, k)
     out["labels"] = _listed(start.join(label, "id"), "label", ["label"], 20, k)
     return _assemble(concepts, out)

@@ -1,69 +1,142 @@
-"""Incremental runs: a file stream of observations, refined edge by edge, with a full refresh every few edges."""
+"""Incremental runs: a file stream of observations, replayed edge by edge on a state of delta files, ranks following the edges.
+
+A state is a folder of tables (edges, levels, labels, links, expert). A batch adds a delta of what it has changed to each, and is
+there once its marker row is written; reads merge the deltas up to the last marker, and every ``COMPACT`` versions the
+deltas become a base. A batch that failed half way leaves deltas that no marker names, and the next attempt overwrites them.
+"""
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..operators import graph, refine
-from ..schemas import CLASS, DELTA, EDGE, RANK
-from ..storage import shared_dir, step
+from ..operators import forest, graph, levels, refine
+from ..schemas import DELTA
+from ..storage import exists, shared_dir, step
 
-TABLES = {"edges": EDGE, "ranks": RANK, "classes": CLASS, "expert": T.StructType([T.StructField("u", T.StringType()), T.StructField("v", T.StringType())])}
+TABLES = {"edges": forest.EDGES, "levels": f"{levels.LEVEL}, seq long", "labels": forest.LABEL, "links": forest.LINK, "expert": "u string, v string, batch long"}
+MARK = "version long, batch long, edges_seen long, ranked long, base long, tables string"
+COMPACT = 16
 
 
 class GraphStore:
-    """A state kept as tables under one folder; a version is complete once its marker row is written."""
+    """A state kept as tables of a base and deltas under one folder."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, (path or f"{shared_dir(spark)}/graph").rstrip("/")
 
     def _marks(self) -> DataFrame:
-        schema = "version long, batch long, edges_seen long"
-        try:
-            return self.spark.read.schema(schema).json(f"{self.path}/versions")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], schema)
+        if not exists(self.spark, f"{self.path}/versions"):
+            return self.spark.createDataFrame([], MARK)
+        return self.spark.read.schema(MARK).json(f"{self.path}/versions")
+
+    def mark(self):
+        """The last version's marker, or None."""
+        return self._marks().orderBy(F.desc("version")).first()
 
     def last(self) -> tuple[int, int, int]:
         """(version, batch, edges seen); version -1 before the first."""
-        got = self._marks().orderBy(F.desc("version")).first()
-        return tuple(got) if got else (-1, -1, 0)
+        got = self.mark()
+        return (got.version, got.batch, got.edges_seen) if got else (-1, -1, 0)
+
+    def _parts(self, table: str) -> tuple[DataFrame, DataFrame]:
+        """The base of a table, and its deltas."""
+        none, got = self.spark.createDataFrame([], TABLES[table]), self.mark()
+        if not got:
+            return none, none
+        read = self.spark.read.schema(TABLES[table])
+        after = self._marks().where((F.col("version") > got.base) & F.array_contains(F.split("tables", ","), table)).select("version").collect()  # COMPACT rows at most
+        paths = [f"{self.path}/{table}/delta-{r.version}" for r in sorted(after)]
+        return read.parquet(f"{self.path}/{table}/base-{got.base}") if got.base >= 0 else none, read.parquet(*paths) if paths else none
+
+    def table(self, name: str) -> DataFrame:
+        base, deltas = self._parts(name)
+        if name != "levels":
+            return base.unionByName(deltas)
+        last = deltas.groupBy("id").agg(F.max(F.struct("seq", "rank", "settled")).alias("at")).select("id", "at.rank", "at.settled", "at.seq")
+        return base.join(deltas.select("id"), "id", "left_anti").unionByName(last)
 
     def load(self) -> refine.State:
-        version = self.last()[0]
-        if version < 0:
-            return refine.empty_state(self.spark)
-        return refine.State(*(self.spark.read.schema(s).parquet(f"{self.path}/{k}-{version}") for k, s in TABLES.items()))
-
-    def save(self, state: refine.State, batch: int, seen: int) -> None:
-        version = self.last()[0] + 1
-        for k in TABLES:
-            getattr(state, k).write.mode("overwrite").parquet(f"{self.path}/{k}-{version}")
-        self.spark.createDataFrame([(version, batch, seen)], "version long, batch long, edges_seen long").coalesce(1).write.mode("append").json(f"{self.path}/versions")
-
-
-def apply_batch(store: GraphStore, rows: DataFrame, batch: int, refresh_every: int = 5) -> None:
+        """The state as a whole, classes resolved."""
+        ranks = self.table("levels").where("rank IS NOT NULL").select("id", "rank")
+        return refine.State(self.table("edges").select("parent", "child"), ranks, forest.classes(self.table("labels"), self.table("links")), self.table("expert").select("u", "v"))
+
+    def expert(self, batch: int) -> DataFrame:
+        """The edges (u, v) of a batch that await an expert."""
+        return self.table("expert").where(F.col("batch") == batch).select("u", "v")
+
+    def begin(self, edges: DataFrame, known: DataFrame | None = None) -> None:
+        """The first version: distinct edges, and their levels where they are known."""
+        edges = step(edges.select("parent", "child"), "edges")
+        known = levels.levels(None, edges) if known is None else known
+        zero = F.lit(0).cast("long").alias("seq")
+        self._commit({"edges": edges.select("parent", "child", zero), "levels": known.select("id", "rank", "settled", zero)}, -1, 0, 0)
+
+    def commit(self, added: dict[str, list[DataFrame]], batch: int, seen: int, ranked: int) -> None:
+        """A new version: tables of rows to add; edges that the graph has are left out."""
+        new = {k: forest.union(v) for k, v in added.items() if v}
+        if "expert" in new:
+            new["expert"] = new["expert"].withColumn("batch", F.lit(batch).cast("long"))
+        if "edges" in new:
+            edges = step(new["edges"].groupBy("parent", "child").agg(F.min("seq").alias("seq")), "edges")
+            known = self.table("edges").join(edges.select("parent", "child"), ["parent", "child"], "left_semi").select("parent", "child")
+            new["edges"] = edges.join(known, ["parent", "child"], "left_anti")
+        self._commit(new, batch, seen, ranked)
+        got = self.mark()
+        if got.version - got.base >= COMPACT:
+            self.compact()
+
+    def _commit(self, tables: dict[str, DataFrame], batch: int, seen: int, ranked: int, base: int | None = None) -> None:
+        got = self.mark()
+        version = got.version + 1 if got else 0
+        kind = "delta" if base is None else "base"
+        for k, rows in tables.items():
+            # columns in the order of the schema; rows near in key lie near
+            rows.select(*[F.col(c.split()[0]) for c in TABLES[k].split(", ")]).sortWithinPartitions(TABLES[k].split()[0]).write.mode("overwrite").parquet(f"{self.path}/{k}/{kind}-{version}")
+        keep = got.base if got else -1
+        row = (version, batch, seen, ranked, version if base is not None else keep, ",".join(tables))
+        self.spark.createDataFrame([row], MARK).coalesce(1).write.mode("append").json(f"{self.path}/versions")
+
+    def compact(self) -> None:
+        """All tables as a base: one label a node, no links."""
+        got = self.mark()
+        found = forest.resolve(None, self.table("labels"), self.table("links"))
+        tables = {k: self.table(k) for k in ("edges", "levels", "expert")}
+        tables["labels"] = found.select("id", "name", F.lit(2 * got.edges_seen).cast("long").alias("seq"))
+        tables["links"] = self.spark.createDataFrame([], forest.LINK)
+        self._commit(tables, got.batch, got.edges_seen, got.ranked, base=got.version + 1)
+
+
+def apply_batch(store: GraphStore, rows: DataFrame, batch: int, refresh_every: int = 5, keep_rejected: bool = False) -> None:
     """The batch's edges (seq, u, v, pred) in order, one by one. A batch that was stored before is passed over.
 
-    After every ``refresh_every`` edges the ranks and classes are made anew from the whole graph.
+    After every ``refresh_every`` edges (0: never) the ranks follow the edges that came since.
     """
-    _, done, seen = store.last()
-    if batch <= done:
+    got = store.mark()
+    if got and batch <= got.batch:
         return
-    state = store.load()
-    for r in rows.orderBy("seq").toLocalIterator():
-        state = refine.online_refine(state, [(r.u, r.v)], r.pred)
-        seen += 1
-        if seen % refresh_every == 0:
-            state = refresh(state)
-    store.save(state, batch, seen)
-
-
-def refresh(state: refine.State) -> refine.State:
+    ranked, known = (got.ranked if got else 0), store.table("levels")
+    replay = forest.Replay(store.table("edges"), known, store.table("labels"), store.table("links"), got.edges_seen if got else 0, keep_rejected)
+    changes: list[DataFrame] = []
+    edges = forest.in_order(rows)
+    while part := list(islice(edges, refresh_every - replay.seen % refresh_every if refresh_every else forest.ROUND)):
+        replay.run(part)
+        if refresh_every and replay.seen % refresh_every == 0:
+            every = replay.after("edges")
+            change = levels.insert_edges(known.select("id", "rank", "settled"), every.where(F.col("seq") <= ranked), every.where(F.col("seq") > ranked))
+            ranked = replay.seen
+            changed = change.rows.select("id", "rank", "settled", F.lit(ranked).cast("long").alias("seq"))
+            changes.append(changed)
+            known = known.join(changed.select("id"), "id", "left_anti").unionByName(changed)
+            if len(changes) % 8 == 0:
+                known = step(known, "levels")
+            replay.ranks = known.select("id", "rank")
+    store.commit({**replay.new, "levels": changes}, batch, replay.seen, ranked)
+
+
+def recompress(state: refine.State) -> refine.State:
     """Ranks of the whole graph, and classes by offline refinement; nodes without rank keep their class."""
     nodes = graph.nodes_of(state.classes, state.edges)
     ranks = step(graph.ranks(nodes, state.edges), "ranks")

@@ -131,3 +131,35 @@ def test_closure_and_merge(spark):
     n, m = g.merge_graphs((start, e), (start, e))
     assert n.count() == 4 and m.count() == 4
     assert {x.id: x.degree for x in g.in_degree(n, m).collect()} == {"a": 1, "b": 1, "c": 2, "d": 0}
+
+
+def test_deep_closure(spark):
+    """Rounds grow with the logarithm of the depth; each pair is found once."""
+    n = 3000
+    chain = spark.range(n).selectExpr("concat('c', id) as parent", "concat('c', id + 1) as child").unionByName(frame(spark, [("c1", "c7"), ("c2500", "c2400")]))
+    start = spark.createDataFrame([("c0",), ("c2990",)], "id string")
+    got, rounds = g.closure_in_rounds(chain, start)
+    pairs = [tuple(r) for r in got.collect()]
+    want = {("c0", f"c{i}") for i in range(1, n + 1)} | {("c2990", f"c{i}") for i in range(2991, n + 1)}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want and rounds < 20
+
+
+@pytest.mark.parametrize("include_self", [False, True])
+def test_least_reachable(spark, include_self):
+    x = random.Random(7)
+    ids = [f"n{i:02}" for i in range(20)]
+    edges = sorted({tuple(x.sample(ids, 2)) for _ in range(24)})  # with cycles
+    items = [(i, x.choice("abcdefgh")) for i in ids for _ in range(x.randint(0, 3))]
+    down = {i: {i} if include_self else set() for i in ids}
+    for i in ids:
+        todo = [i]
+        while todo:
+            for a, b in edges:
+                if a == todo[0] and b not in down[i]:
+                    down[i].add(b)
+                    todo.append(b)
+            todo.pop(0)
+    start = spark.createDataFrame([(i,) for i in ids[:12]], "id string")
+    got = g.least_reachable(frame(spark, edges), start, spark.createDataFrame(items, "id string, item string"), 3, include_self=include_self)
+    want = {i: sorted({v for j, v in items if j in down[i]})[:3] for i in ids[:12]}
+    assert {r.start: r["items"] for r in got.collect()} == {i: v for i, v in want.items() if v}

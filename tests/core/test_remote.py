@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lexiloom import __main__ as cli
 from lexiloom.operators import agents, embed, knowledge, sampling
-from lexiloom.sources import remote
+from lexiloom.sources import predictions, remote
 from lexiloom.streaming import incremental
 
 
@@ -61,9 +61,9 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "k.jsonl").write_text(json.dumps({"concept_code": "name b", "labels": ["name b"]}) + "\n")
     argv = ["--method_config", str(tmp_path / "m.json"), "--dataset_config", str(tmp_path / "d.json"), "--csv", str(tmp_path / "a.csv"), "--dictionary", f"mi={tmp_path / 'k.jsonl'}", "--out", str(tmp_path), "--active_learning"]
     path = cli.main(argv, spark)
-    assert path.endswith("results/results/toy/org-rules_toy.jsonl") and spark.read.json(path).count() == 8
+    assert path.endswith("results/results/toy/org-rules_toy.jsonl") and predictions.read_predictions(spark, path).count() == 8
     cli.main(argv, spark)  # all pairs are done: nothing is added
-    assert spark.read.json(path).count() == 8
+    assert predictions.read_predictions(spark, path).count() == 8
     cli.review_rows(spark.createDataFrame([("a", "b")], "u string, v string"), str(tmp_path / "r"))
     assert spark.read.option("header", True).csv(str(tmp_path / "r")).first().expert_edge == "a->b"
 
@@ -77,7 +77,7 @@ def test_command_line_graph(spark, tmp_path):
     (tmp_path / "o.owl").write_text(f'<rdf:RDF {ns}><owl:Class rdf:about="x"/><owl:Class rdf:about="name a"><rdfs:subClassOf rdf:resource="x"/></owl:Class></rdf:RDF>')
     argv = ["--method_config", str(tmp_path / "m.json"), "--dataset_config", str(tmp_path / "d.json"), "--csv", str(tmp_path / "a.csv"), "--ontology", str(tmp_path / "o.owl"), "--out", str(tmp_path), "--graph", "5"]
     path = cli.main(argv, spark)
-    assert spark.read.json(path).count() == 2
+    assert predictions.read_predictions(spark, path).count() == 2
     kept = incremental.GraphStore(spark, f"{path.removesuffix('.jsonl')}.graph").load()
     assert {tuple(e) for e in kept.edges.collect()} == {("name a", "name a")} and kept.classes.count() == 3
 

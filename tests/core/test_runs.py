@@ -86,3 +86,43 @@ def test_stream(spark, tmp_path):
     incremental.apply_batch(store, spark.createDataFrame([(9, "x", "y", 1)], "seq long, u string, v string, pred int"), version[1])
     assert store.last() == version  # a replayed batch changes nothing
     assert isinstance(state, refine.State)
+
+
+def test_store_of_deltas(spark, tmp_path):
+    """A batch that failed leaves nothing to see, compaction changes no answer, and a batch's bytes do not grow with the graph."""
+    size = lambda n: sum(f.stat().st_size for f in tmp_path.glob(f"{n}/*/delta-1/*.parquet"))
+    written = []
+    for n in (10, 4000):
+        store = incremental.GraphStore(spark, str(tmp_path / str(n)))
+        edges = spark.range(n).selectExpr("concat('p', id % 7) as parent", "concat('c', id) as child")
+        known = edges.selectExpr("child as id", "1 as rank", "true as settled").unionByName(edges.selectExpr("parent as id", "0 as rank", "true as settled").distinct())
+        store.begin(edges, known)
+        rows = spark.createDataFrame([(i, f"p{i}", f"c{i}", 1) for i in range(5)] + [(5, "new", "c1", 0)], "seq long, u string, v string, pred int")
+        before = store.table("labels").count()
+        store._commit = lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost"))
+        with pytest.raises(RuntimeError):
+            incremental.apply_batch(store, rows, 0, refresh_every=0)
+        del store._commit
+        assert store.last() == (0, -1, 0) and store.table("labels").count() == before
+        incremental.apply_batch(store, rows, 0, refresh_every=0)
+        written.append(size(n))
+        want = {f"p{i}": f"c{i}" for i in range(5)} | {f"c{i}": f"c{i}" for i in range(5)} | {"new": "new"}
+        assert {r.id: r.block for r in store.load().classes.collect()} == want
+        assert store.table("edges").count() == n and store.last() == (1, 0, 6)
+        store.compact()
+        assert {r.id: r.block for r in store.load().classes.collect()} == want and store.table("links").count() == 0
+    assert written[1] < 1.2 * written[0]
+
+
+def test_sink_commits_once(spark, tmp_path):
+    path = str(tmp_path / "s.jsonl")
+    row = "'a' as source_label, '' as target_label, concat('s', id) as source, '' as source_uri, 't' as target, '' as target_uri, 0.5D as similarity, 7 as confidence, 1 as true_relation, 1 as pred_relation, named_struct('input_token', 1L, 'output_token', 2L, 'api_calls', 1L) as api_metrics, true as accepted"
+    rows = spark.range(6).selectExpr(f"inline(array(struct({row})))")
+    assert predictions.next_batch(spark, path) == 0
+    rows.where("source < 's3'").select("*").write.json(f"{path}/batch=0")  # written, then lost before the commit
+    assert predictions.commits(spark, path) == []
+    predictions.append_predictions(rows.where("source < 's4'"), path, 0)
+    predictions.append_predictions(rows.where("source < 's2'"), path, 0)  # tried again after the commit
+    predictions.append_predictions(rows.where("source >= 's4'"), path)
+    assert predictions.commits(spark, path) == [0, 1]
+    assert sorted(r.source for r in predictions.read_predictions(spark, path).collect()) == [f"s{i}" for i in range(6)]
