@@ -12,7 +12,7 @@ least half of the shorter recording with at most a quarter of the bits wrong. In
 bit at the offset that their places in the bucket give.
 
 Defined results: null, empty or unreadable audio, and audio shorter than the filters, has no items and is a class of its
-own; silence gives equal items; repeated rows are one recording; stereo is mixed down, 8 and 16 bits are read; long
+own; silence gives equal items; every row is a recording, also where ids are null or repeated (a null id comes last); stereo is mixed down, 8 and 16 bits are read; long
 recordings are worked off in blocks of frames; an empty table gives no rows; other columns are ignored. Runs of one item
 count once in the histogram. Keys of four equal items (silence, a held tone) are none unless the recording has no others.
 Recordings of under 28 items are in a class with equal fingerprints only.
@@ -46,6 +46,8 @@ FILTERS = [
 STEP = 0.35  # outer thresholds of the quantiser; the middle one is 0
 WRONG, OVERLAP = 0.25, 0.5
 BLOCK_FRAMES = 4096
+#: Equal pairs of items whose offsets are counted at a time.
+PAIRS = 1 << 20
 #: Items of a key by their distance from its place.
 APART = (0, 9, 18, 27)
 #: Filters whose signs a table's keys leave out, by item: four of the sixteen, dealt anew for every table.
@@ -157,8 +159,17 @@ def align(a: np.ndarray, b: np.ndarray, tries: int = 5) -> tuple[int, int, float
     n = high - low
     if not n.any():
         return None
-    first = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    offsets, votes = np.unique(np.repeat(ia, n) - ib[first], return_counts=True)
+    # votes by offset, from some equal pairs at a time
+    count, ends = np.zeros(len(a) + len(b), np.int64), np.cumsum(n)
+    begin = 0
+    while begin < len(n):
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] - n[begin] + PAIRS, "right")))
+        some = n[begin:end]
+        first = np.repeat(low[begin:end] - (np.cumsum(some) - some), some) + np.arange(some.sum())
+        np.add(count, np.bincount(np.repeat(ia[begin:end], some) - ib[first] + len(b), minlength=len(count)), out=count)
+        begin = end
+    offsets = np.flatnonzero(count) - len(b)
+    votes = count[offsets + len(b)]
     overlap = np.minimum(len(a) - np.maximum(offsets, 0), len(b) - np.maximum(-offsets, 0))
     enough = overlap >= OVERLAP * min(len(a), len(b))
     offsets, votes, overlap = offsets[enough], votes[enough], overlap[enough]
@@ -256,17 +267,25 @@ def aligned(pairs: DataFrame, prints: DataFrame) -> DataFrame:
 
 
 def classes(recordings: DataFrame) -> DataFrame:
-    """id, print, copy_of (least id of equal fingerprints), class_id (least id of the class)."""
-    prints = cut(fingerprints(recordings).dropDuplicates(["id"]), "prints")
+    """id, print, copy_of (least id of equal fingerprints), class_id (least id of the class), row, class_row: one row an input row.
+
+    Rows are numbered, so that recordings under one id or without id are apart; ``class_row`` is the row that stands for the class.
+    """
+    prints = cut(fingerprints(recordings).withColumn("row", F.monotonically_increasing_id()), "prints")
     digest = F.struct(F.xxhash64("print"), F.sha2("print", 256))
-    first = prints.where(F.length("print") > 0).groupBy(digest.alias("same")).agg(F.min("id").alias("copy_of"), F.count(F.lit(1)).alias("n"))
-    first = cut(first.where("n > 1").select("same", "copy_of"), "copies")
-    own = cut(prints.withColumn("same", digest).join(first, "same", "left").select("id", "print", F.coalesce("copy_of", "id").alias("copy_of")), "own")
-    single = own.where("id = copy_of").select("id", "print")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    first = prints.where(F.length("print") > 0).groupBy(digest.alias("same")).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = cut(first.where("n > 1").select("same", "first"), "copies")
+    own = prints.withColumn("same", digest).join(first, "same", "left")
+    own = cut(own.select("row", "id", "print", F.coalesce("first", order).alias("first")), "own")
+    single = own.where("row = first.row").select(F.col("row").alias("id"), "print")
     postings = single.mapInArrow(_index, "key long, id long, place long")
     _, found = linked(postings, single, lambda pairs, ids: aligned(pairs, single), meet)
-    found = found.withColumnRenamed("id", "copy_of")
-    return own.join(found, "copy_of", "left").select("id", "print", "copy_of", F.coalesce("component", "copy_of").alias("class_id"))
+    named = found.join(own.where("row = first.row").select(F.col("row").alias("id"), "first"), "id")
+    stands = cut(named.groupBy("component").agg(F.min("first").alias("stands")), "stands")
+    of = named.join(stands, "component").select(F.col("id").alias("node"), "stands")
+    out = own.join(of, own["first.row"] == of["node"], "left").withColumn("stands", F.coalesce("stands", "first"))
+    return out.select("id", "print", F.col("first.id").alias("copy_of"), F.col("stands.id").alias("class_id"), "row", F.col("stands.row").alias("class_row"))
 
 
 # ---- recordings for the query: the synthetic tables hold no audio, so each vector is played as a melody
@@ -297,9 +316,9 @@ def op1_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every recording's fingerprint, class, and alignment with the class's first recording."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     found = cut(classes(render(vectors)), "classes")
-    pairs = found.where("id != class_id").select(F.col("id").alias("a"), F.col("class_id").alias("b"))
-    how = aligned(pairs, found).select(F.col("a").alias("id"), "shift", "wrong")
-    return found.join(how, "id", "left").select(
+    pairs = found.where("row != class_row").select(F.col("row").alias("a"), F.col("class_row").alias("b"))
+    how = aligned(pairs, found.select(F.col("row").alias("id"), "print")).select(F.col("a").alias("row"), "shift", "wrong")
+    return found.join(how, "row", "left").select(
         F.col("id").alias("vec_id"), (F.length("print") / 4).cast("long").alias("n_items"), F.crc32("print").alias("items_crc32"),
-        "copy_of", "class_id", F.coalesce("shift", F.lit(0)).alias("shift"), F.coalesce("wrong", F.when(F.col("id") == F.col("class_id"), 0.0)).alias("bit_error"),
+        "copy_of", "class_id", F.coalesce("shift", F.lit(0)).alias("shift"), F.coalesce("wrong", F.when(F.col("row") == F.col("class_row"), 0.0)).alias("bit_error"),
     )

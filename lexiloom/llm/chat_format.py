@@ -38,10 +38,12 @@ def format_chats(rows: DataFrame, trained: str = "assistant") -> DataFrame:
     """conv_id, formatted string, loss_spans array<struct<start, length>>: 0-based code points of each trained text."""
     turn = F.struct(
         F.col("turn").alias("turn"),
-        escape(F.coalesce(F.col("role").cast("string"), F.lit(""))).alias("role"),
-        escape(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"),
+        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    chats = rows.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    # in order of the texts as they are, then escaped
+    ordered = F.transform(F.array_sort(F.collect_list("t")), lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text")))
+    chats = rows.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(ordered.alias("turns"))
     empty = F.expr("cast(array() as array<struct<role:string,texts:array<string>>>)")
 
     def step(merged: Column, t: Column) -> Column:

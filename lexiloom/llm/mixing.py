@@ -84,14 +84,14 @@ def mix_sizes(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix as rows of ``docs``: a row for every epoch a document is in; the last one in part is cut behind its last word."""
-    keys = ["key", "src"]
+    keys = ["key", "no_src", "src"]
     plan = mix_sizes(docs, seed).where((F.col("epochs") > 0) & (F.col("size") > 0) | (F.col("part") > 0))
-    plan = plan.select("key", F.col("source_key").alias("src"), "size", "epochs", "part")
+    plan = plan.select("key", F.col("no_source").alias("no_src"), F.col("source_key").alias("src"), "size", "epochs", "part")
     # rows that repeat id, text and source share their decisions, one each: a row is known by its number among them
     plan = _counted_in(plan, keys, F.desc("epochs"), F.desc("part"))
     rows, names = numbered(docs)
     doc_id, text, source = (rows.columns[names.index(c)] for c in ("doc_id", "text", "source"))
-    of = {"key": _key(seed, F.col(doc_id), whole_text(text)), "src": F.coalesce(F.col(source).cast("string"), F.lit(""))}
+    of = {"key": _key(seed, F.col(doc_id), whole_text(text)), "no_src": F.col(source).isNull(), "src": F.coalesce(F.col(source).cast("string"), F.lit(""))}
     both = _counted_in(rows.withColumns(of), keys, F.lit(0)).join(plan, [*keys, "n"])
     epochs, part = F.col("epochs"), F.col("part")
     copies = F.concat(

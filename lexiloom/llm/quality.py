@@ -191,7 +191,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel:
     # the sample is bounded, so is what is broadcast
     picked = known.orderBy(F.md5(F.col("__id").cast("string")), "__id", "__y").limit(sample)
     rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__id")))
-    got = rows.select("__id", "__y", *[f"__s_{k}" for k in NAMES]).toPandas().sort_values(["__id", "__y", *[f"__s_{k}" for k in NAMES]])
+    order = ["__id", "__y", *[f"__s_{k}" for k in NAMES]]
+    # an id may have several documents: the bound holds for rows
+    first = rows.select(*order).orderBy(F.md5(F.col("__id").cast("string")), *order).limit(sample)
+    got = first.toPandas().sort_values(order)
     return fit_rows(got[[f"__s_{k}" for k in NAMES]].to_numpy(np.float64), got["__y"].to_numpy(np.float64))
 
 

@@ -135,3 +135,28 @@ def test_contested(spark, monkeypatch):
                     up = {k: x if v == y else v for k, v in up.items()}
         assert {i: got[i].class_id for i in got} == up
         assert all(up[10 * k + 2] == up[10 * k] for k in range(6))
+
+
+def test_every_row_stays(spark):
+    """Different recordings under one id or without id, and repeated rows, are rows of their own."""
+    rng = np.random.default_rng(3)
+    tune = lambda: a.write_wav(np.sin(np.cumsum(np.repeat(2 * np.pi * rng.integers(200, 900, 60) / a.RATE, a.NOTE))) * 0.5, a.RATE)
+    tunes = [tune() for _ in range(8)]
+    rows = [(None, tunes[0]), (None, tunes[1]), (None, tunes[0]), (7, tunes[2]), (7, tunes[3]), (7, tunes[3]), (7, b"x"), (None, None), (1, tunes[0]), (2, tunes[4]), (3, tunes[4]), (3, None)]
+    got = a.classes(spark.createDataFrame(rows, "id long, audio binary")).collect()
+    assert len(got) == len(rows)
+    key = lambda r: str(r)
+    want = [(None, 1), (None, None), (None, 1), (7, 7), (7, 7), (7, 7), (7, 7), (None, None), (1, 1), (2, 2), (3, 2), (3, 3)]
+    assert sorted(((r.id, r.class_id) for r in got), key=key) == sorted(want, key=key)
+    assert len({r.class_row for r in got}) == 8
+
+
+def test_periodic_hour():
+    """Two alternating items over an hour: votes are counted in bounded memory."""
+    import tracemalloc
+
+    x = np.tile(np.array([5, 9], np.uint32), 7000)
+    tracemalloc.start()
+    assert a.align(x, x)[0] == 0 and a.align(x, x[1:])[2] == 0
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()

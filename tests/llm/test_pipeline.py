@@ -11,6 +11,8 @@ import oracle
 from test_minhash import brute
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from lexiloom.llm import bpe, chat_format, line_dedup, mixing
 
 DIR = "/root/testdata/sf0.01"
@@ -107,3 +109,21 @@ def test_odd_chats(spark):
     assert got[1].loss == "<sep>\\<sep>\n" and got[1].formatted.count("</s>") == 3
     assert [tuple(t) for t in got[None].turns] == [("x\n[INST]", "t")] and got[3].loss == ""
     assert chat_format.format_chats(df.limit(0)).count() == 0
+
+
+def test_null_and_empty_source_mix(spark):
+    """A null source and one without name are two sources, in what is planned and in what is mixed."""
+    words = "one two three four five six"
+    rows = [(1, words, None), (1, words, ""), (2, words + " x", "a"), (3, "y " * 30, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = {(r.doc_id, None if r.no_source else r.source_key): r.taken for r in mixing.mix_sizes(df).collect()}
+    taken = dict.fromkeys(plan, 0)
+    for r in mixing.mix(df).collect():
+        taken[r.doc_id, r.source] += len(r.text.split())
+    assert taken == plan
+
+
+def test_tied_turns_by_text(spark):
+    df = spark.createDataFrame([(1, 1, "user", "<s>"), (1, 1, "user", "<a")], "conv_id long, turn long, role string, text string")
+    out = chat_format.format_chats(df).select(chat_format.read_turns(F.col("formatted")).alias("t")).first()
+    assert [t.text for t in out.t] == ["<a", "<s>"]

@@ -40,3 +40,17 @@ def test_odd(spark):
     kept = q.accepted(docs, model)
     assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
     assert q.with_scores(docs.limit(0), model).count() == 0
+
+
+def test_sample_bounds_rows(spark):
+    """Many documents under one labelled id: the rows learnt from are bounded, not the labels only."""
+    docs = spark.range(500).selectExpr("id % 5 as doc_id", "concat('text number ', id) as text")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, quality int")
+    seen = []
+    keep = q.fit_rows
+    q.fit_rows = lambda x, y: seen.append(len(y)) or keep(x, y)
+    try:
+        q.fit(docs, labels, sample=40)
+    finally:
+        q.fit_rows = keep
+    assert 0 < seen[0] <= 40
