@@ -28,49 +28,81 @@ def in_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def ranks(nodes: DataFrame | None, edges: DataFrame, written: bool = False) -> DataFrame:
-    """id, rank: the longest path from a root, by peeling one level a step. Ends of edges are nodes, with or without ``nodes``.
+    """id, rank: the longest path from a root. Ends of edges are nodes, with or without ``nodes``.
     ``written``: the edges are a table of distinct rows, which need not be written once more.
 
-    A node is peeled when its last parent has been; its step is its rank. Nodes on a cycle are never peeled: those with a
-    peeled parent get the greatest such rank plus one, the others none. Steps: the length of the longest path. A step joins
-    its front with the edges, subtracts what it has met from the counts of parents still open, and writes these counts; edges
-    are rewritten once half of them are behind.
+    A node of one parent lies one below it, so chains and trees are contracted first: every such node learns its nearest
+    ancestor of another kind (a root, or a node of several parents), and how far it is, by doubling its pointer. What is left are
+    nodes of several parents with weighted edges from such ancestors; they are peeled a level a step, each once its last
+    parent has been, with the greatest sum of rank and weight. Steps: the logarithm of the longest chain, and the longest
+    path in nodes of several parents. Nodes on a cycle are never peeled: those of several parents get the greatest rank of
+    a peeled parent plus one, if there is one, others none.
     """
     spark = edges.sparkSession
-    every = left = edges.select("parent", "child") if written else step(edges.select("parent", "child").distinct(), "edges")
-    # nodes and their open parents in one aggregation
-    ends = every.select(F.explode(F.array(F.struct(F.col("parent").alias("id"), F.lit(0).cast("long").alias("n")), F.struct(F.col("child").alias("id"), F.lit(1).cast("long").alias("n")))).alias("end")).select("end.*")
-    if nodes is not None:
-        ends = ends.unionByName(nodes.select("id", F.lit(0).cast("long").alias("n")))
-    start = ends.groupBy("id").agg(F.sum("n").alias("open")).select("id", "open", F.lit(0).cast("long").alias("met"))
-    # one table with a part a level: what is peeled there has no open parent
+    every = edges.select("parent", "child") if written else step(edges.select("parent", "child").distinct(), "edges")
+    into = step(every.groupBy(F.col("child").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("up")), "parents")
+    ends = every.select(F.col("parent").alias("id"))
+    roots = (ends if nodes is None else ends.unionByName(nodes.select("id"))).distinct().join(into, "id", "left_anti")
+    near, _ = _pointers(into.where("n = 1").select("id", "up", F.lit(1).alias("far")))
+    several = into.where("n > 1")
+    # a parent that leads into a cycle keeps its own name, which is never peeled
+    led = every.join(several.select(F.col("id").alias("child")), "child", "left_semi").join(near.select(F.col("id").alias("parent"), "up", "far"), "parent", "left")
+    left = led.select(F.coalesce("up", "parent").alias("parent"), "child", (F.coalesce("far", F.lit(0)) + 1).alias("weight"))
+    left = step(left.groupBy("parent", "child").agg(F.max("weight").alias("weight")), "contracted")
     base = f"{step_path(spark, 'levels')}"
+    shape = "id string, open long, rank int, met long"
 
     def write(counts: DataFrame, level: int) -> tuple[int, int]:
         """How many nodes are peeled at the level, and how many edges it met."""
         seen = Observation()
-        counts.observe(seen, F.count_if(F.col("open") == 0).alias("peeled"), F.coalesce(F.sum("met"), F.lit(0)).alias("met")).write.parquet(f"{base}/rank={level}")
+        counts.observe(seen, F.count_if(F.col("open") == 0).alias("peeled"), F.coalesce(F.sum("met"), F.lit(0)).alias("met")).write.parquet(f"{base}/level={level}")
         return seen.get["peeled"], seen.get["met"]
 
-    level, behind, size = 0, 0, every.count()
-    peeled, _ = write(start, 0)
+    zero = F.lit(0).cast("long")
+    counts = left.groupBy(F.col("child").alias("id")).agg(F.count(F.lit(1)).alias("open")).select("id", "open", F.lit(None).cast("int").alias("rank"), zero.alias("met"))
+    counts = roots.select("id", zero.alias("open"), F.lit(0).alias("rank"), zero.alias("met")).unionByName(counts)
+    level, behind, size = 0, 0, left.count()
+    peeled, _ = write(counts, 0)
     while peeled:
-        now = spark.read.schema(start.schema).parquet(f"{base}/rank={level}")
-        if 2 * behind > size:
-            left = step(left.join(now.where("open > 0").select(F.col("id").alias("child")), "child", "left_semi").select("parent", "child"), "edges")
+        now = spark.read.schema(shape).parquet(f"{base}/level={level}")
+        if 2 * behind > size:  # edges are rewritten once half of them are behind
+            left = step(left.join(now.where("open > 0").select(F.col("id").alias("child")), "child", "left_semi").select("parent", "child", "weight"), "contracted")
             behind, size = 0, left.count()
-        front = now.where("open = 0").select(F.col("id").alias("parent"))
-        met = left.join(front, "parent").groupBy(F.col("child").alias("id")).agg(F.count(F.lit(1)).alias("now"))
-        counts = now.where("open > 0").join(met, "id", "left").withColumn("now", F.coalesce("now", F.lit(0)))
+        front = now.where("open = 0").select(F.col("id").alias("parent"), F.col("rank").alias("top"))
+        met = left.join(front, "parent").groupBy(F.col("child").alias("id")).agg(F.count(F.lit(1)).alias("now"), F.max(F.col("top") + F.col("weight")).cast("int").alias("by"))
+        counts = now.where("open > 0").join(met, "id", "left").withColumn("now", F.coalesce("now", zero))
         level += 1
-        peeled, met_now = write(counts.select("id", (F.col("open") - F.col("now")).alias("open"), F.col("now").alias("met")), level)
+        peeled, met_now = write(counts.select("id", (F.col("open") - F.col("now")).alias("open"), F.greatest("rank", "by").alias("rank"), F.col("now").alias("met")), level)
         behind += met_now
-    levels = spark.read.schema("id string, open long, met long, rank int").parquet(base)
-    known = levels.where("open = 0").select("id", "rank")
-    # nodes on or behind a cycle that a ranked node feeds
-    rest = levels.where((F.col("rank") == level) & (F.col("open") > 0)).select(F.col("id").alias("child"))
-    fed = every.join(rest, "child", "left_semi").join(known.withColumnRenamed("id", "parent"), "parent")
-    return known.unionByName(fed.groupBy(F.col("child").alias("id")).agg((F.max("rank") + 1).alias("rank")))
+    found = spark.read.schema(f"{shape}, level int").parquet(base)
+    known = found.where("open = 0").select("id", "rank")
+    fed = found.where((F.col("level") == level) & (F.col("open") > 0) & F.col("rank").isNotNull()).select("id", "rank")
+    below = near.join(known.withColumnRenamed("id", "up"), "up").select("id", (F.col("rank") + F.col("far")).cast("int").alias("rank"))
+    return known.unionByName(fed).unionByName(below)
+
+
+def _pointers(near: DataFrame) -> tuple[DataFrame, int]:
+    """id, up, far (each id's one parent, one away) -> up is no id any more, far the distance to it; ids that lead into a cycle are left out.
+
+    In a round every pointer takes over the pointer it points to, so chains of twice the length end in each; a round that ends
+    none while some are open leaves cycles only.
+    """
+    spark = near.sparkSession
+    base, rounds = step_path(spark, "pointers"), 0
+    schema = "id string, up string, far int, done boolean"
+    ids = near.select(F.col("id").alias("up"), F.lit(True).alias("inner"))
+    now = near.join(ids, "up", "left").select("id", "up", F.col("far").cast("int").alias("far"), F.col("inner").isNull().alias("done"))
+    while True:
+        seen = Observation()
+        now.observe(seen, F.count_if("done").alias("done"), F.count_if(~F.col("done")).alias("open")).write.parquet(f"{base}/round={rounds}")
+        got = spark.read.schema(f"{schema}, round int").parquet(base)
+        if not seen.get["open"] or rounds and not seen.get["done"]:
+            return got.where("done").select("id", "up", "far"), rounds
+        # open pointers of this round, and what they point to: open ones of this round, or ones that have ended
+        front = got.where((F.col("round") == rounds) & ~F.col("done"))
+        to = got.where(F.col("done") | (F.col("round") == rounds)).select(F.col("id").alias("up"), F.col("up").alias("then"), F.col("far").alias("more"), F.col("done").alias("ends"))
+        now = front.join(to, "up").select("id", F.col("then").alias("up"), (F.col("far") + F.col("more")).alias("far"), F.col("ends").alias("done"))
+        rounds += 1
 
 
 #: Hops that are walked one by one before paths double.

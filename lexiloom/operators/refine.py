@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import step
+from ..storage import step, step_path
 from . import forest, graph
 
 
@@ -53,18 +53,24 @@ def _split(blocks: DataFrame, edges: DataFrame, rank: int, label: Callable[[Colu
 def _by_rank(edges: DataFrame, ranks: DataFrame, blocks: DataFrame, top: int) -> DataFrame:
     """Labels are digests of the splits, of one length however many; a pass writes the blocks above its rank only."""
     ranked = step(edges.join(ranks.select(F.col("id").alias("parent"), F.col("rank").alias("pr")), "parent"), "ranked")
-    done = blocks.where("rank = 0")
+    spark, base = edges.sparkSession, step_path(edges.sparkSession, "passes")
+    shape = "id string, rank int, block string"
+    # one table with a part a pass: plans do not grow with the ranks; after pass i the blocks of rank i + 1 are settled
+    blocks.select("id", "rank", "block").write.parquet(f"{base}/pass=-1")
     for i in range(top):
-        now = step(_split(blocks.where(F.col("rank") > i), ranked.where(F.col("pr") == i).select("parent", "child"), i, lambda block, bit: F.md5(F.concat(block, bit))), "blocks")
-        done, blocks = done.unionByName(now.where(F.col("rank") == i + 1)), now
-    return done
+        before = spark.read.schema(shape).parquet(f"{base}/pass={i - 1}")
+        now = _split(before.where(F.col("rank") > i), ranked.where(F.col("pr") == i).select("parent", "child"), i, lambda block, bit: F.md5(F.concat(block, bit)))
+        now.select("id", "rank", "block").write.parquet(f"{base}/pass={i}")
+    return spark.read.schema(f"{shape}, pass int").parquet(base).where("rank = pass + 1").select("id", "rank", "block")
 
 
 def _full(edges: DataFrame, blocks: DataFrame) -> DataFrame:
     n = blocks.select("block").distinct().count()
     while True:
         above = edges.join(blocks.select(F.col("id").alias("parent"), F.col("block").alias("pb")), "parent").select(F.col("child").alias("id"), "pb").distinct()
-        signature = above.groupBy("id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("pb")), ","), 256).alias("sig"))
+        # two sums of hashes and a count stand for the set of parent blocks, whatever its size
+        sums = [F.sum(F.xxhash64(F.lit(seed), "pb").cast("decimal(20,0)")) for seed in (1, 2)]
+        signature = above.groupBy("id").agg(F.concat_ws(",", F.count(F.lit(1)), *sums).alias("sig"))
         new = blocks.join(signature, "id", "left").select("id", "rank", F.sha2(F.concat_ws("|", "block", F.coalesce("sig", F.lit(""))), 256).alias("block"))
         blocks = step(new, "blocks")
         now = blocks.select("block").distinct().count()

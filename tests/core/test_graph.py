@@ -163,3 +163,18 @@ def test_least_reachable(spark, include_self):
     got = g.least_reachable(frame(spark, edges), start, spark.createDataFrame(items, "id string, item string"), 3, include_self=include_self)
     want = {i: sorted({v for j, v in items if j in down[i]})[:3] for i in ids[:12]}
     assert {r.start: r["items"] for r in got.collect()} == {i: v for i, v in want.items() if v}
+
+
+def test_deep_ranks(spark):
+    """A long chain takes jobs by the logarithm of its length; side paths and cycles are as by definition."""
+    n = 100_000
+    chain = spark.range(n).selectExpr("concat('c', id) as parent", "concat('c', id + 1) as child")
+    more = [("c10", "x1"), ("x1", "x2"), ("x2", "x3"), ("x3", "c12"), ("y", "c50000"), ("l1", "l2"), ("l2", "l1"), ("l2", "m"), ("c5", "k"), ("k", "k2"), ("k2", "k")]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("deep", "ranks")
+    got = {r.id: r.rank for r in g.ranks(None, chain.unionByName(frame(spark, more))).collect()}
+    jobs = len(tracker.getJobIdsForGroup("deep"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 150  # joins that look at sizes first count as jobs of their own
+    assert {got[f"c{i}"] for i in range(12)} == set(range(12)) and all(got[f"c{i}"] == i + 2 for i in (12, 13, 49_999, 50_000, n))
+    assert got["x3"] == 13 and got["y"] == 0 and got["k"] == 6 and not {"k2", "l1", "l2", "m"} & set(got)
