@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexiloom.operators import triples as t
 from lexiloom.sources import alignments, dictionary, predictions, rdf
@@ -118,3 +119,23 @@ def test_ncit_annotations(spark):
     assert [tuple(r) for r in got] == [("C1", "FULL_SYN", "Syn A", "group=PT")]
     one = t.ncit_terms(df, codes).first()
     assert one.synonyms == ["syn a"] and one.labels == ["label one"] and one.parents == []
+
+
+def test_list_literals(spark):
+    """Lists of strings as Python reads them; tuples by their first string; anything else is told apart and makes no pair."""
+    import ast
+    import random
+
+    rng = random.Random(4)
+    bits = ["http://x#a", "it's", 'say "x"', "a, b", "[c]", "back\\slash", "ü", "\U0001f600", "\n", "\t", "\x07", "\x00", "", "\\n", "(d)", "end\\"]
+    made = [["".join(rng.choices(bits, k=rng.randint(0, 3))) for _ in range(rng.randint(0, 4))] for _ in range(120)]
+    cells = [rng.choice([repr, ascii, lambda x: repr(tuple(x))])(x) for x in made]
+    cells += ["['a',]", "( 'a' , )", '["\\101\\x42\\u0043"]', "[('u#1', 0.5), ('u#2', 1)]", "[ ]"]
+    bad = ["[a]", "['a'", "['a' 'b']x", "'a'", "('a')", "['a', [1]]", "nan", "['a'; 'b']"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells + bad)], "i int, c string")
+    got = {r.i: r.x for r in df.select("i", alignments.read_list(F.col("c")).alias("x")).collect()}
+    for i, c in enumerate(cells):
+        assert got[i] == [x[0] if isinstance(x, tuple) else x for x in ast.literal_eval(c)], c
+    assert all(got[len(cells) + k] is None for k in range(len(bad)))
+    rows = spark.createDataFrame([("s", "u#s", "t", "u#t", c, "1") for c in bad + ["[]", "['u#t']"]], "src_code string, src_ety string, tgt_code string, tgt_ety string, tgt_cands string, score string")
+    assert alignments.candidate_pairs(rows).count() == 2 and alignments.unread_candidates(rows).count() == len(bad)
