@@ -9,11 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Most numbers in one block of query vectors that every task gets (8 bytes each).
+from ..storage import step
+
+#: Most numbers in a block of vectors (8 bytes each): what a broadcast or one side of a pair of blocks may hold.
 BLOCK_NUMBERS = 4_000_000
 #: Rows and queries of one matrix product.
 TILE = 1024
+#: Most cells of vectors of one length, and the rows of the store for each.
+CELLS, CELL_ROWS = 256, 4096
+#: Angles within this of a bound count as within it.
+SLACK = 1e-6
 
 
 def add(store: DataFrame, more: DataFrame) -> DataFrame:
@@ -21,74 +28,200 @@ def add(store: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Unit rows in double, and which of them have a length."""
+    """Unit rows in double of vectors of one length, and which of them have a norm."""
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     n = np.linalg.norm(x, axis=1)
     return x / np.where(n > 0, n, 1)[:, None], n > 0
 
 
+def _by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """Each length of the vectors and the places of those that have it."""
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    for d in np.unique(lengths):
+        yield int(d), np.flatnonzero(lengths == d)
+
+
+class _Best:
+    """The k best of a block of queries of one length, fed with rows of the store."""
+
+    def __init__(self, ids: list, unit: np.ndarray, has: np.ndarray, k: int, exclude_self: bool):
+        self.ids, self.unit, self.has, self.k = ids, unit, has, k
+        self.best: list[list[tuple]] = [[] for _ in ids]
+        self.least = np.full(len(ids), -np.inf)  # the k-th best so far
+        self.at: dict = {}
+        for i, q in enumerate(ids if exclude_self else []):
+            self.at.setdefault(q, []).append(i)
+
+    def feed(self, own: list, column: pa.Array) -> None:
+        for start in range(0, len(own), TILE):
+            x, length = _matrix(column.slice(start, TILE))
+            names = own[start : start + TILE]
+            selves = [(i, j) for j, v in enumerate(names) for i in self.at.get(v, ())] if self.at else []
+            for first in range(0, len(self.ids), TILE):
+                part = slice(first, first + TILE)
+                like = np.round(self.unit[part] @ x.T, 12)
+                like[:, ~length] = -np.inf
+                like[~self.has[part]] = -np.inf
+                for i, j in selves:
+                    if first <= i < first + TILE:
+                        like[i - first, j] = -np.inf
+                m = min(self.k, like.shape[1])
+                edge = np.maximum(self.least[part], -np.partition(-like, m - 1, axis=1)[:, m - 1])
+                hit, at = np.nonzero((like >= edge[:, None]) & (like > -np.inf))
+                cuts = np.flatnonzero(np.diff(hit)) + 1
+                for i, js in zip(hit[np.concatenate([[0], cuts])] if len(hit) else [], np.split(at, cuts), strict=False):
+                    q = first + int(i)
+                    more = self.best[q] + [(-like[i, j], names[j]) for j in js]
+                    self.best[q] = sorted(more, key=lambda t: (t[0], t[1] is not None, t[1]))[: self.k]
+                    if len(self.best[q]) == self.k:
+                        self.least[q] = -self.best[q][-1][0]
+
+    def rows(self) -> list[tuple]:
+        return [(q, e, -s) for q, b in zip(self.ids, self.best, strict=True) for s, e in b]
+
+
 def top_k(queries: DataFrame, store: DataFrame, k: int = 5, exclude_self: bool = False) -> DataFrame:
     """query_id, ext_id, similarity, nth: the k rows of the store most like each query; ties by ext_id.
 
-    queries: query_id, embedding; store: ext_id, embedding, all of one length. Vectors that are null, hold a null or have no length are like nothing.
-    The store is read once a block of queries: a block (bounded by ``BLOCK_NUMBERS``) goes to every task, which keeps its k
-    best for each query by matrix products, and only those meet in the final order.
+    queries: query_id, embedding; store: ext_id, embedding. Vectors that are null, hold a null or have no norm are like nothing,
+    vectors of two lengths are not like one another. Queries of at most ``BLOCK_NUMBERS`` numbers (counted first) are
+    broadcast, and the store is read once; more of them meet the store in pairs of blocks (``_blocks``). Both ways
+    keep the k best of a block for each query by matrix products, and only those meet in the final order.
     """
     spark = store.sparkSession
-    whole = "embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL)"
-    queries, store = queries.where(whole), store.where(whole)
-    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    if not size["n"]:
-        return spark.createDataFrame([], T.StructType([queries.schema["query_id"], store.schema["ext_id"], T.StructField("similarity", T.DoubleType()), T.StructField("nth", T.IntegerType())]))
-    blocks = -(-size["n"] * size["d"] // BLOCK_NUMBERS)
-    id_type, q_type = store.schema["ext_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    found = None
-    for i in range(blocks):
-        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        rows = own.select("query_id", "embedding").toArrow().combine_chunks()
-        if not rows.num_rows:
-            continue
-        ids = rows.column(0).to_pylist()
-        unit, has = _matrix(rows.column(1).chunk(0))
-        part = store.select("ext_id", "embedding").mapInArrow(_best(spark.sparkContext.broadcast((ids, unit, has)), k, exclude_self), f"query_id {q_type}, ext_id {id_type}, similarity double")
-        found = part if found is None else found.unionByName(part)
+    whole = "embedding IS NOT NULL AND size(embedding) > 0 AND NOT exists(embedding, x -> x IS NULL)"
+    queries, store = (t.select(i, "embedding").where(whole) for t, i in ((queries, "query_id"), (store, "ext_id")))
+    out = T.StructType([queries.schema["query_id"], store.schema["ext_id"], T.StructField("similarity", T.DoubleType())])
+    size = queries.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0)).alias("numbers")).first()
+    if not size["numbers"]:
+        return spark.createDataFrame([], T.StructType([*out, T.StructField("nth", T.IntegerType())]))
+    if size["numbers"] <= BLOCK_NUMBERS:
+        rows = queries.toArrow().combine_chunks()
+        ids, column = rows.column(0).to_pylist(), rows.column(1).chunk(0)
+        blocks = {d: ([ids[i] for i in at], *_matrix(column.take(pa.array(at)))) for d, at in _by_length(column)}
+        found = store.mapInArrow(_of_broadcast(spark.sparkContext.broadcast(blocks), k, exclude_self, out), out)
+    else:
+        found = _blocks(queries, store, k, exclude_self, out)
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "ext_id"))
     return found.withColumn("nth", nth).where(F.col("nth") <= k)
 
 
-def _best(queries, k: int, exclude_self: bool):
+def _table(rows: list[tuple], out: T.StructType) -> pa.Table:
+    schema = to_arrow_schema(out)
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], names=schema.names)
+
+
+def _of_broadcast(queries, k: int, exclude_self: bool, out: T.StructType):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, unit, has = queries.value
-        best: list[list[tuple]] = [[] for _ in ids]
-        least = np.full(len(ids), -np.inf)  # the k-th best so far
-        kinds = None
+        best = {d: _Best(*block, k, exclude_self) for d, block in queries.value.items()}
         for batch in batches:
-            kinds = batch.schema
-            for start in range(0, batch.num_rows, TILE):
-                rows = batch.slice(start, TILE)
-                x, length = _matrix(rows.column(1))
-                own = rows.column(0).to_pylist()
-                place = {v: j for j, v in enumerate(own)} if exclude_self else {}
-                for first in range(0, len(ids), TILE):
-                    part = slice(first, first + TILE)
-                    like = np.round(unit[part] @ x.T, 12)
-                    like[:, ~length] = -np.inf
-                    like[~has[part]] = -np.inf
-                    for i, q in enumerate(ids[part] if place else []):
-                        if q in place:
-                            like[i, place[q]] = -np.inf
-                    m = min(k, like.shape[1])
-                    edge = np.maximum(least[part], -np.partition(-like, m - 1, axis=1)[:, m - 1])
-                    hit, at = np.nonzero((like >= edge[:, None]) & (like > -np.inf))
-                    cuts = np.flatnonzero(np.diff(hit)) + 1
-                    for i, js in zip(hit[np.concatenate([[0], cuts])] if len(hit) else [], np.split(at, cuts), strict=False):
-                        q = first + int(i)
-                        best[q] = sorted(best[q] + [(-like[i, j], own[j]) for j in js])[:k]
-                        if len(best[q]) == k:
-                            least[q] = -best[q][-1][0]
-        rows = [(q, e, -s) for q, b in zip(ids, best, strict=True) for s, e in b]
-        for start in range(0, len(rows), 100_000):
-            q, e, s = zip(*rows[start : start + 100_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(e, kinds.field(0).type), pa.array(s, pa.float64())], names=["query_id", "ext_id", "similarity"])
+            own = batch.column(0).to_pylist()
+            for d, at in _by_length(batch.column(1)):
+                if d in best:
+                    best[d].feed([own[i] for i in at], batch.column(1).take(pa.array(at)))
+        for b in best.values():
+            rows = b.rows()
+            for start in range(0, len(rows), 100_000):
+                yield from _table(rows[start : start + 100_000], out).to_batches()
 
     return work
+
+
+def _blocks(queries: DataFrame, store: DataFrame, k: int, exclude_self: bool, out: T.StructType) -> DataFrame:
+    """The k best of each pair of blocks that may hold one of a query's k best.
+
+    A bounded number of the store's own vectors are centres; each vector goes to the cell of its nearest, cells of many rows are dealt
+    into blocks of ``BLOCK_NUMBERS`` numbers. The cells' counts and radii say which cells cannot hold a hit (``meeting``); both
+    sides are copied to the block pairs that are left and meet there by a shuffle. The driver holds centres and cells only.
+    Each length of vectors has its own cells; lengths are taken to be few.
+    """
+    spark = store.sparkSession
+    kinds = store.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()
+    most = {r["d"]: max(1, min(CELLS, r["n"] // CELL_ROWS, BLOCK_NUMBERS // r["d"])) for r in kinds}
+    centres = {}
+    for d, cells in most.items():
+        rows = store.where(F.size("embedding") == d).select("embedding").orderBy(F.xxhash64("embedding")).limit(cells).toArrow().combine_chunks()
+        unit, has = _matrix(rows.column(0).chunk(0))
+        centres[d] = unit[has]
+    centres = {d: unit for d, unit in centres.items() if len(unit)}
+    shared = spark.sparkContext.broadcast(centres)
+    sides = []
+    for side, name, id_name in ((queries, "queries", "query_id"), (store, "store", "ext_id")):
+        kind = T.StructType([side.schema[id_name], side.schema["embedding"], *(T.StructField(n, t) for n, t in (("d", T.IntegerType()), ("cell", T.IntegerType()), ("deal", T.LongType()), ("angle", T.DoubleType())))])
+        sides.append(step(side.mapInArrow(_in_cells(shared), kind), name))
+    stats = [{(r["d"], r["cell"]): (r["n"], r["radius"]) for r in s.groupBy("d", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect()} for s in sides]
+    more = 0
+    if exclude_self:  # so many of the best may be a query itself
+        more = sides[1].groupBy("ext_id").count().agg(F.max("count")).first()[0] or 0
+    met: tuple[dict, dict] = ({}, {})
+    for d, unit in centres.items():
+        own = [{c: v for (e, c), v in s.items() if e == d} for s in stats]
+        if own[0] and own[1]:
+            rows_of = max(1, BLOCK_NUMBERS // d)
+            parts = [{c: -(-n // rows_of) for c, (n, _) in s.items()} for s in own]
+            for a, b in meeting(unit, own[0], own[1], k + more):
+                met[0].setdefault((d, a), []).append((b, parts[1][b]))
+                met[1].setdefault((d, b), []).append((a, parts[0][a]))
+            for side, s in enumerate(parts):
+                for c, n in s.items():
+                    met[side].setdefault((d, c), []).append((-1, n))  # the cell's own blocks
+    placed = []
+    for side, (rows, own) in enumerate(zip(sides, met, strict=True)):
+        table = [(d, c, next(n for b, n in ms if b < 0), [m for m in ms if m[0] >= 0]) for (d, c), ms in own.items()]
+        cells = spark.createDataFrame(table, "d int, cell int, parts int, meets array<struct<cell: int, parts: int>>")
+        both = rows.join(F.broadcast(cells), ["d", "cell"])  # at most CELLS rows a length
+        mine, theirs = F.struct("cell", F.pmod("deal", "parts").alias("part")), F.struct(F.col("m.cell").alias("cell"), F.col("p").cast("long").alias("part"))
+        spread = both.withColumn("m", F.explode("meets")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("m.parts") - 1)))
+        pair = F.struct("d", (mine if side == 0 else theirs).alias("q"), (theirs if side == 0 else mine).alias("s"))
+        placed.append(spread.select(F.to_json(pair).alias("pair"), rows.columns[0], "embedding"))
+
+    def work(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        if not asked.num_rows or not rows.num_rows:
+            return _table([], out)
+        ids, column = asked.column("query_id").to_pylist(), asked.column("embedding").combine_chunks()
+        best = _Best(ids, *_matrix(column), k, exclude_self)
+        best.feed(rows.column("ext_id").to_pylist(), rows.column("embedding").combine_chunks())
+        return _table(best.rows(), out)
+
+    return placed[0].groupBy("pair").cogroup(placed[1].groupBy("pair")).applyInArrow(work, out)
+
+
+def _in_cells(centres):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deal = 0
+        for batch in batches:
+            for d, at in _by_length(batch.column(1)):
+                if d not in centres.value:
+                    continue
+                rows = batch.take(pa.array(at))
+                x, has = _matrix(rows.column(1))
+                like = x @ centres.value[d].T
+                cell = like.argmax(axis=1)
+                angle = np.arccos(np.clip(like[np.arange(len(x)), cell], -1, 1))
+                deals = np.arange(deal, deal + len(x))  # rows of a cell are dealt in turn, copies too
+                deal += len(x)
+                columns = [*rows.columns, pa.array(np.full(len(x), d), pa.int32()), pa.array(cell, pa.int32()), pa.array((deals * 2654435761 % (1 << 32)) >> 8, pa.int64()), pa.array(angle)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "d", "cell", "deal", "angle"]).filter(pa.array(has))
+
+    return work
+
+
+def meeting(unit: np.ndarray, queries: dict[int, tuple[int, float]], store: dict[int, tuple[int, float]], k: int) -> list[tuple[int, int]]:
+    """Pairs (cell of queries, cell of the store) that may hold a hit; cells: number to (rows, radius as an angle).
+
+    Every row of a cell lies within its radius of its centre, so angles to another cell lie between the centres' angle less and plus
+    both radii. The nearest cells by the upper bound that hold k rows give an angle within which each query has k rows; a cell
+    whose lower bound lies beyond it holds none of the k best.
+    """
+    there = sorted(store)
+    n, radius = (np.array([store[b][i] for b in there]) for i in (0, 1))
+    out = []
+    for a, (_, own) in queries.items():
+        between = np.arccos(np.clip(unit[there] @ unit[a], -1, 1))
+        far, near = between + radius + own, between - radius - own
+        order = np.argsort(far)
+        enough = np.searchsorted(np.cumsum(n[order]), k)
+        limit = far[order[enough]] if enough < len(order) else np.inf
+        out += [(a, b) for b, lower in zip(there, near, strict=True) if lower <= limit + SLACK]
+    return out

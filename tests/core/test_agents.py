@@ -120,6 +120,57 @@ def test_top_k(spark):
             want = [] if q == 7 else sorted(range(60), key=lambda i: (-like[i], i))[:4]
             assert [got[q, n] for n in range(1, 5) if (q, n) in got] == want
     assert vectors.top_k(asked.limit(0), store, 3).count() == 0
+
+
+def _nearest(asked, rows, k, exclude_self):
+    """By definition: (query_id, nth) to ext_id."""
+    out = {}
+    for q, v in asked:
+        like = []
+        for e, w in rows:
+            if len(v) == len(w) and any(v) and any(w) and not (exclude_self and e == q):
+                like.append((-round(float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), 10), e))
+        out.update({(q, n + 1): e for n, (_, e) in enumerate(sorted(like)[:k])})
+    return out
+
+
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_top_k_of_blocks(spark, monkeypatch, exclude_self):
+    """Block pairs: communities, a vector that is a third of all rows, repeated ids, two lengths, vectors like nothing."""
+    r = np.random.default_rng(1)
+    middles = r.normal(size=(6, 8))
+    rows = [(i, (middles[i % 6] + 0.02 * r.normal(size=8)).tolist()) for i in range(400)]
+    rows += [(1000 + i, middles[0].tolist()) for i in range(200)] + [(3, (middles[2] * 2).tolist()), (3, middles[3].tolist())]
+    rows += [(2000 + i, r.normal(size=5).tolist()) for i in range(30)] + [(3000, [0.0] * 8)]
+    asked = rows[:90:3] + rows[602:620] + [(4000, [1.0, 2.0]), (4001, [0.0] * 8)] + [(5000 + i, (middles[0] + 0.3 * r.normal(size=8)).tolist()) for i in range(20)]
+    store = spark.createDataFrame([*rows, (6000, None), (6001, [1.0, None])], "ext_id long, embedding array<double>").repartition(3)
+    ask = spark.createDataFrame([*asked, (6000, None)], "query_id long, embedding array<double>").repartition(2)
+    want = _nearest(asked, rows, 3, exclude_self)
+    for numbers, cell_rows in ((vectors.BLOCK_NUMBERS, 4096), (160, 20), (400, 100)):
+        monkeypatch.setattr(vectors, "BLOCK_NUMBERS", numbers)
+        monkeypatch.setattr(vectors, "CELL_ROWS", cell_rows)
+        got = {(x.query_id, x.nth): x.ext_id for x in vectors.top_k(ask, store, 3, exclude_self).collect()}
+        assert got == want
+
+
+def test_meeting():
+    """Cells far from a query's k best never meet it, and none that holds one is left out."""
+    r = np.random.default_rng(2)
+    middles = r.normal(size=(40, 16))
+    x = np.repeat(middles, 50, axis=0) + 0.02 * r.normal(size=(2000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    unit = x[::50]
+    cell = (x @ unit.T).argmax(axis=1)
+    angle = np.arccos(np.clip((x * unit[cell]).sum(axis=1), -1, 1))
+    cells = {c: (int((cell == c).sum()), float(angle[cell == c].max())) for c in set(cell.tolist())}
+    met = set(vectors.meeting(unit, cells, cells, 5))
+    assert len(met) < 0.2 * len(cells) ** 2  # four fifths of all pairs of cells are never multiplied
+    for q in range(0, 2000, 7):
+        assert all((cell[q], cell[j]) in met for j in np.argsort(-(x @ x[q]))[:5])
+
+
+def test_add_and_cosine(spark):
+    store = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(60)], "ext_id long, embedding array<double>")
     assert vectors.add(store, store).count() == 120
     zero = spark.createDataFrame([([0.0, 0.0], [1.0, 2.0])], "a array<double>, b array<double>")
     assert zero.select(vec.cosine(F.col("a"), F.col("b"))).first()[0] is None
