@@ -202,16 +202,37 @@ def truncate(messages: DataFrame, by: str, order: str, total: int = TOTAL_TOKENS
 
 
 def call(prompts: DataFrame, agents: list[ChatProvider], system: str = SYSTEM) -> DataFrame:
-    """prompts (pair_id, user) to pair_id, agent, response, input_token, output_token: every agent answers every prompt."""
+    """prompts (pair_id, user, and system if it is a column) to pair_id, agent, response, input_token, output_token, error: every agent answers every prompt.
+
+    A call that fails is a row without response that holds its error; the other calls go on.
+    """
+
+    def ask(agent: ChatProvider, before: str | None, user: str | None) -> tuple:
+        try:
+            return *agent.complete(before or "", user or ""), None
+        except Exception as e:  # one call's failure is kept with its row
+            return None, 0, 0, f"{type(e).__name__}: {e}"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, k, *a.complete(system, u or "")) for i, u in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, a in enumerate(agents)]
+            rows = [(i, k, *ask(a, s, u)) for i, s, u in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k, a in enumerate(agents)]
             if rows:
-                kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["pair_id", "agent", "response", "input_token", "output_token"])
+                kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["pair_id", "agent", "response", "input_token", "output_token", "error"])
+
+    led = prompts if "system" in prompts.columns else prompts.withColumn("system", F.lit(system))
+    return led.select("pair_id", "system", "user").mapInArrow(work, "pair_id long, agent int, response string, input_token long, output_token long, error string")
 
-    return prompts.select("pair_id", "user").mapInArrow(work, "pair_id long, agent int, response string, input_token long, output_token long")
+
+def converse(messages: DataFrame, agents: list[ChatProvider], by: str, order: str, total: int = TOTAL_TOKENS, reply: int = REPLY_TOKENS) -> DataFrame:
+    """``call`` on conversations (by, order, role, text) that are cut to the length limit first.
+
+    The first message leads; the others follow as one text, a paragraph each, led by their roles where there are several.
+    """
+    cut = truncate(messages, by, order, total, reply)
+    rest = F.slice("messages", 2, F.greatest(F.size("messages") - 1, F.lit(0)))
+    said = F.transform(rest, lambda m: F.when(F.size("messages") > 2, F.concat_ws(": ", m["role"], m["text"])).otherwise(m["text"]))
+    return call(cut.select(F.col(by).alias("pair_id"), F.col("messages")[0]["text"].alias("system"), F.array_join(said, "\n\n").alias("user")), agents)
 
 
 def vote(history: DataFrame) -> DataFrame:
@@ -226,24 +247,24 @@ def inference(pairs: DataFrame, agents: list[ChatProvider], rounds: int = 1, gat
     """pair_id, pred, confidence, api_metrics, accepted of pairs (pair_id, src_code, tgt_code, src_meta, tgt_meta, context).
 
     Agents of a round answer side by side, since its prompt holds earlier rounds only; rounds follow one another, each
-    written before the next.
+    written before the next. Calls that fail have no vote; a pair that nobody has answered yet is asked as in the first round,
+    and one that nobody answers at all is left out, so that a later run asks again.
     """
     pairs = step(pairs, "pairs")
     none = F.expr("cast(array() as array<struct<seq:int,agent:int,ans:int,conf:int,input_token:bigint,output_token:bigint>>)")
     state = pairs.select("pair_id", none.alias("history"))
     for i in range(rounds):
         both = pairs.join(state, "pair_id")
-        if i == 0:
-            body = task_prompt(F.col("src_meta"), F.col("tgt_meta"), F.col("src_code"), F.col("tgt_code"))
-        else:
-            body = round_prompt(F.col("history"), i == rounds - 1)
+        body = task_prompt(F.col("src_meta"), F.col("tgt_meta"), F.col("src_code"), F.col("tgt_code"))
+        if i > 0:
+            body = F.when(F.size("history") > 0, round_prompt(F.col("history"), i == rounds - 1)).otherwise(body)
         said = call(both.select("pair_id", F.concat("context", body).alias("user")), agents)
         one = F.struct(
             (F.lit(i * len(agents)) + F.col("agent")).cast("int").alias("seq"), "agent", text.yes_no(F.col("response")).alias("ans"),
             text.confidence(F.col("response")).alias("conf"), "input_token", "output_token",
         )
-        new = said.groupBy("pair_id").agg(F.array_sort(F.collect_list(one)).alias("new"))
-        state = step(state.join(new, "pair_id").select("pair_id", F.concat("history", "new").alias("history")), "round")
+        new = said.where("error IS NULL").groupBy("pair_id").agg(F.array_sort(F.collect_list(one)).alias("new"))
+        state = step(state.join(new, "pair_id", "left").select("pair_id", F.concat("history", F.coalesce("new", none)).alias("history")), "round")
     rows = state.select("pair_id", F.explode("history").alias("h")).select("pair_id", "h.*")
     used = rows.groupBy("pair_id").agg(F.sum("input_token").alias("i"), F.sum("output_token").alias("o"), F.count(F.lit(1)).alias("c"))
     out = vote(rows).join(used, "pair_id")

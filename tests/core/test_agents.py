@@ -81,6 +81,27 @@ def test_inference(spark):
     assert len(agents.create_agents_from_config([{"agent_type": "rules", "agent_name": "x"}])) == 1
 
 
+def test_failed_calls(spark):
+    """A failed call is a row with its error, has no vote and stops nothing; conversations are cut on their way."""
+    class Failing(agents.ChatProvider):
+        def complete(self, system, user):
+            if self.model in user:
+                raise OSError("away")
+            return "<answer>yes</answer><confidence>9</confidence>", len(system), len(user)
+
+    rows = spark.createDataFrame([(1, "blue"), (2, "red"), (3, None)], "pair_id long, user string")
+    got = {(r.pair_id, r.agent): r for r in agents.call(rows, [Failing("blue"), Failing("zebra")], "s").collect()}
+    assert got[1, 0].error == "OSError: away" and got[1, 0].response is None and sum(r.error is None for r in got.values()) == 5
+    meta = "cast(named_struct('parents', array(), 'children', array(), 'synonyms', array(), 'labels', array()) as struct<parents:array<string>,children:array<string>,synonyms:array<string>,labels:array<string>>)"
+    pairs = spark.sql(f"select id as pair_id, if(id = 1, 'blue', 'red') as src_code, 'x' as tgt_code, {meta} as src_meta, {meta} as tgt_meta, '' as context from range(1, 3)")
+    out = {r.pair_id: (r.pred, r.api_metrics.api_calls) for r in agents.inference(pairs, [Failing("blue"), Failing("zebra")], 2).collect()}
+    assert out == {1: (1, 3), 2: (1, 4)}  # in the second round the prompt holds answers, not names
+    assert [r.pair_id for r in agents.inference(pairs, [Failing("blue")], 2).collect()] == [2]
+    talk = spark.createDataFrame([(1, 0, "system", "lead"), (1, 1, "user", "x" * 400), (1, 2, "user", "yyyy" * 5), (2, 0, "system", "lead"), (2, 1, "user", "hi")], "id long, n int, role string, text string")
+    said = {r.pair_id: (r.input_token, r.output_token) for r in agents.converse(talk, [Failing("xx")], "id", "n", 60, 20).collect()}
+    assert said == {1: (4, len(f"system: {agents.NOTICE}\n\nuser: " + "yyyy" * 5)), 2: (4, 2)}
+
+
 def test_prompts(spark):
     history = "array(struct(0 as agent, 1 as ans, 8 as conf), struct(1 as agent, 0 as ans, 4 as conf), struct(0 as agent, 0 as ans, 2 as conf))"
     row = spark.range(1).select(F.expr(history).alias("h")).select(agents.round_prompt(F.col("h"), False).alias("a"), agents.round_prompt(F.col("h"), True).alias("b")).first()
