@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
+import urllib.parse
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,55 +27,216 @@ def _iri(tag: str) -> str:
     return tag[1:].replace("}", "", 1) if tag.startswith("{") else tag
 
 
-def triples_of(document: str, graph: str = "") -> Iterator[tuple]:
-    """Triples (graph, s, p, o, lang) of one RDF/XML document; blank nodes are numbered."""
+def triples_of(document: str | bytes, graph: str = "", places: list[int] | None = None) -> Iterator[tuple]:
+    """Triples (graph, s, p, o, lang) of one RDF/XML document.
+
+    Blank nodes without a name are numbered within their top-level element and led by its place: ``places``, or its number.
+    """
     root = ET.fromstring(document)
     base = root.get(f"{{{XML}}}base", "")
-    numbers = iter(range(1 << 62))
+    top = list(root) if _iri(root.tag) == f"{RDF}RDF" else [root]
 
     def absolute(ref: str) -> str:
         return base.rstrip("#") + ref if ref.startswith("#") else ref
 
-    def subject(node: ET.Element) -> str:
-        for key in ("about", "ID"):
-            ref = node.get(f"{{{RDF}}}{key}")
-            if ref is not None:
-                return absolute(ref if key == "about" else f"#{ref}")
-        return f"_:{node.get(f'{{{RDF}}}nodeID') or f'b{next(numbers)}'}"
-
-    rest = [(node, subject(node), "") for node in (root if _iri(root.tag) == f"{RDF}RDF" else [root])]
-    while rest:
-        node, s, lang = rest.pop()
-        lang = node.get(f"{{{XML}}}lang", lang)
-        if _iri(node.tag) != f"{RDF}Description":
-            yield graph, s, f"{RDF}type", _iri(node.tag), ""
-        for key, value in node.attrib.items():
-            if not key.startswith((f"{{{RDF}}}", f"{{{XML}}}")):
-                yield graph, s, _iri(key), value, lang
-        for prop in node:
-            p, ref = _iri(prop.tag), prop.get(f"{{{RDF}}}resource")
-            if ref is not None or prop.get(f"{{{RDF}}}nodeID") is not None:
-                yield graph, s, p, absolute(ref) if ref is not None else f"_:{prop.get(f'{{{RDF}}}nodeID')}", ""
-            elif len(prop):
-                for child in prop:
-                    o = subject(child)
-                    yield graph, s, p, o, ""
-                    rest.append((child, o, lang))
-            else:
-                yield graph, s, p, prop.text or "", prop.get(f"{{{XML}}}lang", lang)
-
-
-def read_owl(spark: SparkSession, path: str) -> DataFrame:
-    """Triples of all documents at ``path``; each document is parsed by one task."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for place, first in zip(places or range(len(top)), top, strict=True):
+        numbers = iter(range(1 << 62))
+
+        def subject(node: ET.Element, place: int = place, numbers: Iterator[int] = numbers) -> str:
+            for key in ("about", "ID"):
+                ref = node.get(f"{{{RDF}}}{key}")
+                if ref is not None:
+                    return absolute(ref if key == "about" else f"#{ref}")
+            return f"_:{node.get(f'{{{RDF}}}nodeID') or f'b{place}-{next(numbers)}'}"
+
+        rest = [(first, subject(first), root.get(f"{{{XML}}}lang", ""))]
+        while rest:
+            node, s, lang = rest.pop()
+            lang = node.get(f"{{{XML}}}lang", lang)
+            if _iri(node.tag) != f"{RDF}Description":
+                yield graph, s, f"{RDF}type", _iri(node.tag), ""
+            for key, value in node.attrib.items():
+                if not key.startswith((f"{{{RDF}}}", f"{{{XML}}}")):
+                    yield graph, s, _iri(key), value, lang
+            for prop in node:
+                p, ref = _iri(prop.tag), prop.get(f"{{{RDF}}}resource")
+                if ref is not None or prop.get(f"{{{RDF}}}nodeID") is not None:
+                    yield graph, s, p, absolute(ref) if ref is not None else f"_:{prop.get(f'{{{RDF}}}nodeID')}", ""
+                elif len(prop):
+                    for child in prop:
+                        o = subject(child)
+                        yield graph, s, p, o, ""
+                        rest.append((child, o, lang))
+                else:
+                    yield graph, s, p, prop.text or "", prop.get(f"{{{XML}}}lang", lang)
+
+
+#: Bytes of a range of a document, of a read, and of the elements that are parsed at once.
+RANGE_BYTES, READ_BYTES, PARSE_BYTES = 64 << 20, 1 << 20, 1 << 20
+#: What a place of a document may lie in, and what ends it: content or a tag, a comment, unparsed text, an instruction.
+ENDS = (b"", b"-->", b"]]>", b"?>")
+MARKUP = re.compile(rb"(<!--)|(<!\[CDATA\[)|(<\?)|<(/?)[^<>!?\"'][^<>\"']*(?:\"[^\"]*\"[^<>\"']*|'[^']*'[^<>\"']*)*>")
+
+
+class _Document:
+    """A document read by places. Its head, all before the first element below the root, leads every parse."""
+
+    def __init__(self, path: str):
+        where = path if "://" in path or not path.startswith("file:") else path[5:]
+        system, name = FileSystem.from_uri(urllib.parse.quote(where, safe=":/@%=")) if "://" in where else (LocalFileSystem(), where)
+        self.file, self.name = system.open_input_file(name), os.path.basename(path)
+        self.size = self.file.size()
+        self.head, self.tail, self.plain = b"", b"", False
+        while not self.tail and len(self.head) < self.size:
+            self.head = self.file.read_at(len(self.head) + READ_BYTES, 0)
+            prolog = re.sub(rb"<!--.*?-->|<\?.*?\?>|<!DOCTYPE[^\[>]*(?:\[.*?\]\s*)?>", lambda m: b" " * len(m[0]), self.head, flags=re.S)
+            root = MARKUP.search(prolog)
+            if root and (root.lastindex is None or root.lastindex == 4):
+                name = re.match(rb"<([^\s/>]+)", root[0])[1]
+                self.plain = name.split(b":")[-1] == b"RDF" and not root[0].endswith(b"/>") and not self.head.startswith((b"\xff\xfe", b"\xfe\xff"))
+                self.head, self.tail = self.head[: root.end()], b"</" + name + b">"
+
+    def aligned(self, at: int) -> int:
+        """The first ``<`` from a place on: no tag and no end of a comment or the like spans it. The head is before all."""
+        at = max(at, len(self.head))
+        while at < self.size:
+            found = self.file.read_at(READ_BYTES, at).find(b"<")
+            if found >= 0:
+                return at + found
+            at += READ_BYTES
+        return self.size
+
+    def markup(self, start: int, end: int | None, state: int) -> Iterator[tuple[int, int, int]]:
+        """(place, end, change of depth) of each tag from ``start`` on, then (end, end, 0); ``end`` None: to the end of the document.
+
+        What the walk lies in at the end is kept in ``self.state``.
+        """
+        limit = self.size if end is None else end
+        held, at, self.state = b"", start, state
+        while True:
+            if len(held) < READ_BYTES and at + len(held) < limit:
+                held += self.file.read_at(min(READ_BYTES, limit - at - len(held)), at + len(held))
+            whole = at + len(held) >= limit
+            used = 0
+            while True:
+                if self.state:
+                    over = held.find(ENDS[self.state], used)
+                    if over < 0:
+                        used = len(held) if whole else max(used, len(held) - 2)
+                        break
+                    used, self.state = over + len(ENDS[self.state]), 0
+                lt = held.find(b"<", used)
+                if lt < 0:
+                    used = len(held)
+                    break
+                if not whole and len(held) - lt < 16:
+                    used = lt
+                    break
+                tag = MARKUP.match(held, lt)
+                if not tag:
+                    if whole:  # no markup: it is left to the parser to say so
+                        used = lt + 1
+                        continue
+                    used = lt
+                    break
+                used = tag.end()
+                if tag.lastindex and tag.lastindex < 4:
+                    self.state = tag.lastindex
+                else:
+                    yield at + lt, at + used, -1 if tag[4] else 0 if tag[0].endswith(b"/>") else 1
+            if whole:
+                break
+            if used == 0:  # a tag longer than what is held
+                held += self.file.read_at(min(READ_BYTES, limit - at - len(held)), at + len(held))
+            held, at = held[used:], at + used
+        yield limit, limit, 0
+
+    def elements(self, start: int, end: int, state: int, depth: int) -> Iterator[tuple[int, bytes]]:
+        """(place, bytes) of the elements right below the root that begin in a range."""
+        began = None
+        for place, over, change in self.markup(start, None, state):
+            if began is None and place >= end:
+                return
+            if depth == 0 and change >= 0 and over > place:
+                began = place
+            depth += change
+            if began is not None and depth == 0:
+                yield began, self.file.read_at(over - began, began)
+                began = None
+            if depth < 0:
+                return
+
+
+def _walked(rows: pd.DataFrame) -> pd.DataFrame:
+    """What each range of one document begins in, and how deep: a row a range, so few for any document."""
+    rows = rows.sort_values("start").reset_index(drop=True)
+    state, depth, states, depths = 0, 0, [], []
+    for ends, deltas in zip(rows["ends"], rows["deltas"], strict=True):
+        states.append(state)
+        depths.append(depth)
+        state, depth = int(ends[state]), depth + int(deltas[state])
+    return rows[["path", "start", "stop"]].assign(state=states, depth=depths)
+
+
+def read_owl(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
+    """Triples of all documents at ``path``, each read in ranges of bytes side by side.
+
+    First every range says, for each thing that it may begin in (content, comment, unparsed text, instruction), in what
+    it ends and how the depth changes; one after the other these give every range's true beginning. Then each range
+    reads the elements right below the root that begin in it, led by the document's head (declarations, entities,
+    namespaces, base). A task holds an element, not a document. Documents whose root is not rdf:RDF, or in UTF-16, are one range.
+    """
+    size = range_bytes or RANGE_BYTES
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    ranges = files.select("path", F.explode(F.sequence(F.lit(0), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(size))).alias("start"))
+    ranges = ranges.select("path", "start", (F.col("start") + size).alias("stop"))
+    n = max(1, min(ranges.count(), 8 * spark.sparkContext.defaultParallelism))
+
+    def transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = list(triples_of(content.decode("utf-8-sig"), os.path.basename(name)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=TRIPLE.fieldNames())
+            rows = []
+            for name, start, stop in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = _Document(name)
+                ends, deltas = [], []
+                first, last = own.aligned(start) if start else len(own.head), own.aligned(stop)
+                for state in range(len(ENDS)) if own.plain else ():
+                    deltas.append(sum(change for _, _, change in own.markup(first, last, state)))
+                    ends.append(own.state)
+                rows.append((name, start, stop, ends or [0] * 4, deltas or [0] * 4))
+            if rows:
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "start", "stop", "ends", "deltas"])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=TRIPLE.fieldNames())
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(work, TRIPLE)
+        for batch in batches:
+            for name, start, stop, state, depth in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = _Document(name)
+                if not own.plain:
+                    rows = list(triples_of(own.file.read_at(own.size, 0), own.name)) if start == 0 and own.size else []
+                    yield from [table(rows)] if rows else []
+                    continue
+                places: list[int] = []
+                held: list[bytes] = []
+                first, last = own.aligned(start) if start else len(own.head), own.aligned(stop)
+                for place, element in itertools.chain(own.elements(first, last, state, depth), [(-1, b"")]):
+                    if places and (place < 0 or sum(map(len, held)) + len(element) > PARSE_BYTES):
+                        rows = list(triples_of(own.head + b"".join(held) + own.tail, own.name, places))
+                        yield from [table(rows)] if rows else []
+                        places, held = [], []
+                    if place >= 0:
+                        places.append(place)
+                        held.append(element)
+
+    if n > 1:
+        kind = "path string, start long, stop long"
+        known = ranges.repartition(n).mapInArrow(transitions, f"{kind}, ends array<int>, deltas array<long>")
+        ranges = known.groupBy("path").applyInPandas(_walked, f"{kind}, state int, depth long")
+    else:
+        ranges = ranges.withColumns({"state": F.lit(0), "depth": F.lit(0).cast("long")})
+    return ranges.repartition(n).mapInArrow(parse, TRIPLE)
 
 
 def hierarchy(triples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

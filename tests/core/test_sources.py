@@ -1,4 +1,7 @@
 import json
+import random
+import re
+import xml.etree.ElementTree as ET
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +78,40 @@ def test_owl(spark, tmp_path):
     assert triples.where(triples.p == t.LABEL).first().lang == "en"
 
 
+def test_owl_ranges(spark, tmp_path, monkeypatch):
+    """A document in ranges of any size gives the triples that it gives as a whole; marks within comments and the like are none."""
+    r = random.Random(4)
+    names = "abcdefgh"
+    parts = []
+    for i in range(120):
+        inner = "".join(f'<rdfs:subClassOf rdf:resource="#{r.choice(names)}{r.randrange(120)}"/>' for _ in range(r.randrange(3)))
+        inner += r.choice(["", "<rdfs:seeAlso><rdf:Description><rdfs:label>in é</rdfs:label></rdf:Description></rdfs:seeAlso>", "<!-- <owl:Class> --> ", "<rdfs:comment><![CDATA[</owl:Class> <b> ]]></rdfs:comment>", "<?x <y> ?>"])
+        node = r.choice(['rdf:about="#{0}{1}"', "rdf:about='&base;{0}{1}'", "", 'rdf:nodeID="n{1}"', 'rdf:about="a>b{1}"']).format(r.choice(names), i)
+        parts.append(f'<owl:Class {node}>{inner}<rdfs:label xml:lang="en">{r.choice(names) * r.randrange(30)}</rdfs:label></owl:Class>' if i % 9 else f"<owl:Class {node}/>\n<!-- </rdf:RDF> <owl:Class> {'x' * r.randrange(200)} -->")
+    head = """<?xml version="1.0" encoding="UTF-8"?>\n<!-- <no> -->\n<!DOCTYPE rdf:RDF [ <!ENTITY base "http://ex.org/o#"> ]>\n<rdf:RDF xml:base="http://ex.org/o" xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#" xmlns:owl="http://www.w3.org/2002/07/owl#">"""
+    document = head + "\n".join(parts) + "</rdf:RDF>\n"
+    (tmp_path / "a.owl").write_text(document, encoding="utf-8")
+    (tmp_path / "one.owl").write_text('<owl:Class xmlns:owl="http://www.w3.org/2002/07/owl#" xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" rdf:about="x"/>')
+    (tmp_path / "none.owl").write_text(head + "</rdf:RDF>")
+    root = ET.fromstring(document.encode())
+    assert len(root) == 120
+    blank = re.compile("_:b.*")
+    whole = sorted(tuple(blank.sub("_", x) for x in row) for row in rdf.triples_of(document.encode(), "a.owl"))
+    whole.append(("one.owl", "x", f"{rdf.RDF}type", f"{rdf.OWL}Class", ""))
+    named = None
+    for size in (1 << 20, len(document) // 16, 97):
+        got = sorted(map(tuple, rdf.read_owl(spark, str(tmp_path), size).collect()))
+        assert sorted(tuple(blank.sub("_", x) for x in row) for row in got) == sorted(whole)
+        named = named or got
+        assert got == named  # blank nodes have one name, whatever the ranges
+    assert len({row[1] for row in named if row[1].startswith("_:b")}) > 20
+    own = rdf._Document(str(tmp_path / "a.owl"))
+    for read in (64, 300):  # tags and ends across reads
+        monkeypatch.setattr(rdf, "READ_BYTES", read)
+        assert [e for _, e in own.elements(len(own.head), own.size, 0, 0)] == [e for _, e in rdf._Document(str(tmp_path / "a.owl")).elements(len(own.head), own.size, 0, 0)]
+        assert len(list(own.elements(len(own.head), own.size, 0, 0))) == 120
+
+
 def test_triple_sources(spark):
     o = t.OBO_IN_OWL
     rows = []
