@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -134,6 +135,39 @@ def S4_hierarchy(spark, d):
     return rdf.hierarchy(_triples(spark, d))[1]
 
 
+OWL_HEAD = (
+    '<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE rdf:RDF [ <!ENTITY ex "http://ex.org/o#"> ]>\n<rdf:RDF xml:base="http://ex.org/o"'
+    f' xmlns:rdf="{rdf.RDF}" xmlns:rdfs="{rdf.RDFS}" xmlns:owl="{rdf.OWL}">'
+)
+
+
+@query("""SELECT concat('http://ex.org/o#R', n_regionkey) AS parent, concat('http://ex.org/o#N', n_nationkey) AS child FROM nation
+UNION ALL SELECT concat('http://ex.org/o#N', c_nationkey), concat('http://ex.org/o#C', c_custkey) FROM customer
+UNION ALL SELECT concat('http://ex.org/o#C', o_custkey), concat('http://ex.org/o#O', o_orderkey) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)""")
+def S4_owl_documents(spark, d):
+    """Regions to orders written as OWL documents, one a task, and the hierarchy read back from the files in ranges."""
+    t = lambda n: table(spark, d, n)
+    parts = [
+        t("region").selectExpr("concat('R', r_regionkey) as id", "cast(null as string) as parent", "r_name as said"), t("nation").selectExpr("concat('N', n_nationkey) as id", "concat('R', n_regionkey) as parent", "n_name as said"),
+        t("customer").selectExpr("concat('C', c_custkey) as id", "concat('N', c_nationkey) as parent", "c_name as said"), t("orders").selectExpr("concat('O', o_orderkey) as id", "concat('C', o_custkey) as parent", "o_orderpriority as said"),
+    ]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    rows = rows.withColumn("said", F.expr("replace(replace(coalesce(said, ''), '&', '&amp;'), '<', '&lt;')"))
+    above = "if(parent is null, '', concat('<rdfs:subClassOf rdf:resource=\"#', parent, '\"/>'))"
+    element = f"concat('<owl:Class rdf:about=\"&ex;', id, '\"><rdfs:label xml:lang=\"en\">', said, '</rdfs:label>', {above}, '<!-- <owl:Class> --></owl:Class>') as value"
+
+    def framed(batches):
+        yield pa.RecordBatch.from_pydict({"value": [OWL_HEAD]})
+        yield from batches
+        yield pa.RecordBatch.from_pydict({"value": ["</rdf:RDF>"]})
+
+    path = step_path(spark, "owl")
+    rows.selectExpr(element).mapInArrow(framed, "value string").write.text(path)
+    return rdf.hierarchy(step(rdf.read_owl(spark, path), "triples"))[1]
+
+
 @query("""SELECT page_id, CASE WHEN url LIKE '%#%' THEN string_split(url, '#')[-1] ELSE lower(string_split(rtrim(url, '/'), '/')[-1]) END AS name FROM pages""")
 def S5_uri_name(spark, d):
     return table(spark, d, "pages").select("page_id", text.uri_name(F.col("url")).alias("name"))
