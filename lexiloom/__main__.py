@@ -17,7 +17,7 @@ from .functions.vectors import cosine
 from .operators import agents, embed, knowledge, sampling, triples
 from .operators.knowledge import Sources
 from .plans import evaluation
-from .sources import alignments, dictionary, predictions, rdf, remote
+from .sources import alignments, dictionary, predictions, rdf, remote, sparql
 from .storage import exists, share_code, step
 from .streaming import incremental
 
@@ -31,6 +31,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--csv", required=True, help="the alignment")
     p.add_argument("--dictionary", action="append", default=[], metavar="SOURCE=PATH", help="knowledge of a source, JSON lines")
     p.add_argument("--triples", action="append", default=[], metavar="SOURCE=PATH", help="OWL documents of ncit, doid or dbpedia")
+    p.add_argument("--sparql", action="append", default=[], metavar="SOURCE[=URL]", help="an endpoint of ncit, doid or dbpedia to be asked")
     p.add_argument("--ontology", metavar="PATH", help="OWL documents whose class hierarchy is the source 'ontology'")
     p.add_argument("--conceptnet", metavar="URL", help="edges of a concept as JSON, {concept} in the address; with --lexicon")
     p.add_argument("--lexicon", metavar="PATH", help="words that may be asked for, a word a line")
@@ -84,6 +85,8 @@ def sources_of(spark: SparkSession, a: argparse.Namespace) -> Sources:
     terms = {"ncit": triples.ncit_terms, "doid": triples.doid_terms, "dbpedia": triples.dbpedia_terms}
     read = {k: step(rdf.read_owl(spark, path), "triples") for k, path in (x.split("=", 1) for x in a.triples)}
     asked = {k: functools.partial(terms[k], t) for k, t in read.items()}
+    for x in a.sparql:
+        asked[x.partition("=")[0]] = functools.partial(sparql.fetch, source=sparql.endpoint_of(x)[0], endpoint=sparql.endpoint_of(x)[1])
     edges = step(rdf.hierarchy(rdf.read_owl(spark, a.ontology))[1], "ontology") if a.ontology else None
     net = None
     if a.conceptnet:
