@@ -11,7 +11,9 @@ with C characters, T tags, LC characters and LT tags in links below it, and b th
 the core; the threshold is the least density on the path from it to the body. Siblings along that path join the core when
 their density reaches the threshold, whatever their share of the text; next to the core,
 headings, paragraphs, sections and parts of its class join as well, and so does the last h1 before it. A heading that announces comments, related pages or the
-like ends the article part of its parent if it counts them or what comes next looks like comments or links. An enclosing ``article`` or ``main`` is taken whole. Blocks of that subtree that are mostly links go, but for
+like ends the article part of its parent if it counts them or what comes next looks like comments or links. An enclosing ``article`` or ``main`` is taken whole, and an
+article's fellows of half its size at least with it. Within an article, paragraphs named like tools and parts whose heading repeats
+their name stay if they are running text of few links. Blocks of that subtree that are mostly links go, but for
 an article's list of sources.
 
 The text: character references decoded, white space inside a block turned into one space and trimmed, empty blocks left
@@ -27,6 +29,7 @@ from __future__ import annotations
 import html as html_module
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -68,6 +71,10 @@ AFTER = re.compile(
 MARKS = frozenset("comment comments commentlist disqus feedback reply replies respond shoutbox".split())
 #: Words that may name a section's subject as well: with a heading of its own and running text it is a part of its article.
 SUBJECTS = frozenset("social legal privacy discussion feedback notice navigation banner disclaimer copyright tags related banners cookies sharing subscription skip".split())
+#: Such words name things made of links or controls: a paragraph of running text in an article is none of them.
+TOOLS = frozenset("menu nav navbar navigation breadcrumb breadcrumbs pager pagination toc toolbar topbar tracking tags tagcloud social share sharing search skip related recommended recommendations login".split())
+#: Characters from which a paragraph is running text, and the share of links up to which.
+RUNNING, FEW_LINKS = 100, 0.2
 #: A heading before a list of linked sources.
 SOURCES = re.compile(r"\W*(?:\d+\.? )?(?:references|bibliography|sources|notes|footnotes|works cited|citations|literature|literatur|quellen|einzelnachweise|bibliographie|références|bibliografía|referencias)\W*", re.I)
 #: Class names that say what stands beside a part or is missing, not what it is.
@@ -123,10 +130,29 @@ def _words(attributes: str) -> set[str]:
     return words
 
 
+class _Open(list):
+    """Open elements, innermost last, with the number of each tag, so that a tag costs no walk over all of them."""
+
+    def __init__(self, nodes: list[Node]):
+        super().__init__(nodes)
+        self.tags = Counter(x.tag for x in nodes)
+
+    def count_of(self, tag: str) -> int:
+        return self.tags[tag]
+
+    def append(self, node: Node) -> None:
+        self.tags[node.tag] += 1
+        super().append(node)
+
+    def __delitem__(self, part: slice) -> None:
+        self.tags.subtract(x.tag for x in self[part])
+        super().__delitem__(part)
+
+
 def parse(page: str) -> Node:
     """The body (or the whole page where there is none) as a tree."""
     root = Node("html", None)
-    stack = [root]
+    stack = _Open([root])
     at, n = 0, len(page)
 
     def add(text: str) -> None:
@@ -155,7 +181,7 @@ def parse(page: str) -> Node:
                 if tag == "br":
                     stack[-1].parts.append(" ")
                 continue
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if stack.count_of(tag) else ():
                 if stack[k].tag == tag:
                     if tag not in ("body", "html"):
                         del stack[k:]
@@ -164,12 +190,12 @@ def parse(page: str) -> Node:
                     break
             continue
         if tag in ("html", "body"):
-            if any(s.tag == "body" for s in stack) or tag == "html":
+            if stack.count_of("body") or tag == "html":
                 continue
             del stack[1:]
-        elif tag == "body" or tag in BLOCK and any(s.tag == "head" for s in stack):
+        elif tag in BLOCK and stack.count_of("head"):
             del stack[next(k for k, s in enumerate(stack) if s.tag == "head") :]
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and stack.count_of("p"):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
                     del stack[k:]
@@ -186,7 +212,7 @@ def parse(page: str) -> Node:
                     break
             if cut:
                 del stack[cut:]
-        inside = any(s.tag in ("article", "main") for s in stack)
+        inside = stack.count_of("article") + stack.count_of("main") > 0
         noise, named = _noise(tag, attributes, inside)
         node = Node(tag, stack[-1], noise, next((a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes) if k.lower() == "class"), ""))
         node.named = named
@@ -239,10 +265,31 @@ def _rescue(body: Node) -> None:
         # such a section of an article is a part of it unless readers write there or it holds links
         section = node.tag == "section" and any(isinstance(p, Node) and p.tag in HEADINGS for p in node.parts)
         own = (section or node.named == {"discussion"}) and node.named <= SUBJECTS and _in_article(node) and not _reader_or_links([node])
+        own = own or _running(node)
         if own or most or of_kind and not (of_kind == {"h1"} and node.named <= HEAD_WORDS):
             node.noise = False
 
 
+def _running(node: Node) -> bool:
+    """Whether a named part within an article is running text of it: a paragraph named like a tool, or a part with a heading that its name, of several words, describes."""
+    if node.tag == "p":
+        if not node.named <= TOOLS:
+            return False
+    else:
+        first = next((p for p in node.parts if isinstance(p, Node)), None)
+        if node.tag not in ("div", "section") or not node.named <= SUBJECTS or first is None or first.tag not in HEADINGS:
+            return False
+        says = _clean("".join(_strings(first)))
+        own = {w.lower() for w in CAMEL.findall(says)}
+        if AFTER.fullmatch(says) or not own & set(w.lower() for w in CAMEL.findall(node.kind)) - node.named:
+            return False
+    if not _in_article(node):
+        return False
+    chars = len(_clean("".join(_strings(node))))
+    links = sum(len(_clean("".join(_strings(x)))) for x in walk(node) if x.tag == "a")
+    return chars >= RUNNING and links <= FEW_LINKS * chars and not _reader_or_links([node])
+
+
 def _in_article(node: Node) -> bool:
     while node.parent and node.tag not in ("article", "main"):
         node = node.parent
@@ -338,7 +385,10 @@ def main_part(body: Node) -> list[Node]:
     threshold = min(p.density for p in path)
     whole = [p for p in path if p.tag in ("article", "main")]
     if whole:
-        return [whole[0]]
+        # other articles beside it, of half its size at least and hardly any links, belong to the page's text as well
+        beside = whole[0].parent.parts if whole[0].tag == "article" and whole[0].parent else whole
+        fellow = lambda p: isinstance(p, Node) and p.tag == "article" and not p.noise and 2 * p.chars >= whole[0].chars and p.link_chars <= 0.1 * p.chars
+        return [p for p in beside if p is whole[0] or fellow(p)]
     if core.tag in ("ul", "ol", "dl", "table", "tbody", "tr") and core.parent:
         core = core.parent
         path = _path(core, body)

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import duckdb
 import pytest
@@ -144,3 +145,35 @@ def test_pages(spark):
     odd = spark.createDataFrame([(1, None, None, 3), (1, None, None, 3)], "page_id long, url string, html string, n_chars int")
     assert [(r.text, r.n_chars) for r in h.extract(odd).collect()] == [("", 0)] * 2
     assert h.extract(odd.limit(0)).count() == 0
+
+
+LONG = "Running text about the subject that goes on for a while with many words and no links in it at all. " * 2
+
+
+@pytest.mark.parametrize(
+    ("page", "kept"),
+    [
+        (f'<article><h1>T</h1><p>{LONG}</p><div class="notice-of-results"><h2>Results</h2><p>{LONG} R1</p></div></article>', ["R1"]),
+        (f'<article><h1>T</h1><p>{LONG}</p><p class="tracking">{LONG} R1</p></article>', ["R1"]),
+        (f'<main><h1>T</h1><p>{LONG}</p><div class="related-work"><h2>Related work</h2><p>{LONG} R1</p></div><div class="social-history"><h2>Social history</h2><p>{LONG} R2</p></div></main>', ["R1", "R2"]),
+        (f'<main><h1>T</h1><p class="tags">{LONG} R1</p><p class="tags">{LONG} R2</p></main>', ["R1", "R2"]),
+        (f'<main><article><h1>A</h1><p>{LONG} R1</p><p>{LONG}</p></article><article><h1>B</h1><p>{LONG} R2</p></article></main>', ["R1", "R2"]),
+        (f'<article><h1>T</h1><p>{LONG}</p><div class="related-posts"><h3>Related posts</h3><p>{LONG} BAD</p></div><p class="notice">{LONG} BAD</p><p class="tags"><a>x BAD</a> <a>y</a></p></article>', []),
+        (f'<main><article><h1>A</h1><p>{LONG} R1</p><p>{LONG}</p></article><article class="comment"><p>{LONG} BAD</p></article><article><h3><a>Other BAD</a></h3><p>short</p></article></main>', ["R1"]),
+    ],
+)
+def test_named_parts(page, kept):
+    """Names take out no running text of an article, but notices, related pages, comments and lists of links go."""
+    text = h.main_text(f"<html><body>{page}</body></html>")
+    assert [w for w in ("R1", "R2", "BAD") if w in text] == kept
+
+
+def test_deep():
+    """Nested elements cost time in proportion."""
+    def seconds(n):
+        began = time.perf_counter()
+        assert h.main_text("<body>" + "<div>" * n + "text" + "</div>" * n) == "text"
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(40_000) < 40 * seconds(4_000)
