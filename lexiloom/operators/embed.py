@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import combine
@@ -102,12 +102,61 @@ def create_embedder(backend: str = "hash", **options) -> Embedder:
     return EMBEDDERS[backend](**options)
 
 
+#: Parts in which the neighbours of a node are numbered side by side.
+PARTS = 64
+
+
+def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Neighbours as rows (at, nth from 0, next, next_degree), and degrees (at, degree): a hub is many rows, never an array.
+
+    The neighbours of a node are numbered in parts by hash, each behind the parts before it, so that no task orders a hub's whole list.
+    """
+    e = step(edges.where("parent IS NOT NULL AND child IS NOT NULL").select(F.col("parent").alias("at"), F.col("child").alias("next")).distinct(), "edges")
+    e = e.withColumn("part", F.pmod(F.xxhash64("next"), F.lit(PARTS)))
+    counts = e.groupBy("at", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("at").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.withColumn("offset", F.coalesce(before, F.lit(0)))
+    degrees = step(counts.groupBy("at").agg(F.sum("n").alias("degree")), "degrees")
+    own = F.row_number().over(Window.partitionBy("at", "part").orderBy("next")) - 1
+    rows = e.withColumn("own", own).join(offsets, ["at", "part"]).select("at", (F.col("own") + F.col("offset")).alias("nth"), "next")
+    rows = rows.join(degrees.withColumnsRenamed({"at": "next", "degree": "next_degree"}), "next", "left")
+    return step(rows.select("at", "nth", "next", F.coalesce("next_degree", F.lit(0)).alias("next_degree")), "near"), degrees
+
+
 def walks(nodes: DataFrame, edges: DataFrame, length: int = 30, per_node: int = 200, p: float = 1.0, q: float = 1.0, seed: int = 42) -> DataFrame:
     """walk_id, path: random walks along edges, ``per_node`` from each node.
 
-    Each step joins the walks' ends with the sorted neighbour lists and picks by hash, so a rerun walks the same ways. With
-    p or q other than 1, a step back weighs 1/p and one to no neighbour of the place before 1/q; only then are the neighbours
-    of the place before carried along. Walks that have come to an end are written apart every few steps.
+    A step picks the number of a neighbour by hash, so a rerun walks the same ways, and joins on node and number: many walks at
+    one hub meet its many rows. With p or q other than 1 see ``_biased``. Walks that have come to an end are written
+    apart every few steps.
+    """
+    if p != 1 or q != 1:
+        return _biased(nodes, edges, length, per_node, p, q, seed)
+    near, degrees = _numbered(edges)
+    now = nodes.select("id").join(degrees.withColumnRenamed("at", "id"), "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"), F.explode(F.sequence(F.lit(1), F.lit(per_node))).alias("n"))
+    now = now.select(F.concat_ws("#", "id", "n").alias("walk_id"), F.array("id").alias("path"), F.col("id").alias("at"), "degree")
+    ended = None
+    for i in range(1, length):
+        roll = F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "walk_id"), F.lit(1 << 30)).cast("double") / (1 << 30)
+        both = now.withColumn("nth", F.floor(roll * F.col("degree"))).join(near, ["at", "nth"], "left")
+        now = both.select(
+            "walk_id", F.when(F.col("next").isNotNull(), F.concat("path", F.array("next"))).otherwise(F.col("path")).alias("path"),
+            F.col("next").alias("at"), F.coalesce("next_degree", F.lit(0)).alias("degree"),
+        )
+        if i % 5 == 0:
+            every = step(now, "walks")
+            over, now = every.where("at IS NULL").select("walk_id", "path"), every.where("at IS NOT NULL")
+            ended = over if ended is None else ended.unionByName(over)
+            if now.isEmpty():
+                break
+    rest = now.select("walk_id", "path")
+    return rest if ended is None else ended.unionByName(rest)
+
+
+def _biased(nodes: DataFrame, edges: DataFrame, length: int, per_node: int, p: float, q: float, seed: int) -> DataFrame:
+    """Walks on which a step back weighs 1/p and one to no neighbour of the place before 1/q.
+
+    The sorted neighbours of a place and of the one before are carried along as arrays: not for graphs with hubs.
     """
     near = edges.distinct().groupBy(F.col("parent").alias("at")).agg(F.array_sort(F.collect_list("child")).alias("near"))
     near = step(near, "near")
@@ -117,23 +166,20 @@ def walks(nodes: DataFrame, edges: DataFrame, length: int = 30, per_node: int =
     for i in range(1, length):
         both = now.join(near, "at", "left")
         roll = F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "walk_id"), F.lit(1 << 30)).cast("double") / (1 << 30)
-        if p == 1 and q == 1:
-            nxt = F.get("near", F.floor(roll * F.size("near")).cast("int"))
-        else:
-            prev = F.try_element_at("path", F.lit(-2))
-            weights = F.transform("near", lambda x: F.when(x == prev, 1.0 / p).when(F.array_contains(F.coalesce("before", F.col("near")), x), 1.0).otherwise(1.0 / q))
-            both = both.withColumn("w", weights).withColumn("want", roll * F.aggregate("w", F.lit(0.0), lambda a, x: a + x))
-            place = F.aggregate(
-                "w",
-                F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")),
-                lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.when(a["sum"] + x <= F.col("want"), a["n"] + 1).otherwise(a["n"]).alias("n")),
-            )["n"]
-            nxt = F.get("near", F.least(place, F.size("near") - 1))
+        prev = F.try_element_at("path", F.lit(-2))
+        weights = F.transform("near", lambda x: F.when(x == prev, 1.0 / p).when(F.array_contains(F.coalesce("before", F.col("near")), x), 1.0).otherwise(1.0 / q))
+        both = both.withColumn("w", weights).withColumn("want", roll * F.aggregate("w", F.lit(0.0), lambda a, x: a + x))
+        place = F.aggregate(
+            "w",
+            F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")),
+            lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.when(a["sum"] + x <= F.col("want"), a["n"] + 1).otherwise(a["n"]).alias("n")),
+        )["n"]
+        nxt = F.get("near", F.least(place, F.size("near") - 1))
         both = both.withColumn("next", F.when(F.size("near") > 0, nxt))
         now = both.select(
             "walk_id",
             F.when(F.col("next").isNotNull(), F.concat("path", F.array("next"))).otherwise(F.col("path")).alias("path"),
-            F.col("next").alias("at"), (F.lit(None).cast("array<string>") if p == 1 and q == 1 else F.col("near")).alias("before"),
+            F.col("next").alias("at"), F.col("near").alias("before"),
         )
         if i % 5 == 0:
             every = step(now, "walks")

@@ -218,6 +218,38 @@ def test_embed(spark):
     assert {len(r.embedding) for r in both.collect()} == {20}
 
 
+def test_walks_from_a_hub(spark):
+    """Neighbours have the numbers 0 to degree - 1, walks from a hub spread evenly over them, and a rerun walks the same ways."""
+    edges = spark.range(3000).selectExpr("'hub' as parent", "concat('leaf', id % 1000) as child").unionByName(spark.sql("select 'leaf1' as parent, 'hub' as child union all select 'leaf1', 'leaf2' union all select null, 'x'"))
+    near, degrees = embed._numbered(edges)
+    assert {tuple(r) for r in degrees.collect()} == {("hub", 1000), ("leaf1", 2)}
+    rows = near.where("at = 'hub'").collect()
+    assert sorted(r.nth for r in rows) == list(range(1000)) and {r.next: r.next_degree for r in rows if r.next_degree} == {"leaf1": 2}
+    nodes = spark.createDataFrame([("hub",), ("leaf1",), ("leaf2",), ("none",)], "id string")
+    paths = {r.walk_id: r.path for r in embed.walks(nodes, edges, 8, 20_000).where("walk_id like 'hub%' or walk_id like '%#1'").collect()}
+    hit = [p[1] for k, p in paths.items() if k.startswith("hub")]
+    count = np.unique(hit, return_counts=True)[1]
+    assert len(hit) == 20_000 and len(count) == 1000 and count.max() < 50
+    known = {("leaf1", "hub"), ("leaf1", "leaf2")}
+    assert all((a, b) in known or a == "hub" and b.startswith("leaf") for p in paths.values() for a, b in zip(p, p[1:], strict=False))
+    assert paths["leaf2#1"] == ["leaf2"] and paths["none#1"] == ["none"] and max(map(len, paths.values())) > 3
+    again = {r.walk_id: r.path for r in embed.walks(nodes, edges.repartition(3), 8, 50).collect()}
+    assert all(paths[k] == p for k, p in again.items() if k in paths)
+
+
+def test_communities(spark):
+    """Nodes of one community are more alike in structure than nodes of two."""
+    r = np.random.default_rng(5)
+    pairs = [(f"{c}{i}", f"{c}{j}") for c in "ab" for i in range(15) for j in r.choice(15, 6, replace=False).tolist() if i != j] + [("a0", "b0"), ("b1", "a1")]
+    edges = spark.createDataFrame(pairs, "parent string, child string")
+    nodes = spark.createDataFrame([(f"{c}{i}",) for c in "ab" for i in range(15)], "id string")
+    v = {x.id: np.array(x.structure) for x in embed.structural(nodes, edges, dim=16, length=20, per_node=100, window=5).collect()}
+    like = lambda x, y: v[x] @ v[y] / np.linalg.norm(v[x]) / np.linalg.norm(v[y])
+    within = [like(f"{c}{i}", f"{c}{j}") for c in "ab" for i in range(15) for j in range(i)]
+    across = [like(f"a{i}", f"b{j}") for i in range(15) for j in range(15)]
+    assert np.mean(within) > np.mean(across) + 0.1
+
+
 def test_knowledge(spark):
     with pytest.warns(UserWarning):
         rows = spark.createDataFrame([("a",), ("b",)], "concept_code string")
