@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,24 +29,34 @@ def score(rows: DataFrame, true: str = "true_relation", pred: str = "pred_relati
     return sums.select(*_scores(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
+def _part(key: Column, cuts: list) -> Column:
+    """The number of cuts not above the key, looked up in two steps of the square root of their number each."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts)) + 1
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    group = F.size(F.filter(F.lit([g[0] for g in groups]), lambda c: c <= key))
+    inside = F.size(F.filter(F.get(F.array(*[F.lit(g) for g in groups]), group - 1), lambda c: c <= key))
+    return F.when(group == 0, 0).otherwise((group - 1) * step + inside)
+
+
 def running_score(rows: DataFrame, order: str, true: str = "true_relation", pred: str = "pred_relation", positive=1, buckets: int = 0) -> DataFrame:
     """Before every row, the scores over all rows ahead of it in ``order`` (a total order of numbers).
 
     Ranges of like size (by quantiles) are summed first, so no task holds all rows: a row's counts are those of the ranges
-    ahead (a few rows) and those ahead of it in its own range.
+    ahead (a row a range) and those ahead of it in its own range, by whose partitioning both are joined.
     """
     n = rows.count()
     buckets = buckets or max(1, -(-n // 100_000))
     cuts = rows.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 20 * buckets).alias("at")).first()["at"] if buckets > 1 else None
-    part = F.size(F.filter(F.lit(sorted(set(cuts))), lambda c: c <= F.col(order))) if cuts else F.lit(0)
-    counted = rows.withColumn("__part", part)
+    counted = rows.withColumn("__part", _part(F.col(order), sorted(set(cuts or []))))
     counted = counted.withColumns({f"__{k}": c for k, c in _counts(true, pred, positive).items()})
     keys = [f"__{k}" for k in ("tp", "fp", "fn")]
     ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     sums = counted.groupBy("__part").agg(*[F.sum(k).alias(k) for k in keys])
     sums = sums.select("__part", *[F.coalesce(F.sum(k).over(ahead), F.lit(0)).alias(f"{k}_ahead") for k in keys])
     inside = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    both = counted.withColumns({f"{k}_in": F.coalesce(F.sum(k).over(inside), F.lit(0)) for k in keys}).join(F.broadcast(sums), "__part")
+    both = counted.withColumns({f"{k}_in": F.coalesce(F.sum(k).over(inside), F.lit(0)) for k in keys}).join(sums, "__part")
     totals = [F.col(f"{k}_in") + F.col(f"{k}_ahead") for k in keys]
     return both.select(*rows.columns, *_scores(*totals))
 

@@ -113,10 +113,11 @@ def test_metrics(spark):
     assert tuple(metrics.score(df).first()) == (0.5, 0.5, 0.5)
     assert tuple(metrics.score(df.limit(0)).first()) == (0.0, 0.0, 0.0)
     rows = [(i, i % 2, (i // 2) % 2) for i in range(40)]
-    run = {r.i: (r.precision, r.recall) for r in metrics.running_score(spark.createDataFrame(rows, "i long, true_relation int, pred_relation int"), "i", buckets=4).collect()}
-    for i in range(40):
-        tp = sum(a and b for _, a, b in rows[:i])
-        assert run[i][0] == pytest.approx(tp / max(1, sum(b for _, _, b in rows[:i])))
+    for buckets in (1, 4, 17):
+        run = {r.i: (r.precision, r.recall) for r in metrics.running_score(spark.createDataFrame(rows, "i long, true_relation int, pred_relation int"), "i", buckets=buckets).collect()}
+        for i in range(40):
+            tp = sum(a and b for _, a, b in rows[:i])
+            assert run[i][0] == pytest.approx(tp / max(1, sum(b for _, _, b in rows[:i])))
     price = metrics.cost(spark.createDataFrame([("openai", "gpt-4o", 1000, 100), ("x", "y", 5, 5)], "backend string, model string, input_token long, output_token long"), metrics.price_table(spark), ["model"])
     assert {r.model: r.total_cost for r in price.collect()} == {"gpt-4o": pytest.approx(0.0035), "y": 0.0}
 
