@@ -5,10 +5,11 @@ alone has, by the least and greatest site hash (two numbers a line, combined bef
 are counted with a HyperLogLog sketch for each line and document range, the sketches of a line are merged by a second
 aggregation, and a line whose estimate lies near the threshold gets an exact distinct count. A line on at least
 ``min_sites`` sites is cross-site boilerplate: it goes from every document but for its first occurrence (least doc_id,
-then least line number), so that text which many sites copy is kept once and no content is lost.
+then least line number, then least text hash), so that text which many sites copy is kept once and no content is lost.
 
 Defined results: a null or empty text has one empty line, which is never boilerplate; null sources are one site; a
-document that loses every line stays with an empty text; rows repeated under one doc_id are treated alike; a text of one
+document that loses every line stays with an empty text; rows of one doc_id and text are treated alike, different
+texts under one doc_id or under none are apart (a document is known by its id and its text's 64-bit hash); a text of one
 very long line is one line; an empty table gives no rows; other columns stay as they are. Two lines of equal hash count as
 one line: at n lines of which b are boilerplate, n * b / 2**64 lines are expected to go by mistake.
 """
@@ -42,10 +43,10 @@ def long_enough(line: Column, min_chars: int) -> Column:
 
 
 def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, site, pos, line_hash of every line that can be boilerplate."""
+    """doc_id, copy (the text's hash), site, pos, line_hash of every line that can be boilerplate."""
     site = F.xxhash64(F.coalesce(F.col("source").cast("string"), F.lit("")))
-    lines = docs.select("doc_id", site.alias("site"), F.posexplode(lines_of(whole_text())).alias("pos", "line"))
-    return lines.where(long_enough(F.col("line"), min_chars)).select("doc_id", "site", "pos", line_key(F.col("line")).alias("line_hash"))
+    lines = docs.select("doc_id", F.xxhash64(whole_text()).alias("copy"), site.alias("site"), F.posexplode(lines_of(whole_text())).alias("pos", "line"))
+    return lines.where(long_enough(F.col("line"), min_chars)).select("doc_id", "copy", "site", "pos", line_key(F.col("line")).alias("line_hash"))
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
@@ -55,8 +56,8 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MI
     # written first, so that the join meets two tables and can split a hot line's rows over tasks
     seen = cut(every.join(cut(shared, "shared"), "line_hash", "left_semi"), "lines")
     # sketches for each line and range of documents, then merged: no line's occurrences meet in one task
-    part = seen.groupBy("line_hash", F.pmod(F.hash("doc_id"), F.lit(16)).alias("part")).agg(
-        F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min(F.struct("doc_id", "pos")).alias("first")
+    part = seen.groupBy("line_hash", F.pmod(F.hash("doc_id", "copy"), F.lit(16)).alias("part")).agg(
+        F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min(F.struct("doc_id", "pos", "copy")).alias("first")
     )
     spread = part.groupBy("line_hash").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("sites"), F.min("first").alias("first"))
     low, high = int(min_sites / (1 + BAND)) - 1, min_sites * (1 + BAND) + 1
@@ -78,14 +79,14 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int
     """``docs`` with cross-site boilerplate taken out of ``text``, and a column ``lines_removed`` (``lines_removed_`` where docs has one)."""
     seen, found = boilerplate(docs, min_sites, min_chars)
     hit = seen.join(found, "line_hash")
-    is_first = (F.col("first.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("first.pos") == F.col("pos"))
+    is_first = (F.col("first.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("first.pos") == F.col("pos")) & (F.col("first.copy") == F.col("copy"))
     # by document: what to take out, and the places that stay
-    plan = hit.groupBy(F.col("doc_id").alias("id")).agg(
+    plan = hit.groupBy(F.col("doc_id").alias("id"), "copy").agg(
         F.collect_set("line_hash").alias("out"), F.collect_set(F.when(is_first, F.col("pos"))).alias("stay")
     )
     rows, names = numbered(docs)
     doc_id, text = (rows.columns[names.index(c)] for c in ("doc_id", "text"))
-    both = rows.join(plan, rows[doc_id].eqNullSafe(plan["id"]), "left")
+    both = rows.join(plan, rows[doc_id].eqNullSafe(plan["id"]) & (F.xxhash64(whole_text(text)) == plan["copy"]), "left")
     marked = F.transform(
         lines_of(whole_text(text)),
         lambda line, i: F.struct(

@@ -98,6 +98,14 @@ def test_odd_lines(spark):
     rows = [(i, f"Impressum|Kontakt\n这是一个没有空格的重复的行\nshort one\nown {i} words", f"s{i}") for i in range(6)]
     out = {r.doc_id: r for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert out[0].lines_removed == 0 and all(out[i].text == f"short one\nown {i} words" for i in range(1, 6))
+    # texts without id, or different ones under one id, are apart; rows of one id and text are alike
+    for key in (None, 7):
+        rows = [(key, f"own line number {i} here\nthe same boilerplate line\n{'x' * i}", f"s{i % 6}") for i in range(12)] * 2 + [(9, "the same boilerplate line", "s0")]
+        out = line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+        kept = [r.text for r in out if r.doc_id == key and "boilerplate" in r.text]
+        assert len(out) == 25 and len(kept) == 2 and len(set(kept)) == 1
+        assert sorted(r.text.split("\n")[0] for r in out if r.doc_id == key) == sorted(r[1].split("\n")[0] for r in rows if r[0] == key)
+        assert [r.text for r in out if r.doc_id == 9] == [""]
 
 
 def test_odd_chats(spark):
