@@ -8,13 +8,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import combine
 from ..storage import step
+from .skipgram import skip_gram
 
 
 class Embedder(ABC):
@@ -130,15 +129,14 @@ def walks(nodes: DataFrame, edges: DataFrame, length: int = 30, per_node: int =
     one hub meet its many rows. With p or q other than 1 see ``_biased``. Walks that have come to an end are written
     apart every few steps.
     """
-    if p != 1 or q != 1:
-        return _biased(nodes, edges, length, per_node, p, q, seed)
     near, degrees = _numbered(edges)
     now = nodes.select("id").join(degrees.withColumnRenamed("at", "id"), "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"), F.explode(F.sequence(F.lit(1), F.lit(per_node))).alias("n"))
     now = now.select(F.concat_ws("#", "id", "n").alias("walk_id"), F.array("id").alias("path"), F.col("id").alias("at"), "degree")
+    if p != 1 or q != 1:
+        return _biased(now, near, length, p, q, seed)
     ended = None
     for i in range(1, length):
-        roll = F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "walk_id"), F.lit(1 << 30)).cast("double") / (1 << 30)
-        both = now.withColumn("nth", F.floor(roll * F.col("degree"))).join(near, ["at", "nth"], "left")
+        both = now.withColumn("nth", F.floor(_roll(seed, i) * F.col("degree"))).join(near, ["at", "nth"], "left")
         now = both.select(
             "walk_id", F.when(F.col("next").isNotNull(), F.concat("path", F.array("next"))).otherwise(F.col("path")).alias("path"),
             F.col("next").alias("at"), F.coalesce("next_degree", F.lit(0)).alias("degree"),
@@ -153,35 +151,50 @@ def walks(nodes: DataFrame, edges: DataFrame, length: int = 30, per_node: int =
     return rest if ended is None else ended.unionByName(rest)
 
 
-def _biased(nodes: DataFrame, edges: DataFrame, length: int, per_node: int, p: float, q: float, seed: int) -> DataFrame:
-    """Walks on which a step back weighs 1/p and one to no neighbour of the place before 1/q.
+def _roll(seed: int, *what: int) -> Column:
+    """A number from 0 to under 1 by hash of the walk."""
+    return F.pmod(F.xxhash64(F.lit(seed), *[F.lit(w) for w in what], "walk_id"), F.lit(1 << 30)).cast("double") / (1 << 30)
+
 
-    The sorted neighbours of a place and of the one before are carried along as arrays: not for graphs with hubs.
+def _biased(now: DataFrame, near: DataFrame, length: int, p: float, q: float, seed: int) -> DataFrame:
+    """Walks on which a step back weighs 1/p, one to a neighbour of the place before 1, any other 1/q.
+
+    Exact by rejection, without a list of neighbours: a walk proposes one neighbour by number, looks up by a join whether an edge
+    leads there from the place before, and takes it with its weight's share of the greatest weight; a walk whose proposal was
+    refused proposes again in the next round. A return that weighs more than all others has a share of its own of the proposals,
+    so a small p costs no refusals; where there is one neighbour only it is taken.
     """
-    near = edges.distinct().groupBy(F.col("parent").alias("at")).agg(F.array_sort(F.collect_list("child")).alias("near"))
-    near = step(near, "near")
-    now = nodes.select("id", F.explode(F.sequence(F.lit(1), F.lit(per_node))).alias("n"))
-    now = now.select(F.concat_ws("#", "id", "n").alias("walk_id"), F.array("id").alias("path"), F.col("id").alias("at"), F.lit(None).cast("array<string>").alias("before"))
-    ended = None
-    for i in range(1, length):
-        both = now.join(near, "at", "left")
-        roll = F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "walk_id"), F.lit(1 << 30)).cast("double") / (1 << 30)
-        prev = F.try_element_at("path", F.lit(-2))
-        weights = F.transform("near", lambda x: F.when(x == prev, 1.0 / p).when(F.array_contains(F.coalesce("before", F.col("near")), x), 1.0).otherwise(1.0 / q))
-        both = both.withColumn("w", weights).withColumn("want", roll * F.aggregate("w", F.lit(0.0), lambda a, x: a + x))
-        place = F.aggregate(
-            "w",
-            F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")),
-            lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.when(a["sum"] + x <= F.col("want"), a["n"] + 1).otherwise(a["n"]).alias("n")),
-        )["n"]
-        nxt = F.get("near", F.least(place, F.size("near") - 1))
-        both = both.withColumn("next", F.when(F.size("near") > 0, nxt))
-        now = both.select(
-            "walk_id",
-            F.when(F.col("next").isNotNull(), F.concat("path", F.array("next"))).otherwise(F.col("path")).alias("path"),
-            F.col("next").alias("at"), F.col("near").alias("before"),
+    if p <= 0 or q <= 0:
+        raise ValueError("p and q must be above 0")
+    most = max(1.0, 1.0 / q)
+    extra = max(0.0, 1.0 / p - most)
+    known = near.select(F.col("at").alias("before"), "next", F.lit(True).alias("linked"))
+    back = near.select(F.col("next").alias("at"), F.col("at").alias("next"), F.lit(True).alias("returns"))
+    near = step(near.join(back, ["at", "next"], "left").withColumn("returns", F.coalesce("returns", F.lit(False))), "near")
+    # ``returns``: an edge leads back to the place before, which has ``before_degree`` neighbours
+    now = now.select("walk_id", "path", "at", "degree", F.lit(None).cast(now.schema["at"].dataType).alias("before"), F.lit(0).cast("long").alias("before_degree"), F.lit(False).alias("returns"))
+    ended, i = None, 0
+    while length > 1:
+        i += 1
+        own = F.col("at").isNotNull() & F.col("returns") & (_roll(seed, i, 1) * (extra + F.col("degree") * most) < extra)
+        tried = now.withColumn("own", own).withColumn("nth", F.floor(_roll(seed, i, 0) * F.col("degree")))
+        tried = tried.join(near.withColumnRenamed("returns", "next_returns"), ["at", "nth"], "left").join(known, ["before", "next"], "left")
+        weight = F.when(F.col("before").isNull(), most).when(F.col("next") == F.col("before"), min(1.0 / p, most)).when(F.col("linked"), 1.0).otherwise(1.0 / q)
+        taken = (F.col("degree") == 1) | (_roll(seed, i, 2) * most < weight)
+        goes = F.when(F.col("own"), F.col("before")).when(taken, F.col("next"))
+        moved = tried.withColumn("to", goes).withColumn("stuck", F.col("degree") == 0)
+        go = F.col("to").isNotNull()
+        now = moved.select(
+            "walk_id", F.when(go, F.concat("path", F.array("to"))).otherwise(F.col("path")).alias("path"),
+            F.when(F.col("stuck"), F.lit(None)).when(go, F.col("to")).otherwise(F.col("at")).alias("at"),
+            F.when(F.col("own"), F.col("before_degree")).when(go, F.col("next_degree")).otherwise(F.col("degree")).alias("degree"),
+            F.when(go, F.col("at")).otherwise(F.col("before")).alias("before"),
+            F.when(go, F.col("degree")).otherwise(F.col("before_degree")).alias("before_degree"),
+            F.when(F.col("own"), F.lit(True)).when(go, F.col("next_returns")).otherwise(F.col("returns")).alias("returns"),
         )
-        if i % 5 == 0:
+        # a walk of full length waits, so that no path grows beyond it
+        now = now.withColumn("at", F.when(F.size("path") < length, F.col("at"))).withColumn("degree", F.when(F.col("at").isNull(), 0).otherwise(F.col("degree")))
+        if i % 4 == 0:
             every = step(now, "walks")
             over, now = every.where("at IS NULL").select("walk_id", "path"), every.where("at IS NOT NULL")
             ended = over if ended is None else ended.unionByName(over)
@@ -192,17 +205,12 @@ def _biased(nodes: DataFrame, edges: DataFrame, length: int, per_node: int, p: f
 
 
 def structural(nodes: DataFrame, edges: DataFrame, dim: int = 128, length: int = 30, per_node: int = 200, window: int = 10, seed: int = 42, p: float = 1.0, q: float = 1.0) -> DataFrame:
-    """id, structure: skip-gram vectors of the nodes on walks; zeros for nodes no walk holds. Trained once for all sides.
-
-    As many partitions train as the session shuffles into; Spark joins their models after the pass.
-    """
+    """id, structure: skip-gram vectors of the nodes on walks; zeros for nodes no walk holds. Trained once for all sides."""
     zeros = F.array_repeat(F.lit(0.0), dim)
     if edges.isEmpty():
         return nodes.select("id", zeros.alias("structure"))
     paths = step(walks(nodes, edges, length, per_node, p, q, seed), "paths")
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    model = Word2Vec(numPartitions=parts, maxIter=1, vectorSize=dim, windowSize=window, minCount=1, seed=seed, maxSentenceLength=max(length, 1), inputCol="path", outputCol="v").fit(paths)
-    vectors = model.getVectors().select(F.col("word").alias("id"), vector_to_array("vector").alias("structure"))
+    vectors = skip_gram(paths, dim, window, seed=seed).withColumnRenamed("vector", "structure")
     return nodes.select("id").distinct().join(vectors, "id", "left").withColumn("structure", F.coalesce("structure", zeros))
 
 
