@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..storage import step, step_path
 
@@ -157,8 +158,9 @@ def least_reachable(edges: DataFrame, start: DataFrame, items: DataFrame, limit:
 
     No pair of start and reached id is made: every node keeps the least items of itself and all behind it, and hands them on to
     the nodes before it when they change. The least of a union are the least of the parts' least, so what is cut off
-    could never come in again, and an item that comes by several paths is one item. Rows are at most ``limit`` an edge and
-    round; rounds are the length of the longest path on which anything changes. Cycles end by themselves.
+    could never come in again, and an item that comes by several paths is one item. A round writes the lists that
+    changed only; a node's last one counts. Rows are at most ``limit`` an edge and round; rounds are the length of the
+    longest path on which anything changes. Cycles end by themselves.
     """
     a, b = ("parent", "child") if down else ("child", "parent")
     hop = edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct()
@@ -166,17 +168,27 @@ def least_reachable(edges: DataFrame, start: DataFrame, items: DataFrame, limit:
     ids = start.select("id").distinct()
     region = closure_of_all(hop, ids)
     hop = step(hop.join(region, "id", "left_semi"), "hops")
-    kept = step(_least(items.select("id", "item").join(region, "id", "left_semi"), "id", limit), "least")
-    changed = kept
-    while True:
+    base, rounds = step_path(edges.sparkSession, "least"), 0
+    first = _least(items.select("id", "item").join(region, "id", "left_semi"), "id", limit)
+    shape = StructType([*first.schema.fields, StructField("round", IntegerType())])
+
+    def write(lists: DataFrame) -> DataFrame:
+        lists.write.parquet(f"{base}/round={rounds}")
+        return edges.sparkSession.read.schema(shape).parquet(f"{base}/round={rounds}").select("id", "items")
+
+    def every() -> DataFrame:
+        return edges.sparkSession.read.schema(shape).parquet(base)
+
+    changed = write(first)
+    while not changed.isEmpty():
         came = hop.join(changed.select(F.col("id").alias("next"), "items"), "next").select("id", F.explode("items").alias("item"))
-        to = step(_least(came, "id", limit).withColumnRenamed("items", "new"), "came")
-        both = to.join(kept, "id", "left").select("id", F.coalesce("items", F.expr("filter(new, x -> false)")).alias("old"), "new")
+        to = _least(came, "id", limit).withColumnRenamed("items", "new")
+        both = to.join(every(), "id", "left").groupBy("id").agg(F.max_by("items", "round").alias("last"), F.any_value("new").alias("new"))
+        both = both.select("id", F.coalesce("last", F.expr("filter(new, x -> false)")).alias("old"), "new")
         merged = both.select("id", "old", F.slice(F.array_sort(F.array_union("old", "new")), 1, limit).alias("items"))
-        changed = step(merged.where(F.col("old") != F.col("items")).select("id", "items"), "least")
-        if changed.isEmpty():
-            break
-        kept = step(kept.join(changed.select("id"), "id", "left_anti").unionByName(changed), "least")
+        rounds += 1
+        changed = write(merged.where(F.col("old") != F.col("items")).select("id", "items"))
+    kept = every().groupBy("id").agg(F.max_by("items", "round").alias("items"))
     if include_self:
         return kept.join(ids, "id", "left_semi").withColumnRenamed("id", "start")
     came = ids.join(hop, "id").join(kept.withColumnRenamed("id", "next"), "next").select("id", F.explode("items").alias("item"))
@@ -184,13 +196,23 @@ def least_reachable(edges: DataFrame, start: DataFrame, items: DataFrame, limit:
 
 
 def closure_of_all(hop: DataFrame, ids: DataFrame) -> DataFrame:
-    """id: the ids and all that they reach over hops (id, next), each once."""
-    seen = front = step(ids, "reached")
-    while True:
-        front = step(front.join(hop, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti"), "reached")
-        if front.isEmpty():
-            return seen
-        seen = step(seen.unionByName(front), "reached")
+    """id: the ids and all that they reach over hops (id, next), each once and written once; a null id reaches nothing."""
+    spark, base, rounds = hop.sparkSession, step_path(hop.sparkSession, "reached"), 0
+
+    def write(front: DataFrame) -> DataFrame:
+        front.write.parquet(f"{base}/round={rounds}")
+        return read(f"{base}/round={rounds}")
+
+    def read(path: str) -> DataFrame:
+        return spark.read.schema(front.schema).parquet(path).select("id")
+
+    front = ids.select("id").where("id IS NOT NULL").distinct()
+    front = write(front)
+    while not front.isEmpty():
+        rounds += 1
+        reached = front.join(hop, "id").select(F.col("next").alias("id")).where("id IS NOT NULL").distinct()
+        front = write(reached.join(read(base), "id", "left_anti"))
+    return read(base)
 
 
 def _least(rows: DataFrame, by: str, limit: int) -> DataFrame:
