@@ -33,8 +33,9 @@ def ranks(nodes: DataFrame | None, edges: DataFrame, written: bool = False) -> D
     ``written``: the edges are a table of distinct rows, which need not be written once more.
 
     A node of one parent lies one below it, so chains and trees are contracted first: every such node learns its nearest
-    ancestor of another kind (a root, or a node of several parents), and how far it is, by doubling its pointer. What is left are
-    nodes of several parents with weighted edges from such ancestors; they are peeled a level a step, each once its last
+    ancestor of another kind (a root, or a node of several parents), and how far it is, by doubling its pointer. Below a root that
+    is its rank, so no edge from a root is joined by its name, which may have most of the graph below it. What is left are
+    nodes of several parents with weighted edges from such nodes; they are peeled a level a step, each once its last
     parent has been, with the greatest sum of rank and weight. Steps: the logarithm of the longest chain, and the longest
     path in nodes of several parents. Nodes on a cycle are never peeled: those of several parents get the greatest rank of
     a peeled parent plus one, if there is one, others none.
@@ -42,14 +43,17 @@ def ranks(nodes: DataFrame | None, edges: DataFrame, written: bool = False) -> D
     spark = edges.sparkSession
     every = edges.select("parent", "child") if written else step(edges.select("parent", "child").distinct(), "edges")
     into = step(every.groupBy(F.col("child").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("up")), "parents")
-    ends = every.select(F.col("parent").alias("id"))
-    roots = (ends if nodes is None else ends.unionByName(nodes.select("id"))).distinct().join(into, "id", "left_anti")
-    near, _ = _pointers(into.where("n = 1").select("id", "up", F.lit(1).alias("far")))
-    several = into.where("n > 1")
-    # a parent that leads into a cycle keeps its own name, which is never peeled
-    led = every.join(several.select(F.col("id").alias("child")), "child", "left_semi").join(near.select(F.col("id").alias("parent"), "up", "far"), "parent", "left")
-    left = led.select(F.coalesce("up", "parent").alias("parent"), "child", (F.coalesce("far", F.lit(0)) + 1).alias("weight"))
-    left = step(left.groupBy("parent", "child").agg(F.max("weight").alias("weight")), "contracted")
+    ends = every.select(F.col("parent").alias("id")).distinct()
+    roots = (ends if nodes is None else ends.unionByName(nodes.select("id")).distinct()).join(into.select("id"), "id", "left_anti")
+    near, _ = _pointers(into)
+    # a parent that leads into a cycle keeps its own name, which is never peeled; one below a root has its rank already
+    led = into.select("id").join(near.select("id", F.col("up").alias("to"), "far", "root"), "id", "left")
+    led = led.select(F.col("id").alias("parent"), F.when(~F.coalesce("root", F.lit(False)), F.coalesce("to", "id")).alias("to"), F.coalesce("far", F.lit(0)).alias("far"))
+    # dealt by child once: the sums below need no further shuffle
+    met = every.join(led, "parent", "left").select("child", "to", (F.coalesce("far", F.lit(0)) + 1).alias("weight")).repartition("child")
+    met = met.groupBy("child", "to").agg(F.max("weight").alias("weight"), F.count(F.lit(1)).alias("edges"))
+    contracted = step(met, "contracted")
+    left = contracted.where("to IS NOT NULL").select(F.col("to").alias("parent"), "child", "weight")
     base = f"{step_path(spark, 'levels')}"
     shape = "id string, open long, rank int, met long"
 
@@ -60,11 +64,16 @@ def ranks(nodes: DataFrame | None, edges: DataFrame, written: bool = False) -> D
         return seen.get["peeled"], seen.get["met"]
 
     zero = F.lit(0).cast("long")
-    counts = left.groupBy(F.col("child").alias("id")).agg(F.count(F.lit(1)).alias("open")).select("id", "open", F.lit(None).cast("int").alias("rank"), zero.alias("met"))
-    counts = roots.select("id", zero.alias("open"), F.lit(0).alias("rank"), zero.alias("met")).unionByName(counts)
-    level, behind, size = 0, 0, left.count()
+    counts = contracted.groupBy(F.col("child").alias("id")).agg(
+        F.sum("edges").alias("n"), F.count("to").alias("open"), F.max(F.when(F.col("to").isNull(), F.col("weight"))).cast("int").alias("rank")
+    )
+    counts = counts.where("n > 1").select("id", "open", "rank", zero.alias("met"))
     peeled, _ = write(counts, 0)
-    while peeled:
+    # what is left: edges into nodes of several parents from others of them
+    inner = spark.read.schema(shape).parquet(f"{base}/level=0").where("open > 0").select(F.col("id").alias("child"))
+    left = step(left.join(inner, "child", "left_semi"), "contracted")
+    level, behind, size = 0, 0, left.count()
+    while peeled and size:
         now = spark.read.schema(shape).parquet(f"{base}/level={level}")
         if 2 * behind > size:  # edges are rewritten once half of them are behind
             left = step(left.join(now.where("open > 0").select(F.col("id").alias("child")), "child", "left_semi").select("parent", "child", "weight"), "contracted")
@@ -78,31 +87,37 @@ def ranks(nodes: DataFrame | None, edges: DataFrame, written: bool = False) -> D
     found = spark.read.schema(f"{shape}, level int").parquet(base)
     known = found.where("open = 0").select("id", "rank")
     fed = found.where((F.col("level") == level) & (F.col("open") > 0) & F.col("rank").isNotNull()).select("id", "rank")
-    below = near.join(known.withColumnRenamed("id", "up"), "up").select("id", (F.col("rank") + F.col("far")).cast("int").alias("rank"))
-    return known.unionByName(fed).unionByName(below)
+    below = near.where("root").select("id", F.col("far").alias("rank")).unionByName(
+        near.where("NOT root").join(known.withColumnRenamed("id", "up"), "up").select("id", (F.col("rank") + F.col("far")).cast("int").alias("rank"))
+    )
+    return roots.select("id", F.lit(0).alias("rank")).unionByName(known).unionByName(fed).unionByName(below)
 
 
-def _pointers(near: DataFrame) -> tuple[DataFrame, int]:
-    """id, up, far (each id's one parent, one away) -> up is no id any more, far the distance to it; ids that lead into a cycle are left out.
+def _pointers(into: DataFrame) -> tuple[DataFrame, int]:
+    """into: id, n (its parents), up (its one parent) -> id, up, far, root of the ids of one parent: up is not such an id, far
+    the distance to it, root whether it has no parent; ids that lead into a cycle are left out.
 
     In a round every pointer takes over the pointer it points to, so chains of twice the length end in each; a round that ends
     none while some are open leaves cycles only.
     """
-    spark = near.sparkSession
+    spark = into.sparkSession
     base, rounds = step_path(spark, "pointers"), 0
-    schema = "id string, up string, far int, done boolean"
-    ids = near.select(F.col("id").alias("up"), F.lit(True).alias("inner"))
-    now = near.join(ids, "up", "left").select("id", "up", F.col("far").cast("int").alias("far"), F.col("inner").isNull().alias("done"))
+    schema = "id string, up string, far int, root boolean, done boolean"
+    near = into.where("n = 1").select("id", "up")
+    ups = near.select("up").distinct()  # many point to few: what they point to is looked up once
+    ids = into.select(F.col("id").alias("up"), "n").join(ups, "up", "left_semi")
+    now = near.join(ids, "up", "left").select("id", "up", F.lit(1).alias("far"), F.col("n").isNull().alias("root"), (F.coalesce("n", F.lit(0)) != 1).alias("done"))
     while True:
         seen = Observation()
         now.observe(seen, F.count_if("done").alias("done"), F.count_if(~F.col("done")).alias("open")).write.parquet(f"{base}/round={rounds}")
         got = spark.read.schema(f"{schema}, round int").parquet(base)
         if not seen.get["open"] or rounds and not seen.get["done"]:
-            return got.where("done").select("id", "up", "far"), rounds
+            return got.where("done").select("id", "up", "far", "root"), rounds
         # open pointers of this round, and what they point to: open ones of this round, or ones that have ended
         front = got.where((F.col("round") == rounds) & ~F.col("done"))
-        to = got.where(F.col("done") | (F.col("round") == rounds)).select(F.col("id").alias("up"), F.col("up").alias("then"), F.col("far").alias("more"), F.col("done").alias("ends"))
-        now = front.join(to, "up").select("id", F.col("then").alias("up"), (F.col("far") + F.col("more")).alias("far"), F.col("ends").alias("done"))
+        to = got.where(F.col("done") | (F.col("round") == rounds)).select(F.col("id").alias("up"), F.col("up").alias("then"), F.col("far").alias("more"), F.col("root").alias("ends_root"), F.col("done").alias("ends"))
+        to = to.join(front.select("up").distinct(), "up", "left_semi")
+        now = front.join(to, "up").select("id", F.col("then").alias("up"), (F.col("far") + F.col("more")).alias("far"), F.col("ends_root").alias("root"), F.col("ends").alias("done"))
         rounds += 1
 
 

@@ -178,3 +178,14 @@ def test_deep_ranks(spark):
     assert jobs < 150  # joins that look at sizes first count as jobs of their own
     assert {got[f"c{i}"] for i in range(12)} == set(range(12)) and all(got[f"c{i}"] == i + 2 for i in (12, 13, 49_999, 50_000, n))
     assert got["x3"] == 13 and got["y"] == 0 and got["k"] == 6 and not {"k2", "l1", "l2", "m"} & set(got)
+
+
+def test_ranks_below_roots_are_not_joined(spark, monkeypatch):
+    """What lies below roots over chains has its rank by its distance: no edge of a root's name is left to be met."""
+    written = []
+    monkeypatch.setattr(g, "step", lambda df, name="step", run=g.step: (lambda out: (written.append((name, out)), out)[1])(run(df, name)))
+    rows = [("r", "m")] + [("m", f"c{i}") for i in range(50)] + [(f"c{i}", f"d{i}") for i in range(50)] + [("r", f"d{i}") for i in range(50)] + [("d0", "e"), ("d1", "e")]
+    found = {r.id: r.rank for r in g.ranks(None, spark.createDataFrame(rows, "parent string, child string")).collect()}
+    assert found == {"r": 0, "m": 1, "e": 4} | {f"c{i}": 2 for i in range(50)} | {f"d{i}": 3 for i in range(50)}
+    assert written[-1][1].count() == 2  # of the 102 edges into nodes of several parents
+    assert not written[-1][1].where("parent = 'r'").count()
