@@ -8,6 +8,10 @@ nodes and one more for what the edge does.
 Edges are replayed in order. Joining by rank needs the classes of the edge's ends only; a round of edges asks for those of all its
 ends at once. Equal ranks and rejected matches move members one by one: these are found by joins over the members and
 edges at hand, and one label is written for each that moves.
+
+A table of edges (``run_table``) is replayed in windows: classes that no edge of the window connects do not know of one another, so
+tasks replay one component at a time, each up to the first edge that moves members. What comes before the first of these
+edges in the whole window holds; from there on a round of single edges follows.
 """
 
 from __future__ import annotations
@@ -16,14 +20,18 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..storage import step
+from ..storage import share_code, step
+from . import graph
 
 LABEL, LINK, EDGES = "id string, name string, seq long", "name string, into string, seq long", "parent string, child string, seq long"
 #: Edges whose ends are looked up together; the driver holds two classes an edge.
 ROUND = 2000
+#: Most edges of a window: one component of them, and so what one task holds, is no larger.
+WINDOW = 1 << 21
 NEVER = -1
 
 
@@ -47,7 +55,7 @@ def members(names: list[str], labels: DataFrame, links: DataFrame) -> DataFrame:
     """block, id: the labelled nodes of each class; spans of time of all names that lead to it, then the last labels in them."""
     spark = labels.sparkSession
     start = spark.createDataFrame([(x,) for x in names], "name string").coalesce(1)
-    none = F.lit(NEVER).cast("long")
+    none = F.lit(NEVER - 1).cast("long")  # before the first labels
     gone = links.join(start, "name", "left_semi").groupBy("name").agg(F.max("seq").alias("lo"))
     spans = front = step(start.join(gone, "name", "left").select(F.col("name").alias("block"), "name", F.coalesce("lo", none).alias("lo"), F.lit(2**62).alias("hi")), "spans")
     while True:
@@ -87,6 +95,61 @@ class Replay:
         while part := list(islice(rows, ROUND)):
             self._round(part)
 
+    def run_table(self, rows: DataFrame) -> None:
+        """Edges (seq, u, v, pred) in the order of all columns, as a table."""
+        rows = step(_in_places(rows), "rows")
+        end, at, size = rows.count(), 0, WINDOW
+        while at < end:
+            part = rows.where((F.col("no") >= at) & (F.col("no") < at + size))
+            barriers = self.barriers
+            if size <= ROUND or end - at <= ROUND:
+                part = part.where(F.col("no") < at + ROUND).orderBy("no").collect()  # ROUND rows at most
+                self._round([(r.u, r.v, r.pred) for r in part])
+                at, size = at + len(part), ROUND if self.barriers > barriers else max(size, 16 * ROUND)
+            else:
+                to = self._window(part, at, min(end, at + size))
+                size = min(WINDOW, 16 * size) if to == min(end, at + size) else ROUND
+                at = to
+
+    def _window(self, part: DataFrame, at: int, to: int) -> int:
+        """The edges (no, u, v, pred) from ``at`` on up to the first that moves members, or to ``to``; returns where that is."""
+        first = self.seen - at  # an edge's number among all is its place and this
+        both = part.select("no", F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.min("no").alias("since"))
+        both = step(both, "ends")
+        labels = self.after("labels")
+        held = step(both.join(labels, "id", "left_semi").select("id"), "held")
+        classes = resolve(held, labels, self.after("links")) if not held.isEmpty() else held.withColumn("name", F.col("id"))
+        named = both.join(classes, "id", "left").select("id", F.coalesce("name", "id").alias("name"), F.col("name").isNull().alias("fresh"), "since")
+        ranks = self.ranks.select(F.col("id").alias("name"), "rank").join(named.select("name").distinct(), "name", "left_semi")
+        named = step(named.join(ranks, "name", "left").select("id", "name", "fresh", "since", F.coalesce("rank", F.lit(0)).cast("int").alias("rank")), "named")
+        end = lambda x: named.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("name", "fresh", "rank")])
+        edges = step(part.join(end("u"), "u").join(end("v"), "v"), "window")
+        found = graph.components(edges.where("pred = 1 OR u_name = v_name").select(F.col("u_name").alias("a"), F.col("v_name").alias("b")))
+        found = step(found, "components")
+        of = lambda x: found.select(F.col("id").alias(x), F.col("component").alias(f"{x}_of"))
+        rows = edges.join(of("u_name"), "u_name").join(of("v_name"), "v_name").where("u_name_of = v_name_of")
+        rows = rows.select(F.col("u_name_of").alias("component"), "no", F.lit(1).alias("kind"), *[f"{x}{c}" for x in "uv" for c in ("", "_name", "_fresh", "_rank")], "pred")
+        born = named.where("fresh").join(found.select(F.col("id").alias("name"), "component"), "name")
+        none = F.lit(None)
+        born = born.select(
+            "component", F.col("since").alias("no"), F.lit(0).alias("kind"), F.col("id").alias("u"), F.col("name").alias("u_name"), F.col("fresh").alias("u_fresh"), F.col("rank").alias("u_rank"),
+            none.cast("string").alias("v"), none.cast("string").alias("v_name"), none.cast("boolean").alias("v_fresh"), none.cast("int").alias("v_rank"), none.cast("int").alias("pred"),
+        )
+        share_code(self.spark)
+        dealt = rows.unionByName(born).repartition("component").sortWithinPartitions("component", "no", "kind", "u")
+        links = step(dealt.mapInArrow(_replayed, "name string, into string, no long"), "links")
+        barrier = links.where("into IS NULL").agg(F.min("no").alias("no")).first()["no"]
+        to = to if barrier is None else barrier
+        added = {
+            "edges": part.where(F.lit(self.keep_rejected) | (F.col("pred") == 1)).select("no", "u", "v", (F.col("no") + first + 1).alias("seq")).select(F.col("u").alias("parent"), F.col("v").alias("child"), "seq", "no"),
+            "labels": named.where("fresh").select("id", F.col("id").alias("name"), (2 * (F.col("since") + first)).alias("seq"), F.col("since").alias("no")),
+            "links": links.where("into IS NOT NULL").select("name", "into", (2 * (F.col("no") + first) + 1).alias("seq"), "no"),
+        }
+        for table, more in added.items():
+            self.new[table].append(step(more.where(F.col("no") < to).drop("no"), table))
+        self.seen += to - at
+        return to
+
     def after(self, table: str) -> DataFrame:
         """A table as it is with what has been added."""
         return union([getattr(self, table), *self.new[table]])
@@ -179,6 +242,87 @@ class Replay:
         return out.where("NOT (same_parent AND same_child)").select("id", F.col("id").alias("name"))
 
 
+def _in_places(rows: DataFrame) -> DataFrame:
+    """no (from 0, in the order of all columns), u, v, pred: places within a sorted range behind the ranges before it."""
+    kept = rows.select(F.col("seq").cast("long"), "u", "v", F.col("pred").cast("int").alias("pred")).orderBy("seq", "u", "v", "pred")
+    at = step(kept.select("u", "v", "pred", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().bitwiseAND(2**33 - 1).alias("place")), "ordered")
+    counts = at.groupBy("range").agg(F.count(F.lit(1)).alias("n"))  # a row a task
+    before = counts.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return at.join(F.broadcast(before), "range").select((F.col("place") + F.col("before")).alias("no"), "u", "v", "pred")
+
+
+class _Component:
+    """The classes that a component's edges join, by name: what was in a class goes over as a whole."""
+
+    def __init__(self) -> None:
+        self.up: dict[tuple, tuple] = {}
+        self.name: dict[tuple, str] = {}  # of a root
+        self.live: dict[str, tuple] = {}  # the root of the class of that name
+        self.rank: dict[str, int] = {}
+
+    def find(self, x: tuple) -> tuple:
+        root = x
+        while self.up[root] != root:
+            root = self.up[root]
+        while self.up[x] != root:
+            self.up[x], x = root, self.up[x]
+        return root
+
+    def known(self, name: str, rank: int) -> tuple:
+        """Those who are in a class since before the window."""
+        x = (0, name)
+        if x not in self.up:
+            self.up[x], self.name[x], self.live[name], self.rank[name] = x, name, x, rank
+        return x
+
+    def born(self, node: str, rank: int) -> None:
+        self.known(node, rank)
+        x = (1, node)
+        self.up[x] = x
+        if node in self.live:
+            self.up[x] = self.live[node]
+        else:
+            self.name[x], self.live[node] = node, x
+
+    def edge(self, u: tuple, v: tuple, pred: int) -> tuple[str, str | None] | None:
+        """(loser, winner), or (name, None) where members move, or nothing."""
+        a, b = self.find(u), self.find(v)
+        if pred != 1:
+            return (self.name[a], None) if a == b and pred == 0 else None
+        if a == b:
+            return None
+        one, two = self.name[a], self.name[b]
+        if self.rank[one] == self.rank[two]:
+            return one, None
+        if self.rank[one] < self.rank[two]:
+            a, b, one, two = b, a, two, one
+        self.up[b] = a
+        del self.name[b], self.live[two]
+        return two, one
+
+
+def _replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (name, into, no) of rows sorted by component, no, kind (0: a node is born, 1: an edge); into is null where a component ends."""
+    at, now, over = None, _Component(), False
+    for batch in batches:
+        out = []
+        for component, no, kind, u, u_name, u_fresh, u_rank, v, v_name, v_fresh, v_rank, pred in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if component != at:
+                at, now, over = component, _Component(), False
+            if over:
+                continue
+            if not kind:
+                now.born(u, u_rank)
+                continue
+            ends = [(1, x) if fresh else now.known(name, rank) for x, name, fresh, rank in ((u, u_name, u_fresh, u_rank), (v, v_name, v_fresh, v_rank))]
+            got = now.edge(*ends, pred)
+            if got:
+                out.append((*got, no))
+                over = got[1] is None
+        names, into, numbers = zip(*out, strict=True) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(into, pa.string()), pa.array(numbers, pa.int64())], names=["name", "into", "no"])
+
+
 def classes(labels: DataFrame, links: DataFrame) -> DataFrame:
     """id, block of all labelled nodes."""
     return resolve(None, labels, links).select("id", F.col("name").alias("block"))

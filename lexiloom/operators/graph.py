@@ -121,6 +121,28 @@ def _pointers(into: DataFrame) -> tuple[DataFrame, int]:
         rounds += 1
 
 
+def components(links: DataFrame) -> DataFrame:
+    """id, component (its least id) of all ids in links (a, b): edges are hung on least neighbours until they form stars."""
+    edges = step(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = step(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = edges.join(least.withColumnRenamed("u", "v"), "v").select("u", F.col("m").alias("v"))  # v < u
+        own = least.where("u != m").select("u", F.col("m").alias("v"))
+        large = step(large.where("u != v").unionByName(own).distinct(), "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        hung = large.join(step(least, "least"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        now = step(hung.where("u != v").distinct(), "links")
+        ends = now.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(now.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+        per = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("root").alias("root"))
+        edges = now
+        if per.where("up > 1 OR up > 0 AND root > 0").isEmpty():
+            break
+    stars = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    centres = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct().join(stars.select("id"), "id", "left_anti")
+    return stars.unionByName(centres.select("id", F.col("id").alias("component")))
+
+
 #: Hops that are walked one by one before paths double.
 HOPS = 4
 

@@ -112,7 +112,7 @@ class GraphStore:
 def apply_batch(store: GraphStore, rows: DataFrame, batch: int, refresh_every: int = 5, keep_rejected: bool = False) -> None:
     """The batch's edges (seq, u, v, pred) in order, one by one. A batch that was stored before is passed over.
 
-    After every ``refresh_every`` edges (0: never) the ranks follow the edges that came since.
+    After every ``refresh_every`` edges (0: never, and the batch is replayed as a table) the ranks follow the edges that came since.
     """
     got = store.mark()
     if got and batch <= got.batch:
@@ -120,10 +120,12 @@ def apply_batch(store: GraphStore, rows: DataFrame, batch: int, refresh_every: i
     ranked, known = (got.ranked if got else 0), store.table("levels")
     replay = forest.Replay(store.table("edges"), known, store.table("labels"), store.table("links"), got.edges_seen if got else 0, keep_rejected)
     changes: list[DataFrame] = []
-    edges = forest.in_order(rows)
+    if not refresh_every:
+        replay.run_table(rows)
+    edges = forest.in_order(rows) if refresh_every else iter(())
     while part := list(islice(edges, refresh_every - replay.seen % refresh_every if refresh_every else forest.ROUND)):
         replay.run(part)
-        if refresh_every and replay.seen % refresh_every == 0:
+        if replay.seen % refresh_every == 0:
             every = replay.after("edges")
             change = levels.insert_edges(known.select("id", "rank", "settled"), every.where(F.col("seq") <= ranked), every.where(F.col("seq") > ranked))
             ranked = replay.seen

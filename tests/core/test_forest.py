@@ -71,3 +71,29 @@ def test_joining_writes_one_row(spark):
         assert sum(f.count() for f in replay.new["labels"]) == 1  # the new node c
         got = forest.classes(replay.after("labels"), replay.after("links"))
         assert got.where("block = 'c'").count() == n + 1
+
+
+@pytest.mark.parametrize("seed,same,rejected", [(4, 3, 0.1), (5, 0, 0)])
+def test_table_replay(spark, monkeypatch, seed, same, rejected):
+    """A table of edges in windows: tasks replay components up to an edge that moves members. ``same``: ranks that are shared."""
+    rng = random.Random(seed)
+    monkeypatch.setattr(forest, "ROUND", 3)
+    monkeypatch.setattr(forest, "WINDOW", 20)
+    names = [f"n{i:03}" for i in range(40)]
+    edges = {tuple(sorted(rng.sample(names, 2))) for _ in range(25)}
+    ranks = {n: i if i >= same else 0 for i, n in enumerate(rng.sample(names, 36))}
+    rows = [(i, *rng.sample(names, 2), int(rng.random() >= rejected)) for i in range(30)]
+    # some are in classes already, of names that are no labelled nodes
+    classes = {n: rng.choice(names[28:]) for n in names[:16]}
+    labels = spark.createDataFrame([(n, b, -1) for n, b in classes.items()], forest.LABEL)
+    start = spark.createDataFrame(sorted(edges), "parent string, child string")
+    replay = forest.Replay(start, spark.createDataFrame(list(ranks.items()), "id string, rank int"), labels, spark.createDataFrame([], forest.LINK))
+    single = []
+    monkeypatch.setattr(replay, "_round", lambda part, run=replay._round: (single.append(len(part)), run(part)))
+    replay.run_table(spark.createDataFrame(rng.sample(rows, len(rows)), "seq long, u string, v string, pred int"))
+    asked = plain(edges, ranks, classes, [r[1:] for r in rows])
+    assert {r.id: r.block for r in forest.classes(replay.after("labels"), replay.after("links")).collect()} == classes
+    assert {(r.parent, r.child) for r in replay.after("edges").collect()} == edges
+    assert [tuple(r) for f in replay.new["expert"] for r in f.collect()] == asked
+    assert replay.seen == len(rows)
+    assert rejected or sum(single) == 0  # without such an edge nothing passes through the driver
