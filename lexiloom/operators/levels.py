@@ -52,11 +52,15 @@ def insert_edges(known: DataFrame, edges: DataFrame, new: DataFrame) -> Change:
     """
     new = step(new.select("parent", "child").distinct(), "new")
     every = edges.select("parent", "child").unionByName(new)
-    ends = graph.nodes_of(None, new)
-    fresh = step(ends.join(known, "id", "left_anti").select("id", F.lit(0).alias("rank"), F.lit(True).alias("settled")), "fresh")
-    before = known.unionByName(fresh)
-    front = _asked(new, before.join(ends, "id", "left_semi"), before)
-    raised, walked, rounds = front.limit(0), 0, 0
+    ends = new.select(F.col("parent").alias("id"), F.lit(True).alias("above")).unionByName(new.select(F.col("child").alias("id"), F.lit(False).alias("above")))
+    # the ends with their levels, once; nothing is below a new node that no edge leads from
+    ends = ends.groupBy("id").agg(F.max("above").alias("above")).join(known.select("id", "rank", "settled", F.lit(True).alias("old")), "id", "left")
+    at = step(ends.select("id", F.when(F.col("old"), F.col("rank")).otherwise(0).cast("int").alias("rank"), F.when(F.col("old"), F.col("settled")).otherwise(True).alias("settled"), F.col("old").isNull().alias("fresh"), (F.col("old").isNull() & ~F.col("above")).alias("leaf")), "ends")
+    fresh = at.where("fresh").select("id", "rank", "settled")
+    leaf = F.lit(False).alias("leaf")
+    before = known.select("id", "rank", "settled", leaf).unionByName(at.where("fresh").select("id", "rank", "settled", "leaf"))
+    front = _asked(new, at, at)
+    raised, walked, rounds = front.limit(0).drop("leaf"), 0, 0
     check = 8
     cyclic = None
     while True:
@@ -65,19 +69,28 @@ def insert_edges(known: DataFrame, edges: DataFrame, new: DataFrame) -> Change:
         if not n:
             break
         walked, rounds = walked + n, rounds + 1
-        raised = step(raised.join(front, "id", "left_anti").unionByName(front), "raised")
+        last = front.drop("leaf")
+        raised = last if rounds == 1 else step(raised.join(last, "id", "left_anti").unionByName(last), "raised")
         if rounds == check:
             check *= 2
             stuck = _unpeeled(raised.where("settled").select("id"), every)
             if not stuck.isEmpty():
                 cyclic = stuck
                 break
-        now = before.join(raised.select("id", F.col("rank").alias("more")), "id", "left").select("id", F.coalesce("more", "rank").alias("rank"), "settled")
+        front = front.where("NOT leaf")
+        if front.isEmpty():  # every edge would be read to find nothing
+            break
+        now = before.join(raised.select("id", F.col("rank").alias("more")), "id", "left").select("id", F.coalesce("more", "rank").alias("rank"), "settled", "leaf")
         front = _asked(every, front, now)
-    open_heads = new.join(before.where("NOT settled").select(F.col("id").alias("parent")), "parent", "left_semi").select(F.col("child").alias("id"))
-    start = open_heads.distinct() if cyclic is None else open_heads.unionByName(cyclic).distinct()
-    start = step(start.join(before.where("settled"), "id", "left_semi"), "start")
-    if start.isEmpty():
+    before = before.drop("leaf")
+    unsettled = at.where("NOT settled")
+    start = None if cyclic is None else cyclic
+    if not unsettled.isEmpty():
+        open_heads = new.join(unsettled.select(F.col("id").alias("parent")), "parent", "left_semi").select(F.col("child").alias("id")).distinct()
+        start = open_heads if start is None else open_heads.unionByName(start).distinct()
+    if start is not None:
+        start = step(start.join(before.where("settled"), "id", "left_semi"), "start")
+    if start is None or start.isEmpty():
         return Change(step(raised.unionByName(fresh.join(raised, "id", "left_anti")), "levels"), walked, rounds)
     region = step(graph.closure(every, start, include_self=True).select("id").distinct(), "region")
     if cyclic is not None:  # values that went round a cycle are no ranks: what was raised is ranked anew as well
@@ -90,10 +103,10 @@ def insert_edges(known: DataFrame, edges: DataFrame, new: DataFrame) -> Change:
 
 
 def _asked(edges: DataFrame, front: DataFrame, now: DataFrame) -> DataFrame:
-    """The children that the front's settled nodes ask for a higher rank than they have now."""
+    """The children that the front's settled nodes ask for a higher rank than they have now (id, rank, settled, leaf)."""
     tails = front.where("settled").select(F.col("id").alias("parent"), (F.col("rank") + 1).alias("up"))
     asked = edges.join(tails, "parent").groupBy(F.col("child").alias("id")).agg(F.max("up").cast("int").alias("up"))
-    return asked.join(now, "id").where("rank IS NULL OR up > rank").select("id", F.col("up").alias("rank"), "settled")
+    return asked.join(now, "id").where("rank IS NULL OR up > rank").select("id", F.col("up").alias("rank"), "settled", "leaf")
 
 
 def _unpeeled(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -76,3 +76,14 @@ def test_far_nodes_are_not_walked(spark):
     loop = insert(("c058", "c056"))
     assert {tuple(r) for r in loop.rows.collect()} == {("c056", 56, False)} | {(f"c{i:03}", None, False) for i in range(57, 61)}
     assert insert(("c001", "c001")).rows.where("settled").count() == 0
+
+
+def test_new_leaves_end_a_round(spark, monkeypatch):
+    """Below new nodes that no edge leads from there is nothing: the graph's edges are not read again for them."""
+    reads = []
+    monkeypatch.setattr(levels, "_asked", lambda edges, front, now, run=levels._asked: (reads.append(1), run(edges, front, now))[1])
+    edges = spark.createDataFrame([("a", "b")], "parent string, child string")
+    known = spark.createDataFrame([("a", 0, True), ("b", 1, True)], levels.LEVEL)
+    change = levels.insert_edges(known, edges, spark.createDataFrame([("b", "x"), ("a", "x"), ("y", "z")], "parent string, child string"))
+    assert {(r.id, r.rank, r.settled) for r in change.rows.collect()} == {("x", 2, True), ("y", 0, True), ("z", 1, True)}
+    assert (change.walked, change.rounds, len(reads)) == (2, 1, 1)
