@@ -268,5 +268,6 @@ def collapse(edges: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def representatives(blocks: DataFrame) -> DataFrame:
     """id, block: every block named by its least id."""
-    least = blocks.groupBy("block").agg(F.min("id").alias("least"))
+    # written, so that few names are known to be few and a large block's rows stay in their tasks
+    least = step(blocks.groupBy("block").agg(F.min("id").alias("least")), "least")
     return blocks.join(least, "block").select("id", F.col("least").alias("block"))

@@ -46,6 +46,7 @@ def _split(blocks: DataFrame, edges: DataFrame, rank: int, label: Callable[[Colu
     split = blocks.join(splitter, "block", "left")
     met = edges.join(splitter.select(F.col("by").alias("parent")).distinct(), "parent", "left_semi")
     met = met.select(F.col("child").alias("id"), F.col("parent").alias("by"), F.lit("1").alias("bit"))
+    met = step(met, "met")  # a few parents' children: where its size is small, no block row is shuffled for it
     out = split.join(met, ["id", "by"], "left")
     return out.select("id", "rank", F.when(F.col("by").isNotNull(), label(F.col("block"), F.coalesce("bit", F.lit("0")))).otherwise(F.col("block")).alias("block"))
 
@@ -67,11 +68,13 @@ def _by_rank(edges: DataFrame, ranks: DataFrame, blocks: DataFrame, top: int) ->
 def _full(edges: DataFrame, blocks: DataFrame) -> DataFrame:
     n = blocks.select("block").distinct().count()
     while True:
-        above = edges.join(blocks.select(F.col("id").alias("parent"), F.col("block").alias("pb")), "parent").select(F.col("child").alias("id"), "pb").distinct()
-        # two sums of hashes and a count stand for the set of parent blocks, whatever its size
-        sums = [F.sum(F.xxhash64(F.lit(seed), "pb").cast("decimal(20,0)")) for seed in (1, 2)]
+        # two hashes stand for a block on its way to the children, dealt by child once
+        hashes = blocks.select(F.col("id").alias("parent"), *[F.xxhash64(F.lit(seed), "block").alias(f"h{seed}") for seed in (1, 2)])
+        above = edges.join(hashes, "parent").select(F.col("child").alias("id"), "h1", "h2").repartition("id").distinct()
+        # their sums and a count stand for the set of parent blocks, whatever its size
+        sums = [F.sum(F.col(h).cast("decimal(20,0)")) for h in ("h1", "h2")]
         signature = above.groupBy("id").agg(F.concat_ws(",", F.count(F.lit(1)), *sums).alias("sig"))
-        new = blocks.join(signature, "id", "left").select("id", "rank", F.sha2(F.concat_ws("|", "block", F.coalesce("sig", F.lit(""))), 256).alias("block"))
+        new = blocks.join(signature, "id", "left").select("id", "rank", F.md5(F.concat_ws("|", "block", F.coalesce("sig", F.lit("")))).alias("block"))
         blocks = step(new, "blocks")
         now = blocks.select("block").distinct().count()
         if now == n:
