@@ -85,15 +85,17 @@ def mix_sizes(docs: DataFrame, seed: str = SEED) -> DataFrame:
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix as rows of ``docs``: a row for every epoch a document is in; the last one in part is cut behind its last word."""
     keys = ["key", "no_src", "src"]
-    plan = mix_sizes(docs, seed).where((F.col("epochs") > 0) & (F.col("size") > 0) | (F.col("part") > 0))
-    plan = plan.select("key", F.col("no_source").alias("no_src"), F.col("source_key").alias("src"), "size", "epochs", "part")
-    # rows that repeat id, text and source share their decisions, one each: a row is known by its number among them
-    plan = _counted_in(plan, keys, F.desc("epochs"), F.desc("part"))
+    # rows that repeat id, text and source follow one another: their parts are full ones, one cut, then none, so their sum says all
+    plan = mix_sizes(docs, seed).groupBy("key", F.col("no_source").alias("no_src"), F.col("source_key").alias("src"))
+    plan = plan.agg(F.max("size").alias("size"), F.max("epochs").alias("epochs"), F.sum("part").alias("parts"))
+    plan = plan.where((F.col("epochs") > 0) & (F.col("size") > 0) | (F.col("parts") > 0))
     rows, names = numbered(docs)
     doc_id, text, source = (rows.columns[names.index(c)] for c in ("doc_id", "text", "source"))
     of = {"key": _key(seed, F.col(doc_id), whole_text(text)), "no_src": F.col(source).isNull(), "src": F.coalesce(F.col(source).cast("string"), F.lit(""))}
-    both = _counted_in(rows.withColumns(of), keys, F.lit(0)).join(plan, [*keys, "n"])
-    epochs, part = F.col("epochs"), F.col("part")
+    # a text is dealt by its key once, for the join and the numbers after it
+    both = _counted_in(rows.withColumns(of).join(plan, keys), keys, F.lit(0))
+    epochs = F.col("epochs")
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("parts") - (F.col("n") - 1) * F.col("size"))).cast("long")
     copies = F.concat(
         F.array_repeat(F.lit(-1).cast("long"), epochs.cast("int")),
         F.when(part > 0, F.array(F.when(part < F.col("size"), part).otherwise(F.lit(-1).cast("long")))).otherwise(F.expr("cast(array() as array<bigint>)")),

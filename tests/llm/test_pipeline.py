@@ -135,3 +135,19 @@ def test_tied_turns_by_text(spark):
     df = spark.createDataFrame([(1, 1, "user", "<s>"), (1, 1, "user", "<a")], "conv_id long, turn long, role string, text string")
     out = chat_format.format_chats(df).select(chat_format.read_turns(F.col("formatted")).alias("t")).first()
     assert [t.text for t in out.t] == ["<a", "<s>"]
+
+
+def test_mix_deals_texts_once(spark):
+    """The join and the numbers of equal rows share one shuffle by key; equal rows share a cut as before."""
+    rows = [(i, f"w{i} " * 5, "a") for i in range(20)] + [(7, "x y z", "b")] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {r.source: r.n for r in mixing.mix(docs).groupBy("source").agg(F.sum(mixing.words_in(F.col("text"))).alias("n")).collect()}
+    want = {r.source_key: int(r.target + 0.5) for r in mixing.mix_sizes(docs).select("source_key", "target").distinct().collect()}
+    assert taken == want
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sum("Exchange hashpartitioning(key" in line for line in lines) == 2
