@@ -209,7 +209,11 @@ def structural(nodes: DataFrame, edges: DataFrame, dim: int = 128, length: int =
     zeros = F.array_repeat(F.lit(0.0), dim)
     if edges.isEmpty():
         return nodes.select("id", zeros.alias("structure"))
-    paths = step(walks(nodes, edges, length, per_node, p, q, seed), "paths")
+    starts = nodes.select("id").join(edges.where("parent IS NOT NULL AND child IS NOT NULL").select(F.col("parent").alias("id")).distinct(), "id")
+    paths = walks(starts, edges, length, per_node, p, q, seed)
+    # from a node without neighbours all walks are the node itself: one says as much as all
+    still = nodes.select("id").join(starts.select("id"), "id", "left_anti").select(F.col("id").alias("walk_id"), F.array("id").alias("path"))
+    paths = step(paths.unionByName(still), "paths")
     vectors = skip_gram(paths, dim, window, seed=seed).withColumnRenamed("vector", "structure")
     return nodes.select("id").distinct().join(vectors, "id", "left").withColumn("structure", F.coalesce("structure", zeros))
 

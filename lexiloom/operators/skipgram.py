@@ -6,12 +6,14 @@ of shard a + r, and streams the pairs between the two past them; no two tasks sh
 shards every pair was met once, in chunks that are gone through ``passes`` times in random order. Negatives come from the context shard at hand, by their frequency to the power 0.75.
 Steps are scaled per node by the gradients it has had, so that counts and hubs cannot make them large.
 
-A round writes all vectors, so the bytes of an epoch grow with nodes times shards; memory of a task is two shards and a batch.
+Nodes without a pair never move and are in no shard: they get their first random vector and no more.
+A round writes all vectors of the others, so the bytes of an epoch grow with nodes times shards; memory of a task is two shards and a batch.
 Rounds depend on their input alone: a rerun, or a task that starts again, gives the same vectors.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -168,13 +170,25 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(v, pa.list_(pa.float64()))], ["id", "vector"])
 
 
+def _first(dim: int, seed: int) -> Callable:
+    """The first random vector of an id."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = [(np.random.default_rng([seed, zlib.crc32(str(x).encode())]).random(dim) - 0.5) / dim for x in batch.column("id").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(v, pa.list_(pa.float64()))], ["id", "vector"])
+
+    return work
+
+
 def skip_gram(
     paths: DataFrame, dim: int = 128, window: int = 10, epochs: int = 2, passes: int = 10, negative: int = 5, rate: float = 0.1, seed: int = 42, shard: int = SHARD
 ) -> DataFrame:
     """id, vector: a vector for every node on a walk of ``paths`` (column path), whatever its count; nodes without a pair keep their first random one."""
     spark = paths.sparkSession
     counted = step(context_pairs(paths, window), "skipgram-counted")
-    nodes = step(paths.select(F.explode("path").alias("id")).where("id IS NOT NULL").distinct(), "skipgram-ids")
+    every = step(paths.select(F.explode("path").alias("id")).where("id IS NOT NULL").distinct(), "skipgram-ids")
+    nodes = step(counted.where("node IS NOT NULL AND context IS NOT NULL").select(F.col("node").alias("id")).distinct(), "skipgram-paired")
     shards = max(1, -(-nodes.count() // shard))
     numbered = _numbered(nodes, counted.where("node IS NOT NULL AND context IS NOT NULL"), shards)
     folder = _by_round(counted, numbered, shards)
@@ -194,4 +208,6 @@ def skip_gram(
             dealt = held.unionByName(passing).repartition(2 * shards, "block").sortWithinPartitions("block", "kind", "place", "slot", "other")
             state = step(dealt.mapInArrow(_trainer(dim, passes, negative, rate, [seed, epoch, r]), STATE), "skipgram")
     own = state.where("side = 0").join(numbered.select("id", "shard", "slot"), ["shard", "slot"]).select("id", "vec")
-    return own.mapInArrow(_vectors, f"id {nodes.schema['id'].dataType.simpleString()}, vector array<double>")
+    shape = f"id {nodes.schema['id'].dataType.simpleString()}, vector array<double>"
+    lone = every.join(nodes, "id", "left_anti")
+    return own.mapInArrow(_vectors, shape).unionByName(lone.mapInArrow(_first(dim, seed), shape))

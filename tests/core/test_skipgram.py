@@ -66,3 +66,16 @@ def test_biased(spark, p, q):
         assert abs(second.count(node) / len(second) - w / sum(weights.values())) < 0.04
     again = [r.path for r in embed.walks(nodes, edges.repartition(3), 4, 6000, p, q).collect()]
     assert sorted(again) == sorted(paths)
+
+
+def test_nodes_without_pairs_are_in_no_shard(spark, monkeypatch):
+    """They get a vector, but no round carries them."""
+    from lexiloom.operators import skipgram as own
+
+    dealt = []
+    monkeypatch.setattr(own, "_by_round", lambda counted, numbered, shards, run=own._by_round: (dealt.append((numbered.count(), shards)), run(counted, numbered, shards))[1])
+    paths = spark.createDataFrame([(["a", "b"],)] + [([f"n{i}"],) for i in range(30)], "path array<string>")
+    found = {r.id: r.vector for r in own.skip_gram(paths, 4, 2, epochs=1, passes=1, shard=8).collect()}
+    assert set(found) == {"a", "b"} | {f"n{i}" for i in range(30)}
+    assert all(len(v) == 4 and any(v) for v in found.values())
+    assert dealt == [(2, 1)]
