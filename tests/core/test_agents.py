@@ -191,6 +191,30 @@ def test_meeting():
         assert all((cell[q], cell[j]) in met for j in np.argsort(-(x @ x[q]))[:5])
 
 
+def test_blocks_without_clusters(spark, monkeypatch):
+    """Cells that all meet are packed into blocks, so that rows are copied and the best listed once a block, not once a cell."""
+    x = np.random.default_rng(4).normal(size=(400, 8))
+    x[1::4] = x[::4] + 1e-9 * x[2::4]  # single precision can't tell these apart
+    monkeypatch.setattr(vectors, "BLOCK_NUMBERS", 800)
+    monkeypatch.setattr(vectors, "CELL_ROWS", 10)
+    asked = [(i, v.tolist()) for i, v in enumerate(x)]
+    store = spark.createDataFrame(asked, "ext_id long, embedding array<double>").repartition(3)
+    out = spark.sql("select 1L as query_id, 2L as ext_id, 0.5D as similarity").schema
+    found = vectors._blocks(store.withColumnRenamed("ext_id", "query_id"), store, 3, False, out)
+    assert found.count() <= 3 * 400 * 10  # forty cells, about eight blocks
+    got = {(r.query_id, r.nth): r.ext_id for r in vectors.top_k(store.withColumnRenamed("ext_id", "query_id"), store, 3).collect()}
+    assert got == _nearest12(asked)
+    unit = x[::40] / np.linalg.norm(x[::40], axis=1, keepdims=True)
+    assert sorted(len(b) for b in vectors.packed(unit, dict.fromkeys(range(9), 4) | {9: 30}, 12).values()) == [1] * 9 + [3]
+
+
+def _nearest12(rows):
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    like = np.round(x @ x.T, 12)
+    return {(q, n + 1): e for q in range(len(x)) for n, e in enumerate(sorted(range(len(x)), key=lambda e: (-like[q, e], e))[:3])}
+
+
 def test_add_and_cosine(spark):
     store = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(60)], "ext_id long, embedding array<double>")
     assert vectors.add(store, store).count() == 120
