@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text
 from ..sources.remote import get_env
@@ -201,11 +203,15 @@ def truncate(messages: DataFrame, by: str, order: str, total: int = TOTAL_TOKENS
     return done.select(by, F.when(F.size("w.kept") + 1 < F.size("m"), F.concat(first, notice, F.col("w.kept"))).otherwise(F.concat(first, F.col("w.kept"))).alias("messages"))
 
 
-def call(prompts: DataFrame, agents: list[ChatProvider], system: str = SYSTEM) -> DataFrame:
-    """prompts (pair_id, user, and system if it is a column) to pair_id, agent, response, input_token, output_token, error: every agent answers every prompt.
+SAID = T.StructType([T.StructField("agent", T.IntegerType()), T.StructField("response", T.StringType()), T.StructField("input_token", T.LongType()), T.StructField("output_token", T.LongType()), T.StructField("error", T.StringType())])
+
+
+def answered(prompts: DataFrame, agents: list[ChatProvider], system: str = SYSTEM) -> DataFrame:
+    """``prompts`` (user, and system if it is a column) with ``said``, what each agent in turn says to the row's prompt; the row stays one.
 
-    A call that fails is a row without response that holds its error; the other calls go on.
+    A call that fails is an answer without response that holds its error; the other calls go on.
     """
+    at, led = prompts.columns.index("user"), prompts.columns.index("system") if "system" in prompts.columns else None
 
     def ask(agent: ChatProvider, before: str | None, user: str | None) -> tuple:
         try:
@@ -215,13 +221,20 @@ def call(prompts: DataFrame, agents: list[ChatProvider], system: str = SYSTEM) -
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, k, *ask(a, s, u)) for i, s, u in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k, a in enumerate(agents)]
-            if rows:
-                kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["pair_id", "agent", "response", "input_token", "output_token", "error"])
+            before = [system] * batch.num_rows if led is None else batch.column(led).to_pylist()
+            rows = [(k, *ask(a, s, u)) for s, u in zip(before, batch.column(at).to_pylist(), strict=True) for k, a in enumerate(agents)]
+            kind = to_arrow_type(SAID)
+            said = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * len(SAID), kind, strict=True)], fields=list(kind))
+            ends = pa.array(range(0, len(agents) * batch.num_rows + 1, len(agents)) if agents else [0] * (batch.num_rows + 1), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, said)], names=[*batch.schema.names, "said"])
 
-    led = prompts if "system" in prompts.columns else prompts.withColumn("system", F.lit(system))
-    return led.select("pair_id", "system", "user").mapInArrow(work, "pair_id long, agent int, response string, input_token long, output_token long, error string")
+    return prompts.mapInArrow(work, T.StructType([*prompts.schema, T.StructField("said", T.ArrayType(SAID))]))
+
+
+def call(prompts: DataFrame, agents: list[ChatProvider], system: str = SYSTEM) -> DataFrame:
+    """prompts (pair_id, user, and system if it is a column) to pair_id, agent, response, input_token, output_token, error: every agent answers every prompt."""
+    led = ["system"] if "system" in prompts.columns else []
+    return answered(prompts.select("pair_id", *led, "user"), agents, system).select("pair_id", F.inline("said"))
 
 
 def converse(messages: DataFrame, agents: list[ChatProvider], by: str, order: str, total: int = TOTAL_TOKENS, reply: int = REPLY_TOKENS) -> DataFrame:
@@ -243,30 +256,48 @@ def vote(history: DataFrame) -> DataFrame:
     return top.select("pair_id", F.col("ans").alias("pred"), F.floor(F.col("sum") / F.col("n")).cast("int").alias("confidence"))
 
 
+def vote_of(history: Column) -> Column:
+    """``vote`` on an array of answers: struct<n, first, pred, confidence>."""
+    said = F.array_distinct(F.transform(history, lambda h: h["ans"]))
+
+    def counted(answer: Column) -> Column:
+        own = F.filter(history, lambda h: h["ans"] == answer)
+        return F.struct(
+            F.size(own).alias("n"), (-F.array_min(F.transform(own, lambda h: h["seq"]))).alias("first"), answer.alias("pred"),
+            F.floor(F.aggregate(own, F.lit(0).cast("long"), lambda s, h: s + h["conf"]) / F.size(own)).cast("int").alias("confidence"),
+        )
+
+    return F.array_max(F.transform(said, counted))
+
+
 def inference(pairs: DataFrame, agents: list[ChatProvider], rounds: int = 1, gate: bool = False, f1: Column | float = 0.0, epsilon: float = 0.0) -> DataFrame:
-    """pair_id, pred, confidence, api_metrics, accepted of pairs (pair_id, src_code, tgt_code, src_meta, tgt_meta, context).
+    """pair_id, pred, confidence, api_metrics, accepted of pairs (pair_id, src_code, tgt_code, src_meta, tgt_meta, context), a row a pair.
 
     Agents of a round answer side by side, since its prompt holds earlier rounds only; rounds follow one another, each
     written before the next. Calls that fail have no vote; a pair that nobody has answered yet is asked as in the first round,
-    and one that nobody answers at all is left out, so that a later run asks again.
+    and one that nobody answers at all is left out, so that a later run asks again. Answers stay in their pair's row and nothing is
+    joined; pairs are spread over all cores first, since a call costs more than a row's move.
     """
-    pairs = step(pairs, "pairs")
+    spark = pairs.sparkSession
     none = F.expr("cast(array() as array<struct<seq:int,agent:int,ans:int,conf:int,input_token:bigint,output_token:bigint>>)")
-    state = pairs.select("pair_id", none.alias("history"))
+    body = task_prompt(F.col("src_meta"), F.col("tgt_meta"), F.col("src_code"), F.col("tgt_code"))
+    spread = pairs.repartition(4 * spark.sparkContext.defaultParallelism)
+    state = spread.select("pair_id", none.alias("history"), F.concat("context", body).alias("first"))
     for i in range(rounds):
-        both = pairs.join(state, "pair_id")
-        body = task_prompt(F.col("src_meta"), F.col("tgt_meta"), F.col("src_code"), F.col("tgt_code"))
-        if i > 0:
-            body = F.when(F.size("history") > 0, round_prompt(F.col("history"), i == rounds - 1)).otherwise(body)
-        said = call(both.select("pair_id", F.concat("context", body).alias("user")), agents)
-        one = F.struct(
-            (F.lit(i * len(agents)) + F.col("agent")).cast("int").alias("seq"), "agent", text.yes_no(F.col("response")).alias("ans"),
-            text.confidence(F.col("response")).alias("conf"), "input_token", "output_token",
+        user = F.when(F.size("history") > 0, round_prompt(F.col("history"), i == rounds - 1)).otherwise(F.col("first")) if i else F.col("first")
+        said = answered(state.select("pair_id", "history", F.when(F.size("history") == 0, F.col("first")).alias("first"), user.alias("user")), agents)
+        new = F.transform(
+            F.filter("said", lambda x: x["error"].isNull()),
+            lambda x: F.struct(
+                (F.lit(i * len(agents)) + x["agent"]).cast("int").alias("seq"), x["agent"].alias("agent"), text.yes_no(x["response"]).alias("ans"),
+                text.confidence(x["response"]).alias("conf"), x["input_token"].alias("input_token"), x["output_token"].alias("output_token"),
+            ),
         )
-        new = said.where("error IS NULL").groupBy("pair_id").agg(F.array_sort(F.collect_list(one)).alias("new"))
-        state = step(state.join(new, "pair_id", "left").select("pair_id", F.concat("history", F.coalesce("new", none)).alias("history")), "round")
-    rows = state.select("pair_id", F.explode("history").alias("h")).select("pair_id", "h.*")
-    used = rows.groupBy("pair_id").agg(F.sum("input_token").alias("i"), F.sum("output_token").alias("o"), F.count(F.lit(1)).alias("c"))
-    out = vote(rows).join(used, "pair_id")
+        told = said.select("pair_id", F.concat("history", new).alias("history"), "first")
+        state = step(told.select("pair_id", "history", F.when(F.size("history") == 0, F.col("first")).alias("first")), "round")
+    total = lambda name: F.aggregate("history", F.lit(0).cast("long"), lambda s, h: s + h[name])
+    used = F.struct(total("input_token").alias("input_token"), total("output_token").alias("output_token"), F.size("history").cast("long").alias("api_calls"))
+    out = state.where(F.size("history") > 0).select("pair_id", vote_of(F.col("history")).alias("top"), used.alias("api_metrics"))
+    out = out.select("pair_id", "top.pred", "top.confidence", "api_metrics")
     accepted = text.gate_score(F.col("confidence"), f1, epsilon=epsilon) > 0 if gate else F.lit(True)
-    return out.select("pair_id", "pred", "confidence", F.struct(F.col("i").alias("input_token"), F.col("o").alias("output_token"), F.col("c").alias("api_calls")).alias("api_metrics"), accepted.alias("accepted"))
+    return out.select("pair_id", "pred", "confidence", "api_metrics", accepted.alias("accepted"))

@@ -122,6 +122,20 @@ def test_metrics(spark):
     assert {r.model: r.total_cost for r in price.collect()} == {"gpt-4o": pytest.approx(0.0035), "y": 0.0}
 
 
+def test_inference_moves_no_answers(spark):
+    """Answers stay in their pair's row: the plan has no join, and the rows of one file are asked in more than one task."""
+    meta = "named_struct('parents', array('p'), 'children', array('c'), 'synonyms', array('s'), 'labels', array('l'))"
+    pairs = spark.sql(f"select id as pair_id, concat('red ', id) as src_code, concat('red ', id) as tgt_code, {meta} as src_meta, {meta} as tgt_meta, '' as context from range(0, 500, 1, 1)")
+    out = agents.inference(pairs, agents.create_agents(3, "rules", "rules"), 2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert len(out.inputFiles()) > 1
+    assert out.count() == 500 and out.where("api_metrics.api_calls = 6").count() == 500
+    history = [(0, 1, 4), (1, 0, 9), (2, 0, 2), (3, 1, 7), (4, 2, 10)]
+    row = spark.createDataFrame([(history,)], "h array<struct<seq: int, ans: int, conf: int>>").select(agents.vote_of(F.col("h")).alias("v")).first().v
+    assert (row.pred, row.confidence) == (1, 5)
+
+
 def test_top_k(spark):
     x = np.random.default_rng(0).normal(size=(60, 8))
     x[7] = 0
