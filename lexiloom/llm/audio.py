@@ -7,7 +7,8 @@ with the least bit errors counts.
 
 Classes: recordings of equal fingerprints are one class from the start. The others meet by keys of four items nine frames apart:
 of every item the signs of twelve filters, the bits that noise turns least (the outer thresholds' bits turn four times as often).
-Six tables of keys leave out other filters. A bucket is tested as in ``groups.linked``, and a link is an alignment over at
+Six tables of keys leave out other filters. An eighth of the keys is met first, so that near copies are one component
+before the others are gathered. A bucket is tested as in ``groups.linked``, and a link is an alignment over at
 least half of the shorter recording with at most a quarter of the bits wrong. In the third round members are compared bit by
 bit at the offset that their places in the bucket give.
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches, table
-from .groups import linked
+from .groups import linked, starred
 from .minhash import mixed
 
 FRAME_S, LOW_HZ, HIGH_HZ = 0.256, 55.0, 1760.0
@@ -48,6 +49,8 @@ WRONG, OVERLAP = 0.25, 0.5
 BLOCK_FRAMES = 4096
 #: Equal pairs of items whose offsets are counted at a time.
 PAIRS = 1 << 20
+#: One key in so many is met ahead of the others.
+EARLY = 8
 #: Items of a key by their distance from its place.
 APART = (0, 9, 18, 27)
 #: Filters whose signs a table's keys leave out, by item: four of the sixteen, dealt anew for every table.
@@ -222,14 +225,21 @@ def fingerprints(recordings: DataFrame) -> DataFrame:
     return recordings.select("id", "audio").mapInArrow(_prints, "id long, print binary")
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [keys_of(np.frombuffer(x, "<u4")) for x in batch.column(1).to_pylist()]
-        n = [len(k) for k, _ in found]
-        if sum(n):
-            ids = np.repeat(batch.column(0).to_numpy(), n)
-            keys, places = (np.concatenate([x[c] for x in found]) for c in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids, pa.int64()), pa.array(places, pa.int64())], names=["key", "id", "place"])
+def _index(share: int = 1):
+    """Postings key, id, place, component of rows id, print, component: of all keys, or of one in ``share`` (of each recording the same)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [keys_of(np.frombuffer(x, "<u4")) for x in batch.column(1).to_pylist()]
+            if share > 1:
+                found = [(k[own], p[own]) for k, p in found for own in [k % share == 0]]
+            n = [len(k) for k, _ in found]
+            if sum(n):
+                ids, of = (np.repeat(batch.column(c).to_numpy(), n) for c in (0, 2))
+                keys, places = (np.concatenate([x[c] for x in found]) for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(of, pa.int64())], names=["key", "id", "place", "component"])
+
+    return work
 
 
 def meet(key: int, one: list[dict], two: list[dict]) -> list[tuple[int, int]]:
@@ -279,8 +289,12 @@ def classes(recordings: DataFrame) -> DataFrame:
     own = prints.withColumn("same", digest).join(first, "same", "left")
     own = cut(own.select("row", "id", "print", F.coalesce("first", order).alias("first")), "own")
     single = own.where("row = first.row").select(F.col("row").alias("id"), "print")
-    postings = single.mapInArrow(_index, "key long, id long, place long")
-    _, found = linked(postings, single, lambda pairs, ids: aligned(pairs, single), meet)
+    posting = "key long, id long, place long, component long"
+    early = single.withColumn("component", F.col("id")).mapInArrow(_index(EARLY), posting)
+    links, found = starred(early, lambda pairs, ids: aligned(pairs, single))
+    labelled = single.join(found, "id", "left").select("id", "print", F.coalesce("component", "id").alias("component"))
+    postings = labelled.mapInArrow(_index(), posting)
+    _, found = linked(postings, single, lambda pairs, ids: aligned(pairs, single), meet, known=(links, found))
     named = found.join(own.where("row = first.row").select(F.col("row").alias("id"), "first"), "id")
     stands = cut(named.groupBy("component").agg(F.min("first").alias("stands")), "stands")
     of = named.join(stands, "component").select(F.col("id").alias("node"), "stands")
