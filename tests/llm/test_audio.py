@@ -160,3 +160,22 @@ def test_periodic_hour():
     assert a.align(x, x)[0] == 0 and a.align(x, x[1:])[2] == 0
     assert tracemalloc.get_traced_memory()[1] < 300e6
     tracemalloc.stop()
+
+
+def test_near_copies_are_gathered_once(spark, monkeypatch):
+    """Keys of near copies that few keys have made one component already are not joined again; what else shares a key is."""
+    r = np.random.default_rng(5)
+    base = r.normal(size=40)
+    rows = [(i, (base + 0.06 * r.normal(size=40)).tolist()) for i in range(30)] + [(100 + i, r.normal(size=40).tolist()) for i in range(10)]
+    rows = spark.createDataFrame(rows, "id long, vector array<double>")
+    joined, cut = [], groups.cut
+
+    def counting(df, name="step"):
+        out = cut(df, name)
+        joined.append(out.count() if name == "members" else 0)
+        return out
+
+    monkeypatch.setattr(groups, "cut", counting)
+    got = {x.id: x.class_id for x in a.classes(a.render(rows)).collect()}
+    assert got == {i: 0 if i < 30 else i for i in got} and len(got) == 40
+    assert sum(joined) < 300  # thirty near copies share hundreds of keys
