@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
+import functools
 import os
 import re
 import urllib.parse
@@ -21,8 +21,14 @@ RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 RDFS = "http://www.w3.org/2000/01/rdf-schema#"
 OWL = "http://www.w3.org/2002/07/owl#"
 XML = "http://www.w3.org/XML/1998/namespace"
+#: Attributes as the parser names them.
+ABOUT, ID, NODE, RESOURCE, LANG = f"{{{RDF}}}about", f"{{{RDF}}}ID", f"{{{RDF}}}nodeID", f"{{{RDF}}}resource", f"{{{XML}}}lang"
+#: Namespaces whose attributes are no properties.
+OWN = (f"{{{RDF}}}", f"{{{XML}}}")
+TYPE, DESCRIPTION = f"{RDF}type", f"{RDF}Description"
 
 
+@functools.lru_cache(1 << 16)
 def _iri(tag: str) -> str:
     return tag[1:].replace("}", "", 1) if tag.startswith("{") else tag
 
@@ -43,39 +49,49 @@ def triples_of(document: str | bytes, graph: str = "", places: list[int] | None
         numbers = iter(range(1 << 62))
 
         def subject(node: ET.Element, place: int = place, numbers: Iterator[int] = numbers) -> str:
-            for key in ("about", "ID"):
-                ref = node.get(f"{{{RDF}}}{key}")
-                if ref is not None:
-                    return absolute(ref if key == "about" else f"#{ref}")
-            return f"_:{node.get(f'{{{RDF}}}nodeID') or f'b{place}-{next(numbers)}'}"
-
-        rest = [(first, subject(first), root.get(f"{{{XML}}}lang", ""))]
+            ref = node.get(ABOUT)
+            if ref is not None:
+                return absolute(ref)
+            ref = node.get(ID)
+            if ref is not None:
+                return absolute(f"#{ref}")
+            return f"_:{node.get(NODE) or f'b{place}-{next(numbers)}'}"
+
+        rest = [(first, subject(first), root.get(LANG, ""))]
         while rest:
             node, s, lang = rest.pop()
-            lang = node.get(f"{{{XML}}}lang", lang)
-            if _iri(node.tag) != f"{RDF}Description":
-                yield graph, s, f"{RDF}type", _iri(node.tag), ""
-            for key, value in node.attrib.items():
-                if not key.startswith((f"{{{RDF}}}", f"{{{XML}}}")):
+            lang, kind = node.get(LANG, lang), _iri(node.tag)
+            if kind != DESCRIPTION:
+                yield graph, s, TYPE, kind, ""
+            for key, value in node.items():
+                if not key.startswith(OWN):
                     yield graph, s, _iri(key), value, lang
             for prop in node:
-                p, ref = _iri(prop.tag), prop.get(f"{{{RDF}}}resource")
-                if ref is not None or prop.get(f"{{{RDF}}}nodeID") is not None:
-                    yield graph, s, p, absolute(ref) if ref is not None else f"_:{prop.get(f'{{{RDF}}}nodeID')}", ""
+                p, ref = _iri(prop.tag), prop.get(RESOURCE)
+                if ref is not None or prop.get(NODE) is not None:
+                    yield graph, s, p, absolute(ref) if ref is not None else f"_:{prop.get(NODE)}", ""
                 elif len(prop):
                     for child in prop:
                         o = subject(child)
                         yield graph, s, p, o, ""
                         rest.append((child, o, lang))
                 else:
-                    yield graph, s, p, prop.text or "", prop.get(f"{{{XML}}}lang", lang)
+                    yield graph, s, p, prop.text or "", prop.get(LANG, lang)
 
 
 #: Bytes of a range of a document, of a read, and of the elements that are parsed at once.
-RANGE_BYTES, READ_BYTES, PARSE_BYTES = 64 << 20, 1 << 20, 1 << 20
+RANGE_BYTES, READ_BYTES, PARSE_BYTES = 16 << 20, 1 << 20, 1 << 20
 #: What a place of a document may lie in, and what ends it: content or a tag, a comment, unparsed text, an instruction.
 ENDS = (b"", b"-->", b"]]>", b"?>")
-MARKUP = re.compile(rb"(<!--)|(<!\[CDATA\[)|(<\?)|<(/?)[^<>!?\"'][^<>\"']*(?:\"[^\"]*\"[^<>\"']*|'[^']*'[^<>\"']*)*>")
+_BEGUN = rb"(<!--)|(<!\[CDATA\[)|(<\?)|"
+_TAG = rb"<([^<>!?/\"'\s][^<>\"'\s/]*+)[^<>\"']*+(?:\"[^\"]*+\"[^<>\"']*+|'[^']*+'[^<>\"']*+)*+>"
+#: The beginning of a place of kind 1 to 3, or a tag (4).
+FIRST = re.compile(_BEGUN + _TAG)
+#: A whole comment, the beginning of a place of kind 1 to 3, an end tag (4), a tag (5), an element of text alone (6).
+MARKUP = re.compile(rb"<!--[^-]*+(?:-(?!->)[^-]*+)*+-->|" + _BEGUN + rb"<(/)[^<>\"']++>|" + _TAG + rb"(?:(?<!/>)[^<]*+</\5\s*+>())?")
+SLASH = ord("/")
+#: Tags of a range that its other walks are compared with.
+KNOWN_TAGS = 4096
 
 
 class _Document:
@@ -90,8 +106,8 @@ class _Document:
         while not self.tail and len(self.head) < self.size:
             self.head = self.file.read_at(len(self.head) + READ_BYTES, 0)
             prolog = re.sub(rb"<!--.*?-->|<\?.*?\?>|<!DOCTYPE[^\[>]*(?:\[.*?\]\s*)?>", lambda m: b" " * len(m[0]), self.head, flags=re.S)
-            root = MARKUP.search(prolog)
-            if root and (root.lastindex is None or root.lastindex == 4):
+            root = FIRST.search(prolog)
+            if root and root.lastindex == 4:
                 name = re.match(rb"<([^\s/>]+)", root[0])[1]
                 self.plain = name.split(b":")[-1] == b"RDF" and not root[0].endswith(b"/>") and not self.head.startswith((b"\xff\xfe", b"\xfe\xff"))
                 self.head, self.tail = self.head[: root.end()], b"</" + name + b">"
@@ -109,13 +125,15 @@ class _Document:
     def markup(self, start: int, end: int | None, state: int) -> Iterator[tuple[int, int, int]]:
         """(place, end, change of depth) of each tag from ``start`` on, then (end, end, 0); ``end`` None: to the end of the document.
 
-        What the walk lies in at the end is kept in ``self.state``.
+        An element that holds text alone may come as one, without a change of depth.
+        What the walk lies in at the end is kept in ``self.state``; ``self.held`` is what is read at the time, from ``self.at`` on.
         """
         limit = self.size if end is None else end
         held, at, self.state = b"", start, state
         while True:
-            if len(held) < READ_BYTES and at + len(held) < limit:
-                held += self.file.read_at(min(READ_BYTES, limit - at - len(held)), at + len(held))
+            if at + len(held) < limit:  # what is left is a tag that goes on, or little
+                held += self.file.read_at(min(max(READ_BYTES, len(held)), limit - at - len(held)), at + len(held))
+            self.held, self.at = held, at
             whole = at + len(held) >= limit
             used = 0
             while True:
@@ -125,32 +143,52 @@ class _Document:
                         used = len(held) if whole else max(used, len(held) - 2)
                         break
                     used, self.state = over + len(ENDS[self.state]), 0
-                lt = held.find(b"<", used)
-                if lt < 0:
-                    used = len(held)
-                    break
-                if not whole and len(held) - lt < 16:
-                    used = lt
-                    break
-                tag = MARKUP.match(held, lt)
-                if not tag:
-                    if whole:  # no markup: it is left to the parser to say so
-                        used = lt + 1
-                        continue
-                    used = lt
+                for tag in MARKUP.finditer(held, used):
+                    lt, used = tag.span()
+                    kind = tag.lastindex
+                    if kind == 5:
+                        yield at + lt, at + used, 0 if held[used - 2] == SLASH else 1
+                    elif kind == 6:
+                        yield at + lt, at + used, 0
+                    elif kind == 4:
+                        yield at + lt, at + used, -1
+                    elif kind:
+                        self.state = kind
+                        break
+                else:  # what is no markup is left to the parser to say so
+                    lt = -1 if whole else held.find(b"<", used)
+                    used = len(held) if lt < 0 else lt
                     break
-                used = tag.end()
-                if tag.lastindex and tag.lastindex < 4:
-                    self.state = tag.lastindex
-                else:
-                    yield at + lt, at + used, -1 if tag[4] else 0 if tag[0].endswith(b"/>") else 1
             if whole:
                 break
-            if used == 0:  # a tag longer than what is held
-                held += self.file.read_at(min(READ_BYTES, limit - at - len(held)), at + len(held))
             held, at = held[used:], at + used
         yield limit, limit, 0
 
+    def transitions(self, start: int, end: int) -> tuple[list[int], list[int]]:
+        """What a range ends in, and by how much it is deeper then, for each thing that it may begin in.
+
+        A walk that comes to one of the first tags of the walk from content goes on as that does.
+        """
+        known: dict[int, int] = {}
+        depth = 0
+        for place, over, change in self.markup(start, end, 0):
+            if len(known) < KNOWN_TAGS and over > place:
+                known[place] = depth
+            depth += change
+        ends, deltas = [self.state], [depth]
+        for state in range(1, len(ENDS)):
+            own = 0
+            for place, _, change in self.markup(start, end, state):
+                if place in known:
+                    ends.append(ends[0])
+                    deltas.append(own + depth - known[place])
+                    break
+                own += change
+            else:
+                ends.append(self.state)
+                deltas.append(own)
+        return ends, deltas
+
     def elements(self, start: int, end: int, state: int, depth: int) -> Iterator[tuple[int, bytes]]:
         """(place, bytes) of the elements right below the root that begin in a range."""
         began = None
@@ -161,11 +199,27 @@ class _Document:
                 began = place
             depth += change
             if began is not None and depth == 0:
-                yield began, self.file.read_at(over - began, began)
+                yield began, self.held[began - self.at : over - self.at] if began >= self.at else self.file.read_at(over - began, began)
                 began = None
             if depth < 0:
                 return
 
+    def pieces(self, start: int, end: int, state: int, depth: int) -> Iterator[tuple[list[int], bytes]]:
+        """The elements that begin in a range as small documents, each with the places of its elements."""
+        places: list[int] = []
+        held: list[bytes] = []
+        n_bytes = 0
+        for place, element in self.elements(start, end, state, depth):
+            size = len(element)
+            if places and n_bytes + size > PARSE_BYTES:
+                yield places, self.head + b"".join(held) + self.tail
+                places, held, n_bytes = [], [], 0
+            places.append(place)
+            held.append(element)
+            n_bytes += size
+        if places:
+            yield places, self.head + b"".join(held) + self.tail
+
 
 def _walked(rows: pd.DataFrame) -> pd.DataFrame:
     """What each range of one document begins in, and how deep: a row a range, so few for any document."""
@@ -197,12 +251,9 @@ def read_owl(spark: SparkSession, path: str, range_bytes: int | None = None) ->
             rows = []
             for name, start, stop in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = _Document(name)
-                ends, deltas = [], []
                 first, last = own.aligned(start) if start else len(own.head), own.aligned(stop)
-                for state in range(len(ENDS)) if own.plain else ():
-                    deltas.append(sum(change for _, _, change in own.markup(first, last, state)))
-                    ends.append(own.state)
-                rows.append((name, start, stop, ends or [0] * 4, deltas or [0] * 4))
+                # nothing comes after the last range of a document
+                rows.append((name, start, stop, *(own.transitions(first, last) if own.plain and last < own.size else ([0] * len(ENDS), [0] * len(ENDS)))))
             if rows:
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "start", "stop", "ends", "deltas"])
@@ -218,17 +269,10 @@ def read_owl(spark: SparkSession, path: str, range_bytes: int | None = None) ->
                     rows = list(triples_of(own.file.read_at(own.size, 0), own.name)) if start == 0 and own.size else []
                     yield from [table(rows)] if rows else []
                     continue
-                places: list[int] = []
-                held: list[bytes] = []
                 first, last = own.aligned(start) if start else len(own.head), own.aligned(stop)
-                for place, element in itertools.chain(own.elements(first, last, state, depth), [(-1, b"")]):
-                    if places and (place < 0 or sum(map(len, held)) + len(element) > PARSE_BYTES):
-                        rows = list(triples_of(own.head + b"".join(held) + own.tail, own.name, places))
-                        yield from [table(rows)] if rows else []
-                        places, held = [], []
-                    if place >= 0:
-                        places.append(place)
-                        held.append(element)
+                for places, document in own.pieces(first, last, state, depth):
+                    rows = list(triples_of(document, own.name, places))
+                    yield from [table(rows)] if rows else []
 
     if n > 1:
         kind = "path string, start long, stop long"
@@ -241,10 +285,10 @@ def read_owl(spark: SparkSession, path: str, range_bytes: int | None = None) ->
 
 def hierarchy(triples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """classes (id), edges (parent, child) between classes, synonyms (id, others) by equivalence in both directions."""
-    classes = triples.where((F.col("p") == f"{RDF}type") & F.col("o").isin(f"{OWL}Class", f"{RDFS}Class")).select(F.col("s").alias("id")).distinct()
+    classes = triples.where((F.col("p") == f"{RDF}type") & F.col("o").isin(f"{OWL}Class", f"{RDFS}Class")).select(F.col("s").alias("id"))
     sub = triples.where(F.col("p") == f"{RDFS}subClassOf").select(F.col("o").alias("parent"), F.col("s").alias("child"))
     edges = sub.join(classes.withColumnRenamed("id", "parent"), "parent", "left_semi").join(classes.withColumnRenamed("id", "child"), "child", "left_semi")
     same = triples.where(F.col("p") == f"{OWL}equivalentClass").select(F.col("s").alias("a"), F.col("o").alias("b"))
     same = same.join(classes.withColumnRenamed("id", "a"), "a", "left_semi").join(classes.withColumnRenamed("id", "b"), "b", "left_semi")
     both = same.select("a", "b").unionByName(same.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    return classes, edges.select("parent", "child").distinct(), both.groupBy(F.col("a").alias("id")).agg(F.array_sort(F.collect_set("b")).alias("others"))
+    return classes.distinct(), edges.select("parent", "child").distinct(), both.groupBy(F.col("a").alias("id")).agg(F.array_sort(F.collect_set("b")).alias("others"))
