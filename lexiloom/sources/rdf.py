@@ -83,12 +83,13 @@ def triples_of(document: str | bytes, graph: str = "", places: list[int] | None
 RANGE_BYTES, READ_BYTES, PARSE_BYTES = 16 << 20, 1 << 20, 1 << 20
 #: What a place of a document may lie in, and what ends it: content or a tag, a comment, unparsed text, an instruction.
 ENDS = (b"", b"-->", b"]]>", b"?>")
-_BEGUN = rb"(<!--)|(<!\[CDATA\[)|(<\?)|"
+_BEGUN, _COMMENT = rb"(<!--)|(<!\[CDATA\[)|(<\?)|", rb"<!--[^-]*+(?:-(?!->)[^-]*+)*+-->"
 _TAG = rb"<([^<>!?/\"'\s][^<>\"'\s/]*+)[^<>\"']*+(?:\"[^\"]*+\"[^<>\"']*+|'[^']*+'[^<>\"']*+)*+>"
+_CHILD = _TAG + rb"(?:(?<=/>)|[^<]*+</\6\s*+>)"
 #: The beginning of a place of kind 1 to 3, or a tag (4).
 FIRST = re.compile(_BEGUN + _TAG)
-#: A whole comment, the beginning of a place of kind 1 to 3, an end tag (4), a tag (5), an element of text alone (6).
-MARKUP = re.compile(rb"<!--[^-]*+(?:-(?!->)[^-]*+)*+-->|" + _BEGUN + rb"<(/)[^<>\"']++>|" + _TAG + rb"(?:(?<!/>)[^<]*+</\5\s*+>())?")
+#: A whole comment, the beginning of a place of kind 1 to 3, an end tag (4), a tag (5, 6), an element whose children have none (7).
+MARKUP = re.compile(_COMMENT + rb"|" + _BEGUN + rb"<(/)[^<>\"']++>|" + _TAG + rb"(?:(?<!/>)(?:[^<]*+(?:" + _COMMENT + rb"|" + _CHILD + rb"))*+[^<]*+</\5\s*+>())?")
 SLASH = ord("/")
 #: Tags of a range that its other walks are compared with.
 KNOWN_TAGS = 4096
@@ -125,7 +126,7 @@ class _Document:
     def markup(self, start: int, end: int | None, state: int) -> Iterator[tuple[int, int, int]]:
         """(place, end, change of depth) of each tag from ``start`` on, then (end, end, 0); ``end`` None: to the end of the document.
 
-        An element that holds text alone may come as one, without a change of depth.
+        An element of text and children without children may come as one, without a change of depth.
         What the walk lies in at the end is kept in ``self.state``; ``self.held`` is what is read at the time, from ``self.at`` on.
         """
         limit = self.size if end is None else end
@@ -146,10 +147,10 @@ class _Document:
                 for tag in MARKUP.finditer(held, used):
                     lt, used = tag.span()
                     kind = tag.lastindex
-                    if kind == 5:
-                        yield at + lt, at + used, 0 if held[used - 2] == SLASH else 1
-                    elif kind == 6:
+                    if kind == 7:
                         yield at + lt, at + used, 0
+                    elif kind in (5, 6):
+                        yield at + lt, at + used, 0 if held[used - 2] == SLASH else 1
                     elif kind == 4:
                         yield at + lt, at + used, -1
                     elif kind:
