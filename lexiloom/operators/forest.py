@@ -21,10 +21,10 @@ from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..storage import share_code, step
+from ..storage import share_code, step, step_path
 from . import graph
 
 LABEL, LINK, EDGES = "id string, name string, seq long", "name string, into string, seq long", "parent string, child string, seq long"
@@ -36,19 +36,27 @@ NEVER = -1
 
 
 def resolve(ids: DataFrame | None, labels: DataFrame, links: DataFrame) -> DataFrame:
-    """id, name: the classes of ``ids``, or of all labelled nodes. Nodes without label are their own class."""
+    """id, name: the classes of ``ids``, or of all labelled nodes. Nodes without label are their own class.
+
+    A round writes the ids that it is about, each once; those that have found a later link go on to the next.
+    """
+    spark, base, rounds = labels.sparkSession, step_path(labels.sparkSession, "classes"), 0
     last = (labels if ids is None else labels.join(ids, "id", "left_semi")).groupBy("id").agg(F.max(F.struct("seq", "name")).alias("at"))
     at = last.select("id", "at.name", "at.seq")
     if ids is not None:
         at = ids.select("id").join(at, "id", "left").select("id", F.coalesce("name", "id").alias("name"), F.coalesce("seq", F.lit(NEVER).cast("long")).alias("seq"))
-    later = links.select("name", "into", F.col("seq").alias("then"))
+    later = links.select(F.col("name").alias("left"), "into", F.col("seq").alias("then"))
+    shape = "id string, name string, seq long, moved boolean"
     while True:
-        at = step(at, "classes")
-        moved = at.join(later, "name").where("then > seq").groupBy("id").agg(F.min(F.struct("then", "into")).alias("to"))
-        now = step(at.join(moved, "id", "left").select("id", F.coalesce("to.into", "name").alias("name"), F.coalesce("to.then", "seq").alias("seq"), F.col("to").isNotNull().alias("moved")), "classes")
-        if now.where("moved").isEmpty():
-            return now.select("id", "name")
-        at = now.drop("moved")
+        to = F.min(F.when(F.col("then").isNotNull(), F.struct("then", "into"))).alias("to")
+        met = at.join(later, (F.col("name") == F.col("left")) & (F.col("then") > F.col("seq")), "left").groupBy("id", "name", "seq").agg(to)
+        seen = Observation()
+        now = met.select("id", F.coalesce("to.into", "name").alias("name"), F.coalesce("to.then", "seq").alias("seq"), F.col("to").isNotNull().alias("moved"))
+        now.observe(seen, F.count_if("moved").alias("moved")).write.parquet(f"{base}/round={rounds}")
+        if not seen.get["moved"]:
+            return spark.read.schema(f"{shape}, round int").parquet(base).where("NOT moved").select("id", "name")
+        at = spark.read.schema(shape).parquet(f"{base}/round={rounds}").where("moved").drop("moved")
+        rounds += 1
 
 
 def members(names: list[str], labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -56,7 +64,7 @@ def members(names: list[str], labels: DataFrame, links: DataFrame) -> DataFrame:
     spark = labels.sparkSession
     start = spark.createDataFrame([(x,) for x in names], "name string").coalesce(1)
     none = F.lit(NEVER - 1).cast("long")  # before the first labels
-    gone = links.join(start, "name", "left_semi").groupBy("name").agg(F.max("seq").alias("lo"))
+    gone = links.join(F.broadcast(start), "name", "left_semi").groupBy("name").agg(F.max("seq").alias("lo"))
     spans = front = step(start.join(gone, "name", "left").select(F.col("name").alias("block"), "name", F.coalesce("lo", none).alias("lo"), F.lit(2**62).alias("hi")), "spans")
     while True:
         came = links.join(front.select("block", F.col("name").alias("into"), "lo", "hi"), "into").where("seq > lo AND seq <= hi").select("block", "name", F.col("seq").alias("hi"))
@@ -66,7 +74,7 @@ def members(names: list[str], labels: DataFrame, links: DataFrame) -> DataFrame:
         if front.isEmpty():
             break
         spans = spans.unionByName(front)
-    held = labels.join(spans, "name").where("seq > lo AND seq <= hi").select("block", "id", "seq")
+    held = step(labels.join(spans, "name").where("seq > lo AND seq <= hi").select("block", "id", "seq"), "held")
     last = labels.join(held.select("id"), "id", "left_semi").groupBy("id").agg(F.max("seq").alias("seq"))
     return step(held.join(last, ["id", "seq"], "left_semi").select("block", "id").distinct(), "members")
 
@@ -88,6 +96,7 @@ class Replay:
         self.seen, self.keep_rejected = seen, keep_rejected
         self.new: dict[str, list[DataFrame]] = {"edges": [], "labels": [], "links": [], "expert": []}
         self.barriers = 0
+        self.near: DataFrame | None = None  # of the ranks, those that the table at hand can ask for
 
     def run(self, rows: Iterable[tuple[str, str, int]]) -> None:
         """Edges (u, v, prediction) in order."""
@@ -105,11 +114,22 @@ class Replay:
             if size <= ROUND or end - at <= ROUND:
                 part = part.where(F.col("no") < at + ROUND).orderBy("no").collect()  # ROUND rows at most
                 self._round([(r.u, r.v, r.pred) for r in part])
+                if self.barriers > barriers:
+                    self.near = None  # members have moved, perhaps to names that were none
                 at, size = at + len(part), ROUND if self.barriers > barriers else max(size, 16 * ROUND)
             else:
+                if self.near is None:
+                    self.near = self._near(rows.where(F.col("no") >= at))
                 to = self._window(part, at, min(end, at + size))
                 size = min(WINDOW, 16 * size) if to == min(end, at + size) else ROUND
                 at = to
+        self.near = None
+
+    def _near(self, rows: DataFrame) -> DataFrame:
+        """The ranks of all names that classes of the rows' ends can have until members move: looked up once, not by every window."""
+        ends = rows.select(F.explode(F.array("u", "v")).alias("id"))
+        names = union([ends, self.after("labels").select(F.col("name").alias("id")), self.after("links").select(F.col("into").alias("id"))])
+        return step(self.ranks.join(names.distinct(), "id", "left_semi"), "near")
 
     def _window(self, part: DataFrame, at: int, to: int) -> int:
         """The edges (no, u, v, pred) from ``at`` on up to the first that moves members, or to ``to``; returns where that is."""
@@ -120,20 +140,23 @@ class Replay:
         held = step(both.join(labels, "id", "left_semi").select("id"), "held")
         classes = resolve(held, labels, self.after("links")) if not held.isEmpty() else held.withColumn("name", F.col("id"))
         named = both.join(classes, "id", "left").select("id", F.coalesce("name", "id").alias("name"), F.col("name").isNull().alias("fresh"), "since")
-        ranks = self.ranks.select(F.col("id").alias("name"), "rank").join(named.select("name").distinct(), "name", "left_semi")
-        named = step(named.join(ranks, "name", "left").select("id", "name", "fresh", "since", F.coalesce("rank", F.lit(0)).cast("int").alias("rank")), "named")
-        end = lambda x: named.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("name", "fresh", "rank")])
+        # only where others are in a class of a new node's name does it matter when that node comes
+        used = classes.select("name").distinct().withColumn("used", F.lit(True))
+        named = named.join(self.near.select(F.col("id").alias("name"), "rank"), "name", "left").join(used, "name", "left")
+        late = F.col("fresh") & F.coalesce("used", F.lit(False))
+        named = step(named.select("id", "name", "fresh", late.alias("late"), "since", F.coalesce("rank", F.lit(0)).cast("int").alias("rank")), "named")
+        end = lambda x: named.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("name", "late", "rank")])
         edges = step(part.join(end("u"), "u").join(end("v"), "v"), "window")
         found = graph.components(edges.where("pred = 1 OR u_name = v_name").select(F.col("u_name").alias("a"), F.col("v_name").alias("b")))
         found = step(found, "components")
         of = lambda x: found.select(F.col("id").alias(x), F.col("component").alias(f"{x}_of"))
         rows = edges.join(of("u_name"), "u_name").join(of("v_name"), "v_name").where("u_name_of = v_name_of")
-        rows = rows.select(F.col("u_name_of").alias("component"), "no", F.lit(1).alias("kind"), *[f"{x}{c}" for x in "uv" for c in ("", "_name", "_fresh", "_rank")], "pred")
-        born = named.where("fresh").join(found.select(F.col("id").alias("name"), "component"), "name")
+        rows = rows.select(F.col("u_name_of").alias("component"), "no", F.lit(1).alias("kind"), *[f"{x}{c}" for x in "uv" for c in ("", "_name", "_late", "_rank")], "pred")
+        born = named.where("late").join(found.select(F.col("id").alias("name"), "component"), "name")
         none = F.lit(None)
         born = born.select(
-            "component", F.col("since").alias("no"), F.lit(0).alias("kind"), F.col("id").alias("u"), F.col("name").alias("u_name"), F.col("fresh").alias("u_fresh"), F.col("rank").alias("u_rank"),
-            none.cast("string").alias("v"), none.cast("string").alias("v_name"), none.cast("boolean").alias("v_fresh"), none.cast("int").alias("v_rank"), none.cast("int").alias("pred"),
+            "component", F.col("since").alias("no"), F.lit(0).alias("kind"), F.col("id").alias("u"), F.col("name").alias("u_name"), F.col("late").alias("u_late"), F.col("rank").alias("u_rank"),
+            none.cast("string").alias("v"), none.cast("string").alias("v_name"), none.cast("boolean").alias("v_late"), none.cast("int").alias("v_rank"), none.cast("int").alias("pred"),
         )
         share_code(self.spark)
         dealt = rows.unionByName(born).repartition("component").sortWithinPartitions("component", "no", "kind", "u")
@@ -165,10 +188,11 @@ class Replay:
         names = {x for u, v, _ in rows for x in (u, v)}
         ends = step(self.spark.createDataFrame([(x,) for x in names], "id string").coalesce(1), "ends")
         labels = self.after("labels")
-        fresh = {r.id for r in ends.join(labels, "id", "left_anti").collect()}
+        fresh = names - {r.id for r in labels.join(F.broadcast(ends), "id", "left_semi").select("id").distinct().collect()}
         at = {r.id: r.name for r in resolve(ends, labels, self.after("links")).collect() if r.id not in fresh}
         ids = self.spark.createDataFrame([(x,) for x in {*names, *at.values()}], "id string").coalesce(1)
-        rank = {r.id: r.rank for r in self.ranks.join(ids, "id", "left_semi").collect()}
+        ranks = self.ranks if self.near is None else self.near
+        rank = {r.id: r.rank for r in ranks.join(F.broadcast(ids), "id", "left_semi").collect()}  # four names an edge at most
         by: dict[str, set[str]] = defaultdict(set)
         for node, name in at.items():
             by[name].add(node)
@@ -219,23 +243,31 @@ class Replay:
         """block, id of labelled members; a class without any is its own node."""
         found = members(list(blocks), self.after("labels"), self.after("links"))
         own = self.spark.createDataFrame([(x, x) for x in blocks], "block string, id string").coalesce(1)
-        return found.unionByName(own.join(found.select("block"), "block", "left_anti"))
+        # written, so that few members are known to be few
+        return step(found.unionByName(own.join(found.select("block"), "block", "left_anti")), "members")
+
+    def _touching(self, above: DataFrame, below: DataFrame) -> DataFrame:
+        """parent, child, down, up: the edges whose parent is among ``above`` (down) or whose child among ``below`` (up), read once."""
+        at = lambda ids, end, mark: ids.select(F.col("id").alias(end), F.lit(True).alias(mark))
+        met = self.after("edges").select("parent", "child").join(at(above, "parent", "down"), "parent", "left").join(at(below, "child", "up"), "child", "left")
+        return met.where("down OR up")
 
     def _partly(self, bu: str, bv: str) -> DataFrame:
         """Parents of v's class join u's class, children of u's class then v's."""
-        edges, held = self.after("edges"), self._members(bu, bv)
-        parents = edges.join(held.where(F.col("block") == bv).select(F.col("id").alias("child")), "child", "left_semi").select(F.col("parent").alias("id"), F.lit(0).alias("last"))
-        children = edges.join(held.where(F.col("block") == bu).select(F.col("id").alias("parent")), "parent", "left_semi").select(F.col("child").alias("id"), F.lit(1).alias("last"))
-        moved = parents.unionByName(children).groupBy("id").agg(F.max("last").alias("last"))
+        held = self._members(bu, bv)
+        met = self._touching(held.where(F.col("block") == bu), held.where(F.col("block") == bv))
+        moves = [F.when(F.col("up"), F.struct(F.col("parent").alias("id"), F.lit(0).alias("last"))), F.when(F.col("down"), F.struct(F.col("child").alias("id"), F.lit(1).alias("last")))]
+        moved = met.select(F.explode(F.array_compact(F.array(*moves))).alias("to")).select("to.id", "to.last").groupBy("id").agg(F.max("last").alias("last"))
         return moved.select("id", F.when(F.col("last") == 1, bv).otherwise(bu).alias("name"))
 
     def _apart(self, block: str, v: str) -> DataFrame:
-        """Members whose children or parents are not v's: the numbers of all, of v's and of common ones differ."""
-        held, edges = self._members(block).select("id"), self.after("edges")
+        """Members whose children or parents are not v's, a member too: the numbers of all, of v's and of common ones differ."""
+        held = self._members(block).select("id")
+        met = step(self._touching(held, held), "touching")
         out = held
-        for one, other in (("parent", "child"), ("child", "parent")):
-            near = edges.join(held.withColumnRenamed("id", one), one, "left_semi").select(F.col(one).alias("id"), F.col(other).alias("x")).distinct()
-            own = edges.where(F.col(one) == v).select(F.col(other).alias("x")).distinct()
+        for one, other, mark in (("parent", "child", "down"), ("child", "parent", "up")):
+            near = met.where(mark).select(F.col(one).alias("id"), F.col(other).alias("x")).distinct()
+            own = near.where(F.col("id") == v).select("x")
             common = near.join(own.withColumn("own", F.lit(1)), "x", "left").groupBy("id").agg(F.count("*").alias("n"), F.count("own").alias("c"))
             same = F.coalesce(F.col("n"), F.lit(0)) == F.lit(own.count())
             out = out.join(common, "id", "left").withColumn(f"same_{one}", same & (F.coalesce(F.col("n"), F.lit(0)) == F.coalesce(F.col("c"), F.lit(0)))).drop("n", "c")
@@ -302,11 +334,11 @@ class _Component:
 
 
 def _replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (name, into, no) of rows sorted by component, no, kind (0: a node is born, 1: an edge); into is null where a component ends."""
+    """Links (name, into, no) of rows sorted by component, no, kind (0: a node is born into a class that others are in, 1: an edge); into is null where a component ends."""
     at, now, over = None, _Component(), False
     for batch in batches:
         out = []
-        for component, no, kind, u, u_name, u_fresh, u_rank, v, v_name, v_fresh, v_rank, pred in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for component, no, kind, u, u_name, u_late, u_rank, v, v_name, v_late, v_rank, pred in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if component != at:
                 at, now, over = component, _Component(), False
             if over:
@@ -314,7 +346,7 @@ def _replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not kind:
                 now.born(u, u_rank)
                 continue
-            ends = [(1, x) if fresh else now.known(name, rank) for x, name, fresh, rank in ((u, u_name, u_fresh, u_rank), (v, v_name, v_fresh, v_rank))]
+            ends = [(1, x) if late else now.known(name, rank) for x, name, late, rank in ((u, u_name, u_late, u_rank), (v, v_name, v_late, v_rank))]
             got = now.edge(*ends, pred)
             if got:
                 out.append((*got, no))

@@ -42,12 +42,16 @@ def ranks(nodes: DataFrame | None, edges: DataFrame, written: bool = False) -> D
     """
     spark = edges.sparkSession
     every = edges.select("parent", "child") if written else step(edges.select("parent", "child").distinct(), "edges")
-    into = step(every.groupBy(F.col("child").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("up")), "parents")
-    ends = every.select(F.col("parent").alias("id")).distinct()
-    roots = (ends if nodes is None else ends.unionByName(nodes.select("id")).distinct()).join(into.select("id"), "id", "left_anti")
-    near, _ = _pointers(into)
+    # dealt by child first: names are aggregated in their order, so rows are sorted once
+    into = step(every.repartition("child").groupBy(F.col("child").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("up")), "parents")
+    # what has children, with the number of its parents: mostly far less than all nodes
+    above = step(every.select(F.col("parent").alias("id")).distinct().join(into.select("id", "n"), "id", "left"), "above")
+    roots = above.where("n IS NULL").select("id")
+    if nodes is not None:
+        roots = roots.unionByName(nodes.select("id").distinct().join(into.select("id"), "id", "left_anti")).distinct()
+    near, _ = _pointers(into, above)
     # a parent that leads into a cycle keeps its own name, which is never peeled; one below a root has its rank already
-    led = into.select("id").join(near.select("id", F.col("up").alias("to"), "far", "root"), "id", "left")
+    led = above.where("n IS NOT NULL").select("id").join(near.select("id", F.col("up").alias("to"), "far", "root"), "id", "left")
     led = led.select(F.col("id").alias("parent"), F.when(~F.coalesce("root", F.lit(False)), F.coalesce("to", "id")).alias("to"), F.coalesce("far", F.lit(0)).alias("far"))
     # dealt by child once: the sums below need no further shuffle
     met = every.join(led, "parent", "left").select("child", "to", (F.coalesce("far", F.lit(0)) + 1).alias("weight")).repartition("child")
@@ -93,8 +97,8 @@ def ranks(nodes: DataFrame | None, edges: DataFrame, written: bool = False) -> D
     return roots.select("id", F.lit(0).alias("rank")).unionByName(known).unionByName(fed).unionByName(below)
 
 
-def _pointers(into: DataFrame) -> tuple[DataFrame, int]:
-    """into: id, n (its parents), up (its one parent) -> id, up, far, root of the ids of one parent: up is not such an id, far
+def _pointers(into: DataFrame, above: DataFrame) -> tuple[DataFrame, int]:
+    """into: id, n (its parents), up (its one parent), above: id, n of all that have children (n null: no parent) -> id, up, far, root of the ids of one parent: up is not such an id, far
     the distance to it, root whether it has no parent; ids that lead into a cycle are left out.
 
     In a round every pointer takes over the pointer it points to, so chains of twice the length end in each; a round that ends
@@ -105,7 +109,7 @@ def _pointers(into: DataFrame) -> tuple[DataFrame, int]:
     schema = "id string, up string, far int, root boolean, done boolean"
     near = into.where("n = 1").select("id", "up")
     ups = near.select("up").distinct()  # many point to few: what they point to is looked up once
-    ids = into.select(F.col("id").alias("up"), "n").join(ups, "up", "left_semi")
+    ids = above.select(F.col("id").alias("up"), "n").join(ups, "up", "left_semi")
     now = near.join(ids, "up", "left").select("id", "up", F.lit(1).alias("far"), F.col("n").isNull().alias("root"), (F.coalesce("n", F.lit(0)) != 1).alias("done"))
     while True:
         seen = Observation()

@@ -650,8 +650,8 @@ def G4_online_refine(spark, d):
     """Edges replayed one by one on the ranked hierarchy: every customer with its first order, every such order with its first line,
     every part with its first line; then two customers are found not to be their first orders after all."""
     o, line = table(spark, d, "orders"), table(spark, d, "lineitem")
-    first = o.groupBy("o_custkey").agg(F.min(F.expr("concat('O', o_orderkey)")).alias("o"))
-    lines = first.join(line.selectExpr("concat('O', l_orderkey) as o", f"{LINEITEM_ID} as l"), "o").groupBy("o_custkey", "o").agg(F.min("l").alias("l"))
+    first = o.where("o_orderkey IS NOT NULL").groupBy("o_custkey").agg(F.min(F.struct(F.expr("concat('O', o_orderkey)").alias("o"), "o_orderkey")).alias("of")).select("o_custkey", "of.*")
+    lines = first.join(line.selectExpr("l_orderkey as o_orderkey", f"{LINEITEM_ID} as l"), "o_orderkey").groupBy("o_custkey", "o").agg(F.min("l").alias("l"))
     lines = step(lines, "firsts")
     parts = line.groupBy("l_partkey").agg(F.min(F.expr(LINEITEM_ID)).alias("l"))
     named = lines.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
@@ -659,9 +659,8 @@ def G4_online_refine(spark, d):
     row = lambda df, k, key, u, v, pred: df.selectExpr(f"cast({k} as bigint) * 1000000000000 + {key} as seq", f"{u} as u", f"{v} as v", f"{pred} as pred")
     c = "concat('C', o_custkey)"
     delta = row(lines, 0, "o_custkey", c, "o", 1).unionByName(row(lines, 1, "o_custkey", "o", "l", 1)).unionByName(row(parts, 2, "l_partkey", "concat('P', l_partkey)", "l", 1)).unionByName(row(asked, 3, "o_custkey", c, "o", 0))
-    edges = step(_edges(spark, d), "edges")
     store = incremental.GraphStore(spark, step_path(spark, "graph"))
-    store.begin(edges, graph.ranks(None, edges, written=True).withColumn("settled", F.lit(True)))  # the hierarchy has no cycle
+    store.begin(_edges(spark, d), lambda edges: graph.ranks(None, edges, written=True).withColumn("settled", F.lit(True)))  # the hierarchy has no cycle
     incremental.apply_batch(store, delta, 0, refresh_every=0)
     return store.load().classes
 

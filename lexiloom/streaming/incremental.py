@@ -7,6 +7,7 @@ deltas become a base. A batch that failed half way leaves deltas that no marker
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,8 @@ from ..storage import exists, shared_dir, step
 TABLES = {"edges": forest.EDGES, "levels": f"{levels.LEVEL}, seq long", "labels": forest.LABEL, "links": forest.LINK, "expert": "u string, v string, batch long"}
 MARK = "version long, batch long, edges_seen long, ranked long, base long, tables string"
 COMPACT = 16
+#: Edges of a batch from which on they are met with the graph's by a shuffle and hash tables.
+MANY = 1 << 17
 
 
 class GraphStore:
@@ -41,22 +44,23 @@ class GraphStore:
         got = self.mark()
         return (got.version, got.batch, got.edges_seen) if got else (-1, -1, 0)
 
-    def _parts(self, table: str) -> tuple[DataFrame, DataFrame]:
-        """The base of a table, and its deltas."""
-        none, got = self.spark.createDataFrame([], TABLES[table]), self.mark()
+    def _parts(self, table: str) -> tuple[DataFrame | None, DataFrame | None]:
+        """The base of a table, and its deltas, where there are any."""
+        got = self.mark()
         if not got:
-            return none, none
+            return None, None
         read = self.spark.read.schema(TABLES[table])
         after = self._marks().where((F.col("version") > got.base) & F.array_contains(F.split("tables", ","), table)).select("version").collect()  # COMPACT rows at most
         paths = [f"{self.path}/{table}/delta-{r.version}" for r in sorted(after)]
-        return read.parquet(f"{self.path}/{table}/base-{got.base}") if got.base >= 0 else none, read.parquet(*paths) if paths else none
+        return read.parquet(f"{self.path}/{table}/base-{got.base}") if got.base >= 0 else None, read.parquet(*paths) if paths else None
 
     def table(self, name: str) -> DataFrame:
         base, deltas = self._parts(name)
-        if name != "levels":
-            return base.unionByName(deltas)
+        if name != "levels" or deltas is None:
+            parts = [x for x in (base, deltas) if x is not None]
+            return forest.union(parts) if parts else self.spark.createDataFrame([], TABLES[name])
         last = deltas.groupBy("id").agg(F.max(F.struct("seq", "rank", "settled")).alias("at")).select("id", "at.rank", "at.settled", "at.seq")
-        return base.join(deltas.select("id"), "id", "left_anti").unionByName(last)
+        return last if base is None else base.join(deltas.select("id"), "id", "left_anti").unionByName(last)
 
     def load(self) -> refine.State:
         """The state as a whole, classes resolved."""
@@ -67,12 +71,18 @@ class GraphStore:
         """The edges (u, v) of a batch that await an expert."""
         return self.table("expert").where(F.col("batch") == batch).select("u", "v")
 
-    def begin(self, edges: DataFrame, known: DataFrame | None = None) -> None:
-        """The first version: distinct edges, and their levels where they are known."""
-        edges = step(edges.select("parent", "child"), "edges")
-        known = levels.levels(None, edges) if known is None else known
+    def begin(self, edges: DataFrame, known: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> None:
+        """The first version, a base: distinct edges, written once, and their levels: a table, or what ``known`` makes of the edges as written."""
         zero = F.lit(0).cast("long").alias("seq")
-        self._commit({"edges": edges.select("parent", "child", zero), "levels": known.select("id", "rank", "settled", zero)}, -1, 0, 0)
+        version = self.last()[0] + 1
+        path = f"{self.path}/edges/base-{version}"
+        edges.select("parent", "child", zero).write.mode("overwrite").parquet(path)
+        edges = self.spark.read.schema(TABLES["edges"]).parquet(path).select("parent", "child")
+        if not isinstance(known, DataFrame):
+            known = (known or (lambda e: levels.levels(None, e)))(edges)
+        known.select("id", "rank", "settled", zero).write.mode("overwrite").parquet(f"{self.path}/levels/base-{version}")
+        none = {k: self.spark.createDataFrame([], TABLES[k]) for k in ("labels", "links", "expert")}
+        self._commit(none, -1, 0, 0, base=version)
 
     def commit(self, added: dict[str, list[DataFrame]], batch: int, seen: int, ranked: int) -> None:
         """A new version: tables of rows to add; edges that the graph has are left out."""
@@ -81,7 +91,10 @@ class GraphStore:
             new["expert"] = new["expert"].withColumn("batch", F.lit(batch).cast("long"))
         if "edges" in new:
             edges = step(new["edges"].groupBy("parent", "child").agg(F.min("seq").alias("seq")), "edges")
-            known = self.table("edges").join(edges.select("parent", "child"), ["parent", "child"], "left_semi").select("parent", "child")
+            asked = edges.select("parent", "child")
+            if edges.count() > MANY:  # still few beside the graph's, which need not be sorted
+                asked = asked.hint("shuffle_hash")
+            known = self.table("edges").join(asked, ["parent", "child"], "left_semi").select("parent", "child")
             new["edges"] = edges.join(known, ["parent", "child"], "left_anti")
         self._commit(new, batch, seen, ranked)
         got = self.mark()

@@ -97,3 +97,48 @@ def test_table_replay(spark, monkeypatch, seed, same, rejected):
     assert [tuple(r) for f in replay.new["expert"] for r in f.collect()] == asked
     assert replay.seen == len(rows)
     assert rejected or sum(single) == 0  # without such an edge nothing passes through the driver
+
+
+def counted(frame):
+    """The frame, and an accumulator of how many of its rows have been read."""
+    read = frame.sparkSession.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    return frame.coalesce(1).mapInArrow(rows, frame.schema), read
+
+
+def test_windows_look_ranks_up_once(spark, monkeypatch):
+    """However many windows a table has; nodes that come later do not need a row of their own."""
+    monkeypatch.setattr(forest, "ROUND", 2)
+    monkeypatch.setattr(forest, "WINDOW", 8)
+    names = [f"n{i:02}" for i in range(30)]
+    held = {n: i for i, n in enumerate(names)}
+    ranks, read = counted(spark.createDataFrame([*held.items()], "id string, rank int"))
+    rows = [(i, names[i], names[i + 1 + i % 3], 1) for i in range(26)]
+    replay = forest.Replay(spark.createDataFrame([], "parent string, child string"), ranks, *[spark.createDataFrame([], x) for x in (forest.LABEL, forest.LINK)])
+    replay.run_table(spark.createDataFrame(rows, "seq long, u string, v string, pred int"))
+    classes = {}
+    plain(set(), held, classes, [r[1:] for r in rows])
+    assert {r.id: r.block for r in forest.classes(replay.after("labels"), replay.after("links")).collect()} == classes
+    assert read.value == len(names)
+
+
+@pytest.mark.parametrize("pred", [0, 1])
+def test_moves_read_edges_once(spark, pred):
+    """Where members move, the edges are read in one pass."""
+    rows = [("a", "b"), ("b", "c"), ("a", "d"), ("e", "d"), ("d", "c")]
+    edges, read = counted(spark.createDataFrame([(*e, 0) for e in rows], forest.EDGES))
+    classes = {"a": "x", "b": "x", "d": "x", "c": "y" if pred else "x"}
+    labels = spark.createDataFrame([(n, b, -1) for n, b in classes.items()], forest.LABEL)
+    replay = forest.Replay(edges, spark.createDataFrame([], "id string, rank int"), labels, spark.createDataFrame([], forest.LINK))
+    replay.run([("b", "c", pred)])
+    moved = replay.new["labels"][-1]
+    got = {r.id: r.name for r in moved.collect()}
+    plain(set(rows), {}, classes, [("b", "c", pred)])
+    assert got == {n: classes[n] for n in got} and replay.barriers == 1
+    assert {r.id: r.block for r in forest.classes(replay.after("labels"), replay.after("links")).collect()} == classes
+    assert read.value == len(rows)

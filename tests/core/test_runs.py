@@ -114,6 +114,17 @@ def test_store_of_deltas(spark, tmp_path):
     assert written[1] < 1.2 * written[0]
 
 
+def test_first_version_is_a_base(spark, tmp_path):
+    """Edges are written once, and levels found from there; neither is merged when read."""
+    store = incremental.GraphStore(spark, str(tmp_path / "state"))
+    asked = []
+    store.begin(spark.createDataFrame([("a", "b"), ("b", "c")], "parent string, child string"), lambda edges: (asked.extend(edges.inputFiles()), incremental.levels.levels(None, edges))[1])
+    assert asked and all(str(tmp_path) in f for f in asked)
+    assert store.mark().base == 0 and store.table("edges").count() == 2
+    assert {r.id: r.rank for r in store.load().ranks.collect()} == {"a": 0, "b": 1, "c": 2} and not store.load().classes.count()
+    assert "Exchange" not in store.table("levels")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sink_commits_once(spark, tmp_path):
     path = str(tmp_path / "s.jsonl")
     row = "'a' as source_label, '' as target_label, concat('s', id) as source, '' as source_uri, 't' as target, '' as target_uri, 0.5D as similarity, 7 as confidence, 1 as true_relation, 1 as pred_relation, named_struct('input_token', 1L, 'output_token', 2L, 'api_calls', 1L) as api_metrics, true as accepted"
