@@ -150,7 +150,9 @@ class Replay:
         found = graph.components(edges.where("pred = 1 OR u_name = v_name").select(F.col("u_name").alias("a"), F.col("v_name").alias("b")))
         found = step(found, "components")
         of = lambda x: found.select(F.col("id").alias(x), F.col("component").alias(f"{x}_of"))
-        rows = edges.join(of("u_name"), "u_name").join(of("v_name"), "v_name").where("u_name_of = v_name_of")
+        linked = F.coalesce(F.expr("pred = 1 OR u_name = v_name"), F.lit(False))  # such ends are in one component
+        others = edges.where(~linked).join(of("u_name"), "u_name").join(of("v_name"), "v_name").where("u_name_of = v_name_of").drop("v_name_of")
+        rows = edges.where(linked).join(of("u_name"), "u_name").unionByName(others)
         rows = rows.select(F.col("u_name_of").alias("component"), "no", F.lit(1).alias("kind"), *[f"{x}{c}" for x in "uv" for c in ("", "_name", "_late", "_rank")], "pred")
         born = named.where("late").join(found.select(F.col("id").alias("name"), "component"), "name")
         none = F.lit(None)

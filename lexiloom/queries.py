@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .functions import vectors as vec
-from .operators import agents, embed, graph, knowledge, levels, metrics, refine, sampling, triples, vectors
+from .operators import agents, embed, forest, graph, knowledge, levels, metrics, refine, sampling, triples, vectors
 from .plans import evaluation
 from .sources import alignments, dictionary, predictions, rdf
 from .storage import shared_dir, step, step_path, table
@@ -57,16 +57,19 @@ def _edges(spark: SparkSession, d: str, leaves: bool = True) -> DataFrame:
         e(t("customer"), "concat('N', c_nationkey)", "concat('C', c_custkey)"),
         e(t("supplier"), "concat('N', s_nationkey)", "concat('S', s_suppkey)"),
     ]
-    if leaves:
-        line = t("lineitem")
-        parts += [
-            e(t("orders"), "concat('C', o_custkey)", "concat('O', o_orderkey)"), e(line, "concat('O', l_orderkey)", LINEITEM_ID),
-            e(line, "concat('P', l_partkey)", LINEITEM_ID), e(line, "concat('S', l_suppkey)", LINEITEM_ID),
-        ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    if not leaves:
+        return forest.union(parts).distinct()
+    line = t("lineitem")
+    below = [(t("orders"), "C", ["o_custkey"], "concat('O', o_orderkey)", ["o_orderkey"])]
+    below += [(line, x, [key], LINEITEM_ID, ["l_orderkey", "l_linenumber"]) for x, key in (("O", "l_orderkey"), ("P", "l_partkey"), ("S", "l_suppkey"))]
+    known = []
+    for rows, x, parent, child, keys in below:
+        # the numbers say which edges are the same, and are far less to shuffle than names; without one of them a name is null
+        keys = list(dict.fromkeys(parent + keys))
+        null = " OR ".join(f"{k} IS NULL" for k in keys)
+        known.append(e(rows.where(f"NOT ({null})").select(*keys).distinct(), f"concat('{x}', {parent[0]})", child))
+        parts.append(e(rows.where(null), f"concat('{x}', {parent[0]})", child))
+    return forest.union([*known, forest.union(parts).distinct()])
 
 
 def _triples(spark: SparkSession, d: str) -> DataFrame:
@@ -651,7 +654,7 @@ def G4_online_refine(spark, d):
     every part with its first line; then two customers are found not to be their first orders after all."""
     o, line = table(spark, d, "orders"), table(spark, d, "lineitem")
     first = o.where("o_orderkey IS NOT NULL").groupBy("o_custkey").agg(F.min(F.struct(F.expr("concat('O', o_orderkey)").alias("o"), "o_orderkey")).alias("of")).select("o_custkey", "of.*")
-    lines = first.join(line.selectExpr("l_orderkey as o_orderkey", f"{LINEITEM_ID} as l"), "o_orderkey").groupBy("o_custkey", "o").agg(F.min("l").alias("l"))
+    lines = first.join(line.select(F.col("l_orderkey").alias("o_orderkey"), "l_orderkey", "l_linenumber"), "o_orderkey").groupBy("o_custkey", "o").agg(F.min(F.expr(LINEITEM_ID)).alias("l"))
     lines = step(lines, "firsts")
     parts = line.groupBy("l_partkey").agg(F.min(F.expr(LINEITEM_ID)).alias("l"))
     named = lines.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))

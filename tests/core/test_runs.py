@@ -137,3 +137,22 @@ def test_sink_commits_once(spark, tmp_path):
     predictions.append_predictions(rows.where("source >= 's4'"), path)
     assert predictions.commits(spark, path) == [0, 1]
     assert sorted(r.source for r in predictions.read_predictions(spark, path).collect()) == [f"s{i}" for i in range(6)]
+
+
+def test_edges_of_odd_rows(spark, tmp_path):
+    """Repeated rows and null keys: the edges are the distinct ones by name, and names are not what is made distinct."""
+    null = [(None, 1, 1, 1), (None, 1, 2, None), (1, None, None, 1), (1, None, None, None), (1, 11, None, None), (11, 1, 3, 3)]
+    tables = {
+        "nation": ("n_nationkey int, n_regionkey int", [(1, 0), (1, 0), (2, None)]), "customer": ("c_custkey long, c_nationkey int", [(1, 1), (1, 1), (None, None)]),
+        "supplier": ("s_suppkey long, s_nationkey int", [(1, 1), (2, 1), (None, None)]), "orders": ("o_orderkey long, o_custkey long", [(1, 1), (1, 1), (1, 2), (None, 1), (None, None)]),
+        "lineitem": ("l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long", [(1, 1, 1, 1), (1, 1, 1, 1), (1, 1, 1, 2), (1, 2, 1, 2), *null, *null]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+        spark.read.parquet(str(tmp_path / f"{name}.parquet")).createOrReplaceTempView(name)
+    want = spark.sql(f"WITH {queries.EDGES_SQL} SELECT parent, child FROM hedges").collect()
+    edges = queries._edges(spark, str(tmp_path))
+    got = edges.collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) == len(set(want))
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Aggregate [l_orderkey" in x and "l_linenumber" in x for x in plan.splitlines())
